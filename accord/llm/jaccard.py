@@ -5,8 +5,9 @@ frequency. The order is cut into fragments. A fragment sees only its own part of
 prefix (the rarest quarter of its shingles) and counts, per pair, the overlap within the fragment;
 the counts are summed per pair, and a bound on the whole overlap discards most pairs. What is left
 is verified on whole sets, again fragment by fragment and summed. Documents of equal sets are one
-class throughout. Lists longer than LONG give links to one member only at first; members that are
-still in different components afterwards are compared with each other, so no link is lost.
+class throughout. Lists longer than LONG give links to a few hub members at first; members that are
+still in different components afterwards are compared with each other, under the same bound, so
+no link is lost.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accord.llm.common import written
@@ -31,6 +32,8 @@ PARTS = 16
 FRAGMENT = 1_500_000
 #: Lists up to this length give all their pairs at once.
 LONG = 8
+#: Turns in which open lists are linked through so many further hubs, before the rest is compared pair by pair.
+TURNS, HUBS = 2, 4
 #: Bits of the filter on classes that need verifying (bounded: 1 MB); false hits only cost time.
 FILTER_BITS = 23
 #: Fragments in which whole sets are compared.
@@ -225,10 +228,99 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return total.where("7 * overlap >= 3 * (na + nb)").drop("overlap")
 
 
-def _node(cls: str, n: str):
+def _node(cls: str, n: str) -> Column:
     return F.struct(F.col(cls).alias("cls"), F.col(n).alias("n"))
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """cls, n, root of all linked classes."""
+    found = components(links.select(_node("a", "na").alias("a"), _node("b", "nb").alias("b")))
+    return written(found.select(F.col("node.cls").alias("cls"), F.col("node.n").alias("n"), F.col("component").alias("root")))
+
+
+def _open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """h, cls, n, root: the members of long lists that hold more than one component as yet."""
+    placed = lists.join(found, ["cls", "n"], "left").withColumn("root", F.coalesce("root", _node("cls", "n")))
+    open_ = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    return written(placed.join(open_, "h", "left_semi"))
+
+
+def _hub_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """a, na, b, nb: every member of a list with the list's hubs of another component. Linear in the lists."""
+    member = F.struct("cls", "n", "root")
+    hubs = [F.min_by(member, F.xxhash64("cls", "n", F.lit(turn * HUBS + k))).alias(f"hub{k}") for k in range(HUBS)]
+    chosen = placed.groupBy("h").agg(*hubs).select("h", F.explode(F.array_distinct(F.array(*(f"hub{k}" for k in range(HUBS))))).alias("hub"))
+    met = placed.join(chosen, "h").where("root <> hub.root and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
+    low, high = F.least(_node("cls", "n"), F.struct("hub.cls", "hub.n")), F.greatest(_node("cls", "n"), F.struct("hub.cls", "hub.n"))
+    return met.select(low.alias("x"), high.alias("y")).select(F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb")).distinct()
+
+
+def _needed(na, nb):
+    """Shingles that the prefixes of two sets must share, at least, for the sets to link."""
+    return -(-3 * (na + nb) // 7) - np.maximum((3 * na + 3) // 4, (3 * nb + 3) // 4) + 1
+
+
+def _cross_pairs(placed: DataFrame) -> DataFrame:
+    """a, na, b, nb: pairs of different components that share enough long lists. Pairs are counted, not sent.
+
+    Every member brings the lists that it is in, so one list's task knows each pair's overlap over
+    all lists; a pair is given by the first list that it shares. Blocks bound the memory.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        column = lambda name: np.asarray(table.column(name).combine_chunks())
+        cls, n, root, here = column("cls"), column("n"), column("root"), table.column("h")[0].as_py()
+        lists = table.column("lists").combine_chunks()
+        flat, count = np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets))
+        known, place = np.unique(flat, return_inverse=True)
+        member = np.repeat(np.arange(len(cls)), count)
+        first, out = np.searchsorted(known, here), []
+
+        def block(low: int, high: int) -> np.ndarray:
+            held = np.zeros((high - low, len(known)), np.float32)
+            inside = (member >= low) & (member < high)
+            held[member[inside] - low, place[inside]] = 1
+            return held
+
+        step = max(64, min(1024, 20_000_000 // max(1, len(known))))
+        for i in range(0, len(cls), step):
+            rows = block(i, min(i + step, len(cls)))
+            for j in range(i, len(cls), step):
+                cols = block(j, min(j + step, len(cls)))
+                x, y = slice(i, i + len(rows)), slice(j, j + len(cols))
+                small, large = np.minimum.outer(n[x], n[y]), np.maximum.outer(n[x], n[y])
+                ok = (root[x][:, None] != root[y][None, :]) & (4 * small >= 3 * large) & (rows @ cols.T >= _needed(small, large))
+                p, q = np.nonzero(ok)
+                if i == j:
+                    p, q = p[keep := p < q], q[keep]
+                for k in range(0, len(p), 2048):
+                    both = rows[p[k : k + 2048], :first] * cols[q[k : k + 2048], :first]
+                    mine = ~both.any(axis=1)
+                    out.append(np.stack((p[k : k + 2048][mine] + i, q[k : k + 2048][mine] + j)))
+        p, q = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        swap = (cls[p] > cls[q]) | ((cls[p] == cls[q]) & (n[p] > n[q]))
+        p, q = np.where(swap, q, p), np.where(swap, p, q)
+        return pa.table({"a": cls[p], "na": n[p], "b": cls[q], "nb": n[q]})
+
+    held = placed.groupBy("cls", "n").agg(F.collect_set("h").alias("lists"))
+    rows = placed.join(held, ["cls", "n"]).select("h", "cls", "n", F.xxhash64("root").alias("root"), "lists")
+    return rows.groupBy("h").applyInArrow(compare, "a long, na long, b long, nb long")
+
+
+def _apart_pairs(placed: DataFrame, summed: DataFrame) -> DataFrame:
+    """a, na, b, nb: pairs that share short lists as well, so that only both counts together say enough."""
+    held = placed.groupBy("cls", "n").agg(F.collect_set("h").alias("lists"), F.min("root").alias("root"))
+    x = held.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("lists").alias("la"), F.col("root").alias("ra"))
+    y = held.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("lists").alias("lb"), F.col("root").alias("rb"))
+    met = summed.where("shared > 0").join(x, ["a", "na"]).join(y, ["b", "nb"]).where("ra <> rb")
+    return met.where(F.col("shared") + F.size(F.array_intersect("la", "lb")) >= _need()).select("a", "na", "b", "nb")
+
+
+def _need() -> Column:
+    na, nb = F.col("na"), F.col("nb")
+    return F.ceil(3 * (na + nb) / 7) - F.greatest(F.ceil(0.75 * na), F.ceil(0.75 * nb)) + 1
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, row_hash, n_shingles, component_id of every row of docs.
 
@@ -245,27 +337,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = written(_meets(_postings(rows, levels, fragments)))
     pairs = met.where("b is not null")
     lists = met.where("b is null").select(F.col("shared").alias("h"), F.col("a").alias("cls"), F.col("na").alias("n"))
-    need = F.ceil(3 * (F.col("na") + F.col("nb")) / 7) - F.greatest(F.ceil(0.75 * F.col("na")), F.ceil(0.75 * F.col("nb"))) + 1
-    summed = pairs.groupBy("a", "na", "b", "nb").agg(F.sum(F.greatest("shared", F.lit(0))).alias("shared"), F.min("shared").alias("least"))
-    first = written(summed.where((F.col("least") < 0) | (F.col("shared") >= need)).select("a", "na", "b", "nb"))
+    summed = written(pairs.groupBy("a", "na", "b", "nb").agg(F.sum(F.greatest("shared", F.lit(0))).alias("shared"), F.min("shared").alias("least")))
+    first = written(summed.where((F.col("least") < 0) | (F.col("shared") >= _need())).select("a", "na", "b", "nb"))
     wanted = first.select(F.col("a").alias("cls"), F.col("na").alias("n")).unionByName(first.select(F.col("b").alias("cls"), F.col("nb").alias("n"))).unionByName(lists.select("cls", "n")).distinct()
     sets = _whole_sets(rows, written(wanted))
-    links = written(_verified(first, sets))
-    found = components(links.select(_node("a", "na").alias("a"), _node("b", "nb").alias("b")))
-    # members of long lists that are in different components as yet
-    roots = found.select(F.col("node.cls").alias("cls"), F.col("node.n").alias("n"), F.col("component").alias("root"))
-    placed = written(lists.join(roots, ["cls", "n"], "left").withColumn("root", F.coalesce("root", _node("cls", "n"))))
-    open_ = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    x = placed.join(open_, "h", "left_semi").select("h", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = x.select("h", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ra").alias("rb"))
-    more = x.join(y, "h").where("(a < b or (a = b and na < nb)) and ra <> rb and 4 * least(na, nb) >= 3 * greatest(na, nb)")
-    more = more.select("a", "na", "b", "nb").distinct().join(first, ["a", "na", "b", "nb"], "left_anti")
-    late = written(_verified(more, sets))
+    links, tested = written(_verified(first, sets)), first
+    found = _components(links)
+    for turn in range(TURNS):
+        pairs = written(_hub_pairs(_open_lists(lists, found), turn).join(tested, ["a", "na", "b", "nb"], "left_anti"))
+        tested = tested.unionByName(pairs)
+        links = links.unionByName(written(_verified(pairs, sets)))
+        found = _components(links)
+    placed = _open_lists(lists, found)
+    rest = _cross_pairs(placed).unionByName(_apart_pairs(placed, summed)).distinct().join(tested, ["a", "na", "b", "nb"], "left_anti")
+    late = written(_verified(rest, sets))
     if late.limit(1).count():
-        links = links.unionByName(late)
-        found = components(links.select(_node("a", "na").alias("a"), _node("b", "nb").alias("b")))
+        found = _components(links.unionByName(late))
     classes = own.where("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("low"))
-    placed = classes.join(found.select(F.col("node.cls").alias("cls"), F.col("node.n").alias("n"), F.col("component").alias("root")), ["cls", "n"], "left")
+    placed = classes.join(found, ["cls", "n"], "left")
     placed = placed.withColumn("root", F.coalesce("root", _node("cls", "n")))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     of_class = placed.join(lowest, "root").select("cls", "n", "component_id")
