@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accord.llm import bpe, jaccard, mixing, pii, quality
+from accord.llm import bpe, jaccard, mixing, pii, quality, repeats
 from accord.llm.common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -16,6 +16,10 @@ def op2_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(read(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -38,5 +42,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_sanitisation, op5_quality_rules, op6_jaccard_join, op9_source_mixing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_pii_sanitisation, op4_suffix_dedup, op5_quality_rules, op6_jaccard_join, op9_source_mixing, op10_byte_bpe)}
 SQL: dict[str, str] = {}
