@@ -6,16 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accord.llm import bpe, jaccard, mixing, pii, quality, repeats
+from accord.llm import bpe, jaccard, knn, mixing, pii, quality, repeats, shards, tokens, toxicity
 from accord.llm.common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.section_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
 def op2_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
 
+def op3_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return knn.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(read(spark, sf_dir, "documents"))
 
@@ -28,6 +37,14 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.manifest(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
@@ -42,5 +59,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_sanitisation, op4_suffix_dedup, op5_quality_rules, op6_jaccard_join, op9_source_mixing, op10_byte_bpe)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_section_tokens, op2_pii_sanitisation, op3_pivot_search, op4_suffix_dedup, op5_quality_rules, op6_jaccard_join, op7_toxicity, op8_training_order, op9_source_mixing, op10_byte_bpe)
+}
+
+SQL: dict[str, str] = {
+    "op3_pivot_search": """
+WITH fine AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id AS vec_id,
+    CAST(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * x.v[i])) AS BIGINT) AS score
+  FROM fine q JOIN fine x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+}

@@ -54,7 +54,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = stop
 
 
-def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_sets(column: pa.Array, width: int, separators: np.ndarray = _SEPARATOR) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct 64-bit hashes) of each text's `width`-word shingles, A-Z in lower case.
 
     Fewer words make one shingle of all of them; no words, none.
@@ -65,7 +65,7 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
             yield from ((first + k, np.zeros(0, np.uint64)) for k in range(n_rows))
             continue
         power, inverse = _powers(n + 1)
-        word = ~_SEPARATOR[data]
+        word = ~separators[data]
         begin, end = word.copy(), word.copy()
         inner = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < n)]
         begin[1:] &= ~word[:-1]
