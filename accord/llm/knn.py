@@ -98,7 +98,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     pivots = np.array([r["v"] for r in chosen if len(r["v"]) == dims], np.int64).reshape(-1, dims)
     count, q_count = max(1, -(-n // BLOCK)), max(1, -(-n_asked // QUERIES))
     stored = _blocks(rows, count, pivots)
-    sent = _blocks(asked, q_count, None).select("dims", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).cast("long"))
+    sent = _blocks(asked, q_count, None).select("dims", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -67,11 +67,11 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op3_pivot_search": """
 WITH fine AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, x.vec_id AS vec_id,
-    CAST(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * x.v[i])) AS BIGINT) AS score
+    CAST(list_sum([q.v[i] * x.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
   FROM fine q JOIN fine x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) WHERE q.vec_id % 50 = 0
 ), ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored

@@ -54,7 +54,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = stop
 
 
-def shingle_sets(column: pa.Array, width: int, separators: np.ndarray = _SEPARATOR) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct 64-bit hashes) of each text's `width`-word shingles, A-Z in lower case.
 
     Fewer words make one shingle of all of them; no words, none.
@@ -65,7 +65,7 @@ def shingle_sets(column: pa.Array, width: int, separators: np.ndarray = _SEPARAT
             yield from ((first + k, np.zeros(0, np.uint64)) for k in range(n_rows))
             continue
         power, inverse = _powers(n + 1)
-        word = ~separators[data]
+        word = ~_SEPARATOR[data]
         begin, end = word.copy(), word.copy()
         inner = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < n)]
         begin[1:] &= ~word[:-1]
@@ -95,6 +95,49 @@ def shingle_sets(column: pa.Array, width: int, separators: np.ndarray = _SEPARAT
                 yield first + k, np.zeros(0, np.uint64)
 
 
+def string_hash(data: bytes, salt: int) -> int:
+    """The hash that prefix_sets gives a word (salt 0) or a beginning of k characters (salt k)."""
+    total = sum((byte + 1) * pow(_BASE, i, 1 << 64) for i, byte in enumerate(data))
+    return int(mixed(np.array([(total + salt * _INVERSE) % (1 << 64)], np.uint64))[0])
+
+
+def prefix_sets(column: pa.Array, separators: np.ndarray, prefixes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, distinct 64-bit hashes) of each text's words, A-Z in lower case, and of longer words' beginnings."""
+    for first, offsets, data in chunks(column):
+        n = len(data)
+        if not n:
+            yield from ((first + k, np.zeros(0, np.uint64)) for k in range(len(offsets) - 1))
+            continue
+        power, inverse = _powers(n + 1)
+        word = ~separators[data]
+        begin, end = word.copy(), word.copy()
+        inner = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < n)]
+        begin[1:] &= ~word[:-1]
+        begin[inner] |= word[inner]
+        end[:-1] &= ~word[1:]
+        end[inner - 1] |= word[inner - 1]
+        starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+        chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), [n])
+        at = np.searchsorted(chars, starts)
+        parts, owners = [mixed((sums[ends] - sums[starts]) * inverse[starts])], [starts]
+        for k in prefixes:
+            stop = chars[np.minimum(at + k, len(chars) - 1)]
+            long = stop < ends
+            salt = np.uint64(k * _INVERSE % (1 << 64))
+            parts.append(mixed((sums[stop[long]] - sums[starts[long]]) * inverse[starts[long]] + salt))
+            owners.append(starts[long])
+        hashes, owner = np.concatenate(parts), np.searchsorted(offsets, np.concatenate(owners), "right") - 1
+        order = np.lexsort((hashes, owner))
+        hashes, owner = hashes[order], owner[order]
+        if len(hashes):
+            new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])))
+            hashes, owner = hashes[new], owner[new]
+        cut = np.searchsorted(owner, np.arange(len(offsets)))
+        yield from ((first + k, hashes[cut[k] : cut[k + 1]]) for k in range(len(offsets) - 1))
+
+
 def set_digest(hashes: np.ndarray) -> int:
     """A signed 64-bit digest of a set of hashes; 0 for the empty one."""
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True) if len(hashes) else 0

@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accord.llm.common import documents, written
-from accord.llm.shingles import shingle_sets
+from accord.llm.shingles import prefix_sets, string_hash
 
 #: Labelled rows that are learned from at most, those of smallest id hash.
 SAMPLE = 24_000
 #: Words the classifier weighs, and those among them that vote, at most.
 WORDS, VOTERS = 4_000, 150
+#: Beginnings of longer words, in characters, that count as features too: they hold for inflected forms.
+PREFIXES = (4, 5, 6)
 #: A word is a run of letters and digits; the separators of the byte scan say the same for ASCII.
 NOT_WORD = r"[^A-Za-z0-9\x{80}-\x{10FFFF}]+"
 SEPARATORS = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
@@ -55,7 +57,8 @@ class Model:
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    return np.array([own[0] if len(own) else 0 for _, own in shingle_sets(pa.array(words, pa.string()), 1, SEPARATORS)], np.uint64)
+    """Of lexicon entries: words, or beginnings of words marked by a star."""
+    return np.array([string_hash(w.rstrip("*").encode(), len(w) - 1 if w.endswith("*") else 0) for w in words], np.uint64)
 
 
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,7 +85,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8) -> tuple
     return posterior, np.log(current[0] / current[1]), together
 
 
-def linear_classifier(rows: list[np.ndarray], width: int, target: np.ndarray, epochs: int = 30, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:
+def linear_classifier(rows: list[np.ndarray], width: int, target: np.ndarray, epochs: int = 40, rate: float = 1.0, decay: float = 1e-5) -> np.ndarray:
     """Logistic weights (and a bias) for rows given as arrays of feature numbers, by AdaGrad on soft targets."""
     weights, squares = np.zeros(width + 1), np.full(width + 1, 1e-6)
     rng = np.random.default_rng(7)
@@ -103,6 +106,14 @@ def linear_classifier(rows: list[np.ndarray], width: int, target: np.ndarray, ep
     return weights
 
 
+def _longer(k: int):
+    return lambda w: F.length(w) > k
+
+
+def _beginning(k: int):
+    return lambda w: F.concat(F.substring(w, 1, k), F.lit("*"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The classifier, from labelled rows outside the held-out quarter, `sample` of them at most."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id").cast("long"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -113,7 +124,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n, pos = total["n"], total["pos"] or 0
     if not pos or pos == n:
         return Model(np.zeros(0, np.uint64), np.array([0.0] * len(patterns("")) + [-3.0 if not pos else 3.0]))
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), NOT_WORD), lambda w: F.length(w) > 1))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = F.filter(F.array_distinct(F.split(F.translate("text", upper, lower), NOT_WORD)), lambda w: F.length(w) > 1)
+    beginnings = [F.transform(F.filter(words, _longer(k)), _beginning(k)) for k in PREFIXES]
+    words = F.array_distinct(F.concat(words, *beginnings))
     counted = rows.select("toxic", F.explode(words).alias("word")).groupBy("word").agg(F.sum("toxic").alias("p"), F.count("*").alias("c")).where("c >= 3")
     odds = F.log((F.col("p") + 0.1) * (n - pos) / ((F.col("c") - F.col("p") + 0.1 * (n - pos) / pos) * pos))
     weight = F.abs(odds) * F.sqrt("c")
@@ -125,7 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, found = batch.column(0).to_pylist(), [np.zeros(0, np.int64)] * batch.num_rows
-            for i, own in shingle_sets(batch.column(0), 1, SEPARATORS):
+            for i, own in prefix_sets(batch.column(0), SEPARATORS, PREFIXES):
                 at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
                 found[i] = at[hashes[at] == own]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.astype(np.int32).tobytes() for x in found], pa.binary()), pa.array([bytes(patterns(t)) for t in texts], pa.binary()), batch.column(2)], names=["toxic", "found", "patterns", "doc_id"])
@@ -150,7 +164,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros(0, np.uint64)] * batch.num_rows
-            for i, own in shingle_sets(batch.column(1), 1, SEPARATORS):
+            for i, own in prefix_sets(batch.column(1), SEPARATORS, PREFIXES):
                 found[i] = own
             votes = np.array([patterns(t) for t in batch.column(1).to_pylist()], float).reshape(batch.num_rows, -1)
             score = shared.value.score(found, votes)
