@@ -258,7 +258,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row_hash"))
-    anchors = written(_anchors(rows))
+    every = written(_anchors(rows))
+    shared = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    anchors = written(every.join(shared, "gram", "left_semi"))  # most anchors' strings occur once
     place = F.struct("row_hash", "low", "high", "at")
     contexts = written(anchors.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("place")))
     twice = contexts.where("n > 1").select(F.col("context").alias("again"), F.col("gram").alias("of"))
