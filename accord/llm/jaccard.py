@@ -12,6 +12,7 @@ no link is lost.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,9 +63,9 @@ def _classes(rows: DataFrame) -> DataFrame:
                 np.add.at(counts, (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
             none = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(cls), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
-        for part, own in enumerate(np.split(np.minimum(counts, 65535).astype(np.uint16), PARTS)):
+        for part, own in enumerate(np.split(np.minimum(counts, 255).astype(np.uint8), PARTS)):
             empty = [pa.nulls(1, pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([*empty, pa.array([part], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*empty, pa.array([part], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=names)
 
     names = ["doc_id", "row_hash", "n", "cls", "part", "counts"]
     return rows.select("doc_id", "text", "row_hash").mapInArrow(scan, "doc_id long, row_hash long, n long, cls long, part int, counts binary")
@@ -77,7 +78,7 @@ def _levels(scanned: DataFrame, shingles: int) -> np.ndarray:
     def add(key: tuple, table: pa.Table) -> pa.Table:
         total = np.zeros((1 << BUCKET_BITS) // PARTS, np.int64)
         for blob in table.column("counts").to_pylist():
-            total += np.frombuffer(blob, np.uint16)
+            total += np.frombuffer(zlib.decompress(blob), np.uint8)
         level = np.where(total >= 8 * mean, np.log2(np.maximum(total, 1) / mean), 0).astype(np.uint8)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "level": pa.array([level.tobytes()], pa.binary())})
 
@@ -89,20 +90,29 @@ def _levels(scanned: DataFrame, shingles: int) -> np.ndarray:
 
 
 def _postings(rows: DataFrame, levels, fragments: int) -> DataFrame:
-    """fragment, hashes, classes, sizes (binary): the prefixes' shingles, many to a row, cut by fragment."""
+    """fragment, hashes, owners, classes, sizes (binary): the prefixes' shingles, many to a row, cut by fragment.
+
+    Hashes are cut to 48 bits here: a chance meeting only adds a pair to be verified. owners are numbers
+    into the row's table of classes and sizes.
+    """
 
     def blobs(hashes: list, classes: list, sizes: list, level_of: np.ndarray) -> pa.RecordBatch:
         h = np.concatenate(hashes)
         count = [len(x) for x in hashes]
-        c, n = np.repeat(np.array(classes, np.int64), count), np.repeat(np.array(sizes, np.uint32), count)
+        owner = np.repeat(np.arange(len(count), dtype=np.uint32), count)
+        table = np.array(classes, np.int64), np.array(sizes, np.uint32)
         level = level_of[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
         fragment = np.where(level > 0, fragments + level, ((h >> np.uint64(40)) * np.uint64(fragments) >> np.uint64(24)).astype(np.int64))
         order = np.argsort(fragment, kind="stable")
-        fragment, h, c, n = fragment[order], h[order], c[order], n[order]
+        fragment, owner = fragment[order], owner[order]
+        short = (h[order] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         cut = np.flatnonzero(np.concatenate(([True], fragment[1:] != fragment[:-1])))
-        stop = [*cut[1:], len(h)]
-        parts = [pa.array([x[a:b].tobytes() for a, b in zip(cut, stop, strict=True)], pa.binary()) for x in (h, c, n)]
-        return pa.RecordBatch.from_arrays([pa.array(fragment[cut], pa.int32()), *parts], names=names)
+        rows: list[list[bytes]] = [[], [], [], []]
+        for a, b in zip(cut, [*cut[1:], len(h)], strict=True):
+            used, place = np.unique(owner[a:b], return_inverse=True)
+            for column, x in zip(rows, (short[a:b], place.astype(np.uint32 if len(used) > 65536 else np.uint16), table[0][used], table[1][used]), strict=True):
+                column.append(x.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(fragment[cut], pa.int32()), *(pa.array(x, pa.binary()) for x in rows)], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of, seen = levels.value, set()
@@ -125,16 +135,21 @@ def _postings(rows: DataFrame, levels, fragments: int) -> DataFrame:
         if held:
             yield blobs(hashes, classes, sizes, level_of)
 
-    names = ["fragment", "hashes", "classes", "sizes"]
-    return rows.select("text").mapInArrow(scan, "fragment int, hashes binary, classes binary, sizes binary")
+    names = ["fragment", "hashes", "owners", "classes", "sizes"]
+    return rows.select("text").mapInArrow(scan, "fragment int, hashes binary, owners binary, classes binary, sizes binary")
 
 
 def _meets(postings: DataFrame) -> DataFrame:
     """Rows a, b, na, nb, shared of pairs (shared -1: from a long list), and with b null the members a of list `shared`."""
 
     def meet(table: pa.Table) -> pa.Table:
-        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        h, c, n = join("hashes", np.uint64), join("classes", np.int64), join("sizes", np.uint32).astype(np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for hashes, owners, classes, sizes in zip(*(table.column(x).to_pylist() for x in ("hashes", "owners", "classes", "sizes")), strict=True):
+            wide = np.zeros((len(hashes) // 6, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(hashes, np.uint8).reshape(-1, 6)
+            place = np.frombuffer(owners, np.uint16 if len(owners) == 2 * len(wide) else np.uint32)
+            parts.append((wide.view("<u8").reshape(-1), np.frombuffer(classes, np.int64)[place], np.frombuffer(sizes, np.uint32)[place].astype(np.int64)))
+        h, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((n, c, h))
         h, c, n = h[order], c[order], n[order]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])))
@@ -190,7 +205,7 @@ def _filter(classes: DataFrame) -> np.ndarray:
 
 
 def _whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, n, v, own: the shingles of each wanted class, by fragment v, once a class."""
+    """cls, n, v, own: the shingles of each wanted class (and a few others), by fragment v, once a class."""
     bits = rows.sparkSession.sparkContext.broadcast(_filter(wanted.select("cls")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +226,6 @@ def _whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))] + [lists], names=["cls", "n", "v", "own"])
 
     sets = rows.select("text").mapInArrow(scan, "cls long, n long, v int, own array<long>")
-    sets = sets.join(wanted.select("cls", "n").distinct(), ["cls", "n"], "left_semi")
     return written(sets.groupBy("cls", "n", "v").agg(F.first("own").alias("own")))
 
 
@@ -316,6 +330,32 @@ def _apart_pairs(placed: DataFrame, summed: DataFrame) -> DataFrame:
     return met.where(F.col("shared") + F.size(F.array_intersect("la", "lb")) >= _need()).select("a", "na", "b", "nb")
 
 
+def _bounded(pairs: DataFrame, held: DataFrame, summed: DataFrame) -> DataFrame:
+    """The pairs whose prefixes share enough: long lists that hold both, and short ones counted before."""
+    x = held.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("lists").alias("la"))
+    y = held.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("lists").alias("lb"))
+    short = summed.select("a", "na", "b", "nb", F.col("shared").alias("apart"))
+    met = pairs.join(short, ["a", "na", "b", "nb"], "left").join(x, ["a", "na"], "left").join(y, ["b", "nb"], "left")
+    both = F.coalesce(F.size(F.array_intersect("la", "lb")), F.lit(0))
+    return met.where(both + F.coalesce("apart", F.lit(0)) >= _need()).select("a", "na", "b", "nb")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls"), F.col("na").alias("n")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("nb").alias("n"))).distinct()
+
+
+def _with_sets(rows: DataFrame, pairs: DataFrame, sets: DataFrame | None) -> DataFrame:
+    """sets, and those of the pairs' classes that it lacks; texts are read again only if there are any."""
+    wanted = _ends(pairs)
+    if sets is not None:
+        wanted = wanted.join(sets.select("cls", "n").distinct(), ["cls", "n"], "left_anti")
+    wanted = written(wanted)
+    if sets is not None and not wanted.limit(1).count():
+        return sets
+    more = _whole_sets(rows, wanted)
+    return more if sets is None else sets.unionByName(more.join(wanted, ["cls", "n"], "left_semi").select(sets.columns))
+
+
 def _need() -> Column:
     na, nb = F.col("na"), F.col("nb")
     return F.ceil(3 * (na + nb) / 7) - F.greatest(F.ceil(0.75 * na), F.ceil(0.75 * nb)) + 1
@@ -338,19 +378,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = met.where("b is not null")
     lists = met.where("b is null").select(F.col("shared").alias("h"), F.col("a").alias("cls"), F.col("na").alias("n"))
     summed = written(pairs.groupBy("a", "na", "b", "nb").agg(F.sum(F.greatest("shared", F.lit(0))).alias("shared"), F.min("shared").alias("least")))
-    first = written(summed.where((F.col("least") < 0) | (F.col("shared") >= _need())).select("a", "na", "b", "nb"))
-    wanted = first.select(F.col("a").alias("cls"), F.col("na").alias("n")).unionByName(first.select(F.col("b").alias("cls"), F.col("nb").alias("n"))).unionByName(lists.select("cls", "n")).distinct()
-    sets = _whole_sets(rows, written(wanted))
+    held = written(lists.groupBy("cls", "n").agg(F.collect_set("h").alias("lists")))
+    first = written(_bounded(summed.select("a", "na", "b", "nb"), held, summed))
+    sets = _with_sets(rows, first, None)
     links, tested = written(_verified(first, sets)), first
     found = _components(links)
     for turn in range(TURNS):
-        pairs = written(_hub_pairs(_open_lists(lists, found), turn).join(tested, ["a", "na", "b", "nb"], "left_anti"))
+        pairs = _hub_pairs(_open_lists(lists, found), turn).join(tested, ["a", "na", "b", "nb"], "left_anti")
+        pairs = written(_bounded(pairs, held, summed))
+        sets = _with_sets(rows, pairs, sets)
         tested = tested.unionByName(pairs)
         links = links.unionByName(written(_verified(pairs, sets)))
         found = _components(links)
     placed = _open_lists(lists, found)
     rest = _cross_pairs(placed).unionByName(_apart_pairs(placed, summed)).distinct().join(tested, ["a", "na", "b", "nb"], "left_anti")
-    late = written(_verified(rest, sets))
+    rest = written(rest)
+    late = written(_verified(rest, _with_sets(rows, rest, sets)))
     if late.limit(1).count():
         found = _components(links.unionByName(late))
     classes = own.where("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("low"))
