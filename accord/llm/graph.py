@@ -1,33 +1,5 @@
-"""Connected components of a link table by alternating large and small stars, in joins and group-bys."""
+"""Connected components, as the library has them."""
 
-from __future__ import annotations
+from accord.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from accord.llm.common import written
-
-
-def components(links: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) for all nodes of links(a, b); self-links and repeats do no harm.
-
-    Each round replaces every node's links by links to its smallest neighbour; rounds grow with the
-    logarithm of a component's size. Each round's links are written, so lost executors cost one round.
-    """
-    edges = written(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    nodes = edges
-    state = None
-    while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        met = large.join(least, F.col("u") == F.col("k"))
-        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        edges = written(small.distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
-    ends = nodes.select(F.col("u").alias("node")).unionByName(nodes.select(F.col("v").alias("node"))).distinct()
-    return ends.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+__all__ = ["components"]

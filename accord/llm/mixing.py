@@ -130,7 +130,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     Rows of equal id and text are decided one by one but can't be told apart afterwards: their
     copies are dealt out evenly among them.
     """
-    decided = written(mix(sizes(docs)).groupBy("doc_id", "row_hash").agg(F.sum("copies").alias("__sum"), F.count("*").alias("__rows")))
+    decided = written(mix(written(sizes(docs))).groupBy("doc_id", "row_hash").agg(F.sum("copies").alias("__sum"), F.count("*").alias("__rows")))
     repeats = decided.where(F.col("__rows") > 1).limit(1).count() > 0
     decided = decided.where(F.col("__sum") > 0).withColumnsRenamed({"doc_id": "__doc", "row_hash": "__row"})
     keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("__id", "text"))
@@ -144,4 +144,4 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
-    return mix(sizes(docs)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return mix(written(sizes(docs))).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -17,16 +17,6 @@ from pyspark.sql import functions as F
 
 from accord.llm.common import SEPARATORS, documents, let, written
 
-#: The statistics rules may use, as expressions over the columns of text_statistics.
-MEASURES = {
-    "n_words": F.col("n_words").cast("double"),
-    "word_length": F.col("word_chars") / F.greatest("n_words", F.lit(1)),
-    "symbol_share": F.col("n_symbols") / F.greatest("n_words", F.lit(1)),
-    "dup_line_share": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
-    "repeat_share": F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)),
-    "upper_share": F.col("n_upper") / F.greatest("word_chars", F.lit(1)),
-    "mark_share": F.col("n_marks") / F.greatest("n_words", F.lit(1)),
-}
 #: Labelled rows that a list is learned from at most, chosen by a hash of their id.
 SAMPLE = 60_000
 BINS = 40
@@ -85,6 +75,20 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words", "n_upper", "n_marks")
 
 
+def measures() -> dict[str, Column]:
+    """The statistics that rules may use, as expressions over the columns of text_statistics."""
+    words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
+    return {
+        "n_words": F.col("n_words").cast("double"),
+        "word_length": F.col("word_chars") / words,
+        "symbol_share": F.col("n_symbols") / words,
+        "dup_line_share": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
+        "repeat_share": F.col("n_repeat_words") / words,
+        "upper_share": F.col("n_upper") / chars,
+        "mark_share": F.col("n_marks") / words,
+    }
+
+
 def base_failed() -> Column:
     """The fixed rule: too short, or mostly repeated windows."""
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -167,10 +171,10 @@ def learn(statistics: DataFrame, labels: DataFrame, sample: int = SAMPLE, precis
     rows = statistics.join(known, "doc_id").where(~base_failed())
     share = min(1.0, sample / max(1, known.count()))
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
-    rows = written(rows.where(chosen).select("doc_id", "bad", *(e.alias(m) for m, e in MEASURES.items())))
+    rows = written(rows.where(chosen).select("doc_id", "bad", *(e.alias(m) for m, e in measures().items())))
     points = [(k + 0.5) / BINS for k in range(BINS)] + [0.0, 0.005, 0.995]
-    got = rows.agg(*(F.percentile(m, F.array(*map(F.lit, points))).alias(m) for m in MEASURES)).first()
-    cuts = {m: sorted(set(got[m] or ())) for m in MEASURES}
+    got = rows.agg(*(F.percentile(m, F.array(*map(F.lit, points))).alias(m) for m in measures())).first()
+    cuts = {m: sorted(set(got[m] or ())) for m in measures()}
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3))
     grow_on, prune_on, rules = rows.where(part != 0), rows.where(part == 0), []
     while len(rules) < most_rules:
@@ -186,10 +190,10 @@ def learn(statistics: DataFrame, labels: DataFrame, sample: int = SAMPLE, precis
 
 
 def verdict(rules: list[Rule]) -> Column:
-    """The rules as one ordered conditional expression over MEASURES: true for documents to keep."""
-    out = F.lit(True)
+    """The rules as one ordered conditional expression over the statistics: true for documents to keep."""
+    of, out = measures(), F.lit(True)
     for rule in reversed(rules):
-        out = F.when(reduce(lambda a, b: a & b, ((MEASURES[c.measure] > c.threshold) if c.above else (MEASURES[c.measure] <= c.threshold) for c in rule)), F.lit(False)).otherwise(out)
+        out = F.when(reduce(lambda a, b: a & b, ((of[c.measure] > c.threshold) if c.above else (of[c.measure] <= c.threshold) for c in rule)), F.lit(False)).otherwise(out)
     return out
 
 

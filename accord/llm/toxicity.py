@@ -130,9 +130,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     words = F.array_distinct(F.concat(words, *beginnings))
     counted = rows.select("toxic", F.explode(words).alias("word")).groupBy("word").agg(F.sum("toxic").alias("p"), F.count("*").alias("c")).where("c >= 3")
     odds = F.log((F.col("p") + 0.1) * (n - pos) / ((F.col("c") - F.col("p") + 0.1 * (n - pos) / pos) * pos))
-    weight = F.abs(odds) * F.sqrt("c")
-    best = counted.select("word", odds.alias("odds"), "c", weight.alias("weight")).orderBy(F.desc("weight"), "word").limit(WORDS).collect()
+    # in standard errors of the log odds; words that speak for toxicity alone, as most others are noise
+    weight = odds / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("c") - F.col("p") + 0.5))
+    best = counted.select("word", odds.alias("odds"), weight.alias("weight")).where("odds > 1 and weight > 2").orderBy(F.desc("weight"), "word").limit(WORDS).collect()
     lexicon = [r["word"] for r in sorted((r for r in best if r["odds"] > 1), key=lambda r: (-r["weight"], r["word"]))[:VOTERS]]
+    if not best:
+        return Model(np.zeros(0, np.uint64), np.array([0.0] * len(patterns("")) + [float(np.log(pos / (n - pos)))]))
     hashes = np.unique(word_hashes([r["word"] for r in best]))
     voters = word_hashes(lexicon)
 
