@@ -21,7 +21,7 @@ from accord.llm.shingles import prefix_sets, string_hash
 #: Labelled rows that are learned from at most, those of smallest id hash.
 SAMPLE = 24_000
 #: Words the classifier weighs, and those among them that vote, at most.
-WORDS, VOTERS = 4_000, 150
+WORDS, VOTERS = 4_000, 300
 #: Beginnings of longer words, in characters, that count as features too: they hold for inflected forms.
 PREFIXES = (4, 5, 6)
 #: A word is a run of letters and digits; the separators of the byte scan say the same for ASCII.
@@ -61,11 +61,11 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.array([string_hash(w.rstrip("*").encode(), len(w) - 1 if w.endswith("*") else 0) for w in words], np.uint64)
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8, trust: float = 3.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of label 1 for each row, voters' log odds of a vote (accuracy), and their correlations.
 
     Expectation maximisation over votes (rows x voters, 0 or 1), with the labels as a prior on the rates
-    of equal weight. Voters that vote together beyond what the label explains share their weight.
+    of equal weight and as one more voter whose vote has the log odds `trust`. Voters that vote together beyond what the label explains share their weight.
     """
     prior = float(np.clip(labels.mean() if len(labels) else 0.1, 0.01, 0.99))
     rates = lambda q: np.stack(((q @ votes + 0.5) / (q.sum() + 5), ((1 - q) @ votes + 0.5) / ((1 - q).sum() + 5)))
@@ -75,7 +75,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8) -> tuple
     for _ in range(rounds):
         on = np.log(current[0] / current[1]) * share
         off = np.log((1 - current[0]) / (1 - current[1])) * share
-        logit = np.log(prior / (1 - prior)) + votes @ on + (1 - votes) @ off
+        logit = np.log(prior / (1 - prior)) + votes @ on + (1 - votes) @ off + trust * (2 * labels - 1)
         posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         current = (rates(posterior) + known) / 2
         rest = votes - posterior[:, None] * current[0] - (1 - posterior[:, None]) * current[1]
@@ -130,10 +130,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     words = F.array_distinct(F.concat(words, *beginnings))
     counted = rows.select("toxic", F.explode(words).alias("word")).groupBy("word").agg(F.sum("toxic").alias("p"), F.count("*").alias("c")).where("c >= 3")
     odds = F.log((F.col("p") + 0.1) * (n - pos) / ((F.col("c") - F.col("p") + 0.1 * (n - pos) / pos) * pos))
-    # in standard errors of the log odds; words that speak for toxicity alone, as most others are noise
-    weight = odds / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("c") - F.col("p") + 0.5))
-    best = counted.select("word", odds.alias("odds"), weight.alias("weight")).where("odds > 1 and weight > 2").orderBy(F.desc("weight"), "word").limit(WORDS).collect()
-    lexicon = [r["word"] for r in sorted((r for r in best if r["odds"] > 1), key=lambda r: (-r["weight"], r["word"]))[:VOTERS]]
+    # twice the log likelihood ratio against the base rate; words that speak for toxicity alone, as most others are noise
+    part = lambda k, rate: F.when(k > 0, k * F.log(k / (F.col("c") * rate))).otherwise(0.0)
+    weight = 2 * (part(F.col("p"), pos / n) + part(F.col("c") - F.col("p"), 1 - pos / n))
+    best = counted.select("word", odds.alias("odds"), weight.alias("weight")).where("odds > 1 and weight > 10").orderBy(F.desc("weight"), "word").limit(WORDS).collect()  # a fixed number
+    lexicon = [r["word"] for r in best[:VOTERS]]
     if not best:
         return Model(np.zeros(0, np.uint64), np.array([0.0] * len(patterns("")) + [float(np.log(pos / (n - pos)))]))
     hashes = np.unique(word_hashes([r["word"] for r in best]))
