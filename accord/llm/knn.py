@@ -95,7 +95,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     n, n_asked = rows.count(), asked.count()
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()  # a fixed number
     dims = max((len(r["v"]) for r in chosen), default=0)
-    pivots = np.array([r["v"] for r in chosen if len(r["v"]) == dims], np.int64).reshape(-1, dims)
+    same = [r["v"] for r in chosen if len(r["v"]) == dims]
+    pivots = np.array(same, np.int64).reshape(len(same), dims)
     count, q_count = max(1, -(-n // BLOCK)), max(1, -(-n_asked // QUERIES))
     stored = _blocks(rows, count, pivots)
     sent = _blocks(asked, q_count, None).select("dims", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
