@@ -19,6 +19,8 @@ from accord.llm.bpe import ROWS, tools
 from accord.llm.common import documents, written
 from accord.llm.shingles import mixed
 
+#: Rows of the table of tasks' counts (one a task) up to which it is broadcast: 16 MB.
+MOST_TASKS = 1_000_000
 #: Tokens of a sequence, sequences of a shard, the number that fills up a last sequence.
 TOKENS, PER_SHARD, PAD = 256, 2048, 50_256
 KEY, FEISTEL_ROUNDS = 0x5EED, 4
@@ -63,25 +65,37 @@ def sequences(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return documents(docs).mapInArrow(scan, "part int, k long, doc_id long, seq long, n_tokens int, tokens binary")
 
 
-def ordered(docs: DataFrame, vocabulary: str, pattern: str, key: int = KEY) -> DataFrame:
-    """slot, doc_id, seq, n_tokens, tokens: every sequence with its global slot, 0 to their count - 1.
-
-    Null and empty texts have no sequence. Vocabularies of up to 65,536 ids. The sequences are written
-    before they are numbered, so a task that runs again can't number them otherwise.
-    """
-    cut = written(sequences(docs, vocabulary, pattern))
-    counts = cut.groupBy("part").agg(F.count("*").alias("n"))  # a row for each task
+def _numbers(cut: DataFrame) -> tuple[DataFrame, int]:
+    """Written sequences with their dense number, and how many there are."""
+    counts = written(cut.groupBy("part").agg(F.count("*").alias("n")))  # a row for each task
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    tasks, total = counts.agg(F.count("*"), F.sum("n")).first()
+    if tasks <= MOST_TASKS:
+        starts = F.broadcast(starts)
+    return cut.join(starts, F.col("part") == F.col("of")).withColumn("number", F.col("first") + F.col("k")), total or 0
+
+
+def _placed(cut: DataFrame, columns: dict[str, str], key: int) -> DataFrame:
+    """slot and the given columns (name: type) of written sequences; the same whenever it is computed again."""
+    numbered, total = _numbers(cut)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = pa.array(slots(np.asarray(batch.column(0)), total, key))
-            yield pa.RecordBatch.from_arrays([slot, *batch.columns[1:]], names=["slot", "doc_id", "seq", "n_tokens", "tokens"])
+            yield pa.RecordBatch.from_arrays([slot, *batch.columns[1:]], names=["slot", *columns])
 
-    numbered = cut.join(starts, F.col("part") == F.col("of")).select((F.col("first") + F.col("k")).alias("number"), "doc_id", "seq", "n_tokens", "tokens")
-    return numbered.mapInArrow(place, "slot long, doc_id long, seq long, n_tokens int, tokens binary")
+    return numbered.select("number", *columns).mapInArrow(place, "slot long" + "".join(f", {c} {t}" for c, t in columns.items()))
+
+
+def ordered(docs: DataFrame, vocabulary: str, pattern: str, key: int = KEY) -> DataFrame:
+    """slot, doc_id, seq, n_tokens, tokens: every sequence with its global slot, 0 to their count - 1.
+
+    Null and empty texts have no sequence. Vocabularies of up to 65,536 ids. The sequences are written
+    before they are numbered, so a task that runs again can't number them otherwise.
+    """
+    cut = written(sequences(docs, vocabulary, pattern))
+    return _placed(cut, {"doc_id": "long", "seq": "long", "n_tokens": "int", "tokens": "binary"}, key)
 
 
 def write_shards(placed: DataFrame, path: str | None = None) -> DataFrame:
@@ -136,7 +150,8 @@ def read_from(spark: SparkSession, path: str, slot: int) -> DataFrame:
 
 def manifest(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, seq, slot, shard, byte_offset, n_tokens, shard_sha256 of every sequence, after writing the shards."""
-    placed = written(ordered(docs, vocabulary, pattern))
-    shards = write_shards(placed).select(F.col("shard").alias("of"), F.sha2("payload", 256).alias("shard_sha256"))
+    cut = written(sequences(docs, vocabulary, pattern))
+    placed = _placed(cut, {"doc_id": "long", "seq": "long", "n_tokens": "int"}, KEY)
+    shards = write_shards(_placed(cut, {"tokens": "binary"}, KEY)).select(F.col("shard").alias("of"), F.sha2("payload", 256).alias("shard_sha256"))
     rows = placed.select("doc_id", "seq", "slot", F.floor(F.col("slot") / PER_SHARD).alias("shard"), (F.col("slot") % PER_SHARD * (2 * TOKENS)).alias("byte_offset"), F.col("n_tokens").cast("long").alias("n_tokens"))
     return rows.join(shards, F.col("shard") == F.col("of")).drop("of")
