@@ -14,9 +14,11 @@ import base64
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from accord.llm.common import documents
@@ -190,6 +192,12 @@ class _Packed(dict):
         return packed
 
 
+@lru_cache(maxsize=2)
+def library(path: str, pattern: str) -> tiktoken.Encoding:
+    """The tiktoken library's encoder, for operators that need ids but no prefix tables; the ids are equal."""
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+
+
 _KEPT: dict[tuple[str, str], tuple[PrefixEncoder, Splitter, _Packed]] = {}
 
 

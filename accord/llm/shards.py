@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from accord.llm.bpe import ROWS, tools
+from accord.llm.bpe import ROWS, library
 from accord.llm.common import documents, written
 from accord.llm.shingles import mixed
 
@@ -48,13 +48,12 @@ def sequences(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """part, k, doc_id, seq, n_tokens, tokens: documents cut into sequences, numbered within each task."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, split, packed = tools(vocabulary, pattern)
-        get, part, k = packed.__getitem__, TaskContext.get().partitionId(), 0
+        encode, part, k = library(vocabulary, pattern).encode_ordinary, TaskContext.get().partitionId(), 0
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch, rows = whole.slice(start, ROWS), []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = np.frombuffer(b"".join(map(get, split(text))), np.uint32).astype(np.uint16)
+                    ids = np.array(encode(text), np.uint16)
                     for seq, at in enumerate(range(0, len(ids), TOKENS)):
                         own = ids[at : at + TOKENS]
                         rows.append((part, k, doc, seq, len(own), own.tobytes()))
