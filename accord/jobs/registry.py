@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from accord.jobs import records
 from accord.operators import identity, logs, reconcile
 from accord.sources import derived
 
@@ -59,6 +60,7 @@ QUERIES = {
     "u4_star_mappings": lambda s, d: identity.generate_mappings(_bindings(s, d), "star"),
     "u4_mirror_mappings": lambda s, d: identity.generate_mappings(_bindings(s, d), "mirror"),
     "w6_chain_mappings": lambda s, d: identity.generate_mappings(_bindings(s, d), "chain"),
+    **records.QUERIES,
 }
 
 _COLLECTIONS = """
@@ -140,4 +142,5 @@ SQL = {
     "u4_star_mappings": _BINDINGS + "SELECT x.calendar, x.backend AS first, y.backend AS second FROM b x JOIN b y USING (calendar) WHERE x.position = 0 AND y.position > 0",
     "u4_mirror_mappings": _BINDINGS + "SELECT x.calendar, x.backend AS first, y.backend AS second FROM b x JOIN b y USING (calendar) WHERE x.position < y.position",
     "w6_chain_mappings": _BINDINGS + "SELECT x.calendar, x.backend AS first, y.backend AS second FROM b x JOIN b y USING (calendar) WHERE x.position + 1 = y.position",
+    **records.sql(_COLLECTIONS),
 }
