@@ -37,6 +37,8 @@ LONG = 8
 TURNS, HUBS = 2, 4
 #: Bits of the filter on classes that need verifying (bounded: 1 MB); false hits only cost time.
 FILTER_BITS = 23
+#: Members of a list that are compared at once with as many others.
+BLOCK = 1024
 #: Fragments in which whole sets are compared.
 VERIFY = 4
 
@@ -274,6 +276,41 @@ def _needed(na, nb):
     return -(-3 * (na + nb) // 7) - np.maximum((3 * na + 3) // 4, (3 * nb + 3) // 4) + 1
 
 
+def _viable(placed: DataFrame) -> DataFrame:
+    """placed without members that no other member of the list can link with over long lists alone.
+
+    Two members share at most as many lists as the one in fewer of them is in; their sizes say how
+    many they need. A pair that shares enough stays in all lists that it shares, so none is lost,
+    and pairs that share short lists as well are looked at apart. Once more, with the fewer lists left.
+    """
+
+    def partners(table: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(table.column("n").combine_chunks()), kind="stable")
+        n, lists, root = (np.asarray(table.column(x).combine_chunks())[order] for x in ("n", "lists", "root_hash"))
+        keep = np.zeros(len(n), bool)
+        for i in range(0, len(n), BLOCK):
+            wait = np.arange(i, min(i + BLOCK, len(n)))
+            low, high = np.searchsorted(n, -(-3 * n[i] // 4)), np.searchsorted(n, 4 * n[wait[-1]] // 3, "right")
+            for j in (i, *range(low, high, BLOCK)):
+                y = slice(j, j + BLOCK)
+                small, large = np.minimum.outer(n[wait], n[y]), np.maximum.outer(n[wait], n[y])
+                ok = (root[wait][:, None] != root[y][None, :]) & (4 * small >= 3 * large) & (np.minimum.outer(lists[wait], lists[y]) >= _needed(small, large))
+                met = ok.any(axis=1)
+                keep[wait[met]] = True
+                wait = wait[~met]
+                if not len(wait):
+                    break
+        mask = np.zeros(len(n), bool)
+        mask[order] = keep
+        return table.select(["h", "cls", "n", "root"]).filter(pa.array(mask))
+
+    for _ in range(2):
+        count = placed.groupBy("cls", "n").agg(F.count("*").alias("lists"))
+        rows = placed.join(count, ["cls", "n"]).select("h", "cls", "n", "root", "lists", F.xxhash64("root").alias("root_hash"))
+        placed = written(rows.groupBy("h").applyInArrow(partners, "h long, cls long, n long, root struct<cls:long,n:long>"))
+    return placed
+
+
 def _cross_pairs(placed: DataFrame) -> DataFrame:
     """a, na, b, nb: pairs of different components that share enough long lists. Pairs are counted, not sent.
 
@@ -344,16 +381,11 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cls"), F.col("na").alias("n")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("nb").alias("n"))).distinct()
 
 
-def _with_sets(rows: DataFrame, pairs: DataFrame, sets: DataFrame | None) -> DataFrame:
-    """sets, and those of the pairs' classes that it lacks; texts are read again only if there are any."""
-    wanted = _ends(pairs)
-    if sets is not None:
-        wanted = wanted.join(sets.select("cls", "n").distinct(), ["cls", "n"], "left_anti")
-    wanted = written(wanted)
-    if sets is not None and not wanted.limit(1).count():
-        return sets
-    more = _whole_sets(rows, wanted)
-    return more if sets is None else sets.unionByName(more.join(wanted, ["cls", "n"], "left_semi").select(sets.columns))
+def _linked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, na, b, nb of the pairs that link; texts are read again only if there are any, and give these pairs' sets alone."""
+    if not pairs.limit(1).count():
+        return pairs
+    return written(_verified(pairs, _whole_sets(rows, written(_ends(pairs)))))
 
 
 def _need() -> Column:
@@ -379,21 +411,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = met.where("b is null").select(F.col("shared").alias("h"), F.col("a").alias("cls"), F.col("na").alias("n"))
     summed = written(pairs.groupBy("a", "na", "b", "nb").agg(F.sum(F.greatest("shared", F.lit(0))).alias("shared"), F.min("shared").alias("least")))
     held = written(lists.groupBy("cls", "n").agg(F.collect_set("h").alias("lists")))
-    first = written(_bounded(summed.select("a", "na", "b", "nb"), held, summed))
-    sets = _with_sets(rows, first, None)
-    links, tested = written(_verified(first, sets)), first
+    tested = written(_bounded(summed.select("a", "na", "b", "nb"), held, summed))
+    links = _linked(rows, tested)
     found = _components(links)
     for turn in range(TURNS):
-        pairs = _hub_pairs(_open_lists(lists, found), turn).join(tested, ["a", "na", "b", "nb"], "left_anti")
+        pairs = _hub_pairs(_viable(_open_lists(lists, found)), turn).join(tested, ["a", "na", "b", "nb"], "left_anti")
         pairs = written(_bounded(pairs, held, summed))
-        sets = _with_sets(rows, pairs, sets)
         tested = tested.unionByName(pairs)
-        links = links.unionByName(written(_verified(pairs, sets)))
-        found = _components(links)
+        late = _linked(rows, pairs)
+        if late.limit(1).count():
+            links = links.unionByName(late)
+            found = _components(links)
     placed = _open_lists(lists, found)
-    rest = _cross_pairs(placed).unionByName(_apart_pairs(placed, summed)).distinct().join(tested, ["a", "na", "b", "nb"], "left_anti")
-    rest = written(rest)
-    late = written(_verified(rest, _with_sets(rows, rest, sets)))
+    rest = _cross_pairs(_viable(placed)).unionByName(_apart_pairs(placed, summed)).distinct().join(tested, ["a", "na", "b", "nb"], "left_anti")
+    late = _linked(rows, written(rest))
     if late.limit(1).count():
         found = _components(links.unionByName(late))
     classes = own.where("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("low"))
