@@ -1,7 +1,7 @@
 """Near-duplicates by exact Jaccard similarity of word shingles, with vertical partitioning.
 
 All shingles stand in one global order: rare ones first, by hash, then those in hot buckets by
-frequency. The order is cut into fragments. A fragment sees only its own part of every document's
+frequency. The order is cut into fragments, hot buckets by their counts. A fragment sees only its own part of every document's
 prefix (the rarest quarter of its shingles) and counts, per pair, the overlap within the fragment;
 the counts are summed per pair, and a bound on the whole overlap discards most pairs. What is left
 is verified on whole sets, again fragment by fragment and summed. Documents of equal sets are one
@@ -25,7 +25,7 @@ from accord.llm.graph import components
 from accord.llm.shingles import mixed, set_digest, shingle_sets
 
 WIDTH = 5
-#: Buckets of the frequency table that orders shingles: one byte each is broadcast, whatever the input.
+#: Buckets of the frequency table that orders shingles: one byte each is broadcast, and the runs of hot ones.
 BUCKET_BITS = 22
 #: Parts in which bucket counts are summed.
 PARTS = 16
@@ -65,7 +65,7 @@ def _classes(rows: DataFrame) -> DataFrame:
                 np.add.at(counts, (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
             none = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(cls), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
-        for part, own in enumerate(np.split(np.minimum(counts, 255).astype(np.uint8), PARTS)):
+        for part, own in enumerate(np.split(counts.astype("<u4"), PARTS)):
             empty = [pa.nulls(1, pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([*empty, pa.array([part], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=names)
 
@@ -73,38 +73,64 @@ def _classes(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "row_hash").mapInArrow(scan, "doc_id long, row_hash long, n long, cls long, part int, counts binary")
 
 
-def _levels(scanned: DataFrame, shingles: int) -> np.ndarray:
-    """For each bucket 0, or how much hotter than the mean it is (log2); 2 ** BUCKET_BITS bytes in all."""
+def _levels(scanned: DataFrame, shingles: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each bucket 0, or how much hotter than the mean it is (log2), in 2 ** BUCKET_BITS bytes; and _ranges."""
     mean = max(8.0, shingles / (1 << BUCKET_BITS))
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         total = np.zeros((1 << BUCKET_BITS) // PARTS, np.int64)
         for blob in table.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(blob), np.uint8)
+            total += np.frombuffer(zlib.decompress(blob), "<u4")
         level = np.where(total >= 8 * mean, np.log2(np.maximum(total, 1) / mean), 0).astype(np.uint8)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "level": pa.array([level.tobytes()], pa.binary())})
+        hot = total[level > 0]
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "level": pa.array([level.tobytes()], pa.binary()), "hot": pa.array([hot.tobytes()], pa.binary())})
 
-    got = scanned.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, level binary").collect()
-    out = np.zeros(1 << BUCKET_BITS, np.uint8).reshape(PARTS, -1)
+    # a bucket is hot from 8 times the mean on, so at most an eighth of them sends its count
+    got = scanned.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, level binary, hot binary").collect()
+    out, hot = np.zeros(1 << BUCKET_BITS, np.uint8).reshape(PARTS, -1), [b""] * PARTS
     for row in got:
-        out[row["part"]] = np.frombuffer(row["level"], np.uint8)
-    return out.reshape(-1)
+        out[row["part"]], hot[row["part"]] = np.frombuffer(row["level"], np.uint8), bytes(row["hot"])
+    level = out.reshape(-1)
+    bucket = np.flatnonzero(level)
+    return (level, *_ranges(level[bucket].astype(np.int64) << BUCKET_BITS | bucket, np.frombuffer(b"".join(hot), np.int64)))
+
+
+def _ranges(keys: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of runs of the hot buckets (level, bucket) in order, and the number of fragments of each run.
+
+    Runs hold under 2 * FRAGMENT postings and end with their level. A bucket of more is a run of its
+    own, whose classes are dealt over as many fragments as it needs.
+    """
+    order = np.argsort(keys)
+    keys, totals = keys[order], totals[order]
+    run, wide, level = (np.cumsum(totals) - totals) // FRAGMENT, totals > FRAGMENT, keys >> BUCKET_BITS
+    new = np.ones(len(keys), bool)
+    new[1:] = (run[1:] != run[:-1]) | wide[1:] | wide[:-1] | (level[1:] != level[:-1])
+    return keys[new], np.where(wide[new], -(-totals[new] // FRAGMENT), 1)
 
 
 def _postings(rows: DataFrame, levels, fragments: int) -> DataFrame:
     """fragment, hashes, owners, classes, sizes (binary): the prefixes' shingles, many to a row, cut by fragment.
 
     Hashes are cut to 48 bits here: a chance meeting only adds a pair to be verified. owners are numbers
-    into the row's table of classes and sizes.
+    into the row's table of classes and sizes. The runs of hot buckets follow the fragments of the others;
+    a fragment that holds only some classes of its bucket has a negative number.
     """
 
-    def blobs(hashes: list, classes: list, sizes: list, level_of: np.ndarray) -> pa.RecordBatch:
+    def blobs(hashes: list, classes: list, sizes: list, tables: tuple) -> pa.RecordBatch:
+        level_of, starts, parts = tables
         h = np.concatenate(hashes)
         count = [len(x) for x in hashes]
         owner = np.repeat(np.arange(len(count), dtype=np.uint32), count)
         table = np.array(classes, np.int64), np.array(sizes, np.uint32)
-        level = level_of[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-        fragment = np.where(level > 0, fragments + level, ((h >> np.uint64(40)) * np.uint64(fragments) >> np.uint64(24)).astype(np.int64))
+        bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        level = level_of[bucket].astype(np.int64)
+        fragment = ((h >> np.uint64(40)) * np.uint64(fragments) >> np.uint64(24)).astype(np.int64)
+        if len(hot := np.flatnonzero(level)):
+            run = np.searchsorted(starts, level[hot] << BUCKET_BITS | bucket[hot], "right") - 1
+            salt = (mixed(table[0].view(np.uint64))[owner[hot]] % parts[run].astype(np.uint64)).astype(np.int64)
+            number = fragments + (np.cumsum(parts) - parts)[run] + salt
+            fragment[hot] = np.where(parts[run] > 1, -number, number)
         order = np.argsort(fragment, kind="stable")
         fragment, owner = fragment[order], owner[order]
         short = (h[order] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
@@ -117,7 +143,7 @@ def _postings(rows: DataFrame, levels, fragments: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(fragment[cut], pa.int32()), *(pa.array(x, pa.binary()) for x in rows)], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level_of, seen = levels.value, set()
+        (level_of, *_), seen = levels.value, set()
         hashes, classes, sizes, held = [], [], [], 0
         for batch in batches:
             for _, own in shingle_sets(batch.column(0), WIDTH):
@@ -132,19 +158,23 @@ def _postings(rows: DataFrame, levels, fragments: int) -> DataFrame:
                 sizes.append(key[1])
                 held += len(hashes[-1])
                 if held > 1_000_000:
-                    yield blobs(hashes, classes, sizes, level_of)
+                    yield blobs(hashes, classes, sizes, levels.value)
                     hashes, classes, sizes, held = [], [], [], 0
         if held:
-            yield blobs(hashes, classes, sizes, level_of)
+            yield blobs(hashes, classes, sizes, levels.value)
 
     names = ["fragment", "hashes", "owners", "classes", "sizes"]
     return rows.select("text").mapInArrow(scan, "fragment int, hashes binary, owners binary, classes binary, sizes binary")
 
 
 def _meets(postings: DataFrame) -> DataFrame:
-    """Rows a, b, na, nb, shared of pairs (shared -1: from a long list), and with b null the members a of list `shared`."""
+    """Rows a, b, na, nb, shared of pairs (shared -1: from a long list), and with b null the members a of list `shared`.
+
+    Lists of a fragment of negative number have members elsewhere too, so all of them count as long.
+    """
 
     def meet(table: pa.Table) -> pa.Table:
+        apart = table.column("fragment")[0].as_py() < 0
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for hashes, owners, classes, sizes in zip(*(table.column(x).to_pylist() for x in ("hashes", "owners", "classes", "sizes")), strict=True):
             wide = np.zeros((len(hashes) // 6, 8), np.uint8)
@@ -160,7 +190,7 @@ def _meets(postings: DataFrame) -> DataFrame:
         length = np.diff(np.append(first, len(h)))
         size, head = np.repeat(length, length), np.repeat(first, length)
         fits = lambda i, j: 4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])
-        short = (size > 1) & (size <= LONG)
+        short = (size > 1) & (size <= LONG) & (not apart)
         pairs = []
         for gap in range(1, LONG):
             i = np.flatnonzero(short[:-gap] & (head[:-gap] == head[gap:])) if len(h) > gap else np.zeros(0, np.int64)
@@ -177,7 +207,7 @@ def _meets(postings: DataFrame) -> DataFrame:
             i, j = i[at], j[at]
         else:
             shared = np.zeros(0, np.int64)
-        in_long = np.flatnonzero(size > LONG)
+        in_long = np.flatnonzero((size > LONG) | apart)
         star = in_long[head[in_long] != in_long]
         hub = head[star]
         star, hub = star[ok := fits(star, hub)], hub[ok]

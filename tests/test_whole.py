@@ -1,9 +1,13 @@
 """Operators on the cases that the derived collections can't show, and inputs that are held whole."""
 
 import os
+import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
+from accord.llm import jaccard
 from accord.sources import derived
 
 DIR = "/root/testdata/sf0.001"
@@ -14,3 +18,51 @@ def test_canon_bodies_are_whole(spark):
     texts = {r.doc_id: r.text for r in derived.table(spark, DIR, "documents").collect()}
     _, _, baseline = derived.canon(spark, DIR)
     assert {r.uid: r.body for r in baseline.collect()} == texts and max(len(t) for t in texts.values() if t) > 200
+
+
+def near_copies(count, length=120, seed=6):
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(length)]
+    rows = []
+    for k in range(count):
+        words = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            words[rng.randrange(length)] = f"n{k}-{rng.random()}"
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def lowest_linked(rows):
+    words = [t.split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    low = list(range(len(sets)))
+    links = [(a, b) for a in low for b in low if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    return low
+
+
+def test_hot_buckets_are_cut_by_their_counts(spark, monkeypatch):
+    rows, sizes, size, meets = near_copies(100), [], 30, jaccard._meets
+
+    def spied(postings):
+        held = Counter()
+        for r in postings.collect():
+            held[r.fragment] += len(r.hashes) // 6
+        sizes.extend(held.values())
+        return meets(postings)
+
+    monkeypatch.setattr(jaccard, "FRAGMENT", size)
+    monkeypatch.setattr(jaccard, "_meets", spied)
+    got = {r.doc_id: r.component_id for r in jaccard.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == lowest_linked(rows)
+    assert sum(sizes) > 20 * size and max(sizes) <= 4 * size
+
+
+def test_runs_of_hot_buckets(monkeypatch):
+    monkeypatch.setattr(jaccard, "FRAGMENT", 100)
+    keys = np.array([3, 4, 5, 6, 7]) << jaccard.BUCKET_BITS | np.array([9, 1, 2, 3, 4])
+    keys[1:4] = (3 << jaccard.BUCKET_BITS) + np.array([10, 11, 12])
+    starts, parts = jaccard._ranges(keys, np.array([60, 30, 20, 350, 50]))
+    assert starts.tolist() == keys[[0, 3, 4]].tolist() and parts.tolist() == [1, 4, 1]
