@@ -6,18 +6,19 @@ prefix (the rarest quarter of its shingles) and counts, per pair, the overlap wi
 the counts are summed per pair, and a bound on the whole overlap discards most pairs. What is left
 is verified on whole sets, again fragment by fragment and summed. Documents of equal sets are one
 class throughout. Lists longer than LONG give links to a few hub members at first; members that are
-still in different components afterwards are compared with each other, under the same bound, so
-no link is lost.
+still in different components afterwards are compared with each other, under the same bound, block
+by block in tasks apart, so no link is lost.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accord.llm.common import written
@@ -37,8 +38,10 @@ LONG = 8
 TURNS, HUBS = 2, 4
 #: Bits of the filter on classes that need verifying (bounded: 1 MB); false hits only cost time.
 FILTER_BITS = 23
-#: Members of a list that are compared at once with as many others.
-BLOCK = 1024
+#: Members of a list in one block, on average; a task compares two blocks.
+MEMBERS = 2048
+#: Members that are compared at once with as many others, over so many lists at once.
+BLOCK, COLUMNS = 1024, 8192
 #: Fragments in which whole sets are compared.
 VERIFY = 4
 
@@ -312,80 +315,122 @@ def _viable(placed: DataFrame) -> DataFrame:
     Two members share at most as many lists as the one in fewer of them is in; their sizes say how
     many they need. A pair that shares enough stays in all lists that it shares, so none is lost,
     and pairs that share short lists as well are looked at apart. Once more, with the fewer lists left.
+    Members come to no task: of each list and size the most lists a member is in, and the most in
+    another component, give the number of lists that a member of any size needs.
     """
 
-    def partners(table: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(table.column("n").combine_chunks()), kind="stable")
-        n, lists, root = (np.asarray(table.column(x).combine_chunks())[order] for x in ("n", "lists", "root_hash"))
-        keep = np.zeros(len(n), bool)
-        for i in range(0, len(n), BLOCK):
-            wait = np.arange(i, min(i + BLOCK, len(n)))
-            low, high = np.searchsorted(n, -(-3 * n[i] // 4)), np.searchsorted(n, 4 * n[wait[-1]] // 3, "right")
-            for j in (i, *range(low, high, BLOCK)):
-                y = slice(j, j + BLOCK)
-                small, large = np.minimum.outer(n[wait], n[y]), np.maximum.outer(n[wait], n[y])
-                ok = (root[wait][:, None] != root[y][None, :]) & (4 * small >= 3 * large) & (np.minimum.outer(lists[wait], lists[y]) >= _needed(small, large))
-                met = ok.any(axis=1)
-                keep[wait[met]] = True
-                wait = wait[~met]
-                if not len(wait):
-                    break
-        mask = np.zeros(len(n), bool)
-        mask[order] = keep
-        return table.select(["h", "cls", "n", "root"]).filter(pa.array(mask))
+    def needs(table: pa.Table) -> pa.Table:
+        column = lambda name, none=0: np.asarray(table.column(name).combine_chunks().fill_null(none))
+        order = np.argsort(column("n"), kind="stable")
+        n, most, root, other = (x[order] for x in (column("n"), column("most"), column("root_hash"), column("other", -1)))
+        never = np.iinfo(np.int64).max
+        least, own, own_least = np.full(len(n), never), np.zeros(len(n), np.int64), np.full(len(n), never)
+        low, high = np.searchsorted(n, -(-3 * n // 4)), np.searchsorted(n, 4 * n // 3, "right")
+        for i in range(len(n)):
+            y = slice(low[i], high[i])
+            small, large = np.minimum(n[i], n[y]), np.maximum(n[i], n[y])
+            need = _needed(small, large)
+            any_ = np.where(most[y] >= need, need, never)
+            at = np.argmin(any_)
+            # only the component of the best partner can need more than the others do
+            least[i], own[i] = any_[at], root[y][at]
+            own_least[i] = np.where(np.where(root[y] == own[i], other[y], most[y]) >= need, need, never).min()
+        return pa.table({"h": table.column("h").take(pa.array(order)), "n": n, "least": least, "own": own, "own_least": own_least})
 
     for _ in range(2):
         count = placed.groupBy("cls", "n").agg(F.count("*").alias("lists"))
         rows = placed.join(count, ["cls", "n"]).select("h", "cls", "n", "root", "lists", F.xxhash64("root").alias("root_hash"))
-        placed = written(rows.groupBy("h").applyInArrow(partners, "h long, cls long, n long, root struct<cls:long,n:long>"))
+        per = rows.groupBy("h", "n", "root_hash").agg(F.max("lists").alias("most"))
+        rank = F.row_number().over(Window.partitionBy("h", "n").orderBy(F.desc("most"), "root_hash"))
+        best = per.withColumn("rank", rank).where("rank <= 2").groupBy("h", "n").agg(
+            F.max(F.when(F.col("rank") == 1, F.col("most"))).alias("most"), F.max(F.when(F.col("rank") == 1, F.col("root_hash"))).alias("root_hash"), F.max(F.when(F.col("rank") == 2, F.col("most"))).alias("other"),
+        )
+        found = best.groupBy("h").applyInArrow(needs, "h long, n long, least long, own long, own_least long")
+        kept = rows.join(found, ["h", "n"]).where("lists >= if(root_hash = own, own_least, least)")
+        placed = written(kept.select("h", "cls", "n", "root"))
     return placed
 
 
+def _paired(placed: DataFrame) -> DataFrame:
+    """placed with xb, xs, yb, ys, side: the pairs of blocks of its list that a member is compared in, a row each.
+
+    A list of more than MEMBERS is cut into bands of size and each band into blocks by hash; blocks
+    meet within a band and with the next one, as sets of other bands are too different in size. Side
+    is 0 or 1 for the two blocks, 2 in a block that meets itself.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.34)).cast("int")  # above log(4/3): rounding skips no band
+    of = placed.groupBy("h", band.alias("band")).agg(F.count("*").alias("members"))
+    entry = F.struct("band", F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks"))
+    shape = of.groupBy("h").agg((F.sum("members") > MEMBERS).alias("cut"), F.map_from_entries(F.collect_list(entry)).alias("blocks"))
+    rows = placed.join(shape, "h").withColumn("band", F.when(F.col("cut"), band).otherwise(0))
+    blocks = lambda step: F.when(F.col("cut"), F.coalesce(F.try_element_at("blocks", F.col("band") + step), F.lit(0))).otherwise(1 if step == 0 else 0)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls", "n"), blocks(0)).cast("int"))
+    mine, at, none = F.col("block"), F.col("band"), F.array().cast("array<int>")
+    others = lambda step: F.when(blocks(step) > 0, F.sequence(F.lit(0), blocks(step) - 1)).otherwise(none)
+    pair = lambda xb, xs, yb, ys, side: F.struct(xb.alias("xb"), xs.alias("xs"), yb.alias("yb"), ys.alias("ys"), side.cast("int").alias("side"))
+    same = F.transform(others(0), lambda j: pair(at, F.least(j, mine), at, F.greatest(j, mine), F.when(j == mine, 2).when(mine < j, 0).otherwise(1)))
+    above = F.transform(others(1), lambda j: pair(at, mine, at + 1, j, F.lit(0)))
+    below = F.transform(others(-1), lambda j: pair(at - 1, j, at, mine, F.lit(1)))
+    met = rows.withColumn("pair", F.explode(F.concat(same, above, below)))
+    return met.select(*placed.columns, "pair.*")
+
+
 def _cross_pairs(placed: DataFrame) -> DataFrame:
     """a, na, b, nb: pairs of different components that share enough long lists. Pairs are counted, not sent.
 
-    Every member brings the lists that it is in, so one list's task knows each pair's overlap over
-    all lists; a pair is given by the first list that it shares. Blocks bound the memory.
+    Every member brings the lists that it is in, so a task of two blocks of a list knows each pair's
+    overlap over all lists; a pair is given by the first list that it shares. Overlaps are summed over
+    COLUMNS lists at a time for BLOCK members by BLOCK, so the lists of all members set no bound.
     """
 
     def compare(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(np.asarray(table.column("side").combine_chunks()), kind="stable")))
         column = lambda name: np.asarray(table.column(name).combine_chunks())
-        cls, n, root, here = column("cls"), column("n"), column("root"), table.column("h")[0].as_py()
+        cls, n, root, side, here = column("cls"), column("n"), column("root"), column("side"), table.column("h")[0].as_py()
+        own, turn = side[0] == 2, len(side) if side[0] == 2 else int(np.searchsorted(side, 1))
         lists = table.column("lists").combine_chunks()
         flat, count = np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets))
-        known, place = np.unique(flat, return_inverse=True)
-        member = np.repeat(np.arange(len(cls)), count)
-        first, out = np.searchsorted(known, here), []
-
-        def block(low: int, high: int) -> np.ndarray:
-            held = np.zeros((high - low, len(known)), np.float32)
-            inside = (member >= low) & (member < high)
-            held[member[inside] - low, place[inside]] = 1
+        known, place, members = np.unique(flat, return_inverse=True, return_counts=True)
+        # lists of one member here are shared by none
+        shared = members > 1
+        inside = shared[place]
+        member, place, known = np.repeat(np.arange(len(cls)), count)[inside], (np.cumsum(shared) - 1)[place[inside]], known[shared]
+        first = int(np.searchsorted(known, here))
+        cuts = sorted({0, first, len(known), *range(0, len(known), COLUMNS)})
+
+        def block(x: slice, low: int, high: int) -> np.ndarray:
+            a, b = np.searchsorted(member, (x.start, x.stop))
+            chosen = np.flatnonzero((place[a:b] >= low) & (place[a:b] < high)) + a
+            held = np.zeros((x.stop - x.start, high - low), np.float32)
+            held[member[chosen] - x.start, place[chosen] - low] = 1
             return held
 
-        step = max(64, min(1024, 20_000_000 // max(1, len(known))))
-        for i in range(0, len(cls), step):
-            rows = block(i, min(i + step, len(cls)))
-            for j in range(i, len(cls), step):
-                cols = block(j, min(j + step, len(cls)))
-                x, y = slice(i, i + len(rows)), slice(j, j + len(cols))
+        out = []
+        for i in range(0, turn, BLOCK):
+            x = slice(i, min(i + BLOCK, turn))
+            for j in range(i if own else turn, len(cls), BLOCK):
+                y = slice(j, min(j + BLOCK, len(cls)))
                 small, large = np.minimum.outer(n[x], n[y]), np.maximum.outer(n[x], n[y])
-                ok = (root[x][:, None] != root[y][None, :]) & (4 * small >= 3 * large) & (rows @ cols.T >= _needed(small, large))
-                p, q = np.nonzero(ok)
-                if i == j:
+                ok = (root[x][:, None] != root[y][None, :]) & (4 * small >= 3 * large)
+                if not ok.any():
+                    continue
+                overlap = np.zeros(ok.shape, np.float32)
+                for low, high in zip(cuts, cuts[1:], strict=False):
+                    if low == first:
+                        ok &= overlap == 0
+                    overlap += block(x, low, high) @ block(y, low, high).T
+                p, q = np.nonzero(ok & (overlap >= _needed(small, large)))
+                if own and i == j:
                     p, q = p[keep := p < q], q[keep]
-                for k in range(0, len(p), 2048):
-                    both = rows[p[k : k + 2048], :first] * cols[q[k : k + 2048], :first]
-                    mine = ~both.any(axis=1)
-                    out.append(np.stack((p[k : k + 2048][mine] + i, q[k : k + 2048][mine] + j)))
+                out.append(np.stack((p + i, q + j)))
         p, q = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         swap = (cls[p] > cls[q]) | ((cls[p] == cls[q]) & (n[p] > n[q]))
         p, q = np.where(swap, q, p), np.where(swap, p, q)
         return pa.table({"a": cls[p], "na": n[p], "b": cls[q], "nb": n[q]})
 
     held = placed.groupBy("cls", "n").agg(F.collect_set("h").alias("lists"))
-    rows = placed.join(held, ["cls", "n"]).select("h", "cls", "n", F.xxhash64("root").alias("root"), "lists")
-    return rows.groupBy("h").applyInArrow(compare, "a long, na long, b long, nb long")
+    rows = _paired(placed).join(held, ["cls", "n"]).select("h", "xb", "xs", "yb", "ys", "side", "cls", "n", F.xxhash64("root").alias("root"), "lists")
+    return rows.groupBy("h", "xb", "xs", "yb", "ys").applyInArrow(compare, "a long, na long, b long, nb long")
 
 
 def _apart_pairs(placed: DataFrame, summed: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import os
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -66,3 +66,40 @@ def test_runs_of_hot_buckets(monkeypatch):
     keys[1:4] = (3 << jaccard.BUCKET_BITS) + np.array([10, 11, 12])
     starts, parts = jaccard._ranges(keys, np.array([60, 30, 20, 350, 50]))
     assert starts.tolist() == keys[[0, 3, 4]].tolist() and parts.tolist() == [1, 4, 1]
+
+
+@pytest.fixture(scope="module")
+def members(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(150):
+        n = rng.choice([12, 15, 16, 20, 21, 28, 40])
+        rows += [(h, k, n, (k // 20 if k % 3 else k, 1)) for h in {-7, *(rng.randrange(1, 9) for _ in range(rng.randrange(1, 9)))}]
+    return rows, spark.createDataFrame(rows, "h long, cls long, n long, root struct<cls:long,n:long>").cache()
+
+
+def able(x, y, shared):
+    (_, n, r), (_, m, s) = x, y
+    return r != s and 4 * min(n, m) >= 3 * max(n, m) and shared >= jaccard._needed(min(n, m), max(n, m))
+
+
+def test_long_lists_are_compared_in_blocks(members, monkeypatch):
+    monkeypatch.setattr(jaccard, "MEMBERS", 10)
+    rows, placed = members
+    lists = defaultdict(set)
+    for h, *who in rows:
+        lists[tuple(who)].add(h)
+    want = {tuple(sorted((x[:2], y[:2]))) for x in lists for y in lists if x[0] < y[0] and lists[x] & lists[y] and able(x, y, len(lists[x] & lists[y]))}
+    got = [tuple(sorted(((r.a, r.na), (r.b, r.nb)))) for r in jaccard._cross_pairs(placed).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    tasks = Counter((r.h, r.xb, r.xs, r.yb, r.ys) for r in jaccard._paired(placed).collect())
+    assert max(tasks.values()) <= 60 and max(Counter(h for h, *_ in rows).values()) == 150
+
+
+def test_viable_members(members):
+    rows, placed = members
+    rows = [(h, (k, n, r)) for h, k, n, r in rows]
+    for _ in range(2):
+        count = Counter(who for _, who in rows)
+        rows = [(h, x) for h, x in rows if any(g == h and able(x, y, min(count[x], count[y])) for g, y in rows)]
+    assert sorted((r.h, (r.cls, r.n, tuple(r.root))) for r in jaccard._viable(placed).collect()) == sorted(rows) and rows
