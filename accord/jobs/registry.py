@@ -44,6 +44,7 @@ QUERIES = {
     "c1_resolve_newest": lambda s, d: _plan(s, d),
     "a1_sync_stats": lambda s, d: reconcile.sync_stats(_plan(s, d)),
     "a2_collection_digest": lambda s, d: reconcile.collection_digest(derived.collections(s, d)[0]),
+    "a2_bucketed_digest": lambda s, d: reconcile.bucketed_digest(derived.collections(s, d)[0]),
     "a5_mass_delete_guard": lambda s, d: reconcile.mass_delete_guard(_plan(s, d), derived.collections(s, d)[2]),
     "a9_compact_log": lambda s, d: logs.compact_log(derived.log(s, d), _baseline_log(s, d).select("uid", "written_at")),
     "a10_app_activity": lambda s, d: logs.app_activity(derived.log(s, d), "2024-01-20"),
@@ -118,6 +119,8 @@ SQL = {
     "c1_resolve_newest": _COLLECTIONS + "SELECT mapping_id, id, side, action FROM plan",
     "a1_sync_stats": _COLLECTIONS + "SELECT mapping_id, side, count(*) FILTER (action = 'create') AS created, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action = 'delete') AS deleted FROM plan GROUP BY ROLLUP (mapping_id, side)",
     "a2_collection_digest": _COLLECTIONS + "SELECT mapping_id, sha256(string_agg(id || chr(31) || hash || chr(30), '' ORDER BY CAST(id AS VARCHAR))) AS digest FROM source GROUP BY mapping_id",
+    "a2_bucketed_digest": _COLLECTIONS + """, leaves AS (SELECT mapping_id, left(sha256(CAST(id AS VARCHAR)), 4) AS bucket, sha256(string_agg(id || chr(31) || hash || chr(30), '' ORDER BY CAST(id AS VARCHAR))) AS digest FROM source GROUP BY 1, 2)
+      SELECT mapping_id, sha256(string_agg(bucket || chr(31) || digest || chr(30), '' ORDER BY bucket)) AS digest FROM leaves GROUP BY mapping_id""",
     "a5_mass_delete_guard": _COLLECTIONS + """SELECT mapping_id, deletes, baselines, deletes > 10 OR (baselines > 0 AND deletes * 100 // baselines > 25) AS tripped
       FROM (SELECT mapping_id, count(*) FILTER (action = 'delete') AS deletes FROM plan GROUP BY 1) JOIN (SELECT mapping_id, count(*) AS baselines FROM baseline GROUP BY 1) USING (mapping_id)""",
     "a9_compact_log": _LOG + "SELECT uid, app_id, datetime, seq, per.value AS value FROM per LEFT JOIN base USING (uid) WHERE written_at IS NULL OR written_at <= datetime",

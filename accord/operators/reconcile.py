@@ -122,12 +122,29 @@ def mass_delete_guard(plan: DataFrame, baseline: DataFrame, absolute: int = 10,
 
 
 def collection_digest(records: DataFrame) -> DataFrame:
-    """mapping_id, digest: SHA-256 over id, unit separator, hash, record separator in id order. One row a collection."""
+    """mapping_id, digest: SHA-256 over id, unit separator, hash, record separator in id order. One row a collection.
+
+    A whole collection becomes one value in one task: for up to about 1,000,000 records each. Larger
+    ones have bucketed_digest.
+    """
     row = F.struct(F.col("id").cast("string").alias("id"), "hash")
     text = F.array_join(F.transform("rows", lambda r: F.concat(r["id"], F.lit("\x1f"), r["hash"], F.lit("\x1e"))), "")
     return records.groupBy("mapping_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).select("mapping_id", F.sha2(text, 256).alias("digest"))
 
 
+def bucketed_digest(records: DataFrame) -> DataFrame:
+    """mapping_id, digest: SHA-256 over bucket, unit separator, bucket digest, record separator in bucket order.
+
+    A record's bucket is the first four hex digits of its id's SHA-256, and a bucket's digest is that of
+    collection_digest over its records, so the result depends on the records alone and a task holds a
+    65,536th of a collection, or the digests of its buckets (at most 4.6 MB). Empty buckets are left out.
+    """
+    bucket = F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 4)
+    key = F.struct("mapping_id", bucket.alias("id"))
+    leaves = collection_digest(records.select(key.alias("mapping_id"), "id", "hash"))
+    return collection_digest(leaves.select("mapping_id.mapping_id", "mapping_id.id", F.col("digest").alias("hash")))
+
+
 def dedupe_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The last row of each key by seq; rows with a null key are dropped."""
     for key in keys:

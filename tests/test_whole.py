@@ -1,5 +1,6 @@
 """Operators on the cases that the derived collections can't show, and inputs that are held whole."""
 
+import hashlib
 import os
 import random
 from collections import Counter, defaultdict
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 
 from accord.llm import jaccard
+from accord.operators import reconcile
 from accord.sources import derived
 
 DIR = "/root/testdata/sf0.001"
@@ -103,3 +105,16 @@ def test_viable_members(members):
         count = Counter(who for _, who in rows)
         rows = [(h, x) for h, x in rows if any(g == h and able(x, y, min(count[x], count[y])) for g, y in rows)]
     assert sorted((r.h, (r.cls, r.n, tuple(r.root))) for r in jaccard._viable(placed).collect()) == sorted(rows) and rows
+
+
+def test_bucketed_digest(spark):
+    rows = [(m, k, f"h{k % 7}") for m in "ab" for k in range(500)]
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    leaves = defaultdict(list)
+    for _, k, h in rows[:500]:
+        leaves[sha(str(k))[:4]].append((str(k), h))
+    over = lambda pairs: sha("".join(f"{a}\x1f{b}\x1e" for a, b in sorted(pairs)))
+    digests = lambda given: {r.mapping_id: r.digest for r in reconcile.bucketed_digest(spark.createDataFrame(given, "mapping_id string, id long, hash string")).collect()}
+    got = digests(rows[::-1])
+    assert got == dict.fromkeys("ab", over((b, over(of)) for b, of in leaves.items()))
+    assert digests([*rows[:-1], ("b", 499, "other")])["b"] != got["b"]
