@@ -22,6 +22,13 @@ def _baseline_log(spark, d):
     return logs.newest(old, "uid").select("uid", "value", F.col("datetime").alias("written_at"))
 
 
+def _merged_properties(spark, d):
+    log = derived.property_log(spark, d)
+    order = identity.Window.partitionBy("uid").orderBy(F.desc("datetime"), F.asc("app_id"), F.asc("seq"))
+    old = log.where(F.col("datetime") < F.lit("2024-01-10").cast("timestamp")).withColumn("place", F.rank().over(order)).where("place = 1")
+    return logs.merge_properties(log, old.select("uid", "property", "value"))
+
+
 def _applied(spark, d):
     source, target, _ = derived.collections(spark, d)
     plan = _plan(spark, d, "source").where("side = 'target'")
@@ -49,6 +56,7 @@ QUERIES = {
     "a9_compact_log": lambda s, d: logs.compact_log(derived.log(s, d), _baseline_log(s, d).select("uid", "written_at")),
     "a10_app_activity": lambda s, d: logs.app_activity(derived.log(s, d), "2024-01-20"),
     "a12_merge_writers": lambda s, d: logs.merge_writers(derived.log(s, d), _baseline_log(s, d)),
+    "a12_merge_properties": _merged_properties,
     "a14_link_entities": lambda s, d: identity.link_entities(derived.contacts(s, d)),
     "j21_event_roster": lambda s, d: identity.event_roster(derived.table(s, d, "orders"), e := derived.contacts(s, d), identity.link_entities(e)),
     "c7_canon_merge": lambda s, d: identity.canon_merge(*derived.canon(s, d, 200), ["body", "category"]),
@@ -130,6 +138,19 @@ SQL = {
       first(per.value ORDER BY datetime DESC, app_id, seq) FILTER (per.value IS NOT NULL AND per.value IS DISTINCT FROM base.value) AS newest_change FROM per LEFT JOIN base USING (uid) GROUP BY per.uid),
       g AS (SELECT *, CASE WHEN writers = 0 THEN CASE WHEN known THEN 'deletion' END WHEN writers = 1 OR NOT known OR changes = 0 THEN 'unchanged' WHEN changes = 1 THEN 'merged' ELSE 'conflict' END AS outcome FROM f)
       SELECT uid, outcome, CASE outcome WHEN 'deletion' THEN NULL WHEN 'unchanged' THEN newest ELSE newest_change END AS value FROM g WHERE outcome IS NOT NULL""",
+    "a12_merge_properties": _LOG + """, old AS (SELECT * FROM log WHERE datetime < TIMESTAMP '2024-01-10' QUALIFY row_number() OVER (PARTITION BY uid ORDER BY datetime DESC, app_id, seq) = 1),
+      live AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY datetime DESC, app_id, seq) AS place FROM per WHERE value IS NOT NULL),
+      p AS (SELECT uid, place, 'kind' AS property, value FROM live UNION ALL SELECT uid, place, 'place', 'room' || (seq % 3) FROM live UNION ALL SELECT uid, place, 'note', 'n' || app_id FROM live WHERE seq % 5 = 0),
+      b AS (SELECT uid, 'kind' AS property, value FROM old WHERE value IS NOT NULL UNION ALL SELECT uid, 'place', 'room' || (seq % 3) FROM old WHERE value IS NOT NULL UNION ALL SELECT uid, 'note', 'n' || app_id FROM old WHERE value IS NOT NULL AND seq % 5 = 0),
+      k AS (SELECT uid, property FROM p UNION SELECT uid, property FROM b),
+      c AS (SELECT live.uid, k.property, live.place, coalesce(p.value, '') AS v FROM live JOIN k ON k.uid = live.uid LEFT JOIN p ON p.uid = live.uid AND p.place = live.place AND p.property = k.property
+        LEFT JOIN b ON b.uid = k.uid AND b.property = k.property WHERE coalesce(p.value, '') <> coalesce(b.value, '')),
+      w AS (SELECT uid, property, count(DISTINCT v) AS changes, arg_min(v, place) AS v FROM c GROUP BY 1, 2),
+      o AS (SELECT u.uid, CASE WHEN n.writers IS NULL THEN CASE WHEN old.uid IS NOT NULL THEN 'deletion' END WHEN n.writers = 1 OR old.uid IS NULL OR m.most IS NULL THEN 'unchanged' WHEN m.most = 1 THEN 'merged' ELSE 'conflict' END AS outcome
+        FROM (SELECT DISTINCT uid FROM per) u LEFT JOIN (SELECT uid, count(*) AS writers FROM live GROUP BY 1) n ON n.uid = u.uid LEFT JOIN old ON old.uid = u.uid LEFT JOIN (SELECT uid, max(changes) AS most FROM w GROUP BY 1) m ON m.uid = u.uid),
+      r AS (SELECT k.uid, k.property, CASE WHEN o.outcome <> 'unchanged' AND w.uid IS NOT NULL THEN w.v ELSE p.value END AS value FROM k JOIN o ON o.uid = k.uid
+        LEFT JOIN w ON w.uid = k.uid AND w.property = k.property LEFT JOIN p ON p.uid = k.uid AND p.property = k.property AND p.place = 1 WHERE o.outcome <> 'deletion')
+      SELECT o.uid, o.outcome, r.property, r.value FROM o LEFT JOIN (SELECT * FROM r WHERE value <> '') r ON r.uid = o.uid WHERE o.outcome IS NOT NULL""",
     "a14_link_entities": _CONTACTS + "SELECT record, entity FROM entities",
     "j21_event_roster": _CONTACTS + """, people AS (SELECT o_orderkey AS event, unnest([0, 1, 2]) AS position, unnest(['c' || o_custkey || '@example.com', 'c' || (o_custkey + 1) || '@example.com', 'x' || o_custkey || '@example.com']) AS email FROM orders)
       SELECT event, CAST(position AS INTEGER) AS position, email, i.entity AS entity FROM people LEFT JOIN (SELECT email, min(entity) AS entity FROM edges JOIN entities USING (record) GROUP BY email) i USING (email)""",

@@ -42,6 +42,40 @@ def merge_writers(log: DataFrame, baseline: DataFrame) -> DataFrame:
     return folded.withColumn("outcome", outcome).where(F.col("outcome").isNotNull()).select("uid", "outcome", value.alias("value"))
 
 
+#: Properties that merge_properties never compares; they come with the newest record.
+IGNORED = ("PRODID", "DTSTAMP", "CREATED", "LAST-MODIFIED", "SEQUENCE", "UID")
+
+
+def merge_properties(log: DataFrame, baseline: DataFrame, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+    """uid, outcome, property, value: the writers' newest entries merged property by property.
+
+    log: uid, app_id, datetime, seq, property, value, a row for each property of an entry; a tombstone
+    is one row of null property. baseline: uid, property, value, likewise. A property that a record lacks
+    has the empty value. One changed value of a property is taken; of several the newest wins and the uid
+    is a conflict. Winners replace the values of the newest live entry, empty ones remove them. Outcomes
+    are those of merge_writers; a deletion, or a record without properties, is one row of null property.
+    """
+    entry = Window.partitionBy("app_id", "uid").orderBy(F.desc("datetime"), F.asc("seq"))
+    last = log.withColumn("__rank", F.rank().over(entry)).where("__rank = 1")
+    order = Window.partitionBy("uid").orderBy(F.desc("datetime"), F.asc("app_id"), F.asc("seq"))
+    live = last.where("property is not null").withColumn("place", F.dense_rank().over(order)).select("uid", "app_id", "place", "property", "value")
+    agreed = baseline.where("property is not null").select("uid", "property", F.col("value").alias("agreed"))
+    absent = live.select("uid", "app_id", "place").distinct().join(agreed.select("uid", "property"), "uid").withColumn("value", F.lit(None).cast("string"))
+    held = live.unionByName(absent).groupBy("uid", "app_id", "place", "property").agg(F.coalesce(F.max("value"), F.lit("")).alias("value"))
+    compared = held.where(~F.col("property").isin(*ignored)).join(agreed, ["uid", "property"], "left")
+    changed = compared.where(F.col("value") != F.coalesce("agreed", F.lit("")))
+    won = changed.groupBy("uid", "property").agg(F.count_distinct("value").alias("changes"), F.min_by("value", "place").alias("won"))
+    writers = last.groupBy("uid").agg(F.count_distinct(F.when(F.col("property").isNotNull(), F.col("app_id"))).alias("writers"))
+    known = baseline.select("uid", F.lit(True).alias("known")).distinct()
+    folded = writers.join(known, "uid", "left").join(won.groupBy("uid").agg(F.max("changes").alias("changes")), "uid", "left")
+    outcome = F.when(F.col("writers") == 0, F.when(F.col("known"), "deletion")).when((F.col("writers") == 1) | F.col("known").isNull() | F.col("changes").isNull(), "unchanged").when(F.col("changes") == 1, "merged").otherwise("conflict")
+    outcomes = folded.select("uid", outcome.alias("outcome")).where("outcome is not null")
+    winners = won.join(outcomes.where("outcome in ('merged', 'conflict')"), "uid", "left_semi").select("uid", "property", "won")
+    rows = live.where("place = 1").select("uid", "property", "value").join(winners, ["uid", "property"], "full")
+    rows = rows.select("uid", "property", F.coalesce("won", "value").alias("value")).where("value <> ''")
+    return outcomes.join(rows, "uid", "left").select("uid", "outcome", "property", "value")
+
+
 def compact_log(log: DataFrame, written_at: DataFrame) -> DataFrame:
     """The newest entry of each writer and uid, without those older than the uid's baseline (uid, written_at)."""
     rows = latest_per_writer(log).join(written_at, "uid", "left")

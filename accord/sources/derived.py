@@ -40,6 +40,15 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(~((F.col("uid") % 25 == 1) & (F.col("app_id") != "app0")))
 
 
+def property_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """uid, app_id, datetime, seq, property, value: the log with records of two or three properties."""
+    pair = lambda name, value: F.struct(F.lit(name).alias("property"), value.alias("value"))
+    note = F.when(F.col("seq") % 5 == 0, pair("note", F.concat(F.lit("n"), "app_id")))
+    own = F.array_compact(F.array(pair("kind", F.col("value")), pair("place", F.concat(F.lit("room"), F.col("seq") % 3)), note))
+    dead = F.array(pair(None, F.col("value")))
+    return log(spark, sf_dir).withColumn("p", F.explode(F.when(F.col("value").isNull(), dead).otherwise(own))).select("uid", "app_id", "datetime", "seq", "p.*")
+
+
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record, email: address edges of contacts."""
     k = F.col("c_custkey")

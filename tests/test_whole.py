@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from accord.llm import jaccard
-from accord.operators import reconcile
+from accord.operators import logs, reconcile
 from accord.sources import derived
 
 DIR = "/root/testdata/sf0.001"
@@ -118,3 +118,18 @@ def test_bucketed_digest(spark):
     got = digests(rows[::-1])
     assert got == dict.fromkeys("ab", over((b, over(of)) for b, of in leaves.items()))
     assert digests([*rows[:-1], ("b", 499, "other")])["b"] != got["b"]
+
+
+def test_writers_merge_by_property(spark):
+    entries = [
+        ("both", "app2", 2, {"title": "new", "place": "old", "SEQUENCE": "2"}), ("both", "app1", 1, {"title": "old", "place": "there", "SEQUENCE": "1"}),
+        ("clash", "app1", 1, {"title": "x", "place": "old"}), ("clash", "app2", 2, {"title": "y"}), ("gone", "app1", 1, None),
+        ("one", "app1", 1, {"title": "z"}), ("new", "app1", 1, {"title": "a"}), ("new", "app2", 2, {"title": "b"}), ("stale", "app1", 0, {"title": "x"}), ("stale", "app1", 1, None), ("stale", "app2", 1, {"title": "old", "place": "old"}),
+    ]
+    log = [(u, a, f"2024-01-0{t + 1}", t, k, v) for u, a, t, p in entries for k, v in (p or {None: None}).items()]
+    base = [(u, k, "old") for u in ("both", "clash", "gone", "one", "stale") for k in ("title", "place")]
+    got = logs.merge_properties(spark.createDataFrame(log, "uid string, app_id string, datetime string, seq int, property string, value string"), spark.createDataFrame(base, "uid string, property string, value string"))
+    assert {tuple(r) for r in got.collect()} == {
+        ("both", "merged", "title", "new"), ("both", "merged", "place", "there"), ("both", "merged", "SEQUENCE", "2"), ("clash", "conflict", "title", "y"), ("gone", "deletion", None, None),
+        ("one", "unchanged", "title", "z"), ("new", "unchanged", "title", "b"), ("stale", "unchanged", "title", "old"), ("stale", "unchanged", "place", "old"),
+    }
