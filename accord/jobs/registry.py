@@ -58,7 +58,7 @@ QUERIES = {
     "a12_merge_writers": lambda s, d: logs.merge_writers(derived.log(s, d), _baseline_log(s, d)),
     "a12_merge_properties": _merged_properties,
     "a14_link_entities": lambda s, d: identity.link_entities(derived.contacts(s, d)),
-    "j21_event_roster": lambda s, d: identity.event_roster(derived.table(s, d, "orders"), e := derived.contacts(s, d), identity.link_entities(e)),
+    "j21_event_roster": lambda s, d: identity.event_roster(derived.people(s, d), e := derived.contacts(s, d), identity.link_entities(e)),
     "c7_canon_merge": lambda s, d: identity.canon_merge(*derived.canon(s, d, 200), ["body", "category"]),
     "c7_canon_merge_whole": lambda s, d: identity.canon_merge(*derived.canon(s, d), ["body", "category"]),
     "w1_latest_state": lambda s, d: logs.latest_state(derived.log(s, d)),

@@ -21,26 +21,47 @@ def link_entities(edges: DataFrame) -> DataFrame:
     return records.join(found, records["record"] == found["node"], "left").select("record", F.coalesce("component", "record").alias("entity"))
 
 
-def event_roster(orders: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """event, position, email, entity: organizer and attendees once each, in order; strangers have no entity."""
-    k = F.col("o_custkey")
-    address = lambda n: F.concat(F.lit("c"), n, F.lit("@example.com"))
-    people = F.array(address(k), F.upper(address(k)), address(k + 1), F.concat(F.lit("x"), k, F.lit("@example.com")))
-    rows = orders.select(F.col("o_orderkey").alias("event"), F.posexplode(F.array_distinct(F.transform(people, F.lower))).alias("position", "email"))
-    index = edges.join(entities, "record").groupBy("email").agg(F.min("entity").alias("entity"))
-    return rows.join(index, "email", "left").select("event", "position", "email", "entity")
+def event_roster(people: DataFrame, edges: DataFrame, entities: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """event, position, email, entity of people (event, position, email): once each, in order, numbered from 0.
 
-
-def canon_merge(source: DataFrame, target: DataFrame, baseline: DataFrame, properties: list[str]) -> DataFrame:
+    The organizer has the first position. Addresses are compared without case, and the first spelling
+    stays; empty ones are left out; strangers have no entity. With names (domain, record, name) a column
+    name is added: that of the entity's first record by domain and record that has one.
+    """
+    address = F.lower("email")
+    rows = people.where("email <> ''").groupBy("event", address.alias("address")).agg(F.min(F.struct("position", "email")).alias("first"))
+    order = Window.partitionBy("event").orderBy("first.position", "address")
+    rows = rows.select("event", "address", F.col("first.email").alias("email"), (F.row_number().over(order) - 1).alias("position"))
+    index = edges.join(entities, "record").groupBy(address.alias("address")).agg(F.min("entity").alias("entity"))
+    met = rows.join(index, "address", "left").select("event", "position", "email", "entity")
+    if names is None:
+        return met
+    named = entities.join(names.where("name <> ''"), "record").groupBy("entity").agg(F.min_by("name", F.struct("domain", "record")).alias("name"))
+    return met.join(named, "entity", "left").select("event", "position", "email", "entity", "name")
+
+
+def canon_merge(source: DataFrame, target: DataFrame, baseline: DataFrame, properties: list[str], strategy: str = "source") -> DataFrame:
     """uid, changed_source, changed_target (properties, joined) and the merged properties.
 
-    A property changed on the source, or on both, is the source's; otherwise the target's.
+    A property changed on the source alone is the source's; on both, that of the strategy ('source',
+    'target'); otherwise the target's. A record without a baseline is merged against an empty one. If
+    both sides have a column extras, it follows the source where any property came from there, else the
+    target. If both have kind, the target's stays unless empty, and kind_mismatch tells that they differ.
     """
-    as_ = lambda df, p: df.select("uid", *(F.col(c).alias(f"{p}_{c}") for c in properties))
-    rows = as_(source, "s").join(as_(target, "t"), "uid").join(as_(baseline, "b"), "uid")
+    if strategy not in ("source", "target"):
+        raise ValueError(strategy)
+    more = [c for c in ("extras", "kind") if c in source.columns and c in target.columns]
+    as_ = lambda df, p, cs: df.select("uid", *(F.col(c).alias(f"{p}_{c}") for c in cs))
+    rows = as_(source, "s", properties + more).join(as_(target, "t", properties + more), "uid").join(as_(baseline, "b", properties), "uid", "left")
     differs = lambda side, c: ~F.col(f"{side}_{c}").eqNullSafe(F.col(f"b_{c}"))
     listed = lambda side: F.concat_ws(",", *(F.when(differs(side, c), c) for c in properties))
-    merged = [F.when(differs("s", c), F.col(f"s_{c}")).otherwise(F.col(f"t_{c}")).alias(c) for c in properties]
+    taken = {c: differs("s", c) if strategy == "source" else differs("s", c) & ~differs("t", c) for c in properties}
+    merged = [F.when(taken[c], F.col(f"s_{c}")).otherwise(F.col(f"t_{c}")).alias(c) for c in properties]
+    if "extras" in more:
+        merged.append(F.when(F.array_contains(F.array(*taken.values()), True), F.col("s_extras")).otherwise(F.col("t_extras")).alias("extras"))
+    if "kind" in more:
+        s, t = (F.nullif(F.col(c), F.lit("")) for c in ("s_kind", "t_kind"))
+        merged += [F.coalesce(t, s).alias("kind"), F.coalesce(s != t, F.lit(False)).alias("kind_mismatch")]
     return rows.select("uid", listed("s").alias("changed_source"), listed("t").alias("changed_target"), *merged)
 
 

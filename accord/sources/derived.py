@@ -57,6 +57,14 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("record", F.concat(F.lit("c"), "n", F.lit("@example.com")).alias("email"))
 
 
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event, position, email: the organizer and the attendees of events, some of them twice."""
+    k = F.col("o_custkey")
+    address = lambda n: F.concat(F.lit("c"), n, F.lit("@example.com"))
+    listed = F.array(address(k), F.upper(address(k)), address(k + 1), F.concat(F.lit("x"), k, F.lit("@example.com")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event"), F.posexplode(listed).alias("position", "email"))
+
+
 def families(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """existing and staged rows: uid, slot ('' is the master), seq, data."""
     c = table(spark, sf_dir, "conversations")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from accord.llm import jaccard
-from accord.operators import logs, reconcile
+from accord.operators import identity, logs, reconcile
 from accord.sources import derived
 
 DIR = "/root/testdata/sf0.001"
@@ -133,3 +133,23 @@ def test_writers_merge_by_property(spark):
         ("both", "merged", "title", "new"), ("both", "merged", "place", "there"), ("both", "merged", "SEQUENCE", "2"), ("clash", "conflict", "title", "y"), ("gone", "deletion", None, None),
         ("one", "unchanged", "title", "z"), ("new", "unchanged", "title", "b"), ("stale", "unchanged", "title", "old"), ("stale", "unchanged", "place", "old"),
     }
+
+
+def test_canon_merge_without_baseline(spark):
+    make = lambda rows, columns: spark.createDataFrame(rows, columns)
+    columns = "uid int, body string, category string, extras string, kind string"
+    source = make([(1, "s", None, "es", "todo"), (2, "b", "c", "es", ""), (3, "s", "c", "es", "event")], columns)
+    target = make([(1, "t", None, "et", "event"), (2, "b", "d", "et", "event"), (3, "b", "d", "et", None)], columns)
+    baseline = make([(2, "b", "c"), (3, "b", "c")], "uid int, body string, category string")
+    merged = lambda strategy: {tuple(r) for r in identity.canon_merge(source, target, baseline, ["body", "category"], strategy).collect()}
+    same = {(2, "", "category", "b", "d", "et", "event", False), (3, "body", "category", "s", "d", "es", "event", False)}
+    assert merged("source") == same | {(1, "body", "body", "s", None, "es", "event", True)}
+    assert merged("target") == same | {(1, "body", "body", "t", None, "et", "event", True)}
+
+
+def test_event_roster_takes_lists_and_names(spark):
+    people = spark.createDataFrame([(1, 0, "Ann@x"), (1, 1, ""), (1, 2, "ann@X"), (1, 3, "who@x"), (1, 4, "bob@x")], "event int, position int, email string")
+    edges = spark.createDataFrame([(7, "ann@x"), (8, "ann@x"), (9, "Bob@x")], "record int, email string")
+    names = spark.createDataFrame([("b", 7, "Late"), ("a", 8, "Ann"), ("a", 7, "")], "domain string, record int, name string")
+    got = identity.event_roster(people, edges, identity.link_entities(edges), names)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, "Ann@x", 7, "Ann"), (1, 1, "who@x", None, None), (1, 2, "bob@x", 9, None)]
