@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accord.llm.common import written
-from accord.llm.graph import components
 from accord.llm.shingles import mixed, set_digest, shingle_sets
+from accord.operators.graph import components
 
 WIDTH = 5
 #: Buckets of the frequency table that orders shingles: one byte each is broadcast, and the runs of hot ones.
@@ -31,17 +31,23 @@ BUCKET_BITS = 22
 #: Parts in which bucket counts are summed.
 PARTS = 16
 #: Postings of a fragment, on average.
-FRAGMENT = 1_500_000
+FRAGMENT = 200_000
+#: Hashes that a task gathers before it counts them or cuts them into fragments.
+GATHER = 300_000
+#: Classes that a task remembers so as not to send them twice; what comes twice all the same is dropped later.
+REMEMBER = 200_000
 #: Lists up to this length give all their pairs at once.
 LONG = 8
 #: Turns in which open lists are linked through so many further hubs, before the rest is compared pair by pair.
-TURNS, HUBS = 2, 4
-#: Bits of the filter on classes that need verifying (bounded: 1 MB); false hits only cost time.
-FILTER_BITS = 23
+TURNS, HUBS = 1, 4
+#: Bits of the filter on classes that need verifying, at most (16 MB); false hits only cost time.
+FILTER_BITS = 27
 #: Members of a list in one block, on average; a task compares two blocks.
 MEMBERS = 2048
 #: Members that are compared at once with as many others, over so many lists at once.
 BLOCK, COLUMNS = 1024, 8192
+#: Sizes of a list that are compared at once with all others.
+ROWS = 256
 #: Fragments in which whole sets are compared.
 VERIFY = 4
 
@@ -51,6 +57,21 @@ def prefix_length(n):
     return n - (3 * n + 3) // 4 + 1
 
 
+def _remember(seen: set, key: tuple) -> None:
+    if len(seen) >= REMEMBER:
+        seen.clear()
+    seen.add(key)
+
+
+def _unlike(*keys: np.ndarray) -> np.ndarray:
+    """Whether each row of sorted keys differs from the one before."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row_hash"))
@@ -59,15 +80,26 @@ def keyed(docs: DataFrame) -> DataFrame:
 def _classes(rows: DataFrame) -> DataFrame:
     """doc_id, row_hash, n, cls of each row; and, with part not null, the task's bucket counts."""
 
+    def add(counts: np.ndarray, hashes: list[np.ndarray]) -> None:
+        if hashes:
+            bucket = np.sort((np.concatenate(hashes) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(bucket)), bool), bucket[1:] != bucket[:-1])))
+            counts[bucket[first]] += np.diff(np.append(first, len(bucket))).astype(np.uint32)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, np.uint32)
+        counts, held, size = np.zeros(1 << BUCKET_BITS, np.uint32), [], 0
         for batch in batches:
             n, cls = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for row, hashes in shingle_sets(batch.column(1), WIDTH):
                 n[row], cls[row] = len(hashes), set_digest(hashes)
-                np.add.at(counts, (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+                held.append(hashes)
+                size += len(hashes)
+                if size > GATHER:
+                    add(counts, held)
+                    held, size = [], 0
             none = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(cls), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+        add(counts, held)
         for part, own in enumerate(np.split(counts.astype("<u4"), PARTS)):
             empty = [pa.nulls(1, pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([*empty, pa.array([part], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=names)
@@ -152,7 +184,7 @@ def _postings(rows: DataFrame, levels, fragments: int) -> DataFrame:
             for _, own in shingle_sets(batch.column(0), WIDTH):
                 if not len(own) or (key := (set_digest(own), len(own))) in seen:
                     continue
-                seen.add(key)
+                _remember(seen, key)
                 level = level_of[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
                 if level.any():
                     own = own[np.argsort(level, kind="stable")]
@@ -160,7 +192,7 @@ def _postings(rows: DataFrame, levels, fragments: int) -> DataFrame:
                 classes.append(key[0])
                 sizes.append(key[1])
                 held += len(hashes[-1])
-                if held > 1_000_000:
+                if held > GATHER:
                     yield blobs(hashes, classes, sizes, levels.value)
                     hashes, classes, sizes, held = [], [], [], 0
         if held:
@@ -187,34 +219,39 @@ def _meets(postings: DataFrame) -> DataFrame:
         h, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((n, c, h))
         h, c, n = h[order], c[order], n[order]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])))
+        new = _unlike(h, c, n)
         h, c, n = h[new], c[new], n[new]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        # a shingle of one class has no meeting; a class with members elsewhere has
+        first = np.flatnonzero(_unlike(h))
+        if not apart:
+            length = np.diff(np.append(first, len(h)))
+            met = np.repeat(length > 1, length)
+            h, c, n = h[met], c[met], n[met]
+            first = np.flatnonzero(_unlike(h))
         length = np.diff(np.append(first, len(h)))
         size, head = np.repeat(length, length), np.repeat(first, length)
         fits = lambda i, j: 4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])
         short = (size > 1) & (size <= LONG) & (not apart)
         pairs = []
+        i, stop = np.flatnonzero(short), head + size
         for gap in range(1, LONG):
-            i = np.flatnonzero(short[:-gap] & (head[:-gap] == head[gap:])) if len(h) > gap else np.zeros(0, np.int64)
-            pairs.append(np.stack((i, i + gap)))
+            i = i[i + gap < stop[i]]
+            ok = fits(i, i + gap)
+            pairs.append(np.stack((i[ok], i[ok] + gap)))
         i, j = np.concatenate(pairs, axis=1)
-        i, j = i[ok := fits(i, j)], j[ok]
         # the overlap of each pair within this fragment
         order = np.lexsort((n[j], c[j], n[i], c[i]))
         i, j = i[order], j[order]
-        if len(i):
-            new = np.concatenate(([True], (c[i[1:]] != c[i[:-1]]) | (c[j[1:]] != c[j[:-1]]) | (n[i[1:]] != n[i[:-1]]) | (n[j[1:]] != n[j[:-1]])))
-            at = np.flatnonzero(new)
-            shared = np.diff(np.append(at, len(i)))
-            i, j = i[at], j[at]
-        else:
-            shared = np.zeros(0, np.int64)
+        at = np.flatnonzero(_unlike(c[i], n[i], c[j], n[j]))
+        shared = np.diff(np.append(at, len(i)))
+        i, j = i[at], j[at]
         in_long = np.flatnonzero((size > LONG) | apart)
         star = in_long[head[in_long] != in_long]
         hub = head[star]
         star, hub = star[ok := fits(star, hub)], hub[ok]
-        _, once = np.unique(np.stack((c[hub], c[star])), axis=1, return_index=True) if len(star) else (0, np.zeros(0, np.int64))
+        order = np.lexsort((c[star], c[hub]))
+        star, hub = star[order], hub[order]
+        once = _unlike(c[hub], c[star])
         star, hub = star[once], hub[once]
         a, b = np.concatenate((i, hub, in_long)), np.concatenate((j, star, in_long))
         count = np.concatenate((shared, np.full(len(hub), -1), h[in_long].view(np.int64)))
@@ -225,33 +262,37 @@ def _meets(postings: DataFrame) -> DataFrame:
 
 
 def _filter(classes: DataFrame) -> np.ndarray:
-    """A bitmap of 2 ** FILTER_BITS bits on which every class's bit is set."""
+    """A bitmap on which every class's bit is set: about 16 bits a class, 2 ** FILTER_BITS at most."""
+    width = min(FILTER_BITS, max(16, (16 * classes.count()).bit_length()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros((1 << width) // 8, np.uint8)
         for batch in batches:
-            bits[mixed(np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+            at = mixed(np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)) >> np.uint64(64 - width)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    out = np.zeros((1 << width) // 8, np.uint8)
     for row in classes.coalesce(8).mapInArrow(scan, "bits binary").toLocalIterator():
         out |= np.frombuffer(row["bits"], np.uint8)
     return out
 
 
 def _whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, n, v, own: the shingles of each wanted class (and a few others), by fragment v, once a class."""
+    """cls, n, v, own: the shingles of each wanted class by fragment v, once a class."""
     bits = rows.sparkSession.sparkContext.broadcast(_filter(wanted.select("cls")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, seen = np.unpackbits(bits.value).view(bool), set()
+        flags, seen = bits.value, set()
+        width = (8 * len(flags)).bit_length() - 1
         for batch in batches:
             out: list[tuple[int, int, int, np.ndarray]] = []
             for _, own in shingle_sets(batch.column(0), WIDTH):
                 if not len(own) or (key := (set_digest(own), len(own))) in seen:
                     continue
-                seen.add(key)
-                if flags[mixed(np.array([key[0]], np.int64).view(np.uint64))[0] >> np.uint64(64 - FILTER_BITS)]:
+                _remember(seen, key)
+                at = int(mixed(np.array([key[0]], np.int64).view(np.uint64))[0]) >> (64 - width)
+                if flags[at >> 3] >> (at & 7) & 1:
                     cut = np.searchsorted(own, _CUTS)
                     out += [(*key, v, part.view(np.int64)) for v, part in enumerate(np.split(own, cut))]
             if out:
@@ -260,7 +301,7 @@ def _whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))] + [lists], names=["cls", "n", "v", "own"])
 
-    sets = rows.select("text").mapInArrow(scan, "cls long, n long, v int, own array<long>")
+    sets = rows.select("text").mapInArrow(scan, "cls long, n long, v int, own array<long>").join(wanted, ["cls", "n"], "left_semi")
     return written(sets.groupBy("cls", "n", "v").agg(F.first("own").alias("own")))
 
 
@@ -314,7 +355,7 @@ def _viable(placed: DataFrame) -> DataFrame:
 
     Two members share at most as many lists as the one in fewer of them is in; their sizes say how
     many they need. A pair that shares enough stays in all lists that it shares, so none is lost,
-    and pairs that share short lists as well are looked at apart. Once more, with the fewer lists left.
+    and pairs that share short lists as well were counted before.
     Members come to no task: of each list and size the most lists a member is in, and the most in
     another component, give the number of lists that a member of any size needs.
     """
@@ -326,29 +367,27 @@ def _viable(placed: DataFrame) -> DataFrame:
         never = np.iinfo(np.int64).max
         least, own, own_least = np.full(len(n), never), np.zeros(len(n), np.int64), np.full(len(n), never)
         low, high = np.searchsorted(n, -(-3 * n // 4)), np.searchsorted(n, 4 * n // 3, "right")
-        for i in range(len(n)):
-            y = slice(low[i], high[i])
-            small, large = np.minimum(n[i], n[y]), np.maximum(n[i], n[y])
-            need = _needed(small, large)
+        for i in range(0, len(n), ROWS):
+            x, y = slice(i, i + ROWS), slice(low[i], high[min(i + ROWS, len(n)) - 1])
+            small, large = np.minimum.outer(n[x], n[y]), np.maximum.outer(n[x], n[y])
+            need = np.where(4 * small >= 3 * large, _needed(small, large), never)
             any_ = np.where(most[y] >= need, need, never)
-            at = np.argmin(any_)
+            at = np.argmin(any_, axis=1)
             # only the component of the best partner can need more than the others do
-            least[i], own[i] = any_[at], root[y][at]
-            own_least[i] = np.where(np.where(root[y] == own[i], other[y], most[y]) >= need, need, never).min()
+            least[x], own[x] = any_[np.arange(len(at)), at], root[y][at]
+            own_least[x] = np.where(np.where(root[y] == own[x][:, None], other[y], most[y]) >= need, need, never).min(axis=1)
         return pa.table({"h": table.column("h").take(pa.array(order)), "n": n, "least": least, "own": own, "own_least": own_least})
 
-    for _ in range(2):
-        count = placed.groupBy("cls", "n").agg(F.count("*").alias("lists"))
-        rows = placed.join(count, ["cls", "n"]).select("h", "cls", "n", "root", "lists", F.xxhash64("root").alias("root_hash"))
-        per = rows.groupBy("h", "n", "root_hash").agg(F.max("lists").alias("most"))
-        rank = F.row_number().over(Window.partitionBy("h", "n").orderBy(F.desc("most"), "root_hash"))
-        best = per.withColumn("rank", rank).where("rank <= 2").groupBy("h", "n").agg(
-            F.max(F.when(F.col("rank") == 1, F.col("most"))).alias("most"), F.max(F.when(F.col("rank") == 1, F.col("root_hash"))).alias("root_hash"), F.max(F.when(F.col("rank") == 2, F.col("most"))).alias("other"),
-        )
-        found = best.groupBy("h").applyInArrow(needs, "h long, n long, least long, own long, own_least long")
-        kept = rows.join(found, ["h", "n"]).where("lists >= if(root_hash = own, own_least, least)")
-        placed = written(kept.select("h", "cls", "n", "root"))
-    return placed
+    count = placed.groupBy("cls", "n").agg(F.count("*").alias("lists"))
+    rows = placed.join(count, ["cls", "n"]).select("h", "cls", "n", "root", "lists", F.xxhash64("root").alias("root_hash"))
+    per = rows.groupBy("h", "n", "root_hash").agg(F.max("lists").alias("most"))
+    rank = F.row_number().over(Window.partitionBy("h", "n").orderBy(F.desc("most"), "root_hash"))
+    best = per.withColumn("rank", rank).where("rank <= 2").groupBy("h", "n").agg(
+        F.max(F.when(F.col("rank") == 1, F.col("most"))).alias("most"), F.max(F.when(F.col("rank") == 1, F.col("root_hash"))).alias("root_hash"), F.max(F.when(F.col("rank") == 2, F.col("most"))).alias("other"),
+    )
+    found = best.groupBy("h").applyInArrow(needs, "h long, n long, least long, own long, own_least long")
+    kept = rows.join(found, ["h", "n"]).where("lists >= if(root_hash = own, own_least, least)")
+    return written(kept.select("h", "cls", "n", "root"))
 
 
 def _paired(placed: DataFrame) -> DataFrame:
@@ -433,15 +472,6 @@ def _cross_pairs(placed: DataFrame) -> DataFrame:
     return rows.groupBy("h", "xb", "xs", "yb", "ys").applyInArrow(compare, "a long, na long, b long, nb long")
 
 
-def _apart_pairs(placed: DataFrame, summed: DataFrame) -> DataFrame:
-    """a, na, b, nb: pairs that share short lists as well, so that only both counts together say enough."""
-    held = placed.groupBy("cls", "n").agg(F.collect_set("h").alias("lists"), F.min("root").alias("root"))
-    x = held.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("lists").alias("la"), F.col("root").alias("ra"))
-    y = held.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("lists").alias("lb"), F.col("root").alias("rb"))
-    met = summed.where("shared > 0").join(x, ["a", "na"]).join(y, ["b", "nb"]).where("ra <> rb")
-    return met.where(F.col("shared") + F.size(F.array_intersect("la", "lb")) >= _need()).select("a", "na", "b", "nb")
-
-
 def _bounded(pairs: DataFrame, held: DataFrame, summed: DataFrame) -> DataFrame:
     """The pairs whose prefixes share enough: long lists that hold both, and short ones counted before."""
     x = held.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("lists").alias("la"))
@@ -458,7 +488,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _linked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, na, b, nb of the pairs that link; texts are read again only if there are any, and give these pairs' sets alone."""
-    if not pairs.limit(1).count():
+    if not _any(pairs):
         return pairs
     return written(_verified(pairs, _whole_sets(rows, written(_ends(pairs)))))
 
@@ -468,12 +498,23 @@ def _need() -> Column:
     return F.ceil(3 * (na + nb) / 7) - F.greatest(F.ceil(0.75 * na), F.ceil(0.75 * nb)) + 1
 
 
+def _first_pairs(summed: DataFrame) -> DataFrame:
+    """The pairs that share a short list, and each member of long lists with the hub that it meets most often."""
+    hub = F.max_by(F.struct("a", "na"), F.struct("hubs", -F.col("a"), -F.col("na")))
+    stars = summed.where("shared = 0").groupBy("b", "nb").agg(hub.alias("x")).select("x.a", "x.na", "b", "nb")
+    return summed.where("shared > 0").select("a", "na", "b", "nb").unionByName(stars)
+
+
+def _any(df: DataFrame) -> bool:
+    return df.limit(1).count() > 0
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, row_hash, n_shingles, component_id of every row of docs.
 
     component_id is the smallest doc_id reachable over links of Jaccard similarity 0.75 or more;
     rows without words are linked with nothing, not even with each other. Equal rows get equal
-    results. Null texts count as empty; empty input gives no rows.
+    results. Null texts count as empty; empty input gives no rows; other columns are not read.
     """
     rows = keyed(docs)
     scanned = written(_classes(rows))
@@ -484,24 +525,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = written(_meets(_postings(rows, levels, fragments)))
     pairs = met.where("b is not null")
     lists = met.where("b is null").select(F.col("shared").alias("h"), F.col("a").alias("cls"), F.col("na").alias("n"))
-    summed = written(pairs.groupBy("a", "na", "b", "nb").agg(F.sum(F.greatest("shared", F.lit(0))).alias("shared"), F.min("shared").alias("least")))
+    summed = written(pairs.groupBy("a", "na", "b", "nb").agg(F.sum(F.greatest("shared", F.lit(0))).alias("shared"), F.count_if(F.col("shared") < 0).alias("hubs")))
     held = written(lists.groupBy("cls", "n").agg(F.collect_set("h").alias("lists")))
-    tested = written(_bounded(summed.select("a", "na", "b", "nb"), held, summed))
+    tested = written(_bounded(_first_pairs(summed), held, summed))
     links = _linked(rows, tested)
     found = _components(links)
-    for turn in range(TURNS):
-        pairs = _hub_pairs(_viable(_open_lists(lists, found)), turn).join(tested, ["a", "na", "b", "nb"], "left_anti")
-        pairs = written(_bounded(pairs, held, summed))
-        tested = tested.unionByName(pairs)
-        late = _linked(rows, pairs)
-        if late.limit(1).count():
+    # every pair that shares a short list is tested now; what follows looks for links over long lists alone
+    for turn in range(TURNS + 1):
+        placed = _open_lists(lists, found)
+        if not _any(placed) or not _any(placed := _viable(placed)):
+            break
+        pairs = _hub_pairs(placed, turn) if turn < TURNS else _cross_pairs(placed).distinct()
+        pairs = pairs.join(tested, ["a", "na", "b", "nb"], "left_anti")
+        pairs = written(_bounded(pairs, held, summed) if turn < TURNS else pairs)
+        if not _any(pairs):
+            continue
+        tested, late = tested.unionByName(pairs), _linked(rows, pairs)
+        if _any(late):
             links = links.unionByName(late)
             found = _components(links)
-    placed = _open_lists(lists, found)
-    rest = _cross_pairs(_viable(placed)).unionByName(_apart_pairs(placed, summed)).distinct().join(tested, ["a", "na", "b", "nb"], "left_anti")
-    late = _linked(rows, written(rest))
-    if late.limit(1).count():
-        found = _components(links.unionByName(late))
     classes = own.where("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("low"))
     placed = classes.join(found, ["cls", "n"], "left")
     placed = placed.withColumn("root", F.coalesce("root", _node("cls", "n")))
@@ -511,19 +553,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs, as near_duplicates has them."""
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one of smallest id; columns as given. Of repeated rows one stays."""
+    """One document of each group, the one of smallest id; columns as given. Of repeated rows one stays.
+
+    Rows without words are all kept. Null texts stay null; empty input gives no rows.
+    """
     found = near_duplicates(docs)
     gone = found.groupBy("doc_id", "row_hash").agg(F.max(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False))).alias("gone"), F.count("*").alias("rows"))
     gone = written(gone.where("gone or rows > 1"))
-    keyed_docs = docs.withColumn("__hash", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))))
-    drop = gone.select(F.col("row_hash").alias("__row"))
-    kept = keyed_docs.join(drop, F.col("__hash") == F.col("__row"), "left_anti")
-    repeated = gone.where("not gone and rows > 1").select(F.col("row_hash").alias("__row"))
-    if repeated.limit(1).count():
-        again = keyed_docs.join(repeated, F.col("__hash") == F.col("__row"), "left_semi").dropDuplicates(["__hash"])
+    keyed_docs = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("__id", F.coalesce(F.col("text"), F.lit(""))))
+    drop = gone.select(F.col("doc_id").alias("__doc"), F.col("row_hash").alias("__row"))
+    same = lambda of: (F.col("__hash") == of["__row"]) & F.col("__id").eqNullSafe(of["__doc"])
+    kept = keyed_docs.join(drop, same(drop), "left_anti")
+    repeated = gone.where("not gone and rows > 1").select(F.col("doc_id").alias("__doc"), F.col("row_hash").alias("__row"))
+    if _any(repeated):
+        again = keyed_docs.join(repeated, same(repeated), "left_semi").dropDuplicates(["__id", "__hash"])
         kept = kept.unionByName(again)
     return kept.select(*docs.columns)
