@@ -13,9 +13,10 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 import tiktoken
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from accord.llm.common import documents
 
-#: Pieces whose ids are remembered by one worker; beyond it the memory starts anew.
-MOST_PIECES = 400_000
+#: Pieces whose ids one generation of a worker's memory holds, and code points of the longest that it holds.
+MOST_PIECES, LONGEST_KEPT = 300_000, 64
 #: Rows of a result batch.
 ROWS = 500
 
@@ -42,64 +43,98 @@ class PrefixEncoder:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.ends = {token[k:] for token in ranks for k in range(len(token))}  # what can stand at a token's end
-        self._whole: dict[int, bool] = {}
+        self.found = ahocorasick.Automaton()  # gives the tokens that end at each byte, the longest first
+        for token, rank in ranks.items():
+            self.found.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.found.make_automaton()
+        self._halves: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
 
-    def merge(self, data: bytes) -> list[int]:
+    def merge(self, data: bytes, stop: int = 1) -> list[int]:
         """The defining procedure: join the adjacent pair of lowest rank, leftmost first. For short data."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > stop:
             rank, at = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
             if rank == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; null for single bytes and for what no merge makes."""
+        if token not in self._halves:
+            data = self.tokens[token]
+            parts = self.merge(data, 2) if len(data) > 1 else []
+            self._halves[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self._halves[token]
+
     def reachable(self, token: int) -> bool:
         """Whether merging the token's own bytes gives the token."""
-        if (known := self._whole.get(token)) is None:
-            known = self._whole[token] = self.merge(self.tokens[token]) == [token]
-        return known
+        return len(self.tokens[token]) == 1 or self.halves(token) is not None
 
     def compatible(self, left: int, right: int) -> bool:
-        if (known := self._pairs.get((left, right))) is None:
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
+        """Whether merging both tokens' bytes gives the two tokens: no merge across their border comes before theirs.
+
+        Of the two parts that face each other at the border, the one that is made later is taken apart
+        again and again; a merge of the two counts if it comes before the part's own next merge. Of
+        equal ranks the leftmost merge is the first.
+        """
+        if (known := self._pairs.get((left, right))) is not None:
+            return known
+        if len(self._pairs) > 1_000_000:
+            self._pairs.clear()
+        tokens, ranks, limit, a, b = self.tokens, self.ranks, 1 << 60, left, right
+        known = self.reachable(left) and self.reachable(right)
+        while known:
+            rank = ranks.get(tokens[a] + tokens[b])
+            if rank is not None and rank < limit:
+                known = False
+                break
+            made_a, made_b = a if self.halves(a) else -1, b if self.halves(b) else -1
+            if made_a < 0 and made_b < 0:
+                break
+            if made_a > made_b:
+                limit, a = a, self.halves(a)[1]
+            else:
+                limit, b = b + 1, self.halves(b)[0]
+        self._pairs[left, right] = known
         return known
 
     def extend(self, data: bytes, last: list[int], start: int | None = None, stop: int | None = None) -> list[int]:
         """Fills last[i], the last token of data[:i+1], from prefix `start` on; earlier entries hold already."""
-        ranks, ends = self.ranks, self.ends
-        for i in range(len(last) if start is None else start, len(data) if stop is None else stop):
-            begin = i
-            while begin > 0 and data[begin - 1 : i + 1] in ends:
-                begin -= 1
-            for j in range(begin, i + 1):  # the longest token first
-                token = ranks.get(data[j : i + 1])
-                if token is not None and (self.reachable(token) if j == 0 else self.compatible(last[j - 1], token)):
-                    last[i : i + 1] = [token]
-                    break
-            else:
-                raise ValueError("the vocabulary lacks single bytes")
+        at = len(last) if start is None else start
+        stop, pairs, compatible = len(data) if stop is None else stop, self._pairs, self.compatible
+        del last[at:]
+        for end, (token, size) in self.found.iter(data.decode("latin-1"), max(0, at - self.longest + 1), stop):
+            if end < at:
+                continue
+            if end > at:
+                break
+            if end < size:
+                fits = self.reachable(token)
+            elif (fits := pairs.get((last[end - size], token))) is None:
+                fits = compatible(last[end - size], token)
+            if fits:
+                last.append(token)
+                at += 1
+        if at < stop:
+            raise ValueError("the vocabulary lacks single bytes")
         return last
 
     def replace(self, data: bytes, last: list[int], start: int, end: int, new: bytes) -> tuple[bytes, list[int], int]:
         """data with [start:end) replaced, its last tokens, and how many of them were computed anew.
 
-        The tokens after the edit are recomputed until as many in a row as the longest token has
-        bytes equal the former ones: from there nothing can differ.
+        The tokens after the edit are recomputed, as many at a time as the longest token has bytes,
+        until a whole such run equals the former ones: from there nothing can differ.
         """
         out, tail = data[:start] + new + data[end:], last[end:]
-        fresh, i, agree = last[:start], start, 0
+        fresh, i = last[:start], start
         while i < len(out):
-            self.extend(out, fresh, i, i + 1)
-            i += 1
-            k = i - 1 - start - len(new)
-            agree = agree + 1 if k >= 0 and tail[k] == fresh[-1] else 0
-            if agree >= self.longest:
-                fresh += tail[k + 1 :]
+            stop = min(len(out), i + self.longest)
+            self.extend(out, fresh, i, stop)
+            k, i = i - start - len(new), stop
+            if k >= 0 and stop < len(out) and fresh[-self.longest :] == tail[k : k + self.longest]:
+                fresh += tail[k + self.longest :]
                 break
         return out, fresh, i - start
 
@@ -123,21 +158,22 @@ class PrefixEncoder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-#: The letters, digits and spaces among the first 256 code points.
-LATIN_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
-LATIN_DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
-LATIN_SPACES = "\t-\r \x85\xa0"
+def _class(kind: str, highest: int) -> str:
+    """The code points up to `highest` of a class of the regex module, as ranges for a set of the re module."""
+    points = "".join(map(chr, range(highest + 1)))
+    runs = ((points[m.start()], points[m.end() - 1]) for m in regex.finditer(f"{kind}+", points))
+    return "".join(f"\\U{ord(a):08x}-\\U{ord(b):08x}" for a, b in runs)
 
 
 class Splitter:
-    """Cuts texts into pieces by the pattern; for texts within Latin-1 by an equal, quicker pattern."""
+    """Cuts texts into pieces by the pattern; texts within Latin-1 by an equal pattern of the quicker re module."""
 
     def __init__(self, pattern: str):
         self.full = regex.compile(pattern)
-        outside = f"[^{LATIN_SPACES}{LATIN_LETTERS}{LATIN_DIGITS}]"
-        narrow = pattern.replace(r"[^\s\p{L}\p{N}]", outside).replace(r"\p{L}", f"[{LATIN_LETTERS}]").replace(r"\p{N}", f"[{LATIN_DIGITS}]")
-        narrow = narrow.replace(r"\S", f"[^{LATIN_SPACES}]").replace(r"\s", f"[{LATIN_SPACES}]")
-        self.latin = None if "\\p" in narrow or "\\s" in narrow else re.compile(narrow)
+        letters, digits, spaces = (_class(kind, 255) for kind in (r"\p{L}", r"\p{N}", r"\s"))
+        narrow = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{digits}]").replace(r"\p{L}", f"[{letters}]")
+        narrow = narrow.replace(r"\p{N}", f"[{digits}]").replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
+        self.latin = None if "\\p" in narrow else re.compile(narrow)
 
     def __call__(self, text: str) -> list[str]:
         if self.latin is not None:
@@ -176,18 +212,23 @@ class Text:
         return out
 
 
-class _Packed(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers, computed when first asked for."""
+class Packed(dict):
+    """Piece -> its ids as little-endian unsigned 32-bit integers, computed when first asked for.
+
+    Two generations of MOST_PIECES at most: when the young one is full it becomes the old one, and
+    what is asked for again moves back, so frequent pieces stay and memory is bounded.
+    """
 
-    def __init__(self, encoder: PrefixEncoder):
+    def __init__(self, encode: Callable[[str], list[int]]):
         super().__init__()
-        self.encoder = encoder
+        self.encode, self.old = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        packed = array("I", self.encoder.encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
-        if len(self) >= MOST_PIECES:
-            self.clear()
-        if len(piece) <= 64:
+        packed = self.old.pop(piece, None) or array("I", self.encode(piece)).tobytes()
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) >= MOST_PIECES:
+                self.old = dict(self)
+                self.clear()
             self[piece] = packed
         return packed
 
@@ -198,14 +239,14 @@ def library(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
-_KEPT: dict[tuple[str, str], tuple[PrefixEncoder, Splitter, _Packed]] = {}
+_KEPT: dict[tuple[str, str], tuple[PrefixEncoder, Splitter, Packed]] = {}
 
 
-def tools(path: str, pattern: str) -> tuple[PrefixEncoder, Splitter, _Packed]:
+def tools(path: str, pattern: str) -> tuple[PrefixEncoder, Splitter, Packed]:
     """One encoder a worker process and vocabulary."""
     if (path, pattern) not in _KEPT:
         encoder = PrefixEncoder(load_ranks(path))
-        _KEPT[path, pattern] = encoder, Splitter(pattern), _Packed(encoder)
+        _KEPT[path, pattern] = encoder, Splitter(pattern), Packed(lambda piece: encoder.encode(piece.encode("utf-8", "surrogatepass")))
     return _KEPT[path, pattern]
 
 

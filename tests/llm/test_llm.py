@@ -64,15 +64,26 @@ def test_bpe_appends_and_edits():
         assert fresh == encoder.extend(new, []) and redone <= len(new)
 
 
-def test_section_tokens_count_every_token_once(docs, empty):
-    got = defaultdict(int)
-    rows = tokens.section_tokens(docs, PATH, PATTERN).collect()
-    for r in rows:
-        got[r.doc_id] += r.n_tokens
-    want = Counter()
-    for r in bpe.encode_documents(docs, PATH, PATTERN).collect():
-        want[r.doc_id] += r.n_tokens
-    assert {k: v for k, v in want.items() if v} == {k: v for k, v in got.items() if v}
+def test_section_tokens(docs, empty):
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+    for rule in tokens.RULES:
+        want = Counter()
+        for k, text in held(docs):
+            bounds, at, owner = [], 0, []
+            for s, line in enumerate(re.findall("[^\n]*\n|[^\n]+", text)):
+                bounds.append((at, at + len(line)))
+                at += len(line)
+                owner += [s] * len(line.encode())
+            count, crossing, byte = Counter(), Counter(), 0
+            for token in map(library.decode_single_token_bytes, library.encode_ordinary(text)):
+                held_by = Counter(owner[byte : byte + len(token)])
+                byte += len(token)
+                s = {"first": min(held_by), "last": max(held_by), "largest": min(held_by, key=lambda s: (-held_by[s], s))}[rule]
+                count[s] += 1
+                crossing[s] += len(held_by) > 1
+            want.update((k, s, a, b, count[s], crossing[s]) for s, (a, b) in enumerate(bounds))
+        got = tokens.section_tokens(docs, PATH, PATTERN, rule).collect()
+        assert Counter((r.doc_id, r.section, r.char_start, r.char_end, r.n_tokens, r.n_crossing) for r in got) == want
     assert tokens.section_tokens(empty, PATH, PATTERN).count() == 0
     ends, bounds = np.array([3, 7, 9]), np.array([0, 4, 6])
     assert tokens.allocate(ends, bounds, "first")[0].tolist() == [0, 0, 2]
@@ -212,15 +223,28 @@ def test_toxicity_on_held_out_rows(spark, empty):
     assert toxicity.digest(empty, labels.limit(0)).count() == 0
 
 
-def test_training_order(spark, docs, tmp_path):
+def test_training_order(spark, docs, empty, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "PER_SHARD", 8)
+    monkeypatch.setattr(shards, "SHARDS_A_TASK", 2)
     for n in (1, 2, 3, 1000):
         assert sorted(shards.slots(np.arange(n), n).tolist()) == list(range(n))
-    placed = shards.ordered(docs, PATH, PATTERN)
-    want = {r.slot: np.frombuffer(bytes(r.tokens), np.uint16).tolist() for r in placed.collect()}
-    assert sorted(want) == list(range(len(want)))
-    shards.write_shards(placed, str(tmp_path / "shards"))
+    placed = shards.ordered(docs, PATH, PATTERN).collect()
+    want = {r.slot: np.frombuffer(bytes(r.tokens), np.uint16).tolist() for r in placed}
+    assert sorted(want) == list(range(len(want))) and len(want) > 24
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+    cut = Counter((k, s, tuple(ids[a : a + shards.TOKENS])) for k, t in held(docs) for ids in [library.encode_ordinary(t)] for s, a in enumerate(range(0, len(ids), shards.TOKENS)))
+    assert cut == Counter((r.doc_id, r.seq, tuple(want[r.slot])) for r in placed)
+    written = shards.write_shards(docs, PATH, PATTERN, str(tmp_path / "shards")).collect()
     got = {r.slot: list(r.tokens) for r in shards.read_from(spark, str(tmp_path / "shards"), 3).collect()}
-    assert got == {k: (v + [shards.PAD] * shards.TOKENS)[: shards.TOKENS] for k, v in want.items() if k >= 3}
+    padded = {k: (v + [shards.PAD] * shards.TOKENS)[: shards.TOKENS] for k, v in want.items()}
+    assert got == {k: v for k, v in padded.items() if k >= 3}
+    whole = {r.shard: np.array([padded[k] for k in range(r.first_slot, r.first_slot + r.n_sequences)], "<u2").tobytes() for r in written}
+    assert {r.shard: bytes(r.payload) for r in written} == whole and sum(r.n_sequences for r in written) == len(want)
+    of = {(r.doc_id, r.seq, r.slot): r.n_tokens for r in placed}
+    rows = shards.manifest(docs, PATH, PATTERN).collect()
+    assert {(r.doc_id, r.seq, r.slot): r.n_tokens for r in rows} == of and len(rows) == len(of)
+    assert all(r.shard == r.slot // 8 and r.byte_offset == r.slot % 8 * 512 and r.shard_sha256 == hashlib.sha256(whole[r.shard]).hexdigest() for r in rows)
+    assert shards.manifest(empty, PATH, PATTERN).count() == 0
 
 
 def test_mixing(docs, empty):
