@@ -59,7 +59,7 @@ QUERIES = {
     "s7_upsert": _upserted,
     "j12_classify_writes": _classified,
     "j17_next_pass": _next_pass,
-    "c16_handle_conflicts": lambda s, d: conflicts.handle_conflicts(_diff(s, d), "newest", "delete"),
+    "c16_handle_conflicts": lambda s, d: conflicts.handle_conflicts(_diff(s, d), "newest", "delete").drop("resolved_by"),
     "c12_property_diff": lambda s, d: conflicts.property_diff(*_properties(s, d)),
     "j18_map_diff": lambda s, d: conflicts.map_diff(*_properties(s, d)),
     "f20_css_to_argb": lambda s, d: derived.table(s, d, "customer").select("c_custkey", text.css_to_argb(F.format_string("#%06x", F.col("c_custkey") * 7919 % 16777216)).alias("argb")),
@@ -89,5 +89,5 @@ def sql(collections: str) -> dict[str, str]:
           FROM j WHERE sd IS DISTINCT FROM td""",
         "f20_css_to_argb": "SELECT c_custkey, '#FF' || printf('%06X', CAST(c_custkey * 7919 % 16777216 AS BIGINT)) AS argb FROM customer",
         "f6_record_identity": "SELECT event_id, user_id || chr(1) || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS identity FROM events",
-        "f19_dav_slug": "SELECT page_id, url_decode(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '[^/]*$')) AS slug FROM pages",
+        "f19_dav_slug": "SELECT page_id, url_decode(regexp_extract(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/+$', ''), '[^/]*$')) AS slug FROM pages",
     }

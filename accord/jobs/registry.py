@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from accord.jobs import records
-from accord.operators import identity, logs, reconcile
+from accord.functions import text
+from accord.jobs import records, wider, wider_sql
+from accord.operators import identity, logs, reconcile, topology
 from accord.sources import derived
 
 
@@ -37,7 +38,8 @@ def _applied(spark, d):
 
 def _bindings(spark, d):
     s = derived.table(spark, d, "supplier")
-    return s.select(F.col("s_nationkey").alias("calendar"), F.col("s_suppkey").alias("backend")).withColumn("position", F.row_number().over(identity.Window.partitionBy("calendar").orderBy("backend")) - 1)
+    rows = s.select(F.col("s_nationkey").alias("calendar"), F.col("s_suppkey").alias("backend")).withColumn("position", F.row_number().over(identity.Window.partitionBy("calendar").orderBy("backend")) - 1)
+    return rows.withColumn("role", F.when(F.col("position") == 0, "primary").otherwise("sync1"))
 
 
 QUERIES = {
@@ -65,12 +67,13 @@ QUERIES = {
     "w2_latest_per_writer": lambda s, d: logs.latest_per_writer(derived.log(s, d)),
     "w5_merge_families": lambda s, d: logs.merge_families(*derived.families(s, d)),
     "p8_dedupe_last": lambda s, d: reconcile.dedupe_last(derived.log(s, d), ["uid"], "seq"),
-    "f19_slug": lambda s, d: derived.table(s, d, "pages").select("page_id", identity.slug(F.col("url")).alias("slug")),
+    "f19_slug": lambda s, d: derived.table(s, d, "pages").select("page_id", text.slug(F.col("url")).alias("slug")),
     "f3_canonical_digest": lambda s, d: derived.table(s, d, "events").select("event_id", identity.canonical_digest(F.col("props")).alias("digest")),
-    "u4_star_mappings": lambda s, d: identity.generate_mappings(_bindings(s, d), "star"),
-    "u4_mirror_mappings": lambda s, d: identity.generate_mappings(_bindings(s, d), "mirror"),
-    "w6_chain_mappings": lambda s, d: identity.generate_mappings(_bindings(s, d), "chain"),
+    "u4_star_mappings": lambda s, d: topology.generate_mappings(_bindings(s, d), "star").drop("id"),
+    "u4_mirror_mappings": lambda s, d: topology.generate_mappings(_bindings(s, d), "mirror").drop("id"),
+    "w6_chain_mappings": lambda s, d: topology.generate_mappings(_bindings(s, d), "chain").drop("id"),
     **records.QUERIES,
+    **wider.QUERIES,
 }
 
 _COLLECTIONS = """
@@ -165,10 +168,11 @@ SQL = {
     "w5_merge_families": """WITH r AS (SELECT conv_id AS uid, CASE WHEN turn = 0 THEN '' ELSE lpad(CAST(turn AS VARCHAR), 6, '0') END AS slot, CASE WHEN conv_id % 3 = 0 AND turn % 2 = 1 THEN 'staged-' || role ELSE role END AS data FROM conversations)
       SELECT uid, slot, data, CAST(row_number() OVER (PARTITION BY uid ORDER BY slot) AS INTEGER) AS position FROM r""",
     "p8_dedupe_last": _LOG + "SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY uid ORDER BY seq DESC) = 1",
-    "f19_slug": "SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM pages",
+    "f19_slug": "SELECT page_id, regexp_replace(regexp_replace(lower(url), '[-_ ]', '-', 'g'), '[^\\p{L}\\p{N}-]', '', 'g') AS slug FROM pages",
     "f3_canonical_digest": "SELECT event_id, sha256(replace(props, ' ', '')) AS digest FROM events",
     "u4_star_mappings": _BINDINGS + "SELECT x.calendar, x.backend AS first, y.backend AS second FROM b x JOIN b y USING (calendar) WHERE x.position = 0 AND y.position > 0",
     "u4_mirror_mappings": _BINDINGS + "SELECT x.calendar, x.backend AS first, y.backend AS second FROM b x JOIN b y USING (calendar) WHERE x.position < y.position",
     "w6_chain_mappings": _BINDINGS + "SELECT x.calendar, x.backend AS first, y.backend AS second FROM b x JOIN b y USING (calendar) WHERE x.position + 1 = y.position",
     **records.sql(_COLLECTIONS),
+    **wider_sql.sql(_COLLECTIONS, _LOG, _CONTACTS),
 }

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-POLICIES = ("source", "target", "newest", "oldest", "largest", "both")
+POLICIES = ("none", "source", "target", "newest", "oldest", "largest", "both")
 
 
 def complexity(source: Column, target: Column) -> Column:
@@ -17,19 +17,22 @@ def complexity(source: Column, target: Column) -> Column:
 
 
 def auto_decision(policy: str, source: Column, target: Column, source_time: Column, target_time: Column) -> Column:
-    """'source', 'target', 'both' or 'delete_both'.
+    """'source', 'target', 'both', 'delete_both', or 'pending' for the policy 'none'.
 
-    A side that is null is deleted: choosing it deletes both. Times: a tie, or a missing time on both
-    sides, goes to the target; a missing time is oldest. Sizes: a tie goes to the source.
+    A side that is null is deleted. Under 'source' and 'target' a deleted winner deletes both; the other
+    policies compare alone. Times: a missing time is oldest, a tie goes to the target. Sizes: a tie goes
+    to the source.
     """
     if policy not in POLICIES:
         raise ValueError(policy)
     oldest = F.lit("0001-01-01").cast("timestamp")
     s, t = F.coalesce(source_time, oldest), F.coalesce(target_time, oldest)
     size = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
-    first = {"source": F.lit(True), "target": F.lit(False), "newest": s > t, "oldest": s < t, "largest": size(source) >= size(target), "both": F.lit(None).cast("boolean")}[policy]
-    deleted = F.when(first, source.isNull()).otherwise(target.isNull())
-    return F.when(first.isNull(), "both").when(deleted, "delete_both").when(first, "source").otherwise("target")
+    side = lambda first: F.when(first, "source").otherwise("target")
+    return {
+        "none": F.lit("pending"), "both": F.lit("both"), "source": F.when(source.isNull(), "delete_both").otherwise("source"), "target": F.when(target.isNull(), "delete_both").otherwise("target"),
+        "newest": side(s > t), "oldest": side(s < t), "largest": side(size(source) >= size(target)),
+    }[policy]
 
 
 def may_resolve(prompt: str, complexity_: Column, deletes: Column) -> Column:
@@ -37,13 +40,25 @@ def may_resolve(prompt: str, complexity_: Column, deletes: Column) -> Column:
     return {"never": F.lit(True), "always": F.lit(False), "complex": complexity_ != "complex", "delete": ~deletes}[prompt]
 
 
-def handle_conflicts(diff: DataFrame, policy: str, prompt: str = "never", fallback: str = "defer") -> DataFrame:
-    """mapping_id, id, complexity, decision of each conflict of a diff; what may not be decided gets the fallback."""
+#: What is decided where the policy may not or does not decide.
+FALLBACKS = ("defer", "skip", "use_default", "abort")
+
+
+def handle_conflicts(diff: DataFrame, policy: str, prompt: str = "never", fallback: str = "defer", default: str = "source") -> DataFrame:
+    """mapping_id, id, complexity, decision, resolved_by of each conflict of a diff.
+
+    What may not be decided gets the fallback: 'defer' leaves it pending, 'skip' skips it, 'use_default'
+    takes the default decision ('pending' skips), 'abort' aborts. resolved_by tells 'policy', 'fallback' or null.
+    """
+    if fallback not in FALLBACKS:
+        raise ValueError(fallback)
     rows = diff.where("op = 'conflict'")
     level = complexity(F.col("s_data"), F.col("t_data"))
     decided = auto_decision(policy, F.col("s_data"), F.col("t_data"), F.col("s_last_modified"), F.col("t_last_modified"))
-    free = may_resolve(prompt, level, F.col("s_data").isNull() | F.col("t_data").isNull())
-    return rows.select("mapping_id", "id", level.alias("complexity"), F.when(free, decided).otherwise(fallback).alias("decision"))
+    free = may_resolve(prompt, level, F.col("s_data").isNull() | F.col("t_data").isNull()) & (decided != "pending")
+    other = {"use_default": "skip" if default == "pending" else default}.get(fallback, fallback)
+    by = F.when(free, "policy").when(F.lit(fallback != "defer"), "fallback")
+    return rows.select("mapping_id", "id", level.alias("complexity"), F.when(free, decided).otherwise(other).alias("decision"), by.alias("resolved_by"))
 
 
 def hold_unresolved(plan: DataFrame, conflicts: DataFrame) -> DataFrame:
@@ -63,8 +78,6 @@ def limit_auto(decided: DataFrame, n: int) -> DataFrame:
     """At most n decisions a mapping, by id; 0 is no limit. The feature is off by default."""
     if not n:
         return decided
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("mapping_id").orderBy("id"))
     return decided.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
 

@@ -70,17 +70,17 @@ def canonical_digest(json: Column) -> Column:
     return F.sha2(F.to_json(F.try_parse_json(json)), 256)
 
 
-def slug(text: Column) -> Column:
-    """Lower case, runs of other characters as one hyphen, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
-
-
-def generate_mappings(bindings: DataFrame, topology: str) -> DataFrame:
-    """calendar, first, second (backends) of bindings(calendar, backend, position) as 'star', 'mirror' or 'chain'."""
-    if topology == "chain":
-        order = Window.partitionBy("calendar").orderBy("position")
-        return bindings.withColumn("second", F.lead("backend").over(order)).where("second is not null").select("calendar", F.col("backend").alias("first"), "second")
-    a = bindings.select("calendar", F.col("backend").alias("first"), F.col("position").alias("p"))
-    b = bindings.select("calendar", F.col("backend").alias("second"), F.col("position").alias("q"))
-    met = a.join(b, "calendar").where("p < q" if topology == "mirror" else "p = 0 and q > 0")
-    return met.select("calendar", "first", "second")
+def records_for_entity(links: DataFrame) -> DataFrame:
+    """entity, domain, record in order (links: domain, record, entity)."""
+    return links.select("entity", "domain", "record").orderBy("entity", "domain", "record")
+
+
+def emails_for_entity(index: DataFrame) -> DataFrame:
+    """entity, email in order (index: email, entity)."""
+    return index.select("entity", F.lower("email").alias("email")).distinct().orderBy("entity", "email")
+
+
+def unlink(links: DataFrame, index: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """links without the given records (domain, record), and the index without the addresses of entities left empty."""
+    left = links.join(gone.select("domain", "record"), ["domain", "record"], "left_anti")
+    return left, index.join(left.select("entity").distinct(), "entity", "left_semi")

@@ -32,7 +32,8 @@ def merge_writers(log: DataFrame, baseline: DataFrame) -> DataFrame:
     known = baseline.select(F.col("uid"), F.col("value").alias("agreed"), F.lit(True).alias("known"))
     rows = latest_per_writer(log).join(known, "uid", "left")
     live, changed = F.col("value").isNotNull(), F.col("value").isNotNull() & ~F.col("value").eqNullSafe(F.col("agreed"))
-    order = F.struct("datetime", F.expr("-cast(substring(app_id, 4) as int)"), F.expr("-seq"))
+    place = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("datetime"), F.asc("app_id"), F.asc("seq")))
+    rows, order = rows.withColumn("place", place), -F.col("place")
     folded = rows.groupBy("uid").agg(
         F.count_if(live).alias("writers"), F.count_distinct(F.when(changed, F.col("value"))).alias("changes"), F.max("known").alias("known"),
         F.max_by("value", F.when(live, order)).alias("newest"), F.max_by("value", F.when(changed, order)).alias("newest_change"),
@@ -88,6 +89,71 @@ def app_activity(log: DataFrame, cutoff) -> DataFrame:
     return seen.withColumn("inactive", F.col("last_seen") < F.lit(cutoff).cast("timestamp"))
 
 
+def latest_info(log: DataFrame) -> DataFrame:
+    """key, value: the newest value of each key over all writers (log: key, value, app_id, datetime, seq)."""
+    return newest(log, "key").select("key", "value")
+
+
+def conflict_winners(log: DataFrame) -> DataFrame:
+    """uid, property, winner, winner_app, loser, loser_app: newest and next newest value of properties with several.
+
+    log: uid, app_id, datetime, property, value of the writers' newest entries. Equal times: by value, then writer.
+    """
+    order = Window.partitionBy("uid", "property").orderBy(F.desc("datetime"), "value", "app_id")
+    ranked = log.where("property is not null").withColumn("place", F.row_number().over(order)).where("place <= 2")
+    at = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
+    rows = ranked.groupBy("uid", "property").agg(at(1, "value").alias("winner"), at(1, "app_id").alias("winner_app"), at(2, "value").alias("loser"), at(2, "app_id").alias("loser_app"), F.count("*").alias("n"))
+    return rows.where("n = 2 and not (winner <=> loser)").drop("n")
+
+
+def inactive_apps(log: DataFrame, cutoff) -> DataFrame:
+    """app_id of writers last seen before the cutoff."""
+    return app_activity(log, cutoff).where("inactive").select("app_id")
+
+
+def new_apps(log: DataFrame, known: DataFrame) -> DataFrame:
+    """app_id of writers in the log that are not known."""
+    return log.select("app_id").distinct().join(known.select("app_id"), "app_id", "left_anti")
+
+
+def purge_dead(log: DataFrame, cutoff) -> DataFrame:
+    """The log without the entries of inactive writers."""
+    return log.join(inactive_apps(log, cutoff), "app_id", "left_anti")
+
+
+def onboarding_snapshot(baselines: DataFrame, deletions: DataFrame) -> DataFrame:
+    """uid, datetime, value for a new writer: every baseline live, every logged deletion as a null value."""
+    gone = deletions.select("uid", "datetime", F.lit(None).cast(baselines.schema["value"].dataType).alias("value"))
+    return baselines.select("uid", F.col("written_at").alias("datetime"), "value").unionByName(gone)
+
+
+def shrunk_buckets(before: DataFrame, after: DataFrame, sequences: DataFrame) -> DataFrame:
+    """app_id, bucket, sequence: the bucket's sequence, one higher where compaction left fewer entries."""
+    count = lambda df, name: df.groupBy("app_id", "bucket").agg(F.count("*").alias(name))
+    met = sequences.join(count(before, "was"), ["app_id", "bucket"], "left").join(count(after, "now"), ["app_id", "bucket"], "left")
+    fewer = F.coalesce("now", F.lit(0)) < F.coalesce("was", F.lit(0))
+    return met.select("app_id", "bucket", (F.col("sequence") + fewer.cast("long")).alias("sequence"))
+
+
+def new_entries(log: DataFrame, tracked: DataFrame, own_app: str) -> DataFrame:
+    """The entries of other writers beyond the tracked sequence of their bucket (tracked: app_id, bucket, sequence)."""
+    at = tracked.select("app_id", "bucket", F.col("sequence").alias("__at"))
+    met = log.where(F.col("app_id") != own_app).join(at, ["app_id", "bucket"], "left")
+    return met.where("__at is null or sequence > __at").drop("__at")
+
+
+def apply_skeletons(feed: DataFrame) -> DataFrame:
+    """id, property, value: each record's present properties, skeleton rows laid over the last full row before them.
+
+    feed: id, seq, kind ('full', 'skeleton', 'gone'), held (map<string,string>). A full row or a tombstone
+    ends what came before; of a property the newest presence counts, a null value too.
+    """
+    since = F.max(F.when(F.col("kind") != "skeleton", F.col("seq"))).over(Window.partitionBy("id"))
+    rows = feed.withColumn("__since", since).where("__since is null or seq >= __since").where("kind <> 'gone'")
+    each = rows.select("id", "seq", F.explode("held").alias("property", "value"))
+    return each.groupBy("id", "property").agg(F.max_by(F.struct("value"), "seq").alias("v")).select("id", "property", "v.value")
+
+
 def merge_families(existing: DataFrame, staged: DataFrame) -> DataFrame:
     """uid, slot, data, position: the later row wins its slot; the master (slot '') comes first."""
     rows = existing.unionByName(staged)

@@ -14,10 +14,21 @@ def _side(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def meet(source: DataFrame, target: DataFrame, baseline: DataFrame) -> DataFrame:
-    """The three collections side by side, one row a key: one hash partitioning serves both joins."""
-    both = _side(source, "s").join(_side(target, "t"), KEYS, "full")
-    rows = both.join(_side(baseline, "b"), KEYS, "full")
-    return rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("s", "t", "b")})
+    """The three collections side by side, one row a key: they are stacked and grouped, so rows are shuffled once.
+
+    Columns come prefixed s_, t_, b_; s, t, b tell which sides hold the key. A side's repeated key gives one of its rows.
+    """
+    sides = {"s": source, "t": target, "b": baseline}
+    held = {p: [c for c in df.columns if c not in KEYS] for p, df in sides.items()}
+    shape = {p: F.struct(*(F.col(c) for c in held[p])) if held[p] else F.struct(F.lit(True).alias("there")) for p in sides}
+    types = {p: sides[p].select(shape[p].alias("x")).schema["x"].dataType for p in sides}
+    stacked = None
+    for p, df in sides.items():
+        own = df.select(*KEYS, *((shape[p] if q == p else F.lit(None).cast(types[q])).alias(q) for q in sides))
+        stacked = own if stacked is None else stacked.unionByName(own)
+    rows = stacked.groupBy(*KEYS).agg(*(F.first(p, ignorenulls=True).alias(f"__{p}") for p in sides))
+    there = [F.col(f"__{p}").isNotNull().alias(p) for p in sides]
+    return rows.select(*KEYS, *there, *(F.col(f"__{p}")[c].alias(f"{p}_{c}") for p in sides for c in held[p]))
 
 
 def _changed(side: str, agreed: str) -> Column:
@@ -48,21 +59,33 @@ def adopt_baselines(source: DataFrame, target: DataFrame, baseline: DataFrame) -
     return rows.select(*KEYS, F.col("s_hash").alias("source_hash"), F.col("t_hash").alias("target_hash"))
 
 
-def sync_diff(source: DataFrame, target: DataFrame, baseline: DataFrame) -> DataFrame:
-    """mapping_id, id, outcome of the two-way semantic diff: equal changes on both sides are unchanged."""
+#: Directions that a mapping's mode lets changes flow in.
+MODES = {"two_way": ("target", "source"), "upload": ("target",), "download": ("source",), "disabled": ()}
+
+
+def sync_diff(source: DataFrame, target: DataFrame, baseline: DataFrame, mode: str = "two_way") -> DataFrame:
+    """mapping_id, id, outcome of the semantic diff: equal changes on both sides are unchanged.
+
+    One-way modes ('upload', 'download') keep their direction's changes and all conflicts; what they drop
+    is unchanged; a disabled mapping gives no rows.
+    """
     s, t, b = F.col("s_data"), F.col("t_data"), F.col("b_data")
     sc, tc = ~s.eqNullSafe(b), ~t.eqNullSafe(b)
     kind = F.when(~F.col("b"), "both_created").when(~F.col("s") | ~F.col("t"), "modify_delete").otherwise("both_modified")
     towards = lambda there, here: F.when(~F.col(here), "delete").when(~F.col(there), "create").otherwise("update")
-    outcome = F.when(s.eqNullSafe(t) | (~sc & ~tc), "unchanged").when(sc & tc, F.concat(F.lit("conflict_"), kind)).when(sc, F.concat(towards("t", "s"), F.lit("_target"))).otherwise(F.concat(towards("s", "t"), F.lit("_source")))
-    return meet(source, target, baseline).select(*KEYS, outcome.alias("outcome"))
+    flows = lambda side, change: F.concat(change, F.lit(f"_{side}")) if side in MODES[mode] else F.lit("unchanged")
+    outcome = F.when(s.eqNullSafe(t) | (~sc & ~tc), "unchanged").when(sc & tc, F.concat(F.lit("conflict_"), kind)).when(sc, flows("target", towards("t", "s"))).otherwise(flows("source", towards("s", "t")))
+    rows = meet(source, target, baseline).select(*KEYS, outcome.alias("outcome"))
+    return rows if MODES[mode] else rows.limit(0)
 
 
-def quick_diff(source: DataFrame, target: DataFrame) -> DataFrame:
-    """mapping_id, id, outcome of the diff without a baseline: two different sides are a conflict."""
+def quick_diff(source: DataFrame, target: DataFrame, mode: str = "two_way") -> DataFrame:
+    """mapping_id, id, outcome of the diff without a baseline: two different sides are a conflict; modes as in sync_diff."""
     rows = _side(source, "s").join(_side(target, "t"), KEYS, "full")
-    outcome = F.when(F.col("t").isNull(), "create_target").when(F.col("s").isNull(), "create_source").when(F.col("s_data").eqNullSafe(F.col("t_data")), "unchanged").otherwise("conflict_both_created")
-    return rows.select(*KEYS, outcome.alias("outcome"))
+    flows = lambda side: f"create_{side}" if side in MODES[mode] else "unchanged"
+    outcome = F.when(F.col("t").isNull(), flows("target")).when(F.col("s").isNull(), flows("source")).when(F.col("s_data").eqNullSafe(F.col("t_data")), "unchanged").otherwise("conflict_both_created")
+    rows = rows.select(*KEYS, outcome.alias("outcome"))
+    return rows if MODES[mode] else rows.limit(0)
 
 
 def first_sync_plan(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -79,10 +102,91 @@ def mirror_a_to_b(diff: DataFrame) -> DataFrame:
     return diff.select(*KEYS, action.alias("action")).where(F.col("action").isNotNull())
 
 
-def prefers_source(source_time: Column, target_time: Column) -> Column:
-    """Last write wins: the source only if strictly newer; a missing time is oldest; ties go to the target."""
+def mirror_b_to_a(diff: DataFrame) -> DataFrame:
+    """mapping_id, id, action on the source: its own creates and updates are undone, its deletes ignored; conflicts take the target."""
+    to_source = F.col("direction") == "to_source"
+    undone = F.when(F.col("op") == "create", "delete").when(F.col("op") == "update", "update").when(F.col("op") == "conflict", F.when(F.col("t"), "update").otherwise("delete"))
+    return diff.select(*KEYS, F.when(to_source, F.col("op")).otherwise(undone).alias("action")).where(F.col("action").isNotNull())
+
+
+def mirror(diff: DataFrame, way: str) -> DataFrame:
+    """The mirror plan 'a_to_b' or 'b_to_a'."""
+    return {"a_to_b": mirror_a_to_b, "b_to_a": mirror_b_to_a}[way](diff)
+
+
+def clobber_plan(source: DataFrame, target: DataFrame) -> DataFrame:
+    """mapping_id, id, action of a full push over a wiped target: everything is a create, nothing a delete, no guard is asked."""
+    return source.select(*KEYS, F.lit("create").alias("action"))
+
+
+def withhold(plan: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The plan with column status ('withheld' towards a target that is read-only, else 'planned'), and warnings (mapping_id, warning)."""
+    met = plan.join(mappings.select("mapping_id", F.col("writable").alias("__w")), "mapping_id", "left")
+    held = (F.col("side") == "target") & ~F.coalesce("__w", F.lit(True))
+    out = met.withColumn("status", F.when(held, "withheld").otherwise("planned")).drop("__w")
+    return out, out.where("status = 'withheld'").select("mapping_id", F.concat(F.lit("target-readonly:"), "mapping_id").alias("warning")).distinct()
+
+
+def prefers_source(source_time: Column, target_time: Column, tie: str = "target", on_null: str = "oldest") -> Column:
+    """Last write wins: the source only if strictly newer; a missing time is oldest; ties go to the target.
+
+    tie='source' gives ties to the source; on_null='source' gives it what lacks either time.
+    """
     oldest = F.lit("0001-01-01").cast("timestamp")
-    return F.coalesce(source_time, oldest) > F.coalesce(target_time, oldest)
+    s, t = F.coalesce(source_time, oldest), F.coalesce(target_time, oldest)
+    newer = s >= t if tie == "source" else s > t
+    return F.when(source_time.isNull() | target_time.isNull(), True).otherwise(newer) if on_null == "source" else newer
+
+
+#: How conflicts are resolved; 'ask' and 'skip' leave them open.
+POLICIES = ("source", "target", "newest", "duplicate", "merge", "skip", "ask")
+
+
+def resolve_records(diff: DataFrame, policy: str, mode: str = "two_way", merged: Column | None = None) -> DataFrame:
+    """mapping_id, id, side, action, data, hash, baseline, conflict: every write of a diff, a row each.
+
+    Columns of diff: those of three_way_diff. Other changes than conflicts flow as the mode lets them.
+    'source', 'target', 'newest': the winner goes to the other side, a winner that was deleted deletes there.
+    'duplicate': the side that is left goes to the other; if both are, the source's goes to the target and a
+    clone of the target's, named <id>-dup-<digest>, to both. 'merge': `merged`, an expression over diff, goes
+    to both sides. 'skip' and 'ask': no write; the conflict's row has the side 'open'. baseline tells whether
+    the written record becomes the agreed one; of several rows of an id it is told once.
+    """
+    if policy not in POLICIES or policy == "merge" and merged is None:
+        raise ValueError(policy)
+    s, t, conflict = F.col("s"), F.col("t"), F.col("op") == "conflict"
+    text = F.col("id").cast("string")
+    write = lambda side, action, data, hash_, id_=text, base=True, n=0: F.struct(F.lit(side).alias("side"), action.alias("action"), data.alias("data"), hash_.alias("hash"), id_.alias("id"), F.lit(base).alias("baseline"), F.lit(n).alias("conflicts"))
+    none = F.lit(None).cast("string")
+    src, tgt = (F.col("s_data").cast("string"), F.col("s_hash")), (F.col("t_data").cast("string"), F.col("t_hash"))
+    put = lambda there: F.when(there, "update").otherwise("create")
+    gone = lambda side: write(side, F.lit("delete"), none, none, base=False, n=1)
+    to_target = F.array(F.when(s, write("target", put(t), *src, n=1)).otherwise(gone("target")))
+    to_source = F.array(F.when(t, write("source", put(s), *tgt, n=1)).otherwise(gone("source")))
+    if policy in ("source", "target", "newest"):
+        wins = {"source": F.lit(True), "target": F.lit(False), "newest": prefers_source(F.col("s_last_modified"), F.col("t_last_modified"))}[policy]
+        decided = F.when(wins, to_target).otherwise(to_source)
+    elif policy == "duplicate":
+        clone = F.concat(text, F.lit("-dup-"), F.substring(F.sha2(F.concat_ws("|", "mapping_id", "id", "t_hash"), 256), 1, 32))
+        both = F.array(write("target", F.lit("update"), *src, n=1), write("target", F.lit("create"), *tgt, clone), write("source", F.lit("create"), *tgt, clone, base=False))
+        decided = F.when(~s, to_source).when(~t, to_target).otherwise(both)
+    elif policy == "merge":
+        hash_ = F.sha2(merged, 256)
+        decided = F.array(write("target", put(t), merged, hash_, n=1), write("source", put(s), merged, hash_, base=False))
+    else:
+        decided = F.array(write("open", F.lit(policy), none, none, base=False, n=1))
+    is_delete = F.col("op") == "delete"
+    data = lambda own, side: F.array(write(side, F.col("op"), F.when(is_delete, none).otherwise(own[0]), F.when(is_delete, none).otherwise(own[1])))
+    flows = MODES[mode]
+    plain = F.when((F.col("direction") == "to_target") & F.lit("target" in flows), data(src, "target")).when((F.col("direction") == "to_source") & F.lit("source" in flows), data(tgt, "source"))
+    rows = diff.select("mapping_id", F.explode(F.when(conflict, decided).otherwise(plain)).alias("w"))
+    return rows.select("mapping_id", "w.id", "w.side", "w.action", "w.data", "w.hash", (F.col("w.baseline") & (F.col("w.action") != "delete")).alias("baseline"), F.col("w.conflicts").alias("conflict"))
+
+
+def conflict_counters(writes: DataFrame) -> DataFrame:
+    """mapping_id, resolved, deferred: conflicts of resolve_records that were written and those left open."""
+    n = lambda where, name: F.sum(F.when(where, F.col("conflict")).otherwise(0)).alias(name)
+    return writes.groupBy("mapping_id").agg(n(F.col("side") != "open", "resolved"), n(F.col("side") == "open", "deferred"))
 
 
 def resolve(diff: DataFrame, policy: str) -> DataFrame:
@@ -121,6 +225,34 @@ def mass_delete_guard(plan: DataFrame, baseline: DataFrame, absolute: int = 10,
     return rows.withColumn("tripped", (F.col("deletes") > absolute) | ((F.col("baselines") > 0) & (share > percent)))
 
 
+def stats_summary(stats: DataFrame) -> DataFrame:
+    """stats (created, updated, deleted, conflicts, errors) with a line '+c ~u -d =n !k Ee' (unchanged, conflicts and errors where given)."""
+    of = lambda name: F.coalesce(F.col(name), F.lit(0)) if name in stats.columns else F.lit(0)
+    return stats.withColumn("summary", F.format_string("+%d ~%d -%d =%d !%d E%d", *(of(c) for c in ("created", "updated", "deleted", "unchanged", "conflicts", "errors"))))
+
+
+def guarded(plan: DataFrame, guard: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """The plan without the deletes of mappings whose guard tripped and that were not allowed (mapping_id); other writes stay."""
+    denied = guard.where("tripped").select("mapping_id")
+    if allowed is not None:
+        denied = denied.join(allowed.select("mapping_id"), "mapping_id", "left_anti")
+    met = plan.join(denied.withColumn("__denied", F.lit(True)), "mapping_id", "left")
+    return met.where("__denied is null or action <> 'delete'").drop("__denied")
+
+
+def revision_digest(records: DataFrame) -> DataFrame:
+    """mapping_id, digest: SHA-256 over id:rev; in numeric order of ids. For collections as in collection_digest."""
+    rows = records.groupBy("mapping_id").agg(F.array_sort(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), "rev"))).alias("rows"))
+    return rows.select("mapping_id", F.sha2(F.array_join(F.transform("rows", lambda r: F.concat(r["id"].cast("string"), F.lit(":"), r["rev"].cast("string"), F.lit(";"))), ""), 256).alias("digest"))
+
+
+def fingerprint(files: DataFrame) -> DataFrame:
+    """folder, digest: SHA-256 over lines name|mtime|size in order of names. For folders as collections in collection_digest."""
+    line = F.concat_ws("|", "name", F.col("mtime").cast("string"), F.col("size").cast("string"))
+    rows = files.groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("name", line.alias("line")))).alias("rows"))
+    return rows.select("folder", F.sha2(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), 256).alias("digest"))
+
+
 def collection_digest(records: DataFrame) -> DataFrame:
     """mapping_id, digest: SHA-256 over id, unit separator, hash, record separator in id order. One row a collection.
 
@@ -128,7 +260,7 @@ def collection_digest(records: DataFrame) -> DataFrame:
     ones have bucketed_digest.
     """
     row = F.struct(F.col("id").cast("string").alias("id"), "hash")
-    text = F.array_join(F.transform("rows", lambda r: F.concat(r["id"], F.lit("\x1f"), r["hash"], F.lit("\x1e"))), "")
+    text = F.array_join(F.transform("rows", lambda r: F.concat(r["id"], F.lit("\x1f"), F.coalesce(r["hash"], F.lit("")), F.lit("\x1e"))), "")
     return records.groupBy("mapping_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).select("mapping_id", F.sha2(text, 256).alias("digest"))
 
 
@@ -146,7 +278,7 @@ def bucketed_digest(records: DataFrame) -> DataFrame:
 
 
 def dedupe_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """The last row of each key by seq; rows with a null key are dropped."""
+    """The last row of each key by seq; rows with a null or empty key are dropped."""
     for key in keys:
-        df = df.where(F.col(key).isNotNull())
+        df = df.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(seq)))).where("__rank = 1").drop("__rank")

@@ -81,3 +81,46 @@ def canon(spark: SparkSession, sf_dir: str, chars: int | None = None) -> tuple[D
     source = d.select(k.alias("uid"), F.when(k % 7 == 0, F.concat(F.lit("s"), body)).otherwise(body).alias("body"), category.alias("category"))
     target = d.select(k.alias("uid"), F.when(k % 35 == 0, F.concat(F.lit("t"), body)).otherwise(body).alias("body"), F.when(k % 5 == 0, "changed").otherwise(category).alias("category"))
     return source, target, d.select(k.alias("uid"), body.alias("body"), category.alias("category"))
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mapping_id, id, last_modified, data: canon JSON of tasks; some payloads are no JSON, or no object."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    text = F.format_string(
+        '{"uid":"o%d","status":"%s","priority":"%s","categories":["c%d","c%d"],"providerExtras":{"etag":"e%d","tag":"t%d"}}',
+        k, "o_orderstatus", "o_orderpriority", k % 3, k % 5, k, k % 4,
+    )
+    data = F.when(k % 17 == 0, "{broken").when(k % 19 == 0, "[1]").otherwise(text)
+    return o.select(F.concat(F.lit("m"), k % 8).alias("mapping_id"), k.alias("id"), F.col("o_orderdate").alias("last_modified"), data.alias("data"))
+
+
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """uid, data: calendar texts with time zones, folded lines, repeated properties and nested alarms."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    kind = F.element_at(F.array(F.lit("VEVENT"), F.lit("VTODO"), F.lit("VFREEBUSY"), F.lit("VJOURNAL")), (k % 4 + 1).cast("int"))
+    zone = F.when(k % 2 == 0, "BEGIN:VTIMEZONE\r\nTZID:Europe/Paris\r\nRRULE:FREQ=YEARLY\r\nEND:VTIMEZONE\r\n").otherwise("")
+    own = F.format_string("UID:o%d\r\nSUMMARY;LANGUAGE=en:Order %d fol\r\n ded\r\nDTSTART;TZID=Europe/Paris:%sT080000\r\nSTATUS:%s\r\n", k, k, F.date_format("o_orderdate", "yyyyMMdd"), "o_orderstatus")
+    rest = F.lit("RRULE:FREQ=DAILY;COUNT=3\r\nEXDATE:20240101\r\nEXDATE:20240102\r\nBEGIN:VALARM\r\nTRIGGER:-PT15M\r\nEND:VALARM\r\n")
+    text = F.concat(F.lit("BEGIN:VCALENDAR\r\n"), zone, F.lit("BEGIN:"), kind, F.lit("\r\n"), own, rest, F.lit("END:"), kind, F.lit("\r\nEND:VCALENDAR\r\n"))
+    return o.select(F.concat(F.lit("o"), k).alias("uid"), text.alias("data"))
+
+
+def conflict_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A store of conflicts (id, mapping_id, uid, detected_at, decision, resolved_at, applied_at), and new ones (mapping_id, uid, detected_at)."""
+    e, k = table(spark, sf_dir, "events").where("event_id % 5 = 0"), F.col("event_id")
+    mapping = F.when(k % 15 != 0, F.concat(F.lit("m"), k % 4))
+    done, applied = k % 10 == 0, k % 20 == 0
+    store = e.select(
+        F.concat(F.lit("x"), k).alias("id"), mapping.alias("mapping_id"), F.concat(F.lit("u"), k).alias("uid"), F.col("ts").alias("detected_at"),
+        F.when(done, "source").alias("decision"), F.when(done, F.col("ts")).alias("resolved_at"), F.when(applied, F.col("ts")).alias("applied_at"),
+    )
+    new = e.where("event_id % 25 = 0").select(mapping.alias("mapping_id"), F.concat(F.lit("u"), k).alias("uid"), (F.col("ts") + F.expr("interval 1 day")).alias("detected_at"))
+    return store, new
+
+
+def bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """calendar, display_name, backend, remote, role, enabled, position: calendars bound to suppliers."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    role = F.when(k % 9 == 0, "primary").when(k % 5 == 0, "readonly").otherwise(F.concat(F.lit("sync"), k % 7))
+    return s.select(F.col("s_nationkey").alias("calendar"), F.when(F.col("s_nationkey") % 6 != 0, F.concat(F.lit("n"), "s_nationkey")).otherwise("").alias("display_name"), k.alias("backend"), (k % 2).alias("remote"), role.alias("role"), (k % 4 != 0).alias("enabled"), k.cast("int").alias("position"))
