@@ -61,7 +61,7 @@ QUERIES = {
     "a12_merge_properties": _merged_properties,
     "a14_link_entities": lambda s, d: identity.link_entities(derived.contacts(s, d)),
     "j21_event_roster": lambda s, d: identity.event_roster(derived.people(s, d), e := derived.contacts(s, d), identity.link_entities(e)),
-    "c7_canon_merge": lambda s, d: identity.canon_merge(*derived.canon(s, d, 200), ["body", "category"]),
+    "c7_canon_merge": lambda s, d: identity.canon_merge(*derived.canon(s, d), ["body", "category"]),
     "c7_canon_merge_whole": lambda s, d: identity.canon_merge(*derived.canon(s, d), ["body", "category"]),
     "w1_latest_state": lambda s, d: logs.latest_state(derived.log(s, d)),
     "w2_latest_per_writer": lambda s, d: logs.latest_per_writer(derived.log(s, d)),
@@ -157,7 +157,7 @@ SQL = {
     "a14_link_entities": _CONTACTS + "SELECT record, entity FROM entities",
     "j21_event_roster": _CONTACTS + """, people AS (SELECT o_orderkey AS event, unnest([0, 1, 2]) AS position, unnest(['c' || o_custkey || '@example.com', 'c' || (o_custkey + 1) || '@example.com', 'x' || o_custkey || '@example.com']) AS email FROM orders)
       SELECT event, CAST(position AS INTEGER) AS position, email, i.entity AS entity FROM people LEFT JOIN (SELECT email, min(entity) AS entity FROM edges JOIN entities USING (record) GROUP BY email) i USING (email)""",
-    "c7_canon_merge": """WITH x AS (SELECT doc_id AS uid, substr(text, 1, 200) AS body, lang AS category, doc_id % 7 = 0 AS s, doc_id % 5 = 0 AND lang <> 'changed' AS tc, doc_id % 35 = 0 AS tb FROM documents)
+    "c7_canon_merge": """WITH x AS (SELECT doc_id AS uid, text AS body, lang AS category, doc_id % 7 = 0 AS s, doc_id % 5 = 0 AND lang <> 'changed' AS tc, doc_id % 35 = 0 AS tb FROM documents)
       SELECT uid, CASE WHEN s THEN 'body' ELSE '' END AS changed_source, concat_ws(',', CASE WHEN tb THEN 'body' END, CASE WHEN tc THEN 'category' END) AS changed_target,
       CASE WHEN s THEN 's' || body WHEN tb THEN 't' || body ELSE body END AS body, CASE WHEN tc THEN 'changed' ELSE category END AS category FROM x""",
     "c7_canon_merge_whole": """WITH x AS (SELECT doc_id AS uid, text AS body, lang AS category, doc_id % 7 = 0 AS s, doc_id % 5 = 0 AND lang <> 'changed' AS tc, doc_id % 35 = 0 AS tb FROM documents)

@@ -74,10 +74,10 @@ def families(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows, staged
 
 
-def canon(spark: SparkSession, sf_dir: str, chars: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """source, target, baseline: uid, body, category of canon notes; with chars, bodies are cut to so many characters."""
+def canon(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """source, target, baseline: uid, body, category of canon notes, bodies whole."""
     d = table(spark, sf_dir, "documents")
-    k, body, category = F.col("doc_id"), F.substring("text", 1, chars) if chars else F.col("text"), F.col("lang")
+    k, body, category = F.col("doc_id"), F.col("text"), F.col("lang")
     source = d.select(k.alias("uid"), F.when(k % 7 == 0, F.concat(F.lit("s"), body)).otherwise(body).alias("body"), category.alias("category"))
     target = d.select(k.alias("uid"), F.when(k % 35 == 0, F.concat(F.lit("t"), body)).otherwise(body).alias("body"), F.when(k % 5 == 0, "changed").otherwise(category).alias("category"))
     return source, target, d.select(k.alias("uid"), body.alias("body"), category.alias("category"))

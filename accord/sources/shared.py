@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir; a temporary folder only where that is unset and all runs on one machine, as in tests."""
     sc = spark.sparkContext
     set_by = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_by:
         return set_by.rstrip("/")
     known = sc._jsc.sc().getCheckpointDir()
     if known.isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         known = sc._jsc.sc().getCheckpointDir()
     return known.get().rstrip("/")
