@@ -4,8 +4,7 @@ All shingles stand in one global order: rare ones first, by hash, then those in
 frequency. The order is cut into fragments, hot buckets by their counts. A fragment sees only its own part of every document's
 prefix (the rarest quarter of its shingles) and counts, per pair, the overlap within the fragment;
 the counts are summed per pair, and a bound on the whole overlap discards most pairs. What is left
-is verified on whole sets, again fragment by fragment and summed. Documents of equal sets are one
-class throughout. Lists longer than LONG give links to a few hub members at first; members that are
+is verified on whole sets, read once a class. Documents of equal sets are one class throughout. Lists longer than LONG give links to a few hub members at first; members that are
 still in different components afterwards are compared with each other, under the same bound, block
 by block in tasks apart, so no link is lost.
 """
@@ -48,8 +47,6 @@ MEMBERS = 2048
 BLOCK, COLUMNS = 1024, 8192
 #: Sizes of a list that are compared at once with all others.
 ROWS = 256
-#: Fragments in which whole sets are compared.
-VERIFY = 4
 
 
 def prefix_length(n):
@@ -279,43 +276,36 @@ def _filter(classes: DataFrame) -> np.ndarray:
 
 
 def _whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, n, v, own: the shingles of each wanted class by fragment v, once a class."""
+    """cls, n, own: the shingles of each wanted class, once a class."""
     bits = rows.sparkSession.sparkContext.broadcast(_filter(wanted.select("cls")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, seen = bits.value, set()
         width = (8 * len(flags)).bit_length() - 1
         for batch in batches:
-            out: list[tuple[int, int, int, np.ndarray]] = []
+            out: list[tuple[int, int, np.ndarray]] = []
             for _, own in shingle_sets(batch.column(0), WIDTH):
                 if not len(own) or (key := (set_digest(own), len(own))) in seen:
                     continue
                 _remember(seen, key)
                 at = int(mixed(np.array([key[0]], np.int64).view(np.uint64))[0]) >> (64 - width)
                 if flags[at >> 3] >> (at & 7) & 1:
-                    cut = np.searchsorted(own, _CUTS)
-                    out += [(*key, v, part.view(np.int64)) for v, part in enumerate(np.split(own, cut))]
+                    out.append((*key, own.view(np.int64)))
             if out:
-                flat = np.concatenate([x[3] for x in out])
-                ends = np.concatenate(([0], np.cumsum([len(x[3]) for x in out])))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))] + [lists], names=["cls", "n", "v", "own"])
+                ends = np.concatenate(([0], np.cumsum([len(x[2]) for x in out])))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x[2] for x in out])))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)] + [lists], names=["cls", "n", "own"])
 
-    sets = rows.select("text").mapInArrow(scan, "cls long, n long, v int, own array<long>").join(wanted, ["cls", "n"], "left_semi")
-    return written(sets.groupBy("cls", "n", "v").agg(F.first("own").alias("own")))
-
-
-_CUTS = np.array([(k << 64) // VERIFY for k in range(1, VERIFY)], np.uint64)
+    sets = rows.select("text").mapInArrow(scan, "cls long, n long, own array<long>").join(wanted, ["cls", "n"], "left_semi")
+    return written(sets.groupBy("cls", "n").agg(F.first("own").alias("own")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, na, b, nb of the pairs that link: the overlaps of their fragments, counted apart and summed."""
-    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), "v", F.col("own").alias("own_a"))
-    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "v", F.col("own").alias("own_b"))
-    met = pairs.select("a", "na", "b", "nb").join(left, ["a", "na"]).join(right, ["b", "nb", "v"])
-    met = met.select("a", "na", "b", "nb", F.size(F.array_intersect("own_a", "own_b")).cast("long").alias("part"))
-    total = met.groupBy("a", "na", "b", "nb").agg(F.sum("part").alias("overlap"))
-    return total.where("7 * overlap >= 3 * (na + nb)").drop("overlap")
+    """a, na, b, nb of the pairs that link."""
+    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("own").alias("own_a"))
+    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("own").alias("own_b"))
+    met = pairs.select("a", "na", "b", "nb").join(left, ["a", "na"]).join(right, ["b", "nb"])
+    return met.where(7 * F.size(F.array_intersect("own_a", "own_b")).cast("long") >= 3 * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb")
 
 
 def _node(cls: str, n: str) -> Column:
