@@ -1,9 +1,10 @@
 """Exact top-k search by inner product with a pivot table.
 
-Distances of every vector to a few pivots are computed once. For a query, the largest difference
-of pivot distances is a lower bound on its distance to a vector, hence an upper bound on their
-inner product; candidates are evaluated in the order of that bound until it falls below the k-th
-best score found.
+Distances of every vector to many pivots are computed once. Together they fix a vector's projection on
+the pivots' span and the length of the rest, so for a query and a vector the inner product is at most
+that of the projections plus the product of the two rests: the maximum lower bound on their distance.
+Candidates are evaluated in the order of that bound until it falls below the k-th best score known. A
+first such score comes from a bounded sample of vectors, so every block starts with a threshold.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOTS = 32
+#: Pivots, chosen far apart in a sample of so many vectors; fewer where vectors have fewer components.
+PIVOTS, SAMPLE = 48, 2048
 #: Vectors and queries of a block, on average.
 BLOCK, QUERIES = 4096, 512
 #: Candidates evaluated before the first look at the bound; then four times as many each time.
@@ -41,19 +43,44 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((y * y).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * y @ p.T, 0))
 
 
-def block_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, table: np.ndarray, pivots: np.ndarray, k: int) -> tuple[list, list, list, int]:
-    """For each query its k best of the block (ties to the smaller id), by bound order; and how many were evaluated."""
-    q_table = _distances(q, pivots)
-    bound = np.zeros((len(q), len(x)), np.float32)
-    for p in range(table.shape[1]):
-        np.maximum(bound, np.abs(q_table[:, p : p + 1] - table[None, :, p]).astype(np.float32), out=bound)
+def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
+    """Vectors of the sample, each the farthest from the span of those before it; fewer if the sample spans less."""
+    rest, chosen = sample.astype(np.float64), []
+    least = 1e-3 * np.sqrt((rest * rest).sum(1).max(initial=0))
+    while len(chosen) < count:
+        length = np.sqrt((rest * rest).sum(1))
+        at = int(np.argmax(length)) if len(length) else 0
+        if not len(length) or length[at] <= least:
+            break
+        chosen.append(at)
+        axis = rest[at] / length[at]
+        rest = rest - np.outer(rest @ axis, axis)
+    return sample[chosen]
+
+
+def projections(table: np.ndarray, lengths: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates in the pivots' span and the length of the rest, from distances to the pivots and squared lengths."""
+    p = pivots.astype(np.float64)
+    products = (lengths[:, None] + (p * p).sum(1)[None, :] - table * table) / 2
+    inside = np.linalg.solve(np.linalg.qr(p.T)[1].T, products.T).T if len(p) else np.zeros((len(table), 0))
+    return inside, np.sqrt(np.maximum(lengths - (inside * inside).sum(1), 0))
+
+
+def block_top(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray, x: np.ndarray, table: np.ndarray, pivots: np.ndarray, k: int) -> tuple[list, list, list, int]:
+    """For each query its k best of the block (ties to the smaller id) that may be among its k best of all, by bound order; and how many were evaluated.
+
+    floor: for each query a score that k other vectors are known to reach; candidates bounded below it are left out.
+    """
     length_q, length_x = (q.astype(np.float64) ** 2).sum(1), (x.astype(np.float64) ** 2).sum(1)
-    # distances carry rounding errors of a few parts in 10 ** 7, so the bound is slackened by more than that
-    low = np.maximum(bound.astype(np.float64) * (1 - 1e-6) - 1e-3 * (1 + np.sqrt(length_q.max(initial=0)) * 1e-3), 0)
-    upper = (length_q[:, None] + length_x[None, :] - low * low) / 2 + 1e-3
-    out_q, out_id, out_score, evaluated = [], [], [], 0
+    in_q, out_q = projections(_distances(q, pivots), length_q, pivots)
+    in_x, out_x = projections(table, length_x, pivots)
+    # rounding errors of distances and coordinates are a few parts in 10 ** 10 of the lengths; the slack is more
+    slack = 1e-6 * np.sqrt(length_q.max(initial=0) * length_x.max(initial=0)) + 1e-3
+    upper = in_q @ in_x.T + np.outer(out_q, out_x) + slack
+    found_q, found_id, found_score, evaluated = [], [], [], 0
     for i in range(len(q)):
-        order = np.argsort(-upper[i], kind="stable")
+        able = np.flatnonzero(upper[i] >= floor[i])
+        order = able[np.argsort(-upper[i, able], kind="stable")]
         done, step = 0, FIRST
         best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
         while done < len(order) and (len(best) < k or upper[i, order[done]] >= best[-1]):
@@ -62,10 +89,20 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
             best_ids, best = np.concatenate((best_ids, ids[part])), np.concatenate((best, _products(q[i : i + 1], x[part])[0]))
             top = np.lexsort((best_ids, -best))[:k]
             best_ids, best, done, step, evaluated = best_ids[top], best[top], done + step, step * 4, evaluated + len(part)
-        out_q += [q_ids[i]] * len(best)
-        out_id += best_ids.tolist()
-        out_score += best.tolist()
-    return out_q, out_id, out_score, evaluated
+        found_q += [q_ids[i]] * len(best)
+        found_id += best_ids.tolist()
+        found_score += best.tolist()
+    return found_q, found_id, found_score, evaluated
+
+
+def first_floor(q_ids: np.ndarray, q: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th best score among the sample's vectors, one a distinct id and never its own; none: the least number."""
+    none = np.full(len(q), np.iinfo(np.int64).min)
+    if len(sample) <= k:
+        return none
+    scores = _products(q, sample)
+    scores[q_ids[:, None] == sample_ids[None, :]] = np.iinfo(np.int64).min
+    return np.partition(scores, len(sample) - k, axis=1)[:, len(sample) - k]
 
 
 def _blocks(rows: DataFrame, count: int, pivots: np.ndarray | None) -> DataFrame:
@@ -93,24 +130,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     rows, asked = quantised(vectors), quantised(queries)
     n, n_asked = rows.count(), asked.count()
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()  # a fixed number
-    dims = max((len(r["v"]) for r in chosen), default=0)
-    same = [r["v"] for r in chosen if len(r["v"]) == dims]
-    pivots = np.array(same, np.int64).reshape(len(same), dims)
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # a fixed number
+    dims = max((len(r["v"]) for r in picked), default=0)
+    distinct = {r["vec_id"]: r["v"] for r in picked if len(r["v"]) == dims}
+    sample_ids, sample = np.array(list(distinct), np.int64), np.array(list(distinct.values()), np.int64).reshape(len(distinct), dims)
+    pivots = choose_pivots(sample, min(PIVOTS, max(1, 3 * dims // 4)))
     count, q_count = max(1, -(-n // BLOCK)), max(1, -(-n_asked // QUERIES))
     stored = _blocks(rows, count, pivots)
     sent = _blocks(asked, q_count, None).select("dims", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+    shared = vectors.sparkSession.sparkContext.broadcast((sample_ids, sample, pivots))  # SAMPLE vectors at most
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample_ids, sample, pivots = shared.value
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
                 own = row["dims"]
                 got = lambda name, kind=np.int64: np.frombuffer(row[name], kind)  # noqa: B023, E731
                 ids, x, q_ids, q = got("ids"), got("data").reshape(-1, own), got("q_ids"), got("q_data").reshape(-1, own)
+                known = sample.shape[1] == own
+                floor = first_floor(q_ids, q, sample_ids if known else sample_ids[:0], sample if known else np.zeros((0, own), np.int64), k)
                 table = got("pivot_table", np.float64).reshape(len(ids), -1)
-                use = pivots if table.shape[1] else np.zeros((0, own), np.int64)
-                a, b, c, _ = block_top(q_ids, q, ids, x, table, use, k)
+                use = pivots if known else np.zeros((0, own), np.int64)
+                a, b, c, _ = block_top(q_ids, q, floor, ids, x, table, use, k)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["query_id", "vec_id", "score"])
 
     met = stored.join(sent, ["block", "dims"]).mapInArrow(search, "query_id long, vec_id long, score long")

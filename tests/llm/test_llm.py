@@ -144,6 +144,23 @@ def test_top_k_is_exact(spark):
     assert knn.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_pivots_eliminate():
+    rng = np.random.default_rng(3)
+    x = np.floor(256 * (lambda v: v / np.linalg.norm(v, axis=1)[:, None])(rng.normal(size=(3000, 64)))).astype(np.int64)
+    q, ids = x[:40], np.arange(3000)
+    pivots = knn.choose_pivots(x[:2048], knn.PIVOTS)
+    floor = knn.first_floor(ids[:40], q, ids[:2048], x[:2048], 5)
+    got = knn.block_top(ids[:40], q, floor, ids, x, knn._distances(x, pivots), pivots, 5)
+    scores = q @ x.T
+    want = [sorted((-int(scores[i, j]), j) for j in range(3000) if j != i)[:5] for i in range(40)]
+    assert list(zip(*got[:3], strict=True)) == [(i, j, -s) for i, best in enumerate(want) for s, j in best]
+    assert got[3] < 0.25 * 40 * 3000
+    # bounds hold for vectors within the pivots' span, and without any pivot
+    flat = np.repeat(x[:3], 4, axis=0)
+    few = knn.choose_pivots(flat, 48)
+    assert len(few) == 3 and knn.block_top(ids[:2], q[:2], floor[:2] * 0 - 10**9, ids[:12], flat, knn._distances(flat, few), few, 5)[3] > 0
+
+
 def test_suffix_order_and_offsets():
     rng = random.Random(4)
     for size in (2, 5, 40):
