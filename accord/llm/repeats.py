@@ -259,14 +259,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row_hash"))
     every = written(_anchors(rows))
-    shared = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written, so that the join is of two plain exchanges and a hot string's anchors are split over tasks
+    shared = written(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     anchors = written(every.join(shared, "gram", "left_semi"))  # most anchors' strings occur once
     place = F.struct("row_hash", "low", "high", "at")
     contexts = written(anchors.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("place")))
     twice = contexts.where("n > 1").select(F.col("context").alias("again"), F.col("gram").alias("of"))
     settled = anchors.join(twice, (F.col("context") == F.col("again")) & (F.col("gram") == F.col("of")), "left_semi")
     settled = settled.select("row_hash", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end"))
-    open_ = contexts.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("gram")
+    open_ = written(contexts.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("gram"))
     asked = contexts.join(open_, "gram", "left_semi").select("gram", "place.*", (F.col("n") == 1).alias("single"))
     found = settled.unionByName(_compared(_surroundings(rows, asked)))
     spans = found.groupBy(F.col("row_hash").alias("of")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
