@@ -6,11 +6,15 @@ and only those whose anchors' strings are equal need ordering among each other.
 surroundings (all windows that have it as anchor) occur twice are settled by counting; the suffixes of
 the rest are sorted deep-shallow: multikey quicksort to a shallow depth, blind tries for groups
 with longer common prefixes. Neighbours' common prefixes, to the right and to the left of the
-anchor, say which windows occur again.
+anchor, say which windows occur again. A string with very many differing surroundings is first
+dealt by keys that go deeper: the bytes that STEP neighbouring windows have in common, and, where a
+crowd shares even those, the windows themselves. So no task holds a crowd.
 """
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +31,9 @@ GRAM = 128
 SHALLOW = 64
 #: Groups up to this size are compared pair by pair along the order.
 FEW = 12
+#: Differing surroundings of one anchor string from which they are dealt by longer common strings, STEP offsets to a string.
+CROWD, STEP = 4096, 16
+AROUND = ("row_hash", "gram", "low", "at", "single", "bytes")
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -244,11 +251,68 @@ def _compared(around: DataFrame) -> DataFrame:
             out = list(settle(group))
             yield pa.RecordBatch.from_pydict({c: [x[k] for x in out] for k, c in enumerate(("row_hash", "start", "end"))}, schema)
 
-    names = ["row_hash", "gram", "low", "at", "single", "bytes"]
+    names = list(AROUND)
     schema = pa.schema([("row_hash", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
     return around.select(*names).repartition("gram").sortWithinPartitions("gram").mapInArrow(scan, "row_hash long, start long, end long")
 
 
+def _cores(around: DataFrame, step: int) -> DataFrame:
+    """row_hash, at, low, single, run, core: for each run of `step` offsets of each surrounding, a hash of what its windows share."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row, gram, low, at, single, data in zip(*(batch.column(c).to_pylist() for c in AROUND), strict=True):
+                before = at - low
+                for run in range(max(0, before - len(data) + LENGTH) // step, before // step + 1):
+                    begin = before - run * step
+                    core = hashlib.blake2b(struct.pack("<qq", gram, run) + data[begin : begin - step + 1 + LENGTH], digest_size=8).digest()
+                    out.append((row, at, low, single, run, int.from_bytes(core, "little", signed=True)))
+            yield pa.RecordBatch.from_pydict({c: [x[k] for x in out] for k, c in enumerate(schema.names)}, schema)
+
+    schema = pa.schema([(c, pa.bool_() if c == "single" else pa.int64()) for c in ("row_hash", "at", "low", "single", "run", "core")])
+    return around.mapInArrow(scan, "row_hash long, at long, low long, single boolean, run long, core long")
+
+
+def _shared_cores(cores: DataFrame) -> DataFrame:
+    """The cores that occur more than once, with n, the number of surroundings that hold each. Counted within each task first."""
+    return cores.join(written(cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")), "core")
+
+
+def _dealt(around: DataFrame, step: int) -> DataFrame:
+    """The columns of around and crowd: a row for each run of offsets whose core others hold, with the core for gram."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row, _, low, at, single, data, runs in zip(*(batch.column(c).to_pylist() for c in (*AROUND, "runs")), strict=True):
+                least, most = max(0, at - low - len(data) + LENGTH), at - low
+                for x in runs:
+                    first, last = max(x["run"] * step, least), min(x["run"] * step + step - 1, most)
+                    out.append((row, x["core"], at - last, at, single, data[most - last : most - first + LENGTH], x["crowd"]))
+            yield pa.RecordBatch.from_pydict({c: [x[k] for x in out] for k, c in enumerate(schema.names)}, schema)
+
+    kinds = {"single": pa.bool_(), "crowd": pa.bool_(), "bytes": pa.binary()}
+    schema = pa.schema([(c, kinds.get(c, pa.int64())) for c in (*AROUND, "crowd")])
+    shared = _shared_cores(written(_cores(around, step)))
+    runs = shared.groupBy("row_hash", "at", "low").agg(F.collect_list(F.struct("run", "core", (F.col("n") > CROWD).alias("crowd"))).alias("runs"))
+    met = around.join(runs, ["row_hash", "at", "low"]).select(*AROUND, "runs")
+    return met.mapInArrow(cut, "row_hash long, gram long, low long, at long, single boolean, bytes binary, crowd boolean")
+
+
+def _settled(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """row_hash, start, end: bytes covered by windows of the asked surroundings that other asked ones have."""
+    around = _surroundings(rows, asked.where("not crowd"))
+    if not asked.where("crowd").limit(1).count():
+        return _compared(around)
+    crowds = written(_surroundings(rows, asked.where("crowd")).dropDuplicates(["row_hash", "at", "low"]))
+    dealt = written(_dealt(crowds, STEP))
+    # where a crowd shares even the longer string, keys of the windows' whole depth leave equal ones together, to be counted
+    last = _shared_cores(written(_cores(dealt.where("crowd").drop("crowd"), 1))).where("single")
+    last = last.select("row_hash", (F.col("at") - F.col("run")).alias("start"), (F.col("at") - F.col("run") + LENGTH).alias("end"))
+    return _compared(around.unionByName(dealt.where("not crowd").drop("crowd"))).unionByName(last)
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text, spans: each input row with the byte runs covered by a LENGTH-byte string found elsewhere.
 
@@ -267,9 +331,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     twice = contexts.where("n > 1").select(F.col("context").alias("again"), F.col("gram").alias("of"))
     settled = anchors.join(twice, (F.col("context") == F.col("again")) & (F.col("gram") == F.col("of")), "left_semi")
     settled = settled.select("row_hash", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end"))
-    open_ = written(contexts.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("gram"))
-    asked = contexts.join(open_, "gram", "left_semi").select("gram", "place.*", (F.col("n") == 1).alias("single"))
-    found = settled.unionByName(_compared(_surroundings(rows, asked)))
+    open_ = written(contexts.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("gram", (F.col("k") > CROWD).alias("crowd")))
+    asked = contexts.join(open_, "gram").select("gram", "place.*", (F.col("n") == 1).alias("single"), "crowd")
+    found = settled.unionByName(_settled(rows, asked))
     spans = found.groupBy(F.col("row_hash").alias("of")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return rows.join(spans, F.col("row_hash") == F.col("of"), "left").select("doc_id", "text", "spans")
 

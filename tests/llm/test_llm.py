@@ -178,7 +178,25 @@ def test_suffix_order_and_offsets():
             assert got[i] == want
 
 
+def test_crowds_of_surroundings(spark, docs, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", 3)
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, rows = make(520), []
+    for k in range(60):
+        cut, end = rng.randrange(60), 520 - rng.randrange(60)
+        rows.append((k, make(rng.randrange(300)) + rng.choice(["", "xy", "xz"]) + passage[cut:end] + make(rng.randrange(300))))
+    rows += [(60, rows[0][1]), (60, rows[0][1]), (61, passage), (62, passage[:399])]
+    check_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    check_repeats(docs)
+
+
 def test_repeats(docs, empty):
+    check_repeats(docs)
+    assert repeats.digest(empty).count() == 0
+
+
+def check_repeats(docs):
     rows = [(k, t.encode()) for k, t in held(docs)]
     seen = Counter(t[i : i + 400] for _, t in rows for i in range(len(t) - 399))
     for r in repeats.digest(docs).collect():
@@ -188,7 +206,6 @@ def test_repeats(docs, empty):
             if seen[t[i : i + 400]] > 1:
                 gone[i : i + 400] = b"\1" * 400
         assert (r.n_removed, r.kept_sha256) == (sum(gone), hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest())
-    assert repeats.digest(empty).count() == 0
 
 
 def test_near_duplicates(docs, empty):
