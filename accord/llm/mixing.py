@@ -143,5 +143,9 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
+    """doc_id, size, source_size, target, taken of every input row, repeated rows each on their own.
+
+    Null texts have size 0, and nothing is taken of them; a null source is one source, the last.
+    Other columns are not read; empty input gives no rows.
+    """
     return mix(written(sizes(docs))).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

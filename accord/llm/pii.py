@@ -159,7 +159,11 @@ def _joined(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, base_sha256, spans, n_terms."""
+    """doc_id, counts by kind, base_sha256, spans, n_terms of every input row.
+
+    Null and empty texts have no spans: counts of 0 and the hash of the empty string. Repeated rows
+    have equal results. Other columns are not read; empty input gives no rows.
+    """
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     rows = sanitise_spans(docs)
     return rows.select("doc_id", *map(of, KINDS), F.sha2(_joined(F.col("spans")), 256).alias("base_sha256"), _joined(F.concat("spans", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_terms"))

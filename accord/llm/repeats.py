@@ -365,4 +365,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every input row.
+
+    Null texts count as empty: nothing removed, the hash of no bytes. Repeated rows repeat each
+    other, so from LENGTH bytes on they are removed whole, each of them. Other columns are not read;
+    empty input gives no rows.
+    """
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

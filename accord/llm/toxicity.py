@@ -178,5 +178,11 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted of every input row.
+
+    Null texts count as empty and are scored by their patterns and the bias; equal texts have equal
+    scores, so repeated rows have equal results. A row without doc_id is not held out. Other columns
+    are not read; empty input gives no rows.
+    """
     scored = score_documents(docs, learn(docs, labels))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
