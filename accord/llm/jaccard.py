@@ -1,7 +1,8 @@
 """Near-duplicates by exact Jaccard similarity of word shingles, with vertical partitioning.
 
-All shingles stand in one global order: rare ones first, by hash, then those in hot buckets by
-frequency. The order is cut into fragments, hot buckets by their counts. A fragment sees only its own part of every document's
+All shingles stand in one global order: rare ones first, by hash, then those that a first count over
+prefixes found in many sets, then those in hot buckets by frequency. The order is cut into fragments,
+hot buckets by their counts. A fragment sees only its own part of every document's
 prefix (the rarest quarter of its shingles) and counts, per pair, the overlap within the fragment;
 the counts are summed per pair, and a bound on the whole overlap discards most pairs. What is left
 is verified on whole sets, read once a class. Documents of equal sets are one class throughout. Lists longer than LONG give links to a few hub members at first; members that are
@@ -39,7 +40,7 @@ REMEMBER = 200_000
 LONG = 8
 #: Turns in which open lists are linked through so many further hubs, before the rest is compared pair by pair.
 TURNS, HUBS = 1, 4
-#: Bits of the filter on classes that need verifying, at most (16 MB); false hits only cost time.
+#: Bits of the filters on classes that need verifying and on common shingles, at most (16 MB each); false hits only cost time.
 FILTER_BITS = 27
 #: Members of a list in one block, on average; a task compares two blocks.
 MEMBERS = 2048
@@ -60,6 +61,11 @@ def _remember(seen: set, key: tuple) -> None:
     seen.add(key)
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys over all shuffle partitions: what costs time here is small in bytes, which Spark would merge."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _unlike(*keys: np.ndarray) -> np.ndarray:
     """Whether each row of sorted keys differs from the one before."""
     new = np.ones(len(keys[0]), bool)
@@ -141,7 +147,54 @@ def _ranges(keys: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[new], np.where(wide[new], -(-totals[new] // FRAGMENT), 1)
 
 
-def _postings(rows: DataFrame, levels, fragments: int) -> DataFrame:
+def _flagged(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter holds each of keys (or seems to)."""
+    at = mixed(keys) >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _common(rows: DataFrame, levels, fragments: int) -> DataFrame:
+    """h: shingles, cut to 48 bits, that more than LONG prefixes hold, those in hot buckets aside.
+
+    Prefixes are cut by the levels alone here. Equal sets of different tasks count again: the result
+    only puts shingles later in the global order, which any function of the shingle may do.
+    """
+
+    def blobs(held: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.sort(np.concatenate(held))
+        fragment = ((h >> np.uint64(40)) * np.uint64(fragments) >> np.uint64(24)).astype(np.int32)
+        cut = np.flatnonzero(_unlike(fragment)) if len(h) else np.zeros(0, np.int64)
+        short = (h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        return pa.RecordBatch.from_arrays([pa.array(fragment[cut]), pa.array([short[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(h)], strict=True)], pa.binary())], names=["fragment", "hashes"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (level_of, *_), seen, held, size = levels.value, set(), [], 0
+        for batch in batches:
+            for _, own in shingle_sets(batch.column(0), WIDTH):
+                if not len(own) or (key := (set_digest(own), len(own))) in seen:
+                    continue
+                _remember(seen, key)
+                rare = own[level_of[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] == 0]
+                held.append(rare[: prefix_length(len(own))])
+                size += len(held[-1])
+                if size > GATHER:
+                    yield blobs(held)
+                    held, size = [], 0
+        if held:
+            yield blobs(held)
+
+    def count(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in table.column("hashes").to_pylist()]
+        wide = np.zeros((sum(len(x) for x in parts), 8), np.uint8)
+        wide[:, :6] = np.concatenate(parts)
+        h = np.sort(wide.view("<u8").reshape(-1))
+        first = np.flatnonzero(_unlike(h))
+        return pa.table({"h": h[first][np.diff(np.append(first, len(h))) > LONG].view(np.int64)})
+
+    return rows.select("text").mapInArrow(scan, "fragment int, hashes binary").groupBy("fragment").applyInArrow(count, "h long")
+
+
+def _postings(rows: DataFrame, levels, common, fragments: int) -> DataFrame:
     """fragment, hashes, owners, classes, sizes (binary): the prefixes' shingles, many to a row, cut by fragment.
 
     Hashes are cut to 48 bits here: a chance meeting only adds a pair to be verified. owners are numbers
@@ -175,14 +228,14 @@ def _postings(rows: DataFrame, levels, fragments: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(fragment[cut], pa.int32()), *(pa.array(x, pa.binary()) for x in rows)], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (level_of, *_), seen = levels.value, set()
+        (level_of, *_), flags, seen = levels.value, common.value, set()
         hashes, classes, sizes, held = [], [], [], 0
         for batch in batches:
             for _, own in shingle_sets(batch.column(0), WIDTH):
                 if not len(own) or (key := (set_digest(own), len(own))) in seen:
                     continue
                 _remember(seen, key)
-                level = level_of[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                level = np.maximum(level_of[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], _flagged(flags, own >> np.uint64(16)))
                 if level.any():
                     own = own[np.argsort(level, kind="stable")]
                 hashes.append(own[: prefix_length(len(own))])
@@ -259,7 +312,7 @@ def _meets(postings: DataFrame) -> DataFrame:
 
 
 def _filter(classes: DataFrame) -> np.ndarray:
-    """A bitmap on which every class's bit is set: about 16 bits a class, 2 ** FILTER_BITS at most."""
+    """A bitmap on which the bit of every row's first column is set: about 16 bits a row, 2 ** FILTER_BITS at most."""
     width = min(FILTER_BITS, max(16, (16 * classes.count()).bit_length()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,7 +428,7 @@ def _viable(placed: DataFrame) -> DataFrame:
     best = per.withColumn("rank", rank).where("rank <= 2").groupBy("h", "n").agg(
         F.max(F.when(F.col("rank") == 1, F.col("most"))).alias("most"), F.max(F.when(F.col("rank") == 1, F.col("root_hash"))).alias("root_hash"), F.max(F.when(F.col("rank") == 2, F.col("most"))).alias("other"),
     )
-    found = best.groupBy("h").applyInArrow(needs, "h long, n long, least long, own long, own_least long")
+    found = _dealt(best, "h").groupBy("h").applyInArrow(needs, "h long, n long, least long, own long, own_least long")
     kept = rows.join(found, ["h", "n"]).where("lists >= if(root_hash = own, own_least, least)")
     return written(kept.select("h", "cls", "n", "root"))
 
@@ -459,7 +512,8 @@ def _cross_pairs(placed: DataFrame) -> DataFrame:
 
     held = placed.groupBy("cls", "n").agg(F.collect_set("h").alias("lists"))
     rows = _paired(placed).join(held, ["cls", "n"]).select("h", "xb", "xs", "yb", "ys", "side", "cls", "n", F.xxhash64("root").alias("root"), "lists")
-    return rows.groupBy("h", "xb", "xs", "yb", "ys").applyInArrow(compare, "a long, na long, b long, nb long")
+    keys = ["h", "xb", "xs", "yb", "ys"]
+    return _dealt(rows, *keys).groupBy(*keys).applyInArrow(compare, "a long, na long, b long, nb long")
 
 
 def _bounded(pairs: DataFrame, held: DataFrame, summed: DataFrame) -> DataFrame:
@@ -512,7 +566,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shingles = own.agg(F.sum("n")).first()[0] or 0
     levels = docs.sparkSession.sparkContext.broadcast(_levels(scanned, shingles))
     fragments = max(6, -(-shingles // (4 * FRAGMENT)))
-    met = written(_meets(_postings(rows, levels, fragments)))
+    common = docs.sparkSession.sparkContext.broadcast(_filter(written(_common(rows, levels, fragments))))
+    met = written(_meets(_postings(rows, levels, common, fragments)))
     pairs = met.where("b is not null")
     lists = met.where("b is null").select(F.col("shared").alias("h"), F.col("a").alias("cls"), F.col("na").alias("n"))
     summed = written(pairs.groupBy("a", "na", "b", "nb").agg(F.sum(F.greatest("shared", F.lit(0))).alias("shared"), F.count_if(F.col("shared") < 0).alias("hubs")))

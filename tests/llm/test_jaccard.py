@@ -23,7 +23,7 @@ def near_copies(count, length=120, seed=6):
 
 def lowest_linked(rows):
     words = [t.split() for _, t in rows]
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
     low = list(range(len(sets)))
     links = [(a, b) for a in low for b in low if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     for _ in sets:
@@ -91,3 +91,23 @@ def test_viable_members(members):
     count = Counter(who for _, who in rows)
     rows = [(h, x) for h, x in rows if any(g == h and able(x, y, min(count[x], count[y])) for g, y in rows)]
     assert sorted((r.h, (r.cls, r.n, tuple(r.root))) for r in jaccard._viable(placed).collect()) == sorted(rows) and rows
+
+
+def test_shingles_of_many_prefixes_come_late(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(k, " ".join([*(f"u{k}x{j}" for j in range(rng.randrange(20, 80))), passage, *(f"v{k}x{j}" for j in range(20))])) for k in range(40)]
+    rows += [(40 + k, t) for k, t in near_copies(30, 60, seed=4)] + [(70, ""), (71, None), (72, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    plain = jaccard._common
+    monkeypatch.setattr(jaccard, "_common", lambda *a: seen.append(plain(*a)) or seen[-1])
+    got = {r.doc_id: r.component_id for r in jaccard.digest(docs).collect()}
+    want = lowest_linked([(k, t or f"none{k}") for k, t in rows])  # rows without words link with nothing
+    assert [got[k] for k in range(73)] == want and want[72] == 0
+    common = {r.h for r in seen[0].collect()}
+    counts = Counter(int(x) >> 16 for _, own in jaccard.shingle_sets(docs.select(F.coalesce("text", F.lit(""))).toArrow().column(0).combine_chunks(), 5) for x in own)
+    assert common and all(counts[h] > jaccard.LONG for h in common)
+    assert [r for r in plain(jaccard.keyed(docs.limit(0)), spark.sparkContext.broadcast((np.zeros(1 << jaccard.BUCKET_BITS, np.uint8),)), 6).collect()] == []
