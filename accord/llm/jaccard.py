@@ -460,9 +460,11 @@ def _paired(placed: DataFrame) -> DataFrame:
 def _cross_pairs(placed: DataFrame) -> DataFrame:
     """a, na, b, nb: pairs of different components that share enough long lists. Pairs are counted, not sent.
 
-    Every member brings the lists that it is in, so a task of two blocks of a list knows each pair's
-    overlap over all lists; a pair is given by the first list that it shares. Overlaps are summed over
-    COLUMNS lists at a time for BLOCK members by BLOCK, so the lists of all members set no bound.
+    Lists whose member of lowest hash is the same make one bundle, as lists of a group of near copies
+    do, so that a member is sent once a bundle. Every member brings the lists that it is in, so a task
+    of two blocks of a bundle knows each pair's overlap over all lists; a pair is given by the first
+    bundle in which it shares a list. Overlaps are summed over COLUMNS lists at a time for BLOCK
+    members by BLOCK, so the lists of all members set no bound.
     """
 
     def compare(table: pa.Table) -> pa.Table:
@@ -471,14 +473,19 @@ def _cross_pairs(placed: DataFrame) -> DataFrame:
         cls, n, root, side, here = column("cls"), column("n"), column("root"), column("side"), table.column("h")[0].as_py()
         own, turn = side[0] == 2, len(side) if side[0] == 2 else int(np.searchsorted(side, 1))
         lists = table.column("lists").combine_chunks()
-        flat, count = np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets))
-        known, place, members = np.unique(flat, return_inverse=True, return_counts=True)
+        flat, count = lists.flatten(), np.diff(np.asarray(lists.offsets))
+        order = np.lexsort((np.asarray(flat.field("list")), np.asarray(flat.field("h"))))
+        bundle, of = (np.asarray(flat.field(x))[order] for x in ("h", "list"))
+        new = _unlike(bundle, of)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        known, members = bundle[new], np.diff(np.append(np.flatnonzero(new), len(order)))
         # lists of one member here are shared by none
         shared = members > 1
         inside = shared[place]
         member, place, known = np.repeat(np.arange(len(cls)), count)[inside], (np.cumsum(shared) - 1)[place[inside]], known[shared]
-        first = int(np.searchsorted(known, here))
-        cuts = sorted({0, first, len(known), *range(0, len(known), COLUMNS)})
+        first, last = int(np.searchsorted(known, here)), int(np.searchsorted(known, here, "right"))
+        cuts = sorted({0, first, last, len(known), *range(0, len(known), COLUMNS)})
 
         def block(x: slice, low: int, high: int) -> np.ndarray:
             a, b = np.searchsorted(member, (x.start, x.stop))
@@ -488,7 +495,7 @@ def _cross_pairs(placed: DataFrame) -> DataFrame:
             return held
 
         out = []
-        for i in range(0, turn, BLOCK):
+        for i in range(0, turn if first < last else 0, BLOCK):
             x = slice(i, min(i + BLOCK, turn))
             for j in range(i if own else turn, len(cls), BLOCK):
                 y = slice(j, min(j + BLOCK, len(cls)))
@@ -501,6 +508,8 @@ def _cross_pairs(placed: DataFrame) -> DataFrame:
                     if low == first:
                         ok &= overlap == 0
                     overlap += block(x, low, high) @ block(y, low, high).T
+                    if high == last:
+                        ok &= overlap > 0
                 p, q = np.nonzero(ok & (overlap >= _needed(small, large)))
                 if own and i == j:
                     p, q = p[keep := p < q], q[keep]
@@ -510,8 +519,10 @@ def _cross_pairs(placed: DataFrame) -> DataFrame:
         p, q = np.where(swap, q, p), np.where(swap, p, q)
         return pa.table({"a": cls[p], "na": n[p], "b": cls[q], "nb": n[q]})
 
-    held = placed.groupBy("cls", "n").agg(F.collect_set("h").alias("lists"))
-    rows = _paired(placed).join(held, ["cls", "n"]).select("h", "xb", "xs", "yb", "ys", "side", "cls", "n", F.xxhash64("root").alias("root"), "lists")
+    bundle = placed.groupBy("h").agg(F.min(F.xxhash64("cls", "n")).alias("bundle"))
+    rows = placed.join(bundle, "h").select(F.col("bundle").alias("h"), F.col("h").alias("list"), "cls", "n", "root")
+    held = rows.groupBy("cls", "n").agg(F.collect_set(F.struct("h", "list")).alias("lists"))
+    rows = _paired(rows.select("h", "cls", "n", "root").distinct()).join(held, ["cls", "n"]).select("h", "xb", "xs", "yb", "ys", "side", "cls", "n", F.xxhash64("root").alias("root"), "lists")
     keys = ["h", "xb", "xs", "yb", "ys"]
     return _dealt(rows, *keys).groupBy(*keys).applyInArrow(compare, "a long, na long, b long, nb long")
 
