@@ -157,30 +157,6 @@ def reabsorbable(masters: DataFrame, exceptions: DataFrame) -> DataFrame:
     return met.select("uid", "recurrence_id", F.coalesce(same, F.lit(False)).alias("same"))
 
 
-def split_series(masters: DataFrame, splits: DataFrame, exceptions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Masters (uid, start, rrule) cut at instants (uid, at): heads, tails, exceptions (uid, recurrence_id) of both, errors (uid, error).
-
-    A head's rule ends a second before the instant, or stays where it ends earlier. A tail is named
-    <uid>-split-<instant>, starts at it and keeps the rule. Exceptions at or after it go with the tail.
-    Errors: a rule with COUNT, no rule, an id that is no master.
-    """
-    stamp = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    met = splits.join(masters, "uid", "left")
-    part = rrule_parts(F.col("rrule"))
-    error = F.when(F.col("start").isNull(), "no master").when(F.coalesce("rrule", F.lit("")) == "", "no rule").when(F.try_element_at(part, F.lit("COUNT")).isNotNull(), "count-bounded")
-    met = met.withColumn("error", error)
-    good = met.where("error is null")
-    until = F.try_element_at(part, F.lit("UNTIL"))
-    new = F.date_format(F.col("at") - F.expr("interval 1 second"), "yyyyMMdd'T'HHmmss'Z'")
-    ends = F.when(F.length(until) == 8, F.concat(until, F.lit("T235959Z"))).otherwise(until)
-    bounded = F.concat(F.regexp_replace(F.regexp_replace("rrule", ";UNTIL=[^;]*", ""), "UNTIL=[^;]*;?", ""), F.lit(";UNTIL="), new)
-    heads = good.select("uid", "start", F.when(ends <= new, F.col("rrule")).otherwise(bounded).alias("rrule"))
-    tail = F.concat(F.col("uid"), F.lit("-split-"), F.regexp_replace(stamp, "[^A-Za-z0-9]", ""))
-    tails = good.select(tail.alias("uid"), F.col("at").alias("start"), "rrule")
-    moved = exceptions.join(good.select("uid", "at", tail.alias("tail")), "uid", "left")
-    return heads, tails, moved.select(F.when(F.col("recurrence_id") >= F.col("at"), F.col("tail")).otherwise(F.col("uid")).alias("uid"), "recurrence_id"), met.where("error is not null").select("uid", "error")
-
-
 def format_property(name: str, value: Column) -> Column:
     """A property's value for display: status in words, priority with its level, a rule in short, dates with dashes."""
     if name == "STATUS":

@@ -41,10 +41,21 @@ def strip_line(text: Column, name: str) -> Column:
     return F.regexp_replace(text, rf"(?mi)^{name}[;:][^\r\n]*\r?\n?", "")
 
 
+def once(value: Column, body) -> Column:
+    """body(value) with value computed once a row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def last_of_each(entries: Column) -> Column:
+    """A map of array<struct<key, value>> in which the last entry of a repeated key counts."""
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])))
+
+
 def rrule_parts(rule: Column) -> Column:
-    """Map of a recurrence rule's parts, keys in upper case."""
-    body = F.regexp_replace(rule, "(?i)^RRULE:", "")
-    return F.transform_keys(F.str_to_map(body, F.lit(";"), F.lit("=")), lambda k, _: F.upper(k))
+    """Map of a recurrence rule's parts, keys in upper case; of a repeated key the last counts, a part without '=' is none."""
+    parts = F.filter(F.split(F.regexp_replace(rule, "(?i)^RRULE[^:]*:", ""), ";"), lambda x: F.locate("=", x) > 1)
+    entry = lambda x: F.struct(F.upper(F.substring_index(x, "=", 1)).alias("key"), F.substr(x, F.locate("=", x) + 1).alias("value"))
+    return once(F.transform(parts, entry), last_of_each)
 
 
 def is_complex_recurrence(lines: Column) -> Column:

@@ -67,7 +67,7 @@ def google_event_to_canon(event: Column) -> Column:
     fields = {canon: _json(_text(event, own)) for own, canon in EVENT_TEXTS.items()}
     fields |= {key: F.when(at(key).isin("true", "false"), at(key)) for key in EVENT_FLAGS}
     fields |= {"status": _json(F.lower(_text(event, "status"))), "created": _json(_utc(_text(event, "created"))), "lastModified": _json(_utc(_text(event, "updated")))}
-    fields |= {"sequence": F.when(at("sequence").rlike(r"^-?\d+(\.\d+)?$"), at("sequence").cast("double").cast("long").cast("string"))}
+    fields |= {"sequence": F.when(at("sequence").rlike(r"^-?\d+(\.\d+)?$"), at("sequence").try_cast("double").try_cast("long").cast("string"))}
     start = google_time(at("start"))
     fields |= {"start": start, "allDay": F.when(start.contains('"allDay":true'), F.lit("true")), "end": google_time(at("end")), "recurrenceId": google_time(at("originalStartTime"))}
     fields |= {"recurrence": F.when(at("recurrence").rlike(r"^\[.+\]$"), at("recurrence")), "organizer": F.when(at("organizer").isNotNull(), person(at("organizer")))}
@@ -98,21 +98,25 @@ def ms_contact_phones(contact: Column) -> Column:
     return F.concat(typed(e["homePhones"], "home"), typed(e["businessPhones"], "work"), typed(F.array(e["mobilePhone"]), "mobile"))
 
 
-def flatten_json(df: DataFrame, id_: str, column: str, depth: int = 6) -> DataFrame:
-    """id, path, value (JSON text) of every leaf of a JSON column, down to `depth` levels; what lies deeper is one value."""
-    level = df.select(F.col(id_), F.lit("$").alias("path"), F.try_parse_json(column).alias("v")).where("v is not null")
-    out = None
-    for k in range(depth + 1):
+def flatten_json(df: DataFrame, id_: str, column: str) -> DataFrame:
+    """id, path, value (JSON text) of every leaf of a JSON column, at any depth; text that is no JSON gives no row.
+
+    Each level of nesting is a written table, exploded once into the next; the input is read once. Empty objects and
+    arrays are leaves.
+    """
+    level = written(df.select(F.col(id_).alias("__id"), F.lit("$").alias("path"), F.try_parse_json(column).alias("v")).where("v is not null"))
+    spark, out = df.sparkSession, None
+    while True:
         kind = F.schema_of_variant("v")
         nested = (kind.startswith("OBJECT<") & (kind != "OBJECT<>")) | (kind.startswith("ARRAY<") & (F.to_json("v") != "[]"))
-        leaves = level.where(~nested if k < depth else F.lit(True)).select(id_, "path", F.to_json("v").alias("value"))
+        marked = level.withColumn("__nested", nested)
+        leaves = marked.where("not __nested").select(F.col("__id").alias(id_), "path", F.to_json("v").alias("value"))
         out = leaves if out is None else out.unionByName(leaves)
-        if k == depth:
+        inner = written(spark.sql("""SELECT l.__id, concat(l.path, CASE WHEN t.key IS NULL THEN concat('[', t.pos, ']') ELSE concat('.', t.key) END) AS path, t.value AS v
+          FROM {level} l, LATERAL variant_explode(l.v) t WHERE l.__nested""", level=marked))
+        if inner.isEmpty():
             return out
-        inner = level.where(nested)
-        fields = inner.select(id_, "path", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("key", "v")).select(id_, F.concat("path", F.lit("."), "key").alias("path"), "v")
-        items = inner.select(id_, "path", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("at", "v")).select(id_, F.concat("path", F.lit("["), "at", F.lit("]")).alias("path"), "v")
-        level = fields.unionByName(items)
+        level = inner
 
 
 def undeclared_differences(a: DataFrame, b: DataFrame, id_: str, patterns: list[str]) -> DataFrame:
@@ -124,20 +128,40 @@ def undeclared_differences(a: DataFrame, b: DataFrame, id_: str, patterns: list[
     return met
 
 
-def pseudonymise(df: DataFrame, order: str, columns: dict[str, str]) -> DataFrame:
-    """df with each named column's values replaced by '<word><number>', numbered by first appearance in `order`.
+def pseudonym_dictionary(tables: list[tuple[DataFrame, str, dict[str, str]]]) -> DataFrame:
+    """word, value, name ('<word><number>') over several tables (rows, order column, {column: word}).
 
-    Equal values get equal names over all rows, so links hold. Numbers come from sorted first places, joined
-    back by value; null stays null.
+    A value has one name for its word wherever it is found; numbers go by the first place: the table's, then the
+    order's, then the column's, among all values of the word. Null has none. Values are ranged by first place and
+    each range's numbers go on from those before it.
+    """
+    found = None
+    for k, (df, order, columns) in enumerate(tables):
+        given = F.array(*(F.struct(F.lit(word).alias("word"), F.col(c).cast("string").alias("value"), F.lit(i).alias("c")) for i, (c, word) in enumerate(columns.items())))
+        one = df.select(F.lit(k).alias("t"), F.col(order).alias("at"), F.explode(given).alias("x")).select("x.word", "x.value", F.struct("t", F.col("at"), "x.c").alias("place")).where("value is not null")
+        found = one if found is None else found.unionByName(one)
+    first = found.groupBy("word", "value").agg(F.min("place").alias("place"))
+    ranged = written(first.repartitionByRange("word", "place", "value").withColumn("__part", F.spark_partition_id()))
+    own = F.row_number().over(Window.partitionBy("__part", "word").orderBy("place", "value"))
+    counts = ranged.groupBy("__part", "word").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("word").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__part", "word", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return ranged.withColumn("__k", own).join(starts, ["__part", "word"]).select("word", "value", F.concat("word", (F.col("__start") + F.col("__k")).cast("string")).alias("name"))
+
+
+#: Forms that a value is found in and its name is put into: '{}' stands for the name.
+PLAIN = "{}"
+
+
+def pseudonymise(df: DataFrame, order: str, columns: dict[str, str], names: DataFrame | None = None, forms: dict[str, str] | None = None) -> DataFrame:
+    """df with each named column's values replaced by their names '<word><number>'; null stays null.
+
+    names: a dictionary made over more tables; else one over these columns, so that columns of one word share
+    their numbering and equal values have equal names in all of them. forms: by column, a text in which '{}' stands for the name,
+    so that an address stays an address ('{}@example.com').
     """
+    names = written(pseudonym_dictionary([(df, order, columns)]) if names is None else names)
     for column, word in columns.items():
-        first = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.min(order).alias("__at"))
-        # the values are ranged by first place, and each range's numbers go on from those before it
-        ranged = written(first.repartitionByRange("__at", "__v").withColumn("__part", F.spark_partition_id()))
-        own = F.row_number().over(Window.partitionBy("__part").orderBy("__at", "__v"))
-        counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-        starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-        named = ranged.withColumn("__k", own).join(starts, "__part").select("__v", F.concat(F.lit(word), (F.col("__start") + F.col("__k")).cast("string")).alias("__name"))
-        df = df.join(named, df[column] == F.col("__v"), "left").withColumn(column, F.col("__name")).drop("__v", "__name")
+        of = names.where(F.col("word") == word).select(F.col("value").alias("__v"), F.replace(F.lit((forms or {}).get(column, PLAIN)), F.lit("{}"), F.col("name")).alias("__name"))
+        df = df.join(of, df[column].cast("string") == F.col("__v"), "left").withColumn(column, F.col("__name")).drop("__v", "__name")
     return df

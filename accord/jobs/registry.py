@@ -62,7 +62,7 @@ QUERIES = {
     "a14_link_entities": lambda s, d: identity.link_entities(derived.contacts(s, d)),
     "j21_event_roster": lambda s, d: identity.event_roster(derived.people(s, d), e := derived.contacts(s, d), identity.link_entities(e)),
     "c7_canon_merge": lambda s, d: identity.canon_merge(*derived.canon(s, d), ["body", "category"]),
-    "c7_canon_merge_whole": lambda s, d: identity.canon_merge(*derived.canon(s, d), ["body", "category"]),
+    "c7_canon_merge_whole": lambda s, d: identity.canon_merge(*derived.canon(s, d), ["body", "category"], "target"),
     "w1_latest_state": lambda s, d: logs.latest_state(derived.log(s, d)),
     "w2_latest_per_writer": lambda s, d: logs.latest_per_writer(derived.log(s, d)),
     "w5_merge_families": lambda s, d: logs.merge_families(*derived.families(s, d)),
@@ -162,7 +162,7 @@ SQL = {
       CASE WHEN s THEN 's' || body WHEN tb THEN 't' || body ELSE body END AS body, CASE WHEN tc THEN 'changed' ELSE category END AS category FROM x""",
     "c7_canon_merge_whole": """WITH x AS (SELECT doc_id AS uid, text AS body, lang AS category, doc_id % 7 = 0 AS s, doc_id % 5 = 0 AND lang <> 'changed' AS tc, doc_id % 35 = 0 AS tb FROM documents)
       SELECT uid, CASE WHEN s THEN 'body' ELSE '' END AS changed_source, concat_ws(',', CASE WHEN tb THEN 'body' END, CASE WHEN tc THEN 'category' END) AS changed_target,
-      CASE WHEN s THEN 's' || body WHEN tb THEN 't' || body ELSE body END AS body, CASE WHEN tc THEN 'changed' ELSE category END AS category FROM x""",
+      CASE WHEN tb THEN 't' || body WHEN s THEN 's' || body ELSE body END AS body, CASE WHEN tc THEN 'changed' ELSE category END AS category FROM x""",
     "w1_latest_state": _LOG + "SELECT * FROM (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY uid ORDER BY datetime DESC, app_id, seq) = 1) WHERE value IS NOT NULL",
     "w2_latest_per_writer": _LOG + "SELECT * FROM per",
     "w5_merge_families": """WITH r AS (SELECT conv_id AS uid, CASE WHEN turn = 0 THEN '' ELSE lpad(CAST(turn AS VARCHAR), 6, '0') END AS slot, CASE WHEN conv_id % 3 = 0 AND turn % 2 = 1 THEN 'staged-' || role ELSE role END AS data FROM conversations)

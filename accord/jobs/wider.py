@@ -266,8 +266,10 @@ def _discovered(spark, d):
     )
 
 
-def _properties_log(spark, d):
-    return derived.property_log(spark, d).where("seq % 3 = 0")
+def _winners(spark, d):
+    log = derived.property_log(spark, d)
+    old = log.where(F.col("datetime") < F.lit("2024-01-10").cast("timestamp")).withColumn("place", F.rank().over(identity.Window.partitionBy("uid").orderBy(F.desc("datetime"), F.asc("app_id"), F.asc("seq")))).where("place = 1")
+    return logs.conflict_winners(log, old.select("uid", "property", "value"))
 
 
 def _skeletons(spark, d):
@@ -366,7 +368,7 @@ QUERIES = {
     "u4_chain_bindings": lambda s, d: topology.generate_mappings(derived.bindings(s, d), "chain"),
     "w3_latest_info": lambda s, d: logs.latest_info(derived.log(s, d).withColumn("key", F.col("uid") % 13)),
     "w4_latest_resolutions": _resolutions,
-    "w8_conflict_winners": lambda s, d: logs.conflict_winners(_properties_log(s, d)),
+    "w8_conflict_winners": _winners,
     "w9_skeletons": _skeletons,
     "t3_new_entries": _new_entries,
     "o4_limit_auto": lambda s, d: conflicts.limit_auto(conflicts.handle_conflicts(_diff(s, d), "oldest"), 3).select("mapping_id", "id", "decision"),

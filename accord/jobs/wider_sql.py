@@ -12,8 +12,8 @@ _STORE = """WITH st AS (SELECT event_id AS k, 'x' || event_id AS id, CASE WHEN e
   CASE WHEN event_id % 10 = 0 THEN 'source' END AS decision, event_id % 10 = 0 AS resolved, event_id % 20 = 0 AS applied FROM events WHERE event_id % 5 = 0) """
 _BINDINGS = """WITH b AS (SELECT s_nationkey AS calendar, s_suppkey AS backend, CASE WHEN s_nationkey % 6 <> 0 THEN 'n' || s_nationkey ELSE '' END AS name, s_suppkey % 4 <> 0 AS enabled, CAST(s_suppkey AS INTEGER) AS position,
   CASE WHEN s_suppkey % 9 = 0 THEN 'primary' WHEN s_suppkey % 5 = 0 THEN 'readonly' ELSE 'sync' || (s_suppkey % 7) END AS role FROM supplier),
-r AS (SELECT *, row_number() OVER (PARTITION BY calendar ORDER BY role = 'primary' DESC, position, backend) AS place, bool_or(role = 'primary') OVER (PARTITION BY calendar) AS has FROM b WHERE role <> 'readonly'),
-m AS (SELECT * FROM r WHERE has) """
+q AS (SELECT *, role = 'primary' AND row_number() OVER (PARTITION BY calendar ORDER BY role = 'primary' DESC, position, backend) = 1 AS front FROM b WHERE enabled AND role <> 'readonly'),
+m AS (SELECT *, row_number() OVER (PARTITION BY calendar ORDER BY front DESC, position, backend) AS place FROM q WHERE calendar IN (SELECT calendar FROM q WHERE front)) """
 _EDGES = """WITH e AS (SELECT p_partkey AS k, 'e' || (p_partkey % 10) AS edge, 'p' || (p_partkey // 10 % 7) AS property, p_partkey % 4 AS severity FROM part) """
 _WRITES = """, w AS (SELECT *, coalesce(slm, TIMESTAMP '0001-01-01') > coalesce(tlm, TIMESTAMP '0001-01-01') AS newer FROM diff WHERE op IS NOT NULL),
   plain AS (SELECT mapping_id, CAST(id AS VARCHAR) AS id, replace(direction, 'to_', '') AS side, op AS action, CASE WHEN op <> 'delete' THEN CASE WHEN direction = 'to_target' THEN sd ELSE td END END AS data, op <> 'delete' AS baseline FROM w WHERE op <> 'conflict') """
@@ -77,7 +77,8 @@ def sql(collections: str, log: str, contacts: str) -> dict[str, str]:
           SELECT * FROM plain UNION ALL SELECT mapping_id, CAST(id AS VARCHAR), 'source', 'create', td, true FROM c WHERE NOT s UNION ALL SELECT mapping_id, CAST(id AS VARCHAR), 'target', 'create', sd, true FROM c WHERE NOT t
           UNION ALL SELECT mapping_id, CAST(id AS VARCHAR), 'target', 'update', sd, true FROM c WHERE s AND t UNION ALL SELECT mapping_id, clone, 'target', 'create', td, true FROM c WHERE s AND t UNION ALL SELECT mapping_id, clone, 'source', 'create', td, false FROM c WHERE s AND t""",
         "c1_counters": collections + "SELECT mapping_id, CAST(0 AS BIGINT) AS resolved, count(*) FILTER (op = 'conflict') AS deferred FROM diff WHERE op IS NOT NULL GROUP BY mapping_id",
-        "c4_hold_unresolved": collections + "SELECT mapping_id, id, side, action FROM plan WHERE mapping_id NOT IN (SELECT mapping_id FROM diff WHERE op = 'conflict' AND mapping_id < 'm4' AND (sd IS NULL OR td IS NULL))",
+        "c4_hold_unresolved": collections + """, held AS MATERIALIZED (SELECT DISTINCT mapping_id AS h FROM diff WHERE op = 'conflict' AND mapping_id < 'm4' AND (sd IS NULL OR td IS NULL))
+          SELECT mapping_id, id, side, action FROM plan LEFT JOIN held ON h = mapping_id WHERE h IS NULL""",
         "c6_canon_diff": "SELECT o_orderkey AS uid, concat_ws(',', CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 THEN 'status' END, CASE WHEN o_orderkey % 3 = 0 THEN 'priority' END) AS changed FROM orders",
         "c7_canon_merge_json": """WITH x AS (SELECT o_orderkey AS uid, o_orderstatus AS st, o_orderpriority AS pr, o_orderkey % 11 = 0 AS bare, o_orderkey % 7 = 0 AS s, o_orderkey % 5 = 0 AS t, o_orderkey % 3 = 0 AS l FROM orders)
           SELECT uid, CASE WHEN s AND NOT t AND NOT bare THEN 'S' WHEN t THEN 'T' ELSE st END AS status, CASE WHEN l THEN 'low' ELSE pr END AS priority, CASE WHEN s AND NOT t AND NOT bare THEN 's' ELSE 't' END AS extras, 'task' AS kind,
@@ -123,9 +124,14 @@ def sql(collections: str, log: str, contacts: str) -> dict[str, str]:
         "w3_latest_info": log + "SELECT uid % 13 AS key, value FROM log QUALIFY row_number() OVER (PARTITION BY uid % 13 ORDER BY datetime DESC, app_id, seq) = 1",
         "w4_latest_resolutions": """SELECT user_id % 5 AS mapping_id, user_id AS id, 'd' || (event_id % 3) AS decision, event_id AS seq FROM events WHERE event_id % 7 <> 0 AND event_id % 5 <> 0
           QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) DESC, event_id DESC) = 1""",
-        "w8_conflict_winners": log + """, p AS (SELECT uid, app_id, datetime, 'kind' AS property, value FROM log WHERE seq % 3 = 0 AND value IS NOT NULL UNION ALL SELECT uid, app_id, datetime, 'place', 'room' || (seq % 3) FROM log WHERE seq % 3 = 0 AND value IS NOT NULL
-          UNION ALL SELECT uid, app_id, datetime, 'note', 'n' || app_id FROM log WHERE seq % 15 = 0 AND value IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY uid, property ORDER BY datetime DESC, value, app_id) AS n FROM p)
-          SELECT x.uid, x.property, x.value AS winner, x.app_id AS winner_app, y.value AS loser, y.app_id AS loser_app FROM r x JOIN r y ON x.uid = y.uid AND x.property = y.property AND x.n = 1 AND y.n = 2 WHERE x.value <> y.value""",
+        "w8_conflict_winners": log + """, old AS (SELECT * FROM log WHERE datetime < TIMESTAMP '2024-01-10' QUALIFY row_number() OVER (PARTITION BY uid ORDER BY datetime DESC, app_id, seq) = 1),
+          p AS (SELECT uid, app_id, 'kind' AS property, value FROM per WHERE value IS NOT NULL UNION ALL SELECT uid, app_id, 'place', 'room' || (seq % 3) FROM per WHERE value IS NOT NULL
+            UNION ALL SELECT uid, app_id, 'note', 'n' || app_id FROM per WHERE value IS NOT NULL AND seq % 5 = 0),
+          b AS (SELECT uid, 'kind' AS property, value FROM old WHERE value IS NOT NULL UNION ALL SELECT uid, 'place', 'room' || (seq % 3) FROM old WHERE value IS NOT NULL UNION ALL SELECT uid, 'note', 'n' || app_id FROM old WHERE value IS NOT NULL AND seq % 5 = 0),
+          every AS (SELECT l.uid, l.app_id, l.datetime, k.property, coalesce(p.value, '') AS value, coalesce(b.value, '') AS agreed FROM per l JOIN old ON old.uid = l.uid CROSS JOIN (SELECT unnest(['kind', 'place', 'note']) AS property) k
+            LEFT JOIN p ON p.uid = l.uid AND p.app_id = l.app_id AND p.property = k.property LEFT JOIN b ON b.uid = l.uid AND b.property = k.property WHERE l.value IS NOT NULL),
+          changed AS (SELECT *, row_number() OVER (PARTITION BY uid, property ORDER BY datetime DESC, value, app_id) AS k FROM every WHERE value <> agreed)
+          SELECT uid, property, max(value) FILTER (k = 1) AS winner, max(app_id) FILTER (k = 1) AS winner_app, max(value) FILTER (k = 2) AS loser, max(app_id) FILTER (k = 2) AS loser_app FROM changed GROUP BY uid, property HAVING count(DISTINCT value) > 1""",
         "w9_skeletons": """WITH f AS (SELECT user_id AS id, event_id AS k, event_type, max(CASE WHEN event_id % 8 = 0 OR event_id % 50 = 1 THEN event_id END) OVER (PARTITION BY user_id) AS since FROM events),
           r AS (SELECT * FROM f WHERE (since IS NULL OR k >= since) AND NOT (k % 50 = 1 AND k % 8 <> 0)), p AS (SELECT id, k, 'type' AS property, CASE WHEN k % 6 <> 0 THEN event_type END AS value FROM r UNION ALL SELECT id, k, 'k', CAST(k AS VARCHAR) FROM r WHERE k % 3 = 0)
           SELECT id, property, value FROM p QUALIFY row_number() OVER (PARTITION BY id, property ORDER BY k DESC) = 1""",

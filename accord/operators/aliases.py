@@ -16,14 +16,14 @@ def resolve_ids(records: DataFrame, aliases: DataFrame, scope: str, key: str) ->
 
 
 def heal_aliases(aliases: DataFrame, scope: str) -> DataFrame:
-    """scope, native_id, canonical_id: every native id and the end of its chain of aliases.
+    """scope, native_id, canonical_id: every native id and the end of its chain of aliases; of several aliases of an id the smallest counts.
 
     Chains that run into a cycle end at the cycle's smallest id, by pointer jumping: each round
     doubles the steps that a pointer has taken and keeps the smallest id that it has met, so
     rounds grow with the logarithm of the longest chain. After as many rounds as it takes to walk
     past all ids, a pointer that still moves is on a cycle or leads into one.
     """
-    steps = written(aliases.where("native_id <> canonical_id").select(scope, F.col("native_id").alias("id"), F.col("canonical_id").alias("far"), F.least("native_id", "canonical_id").alias("low")))
+    steps = written(aliases.where("native_id <> canonical_id").groupBy(scope, "native_id").agg(F.min("canonical_id").alias("canonical_id")).select(scope, F.col("native_id").alias("id"), F.col("canonical_id").alias("far"), F.least("native_id", "canonical_id").alias("low")))
     rounds = max(1, steps.count()).bit_length()
     for _ in range(rounds):
         ahead = steps.select(scope, F.col("id").alias("far"), F.col("far").alias("farther"), F.col("low").alias("lower"))
@@ -68,9 +68,12 @@ def harvest_baselines(source: DataFrame, target: DataFrame, aliases: DataFrame,
     return rows.join(there, [scope, "at"], "left").select(scope, "id", "source_hash", F.coalesce("target_hash", "source_hash").alias("target_hash"))
 
 
-def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """current with changes put in by key; a key's change replaces its row."""
-    return current.join(changes.select(keys), keys, "left_anti").unionByName(changes.select(current.columns))
+def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """current with changes put in by key; a key's change replaces its row, the last one by order (else the greatest row) if there are several."""
+    rest = F.struct(*(c for c in current.columns if c not in keys))
+    last = F.max_by(rest, F.struct(order, rest)) if order else F.max(rest)
+    new = changes.groupBy(*keys).agg(last.alias("__row")).select(*keys, "__row.*") if len(keys) < len(current.columns) else changes.select(keys).distinct()
+    return current.join(new.select(keys), keys, "left_anti").unionByName(new.select(current.columns))
 
 
 def delete_keys(current: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

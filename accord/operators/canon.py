@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accord.functions.text import last_of_each, once
+
 #: Keys of the envelope; the differ does not look at them.
 ENVELOPE, EXTRAS = "_canon", "providerExtras"
 #: Version of the envelope.
@@ -15,15 +17,16 @@ STRATEGIES = ("source", "target")
 def properties(json: Column) -> Column:
     """map<property, value as JSON text with sorted keys>; text that is no JSON object gives an empty map.
 
-    A JSON null is the text null, so it differs from a property that is not there.
+    A JSON null is the text null, so it differs from a property that is not there. Of a repeated property the last counts.
     """
-    held = F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>")
-    return F.transform_values(F.coalesce(held, F.create_map().cast("map<string,variant>")), lambda _, v: F.to_json(v))
+    entries = F.transform(F.map_entries(F.from_json(json, "map<string,variant>")), lambda e: F.struct(e["key"], F.to_json(e["value"]).alias("value")))
+    return F.coalesce(once(entries, last_of_each), F.create_map().cast("map<string,string>"))
 
 
 def _quoted(text: Column) -> Column:
-    escaped = F.regexp_replace(F.regexp_replace(text, r"([\\\"])", r"\\$1"), "\n", r"\\n")
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    """A text as a JSON value, control characters escaped."""
+    array = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substr(array, F.lit(2), F.length(array) - 2))
 
 
 def from_properties(held: Column) -> Column:
@@ -60,11 +63,11 @@ def stamp_envelope(json: Column, domain: str, uid: Column, kind: Column | None =
 
 
 def read_uid(json: Column) -> Column:
-    return F.try_variant_get(F.try_parse_json(json), "$.uid", "string")
+    return F.try_variant_get(F.try_parse_json(F.try_element_at(properties(json), F.lit("uid"))), "$", "string")
 
 
 def read_kind(json: Column) -> Column:
-    return F.try_variant_get(F.try_parse_json(json), f"$.{ENVELOPE}.kind", "string")
+    return F.try_variant_get(F.try_parse_json(F.try_element_at(properties(json), F.lit(ENVELOPE))), "$.kind", "string")
 
 
 def matches(json: Column, name: str, test: str, value: str) -> Column:
@@ -73,10 +76,10 @@ def matches(json: Column, name: str, test: str, value: str) -> Column:
     Anything missing, of another type or no JSON does not match.
     """
     if test == "contains":
-        listed = F.try_variant_get(F.try_parse_json(json), f"$.{name}", "array<variant>")
+        listed = F.try_variant_get(F.try_parse_json(F.try_element_at(properties(json), F.lit(name))), "$", "array<variant>")
         found = F.exists(listed, lambda v: F.to_json(v) == _quoted(F.lit(value)))
     elif test == "equals":
-        found = F.element_at(properties(json), name) == canonical(F.lit(value))
+        found = F.try_element_at(properties(json), F.lit(name)) == canonical(F.lit(value))
     else:
         raise ValueError(test)
     return F.coalesce(found, F.lit(False))
@@ -95,7 +98,7 @@ def stamped(json: Column, name: str, test: str, value: str) -> Column:
     held = properties(json)
     if test == "contains":
         one = F.transform(F.array(F.lit(value)), _quoted)
-        listed = F.coalesce(F.transform(F.try_variant_get(F.try_parse_json(json), f"$.{name}", "array<variant>"), lambda v: F.to_json(v)), F.array().cast("array<string>"))
+        listed = F.coalesce(F.transform(F.try_variant_get(F.try_parse_json(F.try_element_at(held, F.lit(name))), "$", "array<variant>"), lambda v: F.to_json(v)), F.array().cast("array<string>"))
         put = F.concat(F.lit("["), F.array_join(F.when(F.array_contains(listed, one[0]), listed).otherwise(F.concat(listed, one)), ","), F.lit("]"))
     elif test == "equals":
         put = canonical(F.lit(value))

@@ -62,8 +62,8 @@ def handle_conflicts(diff: DataFrame, policy: str, prompt: str = "never", fallba
 
 
 def hold_unresolved(plan: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """The plan without the writes of mappings that have an undecided conflict (conflicts: mapping_id, decision)."""
-    waiting = conflicts.where("decision in ('defer', 'ask')").select("mapping_id").distinct()
+    """The plan without the writes of mappings that have an undecided conflict (conflicts: mapping_id, decision), or one that aborts."""
+    waiting = conflicts.where("decision in ('defer', 'ask', 'abort')").select("mapping_id").distinct()
     return plan.join(waiting, "mapping_id", "left_anti")
 
 

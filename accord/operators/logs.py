@@ -47,6 +47,19 @@ def merge_writers(log: DataFrame, baseline: DataFrame) -> DataFrame:
 IGNORED = ("PRODID", "DTSTAMP", "CREATED", "LAST-MODIFIED", "SEQUENCE", "UID")
 
 
+def _property_changes(log: DataFrame, baseline: DataFrame, ignored: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The writers' newest entries (a row a property), the live ones with their place by age, and what these change against the baseline."""
+    entry = Window.partitionBy("app_id", "uid").orderBy(F.desc("datetime"), F.asc("seq"))
+    last = log.withColumn("__rank", F.rank().over(entry)).where("__rank = 1")
+    order = Window.partitionBy("uid").orderBy(F.desc("datetime"), F.asc("app_id"), F.asc("seq"))
+    live = last.where("property is not null").withColumn("place", F.dense_rank().over(order)).select("uid", "app_id", "datetime", "place", "property", "value")
+    agreed = baseline.where("property is not null").select("uid", "property", F.col("value").alias("agreed"))
+    absent = live.select("uid", "app_id", "datetime", "place").distinct().join(agreed.select("uid", "property"), "uid").withColumn("value", F.lit(None).cast("string"))
+    held = live.unionByName(absent).groupBy("uid", "app_id", "datetime", "place", "property").agg(F.coalesce(F.max("value"), F.lit("")).alias("value"))
+    compared = held.where(~F.col("property").isin(*ignored)).join(agreed, ["uid", "property"], "left")
+    return last, live, compared.where(F.col("value") != F.coalesce("agreed", F.lit(""))).drop("agreed")
+
+
 def merge_properties(log: DataFrame, baseline: DataFrame, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """uid, outcome, property, value: the writers' newest entries merged property by property.
 
@@ -56,15 +69,7 @@ def merge_properties(log: DataFrame, baseline: DataFrame, ignored: tuple[str, ..
     is a conflict. Winners replace the values of the newest live entry, empty ones remove them. Outcomes
     are those of merge_writers; a deletion, or a record without properties, is one row of null property.
     """
-    entry = Window.partitionBy("app_id", "uid").orderBy(F.desc("datetime"), F.asc("seq"))
-    last = log.withColumn("__rank", F.rank().over(entry)).where("__rank = 1")
-    order = Window.partitionBy("uid").orderBy(F.desc("datetime"), F.asc("app_id"), F.asc("seq"))
-    live = last.where("property is not null").withColumn("place", F.dense_rank().over(order)).select("uid", "app_id", "place", "property", "value")
-    agreed = baseline.where("property is not null").select("uid", "property", F.col("value").alias("agreed"))
-    absent = live.select("uid", "app_id", "place").distinct().join(agreed.select("uid", "property"), "uid").withColumn("value", F.lit(None).cast("string"))
-    held = live.unionByName(absent).groupBy("uid", "app_id", "place", "property").agg(F.coalesce(F.max("value"), F.lit("")).alias("value"))
-    compared = held.where(~F.col("property").isin(*ignored)).join(agreed, ["uid", "property"], "left")
-    changed = compared.where(F.col("value") != F.coalesce("agreed", F.lit("")))
+    last, live, changed = _property_changes(log, baseline, ignored)
     won = changed.groupBy("uid", "property").agg(F.count_distinct("value").alias("changes"), F.min_by("value", "place").alias("won"))
     writers = last.groupBy("uid").agg(F.count_distinct(F.when(F.col("property").isNotNull(), F.col("app_id"))).alias("writers"))
     known = baseline.select("uid", F.lit(True).alias("known")).distinct()
@@ -94,16 +99,20 @@ def latest_info(log: DataFrame) -> DataFrame:
     return newest(log, "key").select("key", "value")
 
 
-def conflict_winners(log: DataFrame) -> DataFrame:
-    """uid, property, winner, winner_app, loser, loser_app: newest and next newest value of properties with several.
+def conflict_winners(log: DataFrame, baseline: DataFrame, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+    """uid, property, winner, winner_app, loser, loser_app of properties that writers changed to several values.
 
-    log: uid, app_id, datetime, property, value of the writers' newest entries. Equal times: by value, then writer.
+    log and baseline as in merge_properties. Only values that differ from the agreed one take part, an absent
+    property being the empty value; a uid without a baseline has no conflict. The two newest changes win and
+    lose, which can hold the same value if a third one differs. Equal times: by value, then writer.
     """
-    order = Window.partitionBy("uid", "property").orderBy(F.desc("datetime"), "value", "app_id")
-    ranked = log.where("property is not null").withColumn("place", F.row_number().over(order)).where("place <= 2")
-    at = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
-    rows = ranked.groupBy("uid", "property").agg(at(1, "value").alias("winner"), at(1, "app_id").alias("winner_app"), at(2, "value").alias("loser"), at(2, "app_id").alias("loser_app"), F.count("*").alias("n"))
-    return rows.where("n = 2 and not (winner <=> loser)").drop("n")
+    _, _, changed = _property_changes(log, baseline, ignored)
+    changed = changed.join(baseline.select("uid").distinct(), "uid", "left_semi")
+    key = Window.partitionBy("uid", "property")
+    ranked = changed.withColumn("__rank", F.row_number().over(key.orderBy(F.desc("datetime"), "value", "app_id"))).withColumn("__low", F.min("value").over(key)).withColumn("__high", F.max("value").over(key))
+    at = lambda k, c: F.max(F.when(F.col("__rank") == k, F.col(c)))
+    rows = ranked.where("__low <> __high and __rank <= 2").groupBy("uid", "property")
+    return rows.agg(at(1, "value").alias("winner"), at(1, "app_id").alias("winner_app"), at(2, "value").alias("loser"), at(2, "app_id").alias("loser_app"))
 
 
 def inactive_apps(log: DataFrame, cutoff) -> DataFrame:

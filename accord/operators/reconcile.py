@@ -69,7 +69,7 @@ def sync_diff(source: DataFrame, target: DataFrame, baseline: DataFrame, mode: s
     One-way modes ('upload', 'download') keep their direction's changes and all conflicts; what they drop
     is unchanged; a disabled mapping gives no rows.
     """
-    s, t, b = F.col("s_data"), F.col("t_data"), F.col("b_data")
+    s, t, b = (F.when(F.col(p), F.struct(F.col(f"{p}_data"))) for p in "stb")  # a record without data is still there
     sc, tc = ~s.eqNullSafe(b), ~t.eqNullSafe(b)
     kind = F.when(~F.col("b"), "both_created").when(~F.col("s") | ~F.col("t"), "modify_delete").otherwise("both_modified")
     towards = lambda there, here: F.when(~F.col(here), "delete").when(~F.col(there), "create").otherwise("update")
@@ -91,7 +91,7 @@ def quick_diff(source: DataFrame, target: DataFrame, mode: str = "two_way") -> D
 def first_sync_plan(source: DataFrame, target: DataFrame) -> DataFrame:
     """mapping_id, id, action of the first mirror: create what lacks, update what differs, delete what is extra."""
     rows = _side(source, "s").join(_side(target, "t"), KEYS, "full")
-    action = F.when(F.col("t").isNull(), "create").when(F.col("s").isNull(), "delete").when(F.col("s_hash") != F.col("t_hash"), "update")
+    action = F.when(F.col("t").isNull(), "create").when(F.col("s").isNull(), "delete").when(~F.col("s_hash").eqNullSafe(F.col("t_hash")), "update")
     return rows.select(*KEYS, action.alias("action")).where(F.col("action").isNotNull())
 
 
@@ -148,7 +148,7 @@ def resolve_records(diff: DataFrame, policy: str, mode: str = "two_way", merged:
     Columns of diff: those of three_way_diff. Other changes than conflicts flow as the mode lets them.
     'source', 'target', 'newest': the winner goes to the other side, a winner that was deleted deletes there.
     'duplicate': the side that is left goes to the other; if both are, the source's goes to the target and a
-    clone of the target's, named <id>-dup-<digest>, to both. 'merge': `merged`, an expression over diff, goes
+    clone of the target's, named <id>-dup-<digest>, to both, its uid in the payload ('UID:<id>') renamed too. 'merge': `merged`, an expression over diff, goes
     to both sides. 'skip' and 'ask': no write; the conflict's row has the side 'open'. baseline tells whether
     the written record becomes the agreed one; of several rows of an id it is told once.
     """
@@ -168,7 +168,8 @@ def resolve_records(diff: DataFrame, policy: str, mode: str = "two_way", merged:
         decided = F.when(wins, to_target).otherwise(to_source)
     elif policy == "duplicate":
         clone = F.concat(text, F.lit("-dup-"), F.substring(F.sha2(F.concat_ws("|", "mapping_id", "id", "t_hash"), 256), 1, 32))
-        both = F.array(write("target", F.lit("update"), *src, n=1), write("target", F.lit("create"), *tgt, clone), write("source", F.lit("create"), *tgt, clone, base=False))
+        renamed = (F.replace(tgt[0], F.concat(F.lit("UID:"), text), F.concat(F.lit("UID:"), clone)), tgt[1])
+        both = F.array(write("target", F.lit("update"), *src, n=1), write("target", F.lit("create"), *renamed, clone), write("source", F.lit("create"), *renamed, clone, base=False))
         decided = F.when(~s, to_source).when(~t, to_target).otherwise(both)
     elif policy == "merge":
         hash_ = F.sha2(merged, 256)

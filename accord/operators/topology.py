@@ -53,23 +53,38 @@ def promote_primary(bindings: DataFrame, chosen: DataFrame) -> DataFrame:
     return met.withColumns({"role": role, "position": position}).select(bindings.columns)
 
 
-def generate_mappings(bindings: DataFrame, topology: str) -> DataFrame:
-    """id, calendar, first, second (backends) of bindings(calendar, backend, role, position) as 'star', 'mirror' or 'chain'.
+#: The topology that each policy of a calendar stands for; 'manual' calendars have no generated mappings, others the given one.
+POLICIES = {"hub": "star", "mesh": "mirror", "chain": "chain"}
 
-    The primary comes first, then the others in order; read-only bindings are left out, and a calendar
-    without a primary or without others has no mapping. Backends are a handful a calendar.
+
+def generate_mappings(bindings: DataFrame, topology: str, calendars: DataFrame | None = None) -> DataFrame:
+    """id, calendar, first, second (backends) of bindings (calendar, backend, role, position; enabled, remote) as 'star', 'mirror' or 'chain'.
+
+    The first enabled primary comes first, then the other enabled bindings by position, one by one as first
+    and second; read-only ones, and those of the primary's own backend and remote, are left out. A calendar without
+    an enabled primary (with a remote, where that is given) or without others has no mapping. calendars
+    (calendar, policy, sync_enabled): their own policy, if any, goes before the topology, and only those that are
+    synchronised have mappings. Backends are a handful a calendar.
     """
     if topology not in ("star", "mirror", "chain"):
         raise ValueError(topology)
-    rows = bindings.where("role <> 'readonly'").withColumn("front", (F.col("role") == "primary"))
-    order = Window.partitionBy("calendar").orderBy(F.desc("front"), "position", "backend")
-    ranked = rows.withColumn("place", F.row_number().over(order)).withColumn("has", F.max("front").over(Window.partitionBy("calendar"))).where("has")
-    text = F.col("calendar").cast("string")
-    if topology == "chain":
-        met = ranked.withColumn("second", F.lead("backend").over(Window.partitionBy("calendar").orderBy("place"))).where("second is not null")
-        return met.select(F.concat_ws("_", F.lit("auto"), text, F.lit("chain"), "backend", "second").alias("id"), "calendar", F.col("backend").alias("first"), "second")
+    rows = bindings.where("enabled") if "enabled" in bindings.columns else bindings
+    remote = F.col("remote").cast("string") if "remote" in bindings.columns else F.lit("-")
+    calendar = Window.partitionBy("calendar")
+    rows = rows.where("role <> 'readonly'").withColumn("__remote", remote)
+    rank = F.row_number().over(calendar.orderBy((F.col("role") == "primary").desc(), "position", "backend"))
+    rows = rows.withColumn("__front", (rank == 1) & (F.col("role") == "primary"))
+    head = F.max(F.when(F.col("__front"), F.struct("backend", "__remote"))).over(calendar)
+    rows = rows.withColumn("__head", head).where(F.coalesce(F.col("__head.__remote"), F.lit("")) != "")
+    rows = rows.where(F.col("__front") | (F.col("backend") != F.col("__head.backend")) | ~F.col("__remote").eqNullSafe(F.col("__head.__remote")))
+    ranked = rows.withColumn("place", F.row_number().over(calendar.orderBy(F.desc("__front"), "position", "backend"))).withColumn("wiring", F.lit(topology))
+    if calendars is not None:
+        own = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in POLICIES.items() for x in pair)), F.col("policy")), F.lit(topology))
+        wired = calendars.where("sync_enabled and not (policy <=> 'manual')").select("calendar", own.alias("wiring"))
+        ranked = ranked.drop("wiring").join(wired, "calendar")
     a = ranked.select("calendar", F.col("backend").alias("first"), F.col("place").alias("p"))
-    b = ranked.select("calendar", F.col("backend").alias("second"), F.col("place").alias("q"), "role")
-    met = a.join(b, "calendar").where("p < q" if topology == "mirror" else "p = 1 and q > 1")
-    name = F.concat_ws("_", F.lit("auto"), text, F.lit("mirror"), "first", "second") if topology == "mirror" else F.concat_ws("_", F.lit("auto"), text, "role")
-    return met.select(name.alias("id"), "calendar", "first", "second")
+    b = ranked.select("calendar", F.col("backend").alias("second"), F.col("place").alias("q"), "role", "wiring")
+    star, mirror = F.col("wiring") == "star", F.col("wiring") == "mirror"
+    met = a.join(b, "calendar").where("p < q").where(F.when(star, F.col("p") == 1).when(mirror, F.lit(True)).otherwise(F.col("q") == F.col("p") + 1))
+    parts = [F.lit("auto"), F.col("calendar").cast("string"), F.when(star, F.col("role")).otherwise(F.col("wiring")), F.when(~star, F.col("first")), F.when(~star, F.col("second"))]
+    return met.select(F.concat_ws("_", *parts).alias("id"), "calendar", "first", "second")

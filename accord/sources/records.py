@@ -25,7 +25,7 @@ def as_records(df: DataFrame) -> DataFrame:
 def read_records(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A collection's records from Parquet, JSON lines, or a folder of files (fmt 'files': id is the file's name).
 
-    A path that can't be read raises; it is never an empty collection.
+    A path that can't be read raises; it is never an empty collection. Files without a byte hold no record.
     """
     if fmt == "files":
         files = spark.read.format("binaryFile").load(path)
@@ -86,9 +86,10 @@ def oplog_entries(lines: DataFrame) -> DataFrame:
 
 
 def read_oplog(spark: SparkSession, path: str) -> DataFrame:
-    """oplog_entries of files <path>/<app_id>/<bucket>; a line's number is its place in its file, so a file is one split."""
-    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), "value")
-    parts = F.split("file", "/")
+    """oplog_entries of files <path>/<app_id>/<bucket>; a line's number is its place in its file, so a file (one bucket of one writer) is one split."""
+    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    # the path is percent-encoded, but a plus sign stands for itself
+    parts = F.transform(F.split("file", "/"), lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))))
     rows = texts.select(F.element_at(parts, -2).alias("app_id"), F.element_at(parts, -1).alias("bucket"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
     return oplog_entries(rows.where("trim(text) <> ''"))
 

@@ -39,6 +39,11 @@ def _parts(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema).withColumns({"v": F.lit(0).cast("long"), "whole": F.lit(False)})
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
 def read_state(spark: SparkSession, path: str, schema, key: str, order: str, before: int | None = None) -> DataFrame:
     """The state of all batches (or those before a number): the last whole version and the changes after it, merged."""
     rows = _parts(spark, path, schema)
@@ -55,9 +60,13 @@ def apply_feed(stream: DataFrame, path: str, checkpoint: str, key: str, order: s
     Each batch writes its newest row a key to a folder of its own number, v=<batch>, so a batch that runs again
     writes the same rows to the same place; every COMPACT batches the whole state is written in one. The batch
     number is the feed's token: the engine commits it to the checkpoint only after the batch was written.
-    With full_refresh the first batch is the whole feed again and what was held before it does not count.
+    With full_refresh the first batch is the whole feed again and what was held before it does not count. A new
+    checkpoint over a state that is there already raises otherwise, as its batches would take the places of others.
     """
-    schema = stream.schema
+    schema, spark = stream.schema, stream.sparkSession
+    begun = _there(spark, f"{checkpoint}/offsets")
+    if not begun and not full_refresh and not _parts(spark, path, schema).isEmpty():
+        raise ValueError(f"{path} holds a state of another checkpoint: go on with that one, or ask for a full refresh")
 
     def batch(delta: DataFrame, number: int) -> None:
         spark = delta.sparkSession
@@ -78,7 +87,8 @@ def lww_stream(stream: DataFrame, key: str, ts: str, value: str, ttl: str | None
     """key, ts, value: a row whenever a key's newest entry changes; older entries that come late are ignored.
 
     State is one row a key and has no expiry. With ttl (as '10 days', an extension) a key's state goes after that time
-    without entries, and older entries may then come back. Of equal times the first that was seen stays.
+    without entries, and older entries may then come back. Of equal times the first that was seen stays; entries
+    without a time are passed over.
     """
     types = {f.name: f.dataType.simpleString() for f in stream.schema}
     schema = f"{key} {types[key]}, {ts} {types[ts]}, {value} {types[value]}"
@@ -91,9 +101,10 @@ def lww_stream(stream: DataFrame, key: str, ts: str, value: str, ttl: str | None
         before = held.getOption[0] if held.exists else None
         last, found = before, None
         for frame in frames:
-            for at, now in zip(frame[ts], frame[value], strict=True):
-                if last is None or at > last:
-                    last, found = at, now
+            timed = frame[frame[ts].notna()]  # an entry without a time is never the newest
+            if len(timed) and (last is None or timed[ts].max() > last):
+                newer = timed.loc[timed[ts].idxmax()]  # the first of equal times
+                last, found = newer[ts], newer[value]
         if last is not None and last != before:
             held.update((last,))
             yield pd.DataFrame([(keys[0], last, found)], columns=[key, ts, value])
