@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from accord.sources.shared import written
+from accord.sources.shared import scratch, written
 
-__all__ = ["SEPARATORS", "WORD", "documents", "let", "numbered", "read", "written"]
+__all__ = ["SEPARATORS", "WORD", "documents", "let", "numbered", "read", "scratch", "written"]
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = r"[\x20\x09-\x0D]+"

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from accord.llm.common import written
+from accord.llm.common import scratch, written
 from accord.llm.shingles import mixed, set_digest, shingle_sets
 from accord.operators.graph import components
 
@@ -312,7 +312,10 @@ def _meets(postings: DataFrame) -> DataFrame:
 
 
 def _filter(classes: DataFrame) -> np.ndarray:
-    """A bitmap on which the bit of every row's first column is set: about 16 bits a row, 2 ** FILTER_BITS at most."""
+    """A bitmap on which the bit of every row's first column is set: about 16 bits a row, 2 ** FILTER_BITS at most.
+
+    Each task sets the bits of its own rows; words of 64 bits are OR-ed in tasks, then by word over all.
+    """
     width = min(FILTER_BITS, max(16, (16 * classes.count()).bit_length()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,12 +323,14 @@ def _filter(classes: DataFrame) -> np.ndarray:
         for batch in batches:
             at = mixed(np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)) >> np.uint64(64 - width)
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+        words = bits.view(np.int64)
+        used = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(words[used])], names=["word", "bits"])
 
-    out = np.zeros((1 << width) // 8, np.uint8)
-    for row in classes.coalesce(8).mapInArrow(scan, "bits binary").toLocalIterator():
-        out |= np.frombuffer(row["bits"], np.uint8)
-    return out
+    words = classes.mapInArrow(scan, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # 2 ** FILTER_BITS / 64 rows at most
+    out = np.zeros((1 << width) // 64, np.int64)
+    out[np.asarray(words.column("word"))] = np.asarray(words.column("bits"))
+    return out.view(np.uint8)
 
 
 def _whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -610,7 +615,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs, as near_duplicates has them."""
-    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+    with scratch(docs.sparkSession) as put:
+        return put(near_duplicates(docs).select("doc_id", "n_shingles", "component_id"))
+
+
+def _surplus(found: DataFrame) -> DataFrame:
+    """doc_id, row_hash, gone, rows of what keep_one has to look at: rows that go, and rows that are there several times."""
+    gone = found.groupBy("doc_id", "row_hash").agg(F.max(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False))).alias("gone"), F.count("*").alias("rows"))
+    return gone.where("gone or rows > 1")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -618,9 +630,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without words are all kept. Null texts stay null; empty input gives no rows.
     """
-    found = near_duplicates(docs)
-    gone = found.groupBy("doc_id", "row_hash").agg(F.max(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False))).alias("gone"), F.count("*").alias("rows"))
-    gone = written(gone.where("gone or rows > 1"))
+    with scratch(docs.sparkSession) as put:
+        gone = put(_surplus(near_duplicates(docs)))
     keyed_docs = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("__id", F.coalesce(F.col("text"), F.lit(""))))
     drop = gone.select(F.col("doc_id").alias("__doc"), F.col("row_hash").alias("__row"))
     same = lambda of: (F.col("__hash") == of["__row"]) & F.col("__id").eqNullSafe(of["__doc"])

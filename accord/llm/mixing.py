@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from accord.llm.common import WORD, let, written
+from accord.llm.common import WORD, let, scratch, written
 
 #: Fixed values of the contract: weights by rank of the source, the mix's share, the cap on a source.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
@@ -130,7 +130,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     Rows of equal id and text are decided one by one but can't be told apart afterwards: their
     copies are dealt out evenly among them.
     """
-    decided = written(mix(written(sizes(docs))).groupBy("doc_id", "row_hash").agg(F.sum("copies").alias("__sum"), F.count("*").alias("__rows")))
+    with scratch(docs.sparkSession) as kept:
+        decided = kept(mix(written(sizes(docs))).groupBy("doc_id", "row_hash").agg(F.sum("copies").alias("__sum"), F.count("*").alias("__rows")))
     repeats = decided.where(F.col("__rows") > 1).limit(1).count() > 0
     decided = decided.where(F.col("__sum") > 0).withColumnsRenamed({"doc_id": "__doc", "row_hash": "__row"})
     keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("__id", "text"))

@@ -1,13 +1,14 @@
 """Personal data: fixed patterns, and terms that disclose the entities found, in built-in expressions only.
 
-Corpus co-occurrence estimates how much a term near an entity tells about it. With N documents,
-n_e holding entity e, n_t holding term t anywhere and n_et holding t close to e,
+Corpus co-occurrence estimates how much a term in an entity's document tells about the entity. With N
+documents, n_e holding entity e, n_t holding term t and n_et holding both,
 
-    disclosure(t, e) = log2(N n_et / (n_e n_t)) / log2(N / n_e)
+    disclosure(t, e) = log2(N n_et / (n_e n_t)) / log2(N / n_e) * n_et / (n_et + 1/2)
 
-is the share of the entity's information content that the term gives away: 1 if the term occurs
-with that entity alone, about 0 if it occurs everywhere. Terms at or over a threshold are removed,
-those at or over a lower one are generalised.
+is the share of the entity's information content that the term gives away, shrunk where few documents
+show it: near 1 if the term occurs with that entity alone, about 0 if it occurs everywhere; one document
+alone comes to 2/3 at most. Terms at or over a threshold are removed, those at or over a lower one are
+generalised, wherever they stand in a document that holds the entity.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accord.llm.common import documents, let, written
+from accord.llm.common import documents, let, scratch, written
 
 #: Fixed values of the contract: kinds in order, and their patterns. The groups are possessive and a
 #: match starts at a run's begin or where the last match ended: the same matches in linear time.
@@ -32,10 +33,10 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]"}
 PLACEHOLDER = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "generalised": "<TERM>", "removed": ""}
 TERM = r"[\p{L}\p{N}]++(?:['-][\p{L}\p{N}]++)*+"
-#: Code points on either side of an entity in which terms count as close.
-REACH = 80
-#: Disclosure from which terms are generalised, and removed; differing contexts that must show it.
-GENERALISE, REMOVE, SUPPORT = 0.6, 0.8, 2
+#: Disclosure from which terms are generalised, and removed; the documents that weigh against an estimate.
+GENERALISE, REMOVE, DOUBT = 0.6, 0.8, 0.5
+#: Matches that are placed in one go; longer lists are put together from such runs.
+RUN = 64
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -51,8 +52,7 @@ def _valid(kind: str, value: Column) -> Column:
 
 def matches(text: Column, pattern: str, keep: Callable[[Column], Column] = lambda v: F.lit(True)) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, end, value>>, in code points; end is exclusive."""
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("value")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    pairs = F.filter(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("value"))), lambda x: x["value"].isNotNull())
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + x["gap"]
@@ -60,7 +60,18 @@ def matches(text: Column, pattern: str, keep: Callable[[Column], Column] = lambd
         hit = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.when(keep(x["value"]), F.concat(s["out"], F.array(hit))).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(F.filter(pairs, lambda x: x["value"].isNotNull()), none, step)["out"]
+    def runs(pairs: Column) -> Column:
+        """Runs of matches are placed one after another and joined at the end, so that no list is copied for each match."""
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,value:string>>>").alias("out"))
+
+        def run(s: Column, first: Column) -> Column:
+            begin = F.struct(s["at"].alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+            return let(F.aggregate(F.slice(pairs, first, F.lit(RUN)), begin, step), lambda r: F.struct(r["at"].alias("at"), F.concat(s["out"], F.array(r["out"])).alias("out")))
+
+        starts = F.when(F.size(pairs) > 0, F.sequence(F.lit(1), F.size(pairs), F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.aggregate(starts, none, run)["out"])
+
+    return let(pairs, runs)
 
 
 def base_spans(text: Column) -> Column:
@@ -81,77 +92,69 @@ def _named(kind: str) -> Callable[[Column], Column]:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, row_hash, spans: each row's base spans, each with its left and right context.
+    """doc_id, row_hash, spans (base), text (where there are spans): a row for each input row.
 
     Null texts count as empty. Repeated rows of one id and text have equal hashes and results.
     """
-    text = F.col("text")
-
-    def with_context(s: Column) -> Column:
-        begin = F.greatest(s["start"] - REACH, F.lit(0))
-        left = F.substring(text, begin + 1, s["start"] - begin)
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), left.alias("left"), F.substring(text, s["end"] + 1, F.lit(REACH)).alias("right"))
+    rows = documents(docs).withColumn("row_hash", F.xxhash64("doc_id", "text")).withColumn("spans", base_spans(F.col("text")))
+    return rows.select("doc_id", "row_hash", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text"))
 
-    rows = documents(docs).withColumn("row_hash", F.xxhash64("doc_id", "text"))
-    return rows.select("doc_id", "row_hash", F.transform(base_spans(text), with_context).alias("spans"))
 
-
-def _entity() -> Column:
+def _entity(span: Column) -> Column:
     """What counts as one entity: addresses without case, numbers without punctuation."""
-    plain = F.when(F.col("s.kind") == "email", F.lower("s.value")).otherwise(F.regexp_replace("s.value", "[^0-9.]", ""))
-    return F.concat_ws(":", "s.kind", plain)
-
+    plain = F.when(span["kind"] == "email", F.lower(span["value"])).otherwise(F.regexp_replace(span["value"], "[^0-9.]", ""))
+    return F.concat_ws(":", span["kind"], plain)
 
-def terms_near(found: DataFrame) -> DataFrame:
-    """row_hash, entity, context (a hash), term, start, end: the terms close to each entity.
 
-    Terms are runs of letters and digits of three or more code points; words cut by the window's
-    edge and words that overlap a base span are left out.
-    """
-    rows = found.where(F.size("spans") > 0).select("row_hash", F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("taken"), F.explode("spans").alias("s"))
-    left, right, begin = F.col("s.left"), F.col("s.right"), F.col("s.start") - F.length("s.left")
-    moved = lambda by: lambda t: F.struct((t["start"] + by).alias("start"), (t["end"] + by).alias("end"), F.lower(t["value"]).alias("term"))
-    before = F.filter(matches(left, TERM), lambda t: (t["start"] > 0) | (begin == 0))
-    after = F.filter(matches(right, TERM), lambda t: t["end"] < REACH)
-    near = F.concat(F.transform(before, moved(begin)), F.transform(after, moved(F.col("s.end"))))
-    rows = rows.select("row_hash", _entity().alias("entity"), F.xxhash64("s.left", "s.right").alias("context"), "taken", F.explode(near).alias("t"))
-    clear = ~F.exists("taken", lambda b: (b["start"] < F.col("t.end")) & (F.col("t.start") < b["end"]))
-    return rows.where(clear & (F.length("t.term") > 2)).select("row_hash", "entity", "context", "t.term", "t.start", "t.end")
+def _terms(text: Column) -> Column:
+    """Distinct terms of a text, in lower case: runs of letters and digits of three or more code points."""
+    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))), lambda t: F.length(t) > 2)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """term_hash, n_t: documents that hold each term anywhere, over all whole texts. Counted within each task first."""
-    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    return documents(docs).select(F.explode(held).alias("term")).groupBy(F.xxhash64("term").alias("term_hash")).agg(F.count("*").alias("n_t"))
+    """term_hash, n_t: documents that hold each term, over all whole texts. Counted within each task first."""
+    return documents(docs).select(F.explode(_terms(F.col("text"))).alias("term")).groupBy(F.xxhash64("term").alias("term_hash")).agg(F.count("*").alias("n_t"))
 
 
-def disclosing(found: DataFrame, near: DataFrame, docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
-    """entity, term, disclosure, kind ('generalised' or 'removed') of the pairs over the thresholds.
+def disclosing(holders: DataFrame, counts: DataFrame, total: int, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """row_hash, term, kind: the terms of each row that disclose one of its entities, with the graver kind of several.
 
-    A pair needs `support` differing contexts: copies of one document prove nothing. An entity in
-    every document has no information content, so nothing discloses it.
+    holders: row_hash, spans, text, once each; counts: term_hash, n_t over all documents, `total` of them. An entity in every
+    document has no information content, so nothing discloses it. Counts of entities and terms are brought to the
+    rows, and only terms rare enough to pass the threshold with an entity are paired with it: n_et <= n_e, so
+    n_t <= n_e ** g * N ** (1 - g).
     """
-    total = F.lit(float(found.count()))
-    holds = found.where(F.size("spans") > 0).select("row_hash", F.explode("spans").alias("s"))
-    entities = holds.select("row_hash", _entity().alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = near.groupBy("entity", "term", "row_hash").agg(F.min("context").alias("context")).groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.count_distinct("context").alias("contexts"))
-    pairs = pairs.where(F.col("contexts") >= support).withColumn("term_hash", F.xxhash64("term")).join(entities, "entity").join(term_counts(docs), "term_hash")
-    information = F.log2(total / F.col("n_e"))
-    share = F.when(information > 0, F.log2(total * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / information).otherwise(0.0)
-    kind = F.when(share >= remove, "removed").otherwise("generalised")
-    return pairs.withColumn("disclosure", share).where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure", kind.alias("kind"))
+    n = F.lit(float(max(1, total)))
+    own = holders.select("row_hash", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
+    known = own.join(own.groupBy("entity").agg(F.count("*").alias("n_e")), "entity").where(F.col("n_e") < n)
+    entities = known.groupBy("row_hash").agg(F.collect_list(F.struct("entity", "n_e")).alias("entities"))
+    terms = holders.select("row_hash", F.explode(_terms(F.col("text"))).alias("term")).withColumn("term_hash", F.xxhash64("term"))
+    held = terms.join(counts, "term_hash").groupBy("row_hash").agg(F.collect_list(F.struct("term", "n_t")).alias("terms"))
+    limit = F.pow(F.col("e.n_e"), F.lit(generalise)) * F.pow(n, F.lit(1 - generalise)) * (1 + 1e-9)
+    rows = entities.join(held, "row_hash").select("row_hash", "terms", F.explode("entities").alias("e"))
+    pairs = written(rows.select("row_hash", "e.entity", "e.n_e", F.explode(F.filter("terms", lambda t: t["n_t"] <= limit)).alias("t")).select("row_hash", "entity", "n_e", "t.term", "t.n_t"))
+    met = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    share = F.log2(n * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / F.log2(n / F.col("n_e")) * F.col("n_et") / (F.col("n_et") + DOUBT)
+    told = met.withColumn("disclosure", share).where(F.col("disclosure") >= generalise).select("entity", "term", F.when(F.col("disclosure") >= remove, "removed").otherwise("generalised").alias("kind"))
+    return pairs.join(told, ["entity", "term"]).groupBy("row_hash", "term").agg(F.max("kind").alias("kind"))
+
+
+def _term_spans(text: Column, told: Column, taken: Column) -> Column:
+    """array<struct<kind, start, end>> of the told terms (map<term, kind>) in a text, but for those that overlap a base span."""
+    hits = F.filter(F.transform(matches(text, TERM), lambda m: F.struct(F.try_element_at(told, F.lower(m["value"])).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))), lambda m: m["kind"].isNotNull())
+    return F.array_sort(F.filter(hits, lambda m: ~F.exists(taken, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
 
 
 def sanitise_spans(docs: DataFrame) -> DataFrame:
     """doc_id, row_hash, spans (base), terms (array<struct<kind, start, end>>, ordered): a row for each input row."""
     found = written(detect(docs))
-    near = written(terms_near(found))
-    told = disclosing(found, near, docs)
-    hits = near.join(told, ["entity", "term"]).groupBy("row_hash").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("terms"))
-    hits = hits.withColumnRenamed("row_hash", "hit_hash")
+    holders = found.where(F.size("spans") > 0).select("row_hash", "spans", "text").dropDuplicates(["row_hash"])
+    told = disclosing(holders, term_counts(docs), found.count())
+    told = told.groupBy(F.col("row_hash").alias("hit_hash")).agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     bare = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.join(hits, F.col("row_hash") == F.col("hit_hash"), "left").select("doc_id", "row_hash", bare.alias("spans"), F.coalesce("terms", none).alias("terms"))
+    met = found.join(told, F.col("row_hash") == F.col("hit_hash"), "left")
+    return met.select("doc_id", "row_hash", bare.alias("spans"), F.when(F.col("told").isNotNull(), _term_spans(F.col("text"), F.col("told"), F.col("spans"))).otherwise(none).alias("terms"))
 
 
 def _joined(spans: Column) -> Column:
@@ -187,7 +190,8 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 
     Null texts stay null. n_chars, where there is one, is counted anew for changed texts.
     """
-    spans = sanitise_spans(docs).select(F.col("row_hash").alias("__hash"), F.concat("spans", "terms").alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__hash"])
+    with scratch(docs.sparkSession) as kept:
+        spans = kept(sanitise_spans(docs).select(F.col("row_hash").alias("__hash"), F.concat("spans", "terms").alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__hash"]))
     keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
     met = keyed.join(spans, F.col("__row") == F.col("__hash"), "left")
     changed = F.col("__spans").isNotNull()

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accord.llm.common import SEPARATORS, documents, let, written
+from accord.llm.common import SEPARATORS, documents, let, scratch, written
 
 #: Labelled rows that a list is learned from at most, chosen by a hash of their id.
 SAMPLE = 60_000
@@ -213,5 +213,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Rows of one id share a fate if any of them is kept, as an id's rows can't be told apart.
     """
-    bad = judge(docs, labels).groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias("__doc"))
+    with scratch(docs.sparkSession) as kept:
+        bad = kept(judge(docs, labels).groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias("__doc")))
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left_anti")

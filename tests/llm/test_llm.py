@@ -129,6 +129,52 @@ def test_disclosing_terms(spark):
     assert {r.doc_id for r in got} == {0, 1, 2} and all("removed" in r.spans for r in got)
 
 
+def disclosed(rows):
+    """spans of terms by row, from the formula, counted by hand over every pair of term and entity."""
+    spans = lambda t: [(m.start(), m.end(), "email:" + m.group().lower()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", t)]
+    words = lambda t: [m for m in re.finditer(r"[^\W_]+(?:['-][^\W_]+)*", t) if len(m.group()) > 2]
+    entities, terms = [{e for *_, e in spans(t)} for t in rows], [{m.group().lower() for m in words(t)} for t in rows]
+    n_e, n_t, both, n = Counter(e for x in entities for e in x), Counter(t for x in terms for t in x), Counter(), len(rows)
+    for es, ts in zip(entities, terms, strict=True):
+        both.update((e, t) for e in es for t in ts)
+    out = []
+    for text, es in zip(rows, entities, strict=True):
+        best, got = {}, []
+        for e in es:
+            for t in {m.group().lower() for m in words(text)}:
+                k = both[e, t]
+                d = np.log2(n * k / (n_e[e] * n_t[t])) / np.log2(n / n_e[e]) * k / (k + 0.5) if n_e[e] < n else 0
+                best[t] = max(best.get(t, 0), d)
+        for m in words(text):
+            d = best.get(m.group().lower(), 0)
+            if d >= 0.6 - 1e-12 and not any(a < m.end() and m.start() < b for a, b, _ in spans(text)):
+                got.append(("removed" if d >= 0.8 - 1e-12 else "generalised", m.start(), m.end()))
+        out.append(sorted(got))
+    return out
+
+
+def test_disclosure_equals_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(240):
+        words = [rng.choice(["the", "river", "of", "été"]) if rng.random() < 0.6 else f"w{rng.randrange(500)}" for _ in range(rng.randrange(2, 60))]
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            k = int(rng.expovariate(0.2))
+            words[rng.randrange(len(words)) :] = [f"user{k}@corp.com", f"Nick-{k}", rng.choice(["The", "w7"])]
+        rows.append(" ".join(words))
+    rows += [rows[0], "", "all@corp.com", " ".join(f"t{k} a{k}@b.org" for k in range(300))]
+    got = {r.doc_id: [tuple((x.split(":")[0], *map(int, x.split(":")[1:]))) for x in r.spans.split(",") if x[:7] in ("removed", "general")] for r in pii.digest(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    want = disclosed(rows)
+    assert [got[k] for k in range(len(rows))] == want and {k for x in want for k, *_ in x} == {"removed", "generalised"}
+
+
+def test_long_texts_place_their_matches(spark):
+    text = " ".join(f"word{k % 977} é{k}@x.org" if k % 5 == 0 else f"word{k % 977}" for k in range(20_000))
+    (r,) = pii.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    want = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert r.n_email == 4000 and r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(0, 0.2, (400, 16)).astype(np.float32)
