@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from accord.functions import text
-from accord.jobs import records, wider, wider_sql
+from accord.jobs import deeper, records, wider, wider_sql
 from accord.operators import identity, logs, reconcile, topology
 from accord.sources import derived
 
@@ -74,6 +74,7 @@ QUERIES = {
     "w6_chain_mappings": lambda s, d: topology.generate_mappings(_bindings(s, d), "chain").drop("id"),
     **records.QUERIES,
     **wider.QUERIES,
+    **deeper.QUERIES,
 }
 
 _COLLECTIONS = """
@@ -175,4 +176,5 @@ SQL = {
     "w6_chain_mappings": _BINDINGS + "SELECT x.calendar, x.backend AS first, y.backend AS second FROM b x JOIN b y USING (calendar) WHERE x.position + 1 = y.position",
     **records.sql(_COLLECTIONS),
     **wider_sql.sql(_COLLECTIONS, _LOG, _CONTACTS),
+    **deeper.SQL,
 }

@@ -208,16 +208,6 @@ def _reabsorbed(spark, d):
     return ical.reabsorbable(masters, exceptions)
 
 
-def _split(spark, d):
-    k, start = F.col("o_orderkey"), F.col("o_orderdate")
-    rows = _orders(spark, d)
-    rule = F.when(k % 5 == 0, "RRULE:FREQ=DAILY;COUNT=9").when(k % 7 == 0, "").when(k % 3 == 0, "RRULE:FREQ=DAILY;UNTIL=19000101").otherwise("RRULE:FREQ=DAILY;UNTIL=20990101T000000Z")
-    masters = rows.where("o_orderkey % 11 <> 0").select(k.alias("uid"), start.alias("start"), rule.alias("rrule"))
-    heads, tails, _, errors = ical.split_series(masters, rows.select(k.alias("uid"), (start + F.expr("interval 10 days")).alias("at")), rows.select(k.alias("uid"), start.alias("recurrence_id")))
-    plain = lambda df, kind, value: df.select(F.lit(kind).alias("kind"), F.col("uid").cast("string").alias("uid"), F.col(value).alias("value"))
-    return plain(heads, "head", "rrule").unionByName(plain(tails, "tail", "rrule")).unionByName(plain(errors, "error", "error"))
-
-
 def _recurrences(spark, d):
     rows = derived.calendar(spark, d).select("uid", ical.recurrence_lines(F.col("data"), "VEVENT").alias("lines"))
     lines = F.array(F.concat(F.lit("RRULE:FREQ=HOURLY;INTERVAL=2;UNTIL="), "uid"))
@@ -379,7 +369,6 @@ QUERIES = {
     "f5_envelope": lambda s, d: derived.tasks(s, d).where("id % 17 <> 0 and id % 19 <> 0").select("id", canon.stamp_envelope(F.col("data"), "todo", F.concat(F.lit("z"), "id"), F.lit("task")).alias("c")).select("id", canon.read_uid(F.col("c")).alias("uid"), canon.read_kind(F.col("c")).alias("kind"), F.get_json_object("c", "$._canon.domain").alias("domain")),
     "f8_ical_properties": lambda s, d: ical.ical_properties(derived.calendar(s, d)),
     "f9_recurrence_lines": _recurrences,
-    "f12_split_series": _split,
     "f14_text_formats": _formats,
     "f16_vendor_json": _vendor_tasks,
     "f19_calendar_id": lambda s, d: derived.table(s, d, "part").select("p_partkey", text.calendar_id(F.concat(F.lit("É_"), "p_name", F.lit(" #!"), F.col("p_size"))).alias("calendar")),

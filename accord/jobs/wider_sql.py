@@ -147,10 +147,6 @@ def sql(collections: str, log: str, contacts: str) -> dict[str, str]:
         "f8_ical_properties": _CALENDAR + """SELECT uid, p.name AS property, p.v AS value FROM (SELECT uid, unnest([{'name': 'UID', 'v': uid}, {'name': 'SUMMARY', 'v': 'Order ' || k || ' folded'}, {'name': 'DTSTART', 'v': 'TZID=Europe/Paris:' || day || 'T080000'}, {'name': 'STATUS', 'v': st},
           {'name': 'RRULE', 'v': 'FREQ=DAILY;COUNT=3'}, {'name': 'EXDATE', 'v': '20240101,20240102'}, {'name': 'TRIGGER', 'v': '-PT15M'}]) AS p FROM k WHERE k % 4 <> 2)""",
         "f9_recurrence_lines": _CALENDAR + """SELECT uid, CASE WHEN k % 4 = 0 THEN 'RRULE:FREQ=DAILY;COUNT=3 EXDATE:20240101 EXDATE:20240102' ELSE '' END AS lines, k % 4 = 0 AS complex, CASE WHEN k % 4 = 0 THEN 'RRULE:FREQ=DAILY;COUNT=3' END AS simple, 'RRULE:FREQ=DAILY;UNTIL=' || uid AS hourly FROM k""",
-        "f12_split_series": """WITH x AS (SELECT o_orderkey AS k, o_orderdate + INTERVAL 10 DAY AS cut, CASE WHEN o_orderkey % 3 = 0 THEN 'RRULE:FREQ=DAILY;UNTIL=19000101' ELSE 'RRULE:FREQ=DAILY;UNTIL=20990101T000000Z' END AS rule,
-          CASE WHEN o_orderkey % 11 = 0 THEN 'no master' WHEN o_orderkey % 5 = 0 THEN 'count-bounded' WHEN o_orderkey % 7 = 0 THEN 'no rule' END AS error FROM orders)
-          SELECT 'error' AS kind, CAST(k AS VARCHAR) AS uid, error AS value FROM x WHERE error IS NOT NULL UNION ALL SELECT 'tail', k || '-split-' || strftime(cut, '%Y%m%dT%H%M%SZ'), rule FROM x WHERE error IS NULL
-          UNION ALL SELECT 'head', CAST(k AS VARCHAR), CASE WHEN k % 3 = 0 THEN rule ELSE 'RRULE:FREQ=DAILY;UNTIL=' || strftime(cut - INTERVAL 1 SECOND, '%Y%m%dT%H%M%SZ') END FROM x WHERE error IS NULL""",
         "f14_text_formats": """SELECT p_partkey, p_name AS summary, '+home,@c' || (p_partkey % 9) AS categories, 'x (' || chr(CAST(p_partkey % 26 + 65 AS INTEGER)) || ') ' || p_name || ' due:2024-05-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') || ' +home' AS line,
           '---' || chr(10) || 'id: n' || p_partkey || chr(10) || 'title: ' || p_name || chr(10) || '---' || chr(10) || p_type || chr(10) AS note, 'n' || p_partkey AS note_id, p_type || chr(10) AS body, 'busyStatus' AS carrier FROM part""",
         "f16_vendor_json": """SELECT p_partkey, 't' || p_partkey AS uid, p_name AS summary, '2024-05-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') AS due, '[' || (p_partkey % 3) || ']' AS links, sha256('{"links":[' || (p_partkey % 3) || ']}') AS digest, 'e' || p_partkey AS event,

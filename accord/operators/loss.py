@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accord.operators.canon import properties
+from accord.operators.canon import properties, read_kind
 
 #: Kinds of loss by severity, and the words that sum them up, in the order of a summary.
 SEVERITY = {"reversible": 0, "degraded": 1, "simplified": 2, "dropped": 3}
@@ -20,13 +24,22 @@ def _severity(kind: Column) -> Column:
 def materialized_loss(records: DataFrame, loss: DataFrame) -> DataFrame:
     """mapping_id, id, lost (sorted properties): what each record (data: canon JSON) holds and its conversion loses.
 
-    loss: property, loss_kind, lossless (array of JSON texts that survive, or null). Reversible loss does
-    not count, nor do values that are null, empty or in the lossless set. Records that lose nothing: no row.
+    loss: property, loss_kind, lossless (array of JSON texts that survive, or null); with a column kind, rows of a
+    kind hold for records of that kind (in their envelope) alone, and those of null kind for records whose kind has
+    none of its own; a row of null property declares a kind that loses nothing. Reversible loss does not count,
+    nor do values that are null, empty or in the lossless set. Records that lose nothing: no row.
     """
-    rows = loss.where("loss_kind <> 'reversible'").select(F.col("property").alias("key"), "lossless")
-    held = records.select("mapping_id", "id", F.explode(properties(F.col("data"))).alias("key", "value"))
+    by_kind = "kind" in loss.columns
+    rows = loss.where("loss_kind <> 'reversible'").select(F.col("property").alias("key"), "lossless", *([F.coalesce("kind", F.lit("")).alias("of")] if by_kind else []))
+    kind = F.coalesce(read_kind(F.col("data")), F.lit("")) if by_kind else F.lit("")
+    held = records.select("mapping_id", "id", kind.alias("kind"), F.explode(properties(F.col("data"))).alias("key", "value"))
     full = held.where(~F.col("value").isin("null", '""', "[]", "{}"))
-    met = full.join(rows, "key").where(~F.coalesce(F.array_contains("lossless", F.col("value")), F.lit(False)))
+    on = ["key"]
+    if by_kind:  # a kind without a profile of its own has the default one
+        own = loss.where("kind is not null").select("kind", F.col("kind").alias("of")).distinct()
+        full = full.join(own, "kind", "left").withColumn("of", F.coalesce("of", F.lit("")))
+        on = ["of", "key"]
+    met = full.join(rows, on).where(~F.coalesce(F.array_contains("lossless", F.col("value")), F.lit(False)))
     return met.groupBy("mapping_id", "id").agg(F.array_sort(F.collect_set("key")).alias("lost"))
 
 
@@ -63,15 +76,84 @@ def loss_summary(edges: DataFrame, by: str = "edge") -> DataFrame:
     return rows.select(by, F.when(text == "", "lossless").otherwise(text).alias("summary"))
 
 
-def conversion_path(edges: list[tuple[str, str]], source: tuple[str, str], target: tuple[str, str]) -> list[str] | None:
-    """The encodings from source to target (domain, encoding), over the domain's canonical form.
+def loss_ledger(edges: DataFrame) -> DataFrame:
+    """domain, text: the ledger of a domain's declared losses, the same to the byte whenever it is made anew.
+
+    edges: domain, source, target (encodings), kind (null: the default profile), property (null: nothing is lost),
+    loss_kind. Lists the edges, lossy ones and those with profiles by kind marked, then a table for each profile that
+    loses something, the default one before the kinds. A domain's edges and their properties are a few hundred rows.
+    """
+    title = F.concat("source", F.lit(" -> "), "target")
+    one = edges.withColumn("edge", title).groupBy("domain", "edge").agg(F.array_sort(F.collect_set(F.col("kind"))).alias("kinds"), F.count("property").alias("lost"))
+    tags = F.array_compact(F.array(F.when(F.col("lost") > 0, "lossy"), F.when(F.size("kinds") > 0, F.concat(F.lit("by kind: default, "), F.array_join("kinds", ", ")))))
+    line = F.concat(F.lit("- "), "edge", F.when(F.size(tags) > 0, F.concat(F.lit(" ("), F.array_join(tags, "; "), F.lit(")"))).otherwise(""))
+    inventory = one.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("inventory"))
+    scoped = edges.withColumn("edge", title).join(one.select("domain", "edge", F.size("kinds").alias("n")), ["domain", "edge"])
+    rows = scoped.where("property is not null").groupBy("domain", "edge", "kind", "n").agg(F.array_sort(F.collect_set(F.concat(F.lit("| "), "property", F.lit(" | "), "loss_kind", F.lit(" |")))).alias("rows"))
+    head = F.concat(F.lit("### "), "edge", F.when(F.col("n") > 0, F.concat(F.lit(" ("), F.coalesce("kind", F.lit("default")), F.lit(")"))).otherwise(""))
+    part = F.concat(head, F.lit("\n\n| property | loss |\n|---|---|\n"), F.array_join("rows", "\n"))
+    parts = rows.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("edge", F.coalesce("kind", F.lit("")).alias("kind"), part.alias("part")))).alias("parts"))
+    body = F.coalesce(F.array_join(F.transform("parts", lambda x: x["part"]), "\n\n"), F.lit("No declared losses."))
+    return inventory.join(parts, "domain", "left").select("domain", F.concat(F.lit("## "), "domain", F.lit("\n\n"), "inventory", F.lit("\n\n"), body, F.lit("\n")).alias("text"))
+
+
+#: A shape is a domain and an encoding; ANY takes whatever is there.
+Shape = tuple[str, str]
+ANY = "any"
+
+
+@dataclass(frozen=True)
+class Edge:
+    """A conversion: from one shape to another of its domain, by a column expression, with its loss (property, loss_kind, lossless values or None)."""
+
+    source: Shape
+    target: Shape
+    convert: Callable[[Column], Column]
+    loss: tuple[tuple[str, str, tuple[str, ...] | None], ...] = ()
+
+
+def conversion_plan(edges: list[Edge], spines: dict[str, list[Shape]], source: Shape, target: Shape) -> list[Edge] | None:
+    """The edges from source to target over the domain's spine, its canonical shapes in order; [] where nothing is to do, None without a way.
 
-    Equal shapes, and any target of the same domain named 'any', need no step; other domains have no
-    path. edges: the (from, to) encodings that convert within the domain, a handful.
+    A shape off the spine is led to the first spine shape that it has an edge to, or reached from the first that has one
+    to it; between the two the way goes along the spine, step by step. Any target takes the source as it is; an
+    unknown source ('any') and another domain have no way.
     """
-    if source[0] != target[0]:
+    if target[1] == ANY:
+        return []
+    if source[1] == ANY:
         return None
-    if source == target or target[1] == "any":
-        return [source[1]]
-    path = [source[1], *["canon"] * ("canon" not in (source[1], target[1])), target[1]]
-    return path if all(step in edges for step in zip(path, path[1:], strict=False)) else None
+    if source == target:
+        return []
+    spine = spines.get(source[0], []) if source[0] == target[0] else []
+    by = {(e.source, e.target): e for e in reversed(edges)}
+    lead = tail = None
+    if source not in spine:
+        lead = next((e for node in spine if (e := by.get((source, node)))), None)
+        if lead is None:
+            return None
+    if target not in spine:
+        tail = next((e for node in spine if (e := by.get((node, target)))), None)
+        if tail is None:
+            return None
+    begin, end = spine.index(lead.target if lead else source), spine.index(tail.source if tail else target)
+    step = 1 if begin < end else -1
+    walk = [by.get((spine[k], spine[k + step])) for k in range(begin, end, step)]
+    return None if None in walk else [e for e in (lead, *walk, tail) if e is not None]
+
+
+def converted(df: DataFrame, plan: list[Edge], column: str = "data") -> DataFrame:
+    """df with a column taken through all steps of a plan, as one chained expression."""
+    return df.withColumn(column, reduce(lambda value, edge: edge.convert(value), plan, F.col(column)))
+
+
+def plan_loss(spark: SparkSession, plan: list[Edge], path: str = "path") -> DataFrame:
+    """path, property, loss_kind, lossless: the composed loss of a plan's steps."""
+    rows = [(path, p, kind, list(values) if values is not None else None) for e in plan for p, kind, values in e.loss]
+    return compose_loss(spark.createDataFrame(rows, "path string, property string, loss_kind string, lossless array<string>"))
+
+
+def conversion_path(edges: list[Edge], spines: dict[str, list[Shape]], source: Shape, target: Shape) -> list[str] | None:
+    """The encodings that a plan goes through, from the source's on; None without a way."""
+    plan = conversion_plan(edges, spines, source, target)
+    return None if plan is None else [source[1], *(e.target[1] for e in plan)]

@@ -110,14 +110,6 @@ def test_tokens_advance_after_success(spark):
     assert got == {("m1", "source", "s1"), ("m2", "source", "s0"), ("m1", "target", "t2")}
 
 
-def test_conversion_paths():
-    edges = [("ics", "canon"), ("canon", "json")]
-    assert loss.conversion_path(edges, ("todo", "ics"), ("todo", "json")) == ["ics", "canon", "json"]
-    assert loss.conversion_path(edges, ("todo", "ics"), ("todo", "any")) == ["ics"]
-    assert loss.conversion_path(edges, ("todo", "ics"), ("note", "json")) is None
-    assert loss.conversion_path(edges, ("todo", "json"), ("todo", "ics")) is None
-
-
 def test_catalogue_schema():
     got = views.catalogue_schema([("uid", "String", False), ("tags", "StringList", True)])
     assert got.simpleString() == "struct<uid:string,tags:array<string>>" and [f.nullable for f in got] == [False, True]
