@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accord.functions.text import once
 from accord.operators.canon import ENVELOPE, EXTRAS, VERSION, digest_without, from_properties, properties
 from accord.sources.shared import written
 
@@ -15,10 +16,9 @@ EVENT_TEXTS = {"summary": "summary", "description": "description", "location": "
 EVENT_FLAGS = ("guestsCanModify", "guestsCanInviteOthers", "guestsCanSeeOtherGuests", "locked", "privateCopy")
 
 
-def _text(json: Column, path: str) -> Column:
-    """A text value that isn't empty; null for other types."""
-    value = F.try_variant_get(F.try_parse_json(json), f"$.{path}", "variant")
-    return F.when(F.schema_of_variant(value) == "STRING", F.nullif(F.try_variant_get(F.try_parse_json(json), f"$.{path}", "string"), F.lit("")))
+def _text(json: Column) -> Column:
+    """The text of a JSON value, if it is one and isn't empty; null for other types."""
+    return F.when(json.startswith('"'), F.nullif(F.get(F.from_json(F.concat(F.lit("["), json, F.lit("]")), "array<string>"), F.lit(0)), F.lit("")))
 
 
 def _json(text: Column) -> Column:
@@ -41,41 +41,54 @@ def _envelope(domain: str, uid: Column) -> dict[str, Column]:
     return {ENVELOPE: F.lit(f'{{"domain":"{domain}","v":{VERSION}}}'), "uid": _json(F.coalesce(uid, F.lit("")))}
 
 
+def _at(held: Column, key: str) -> Column:
+    return F.try_element_at(held, F.lit(key))
+
+
 def google_task_to_canon(task: Column) -> Column:
     """A task in canon form: renamed texts, the due day, the rest as extras with a digest without etag; null for no JSON object."""
-    due = F.regexp_extract(F.coalesce(_text(task, "due"), F.lit("")), r"^(\d{4}-\d{2}-\d{2})", 1)
-    left = F.map_filter(properties(task), lambda k, _: ~k.isin("id", "due", *TASK_FIELDS))
-    fields = {canon: _json(_text(task, own)) for own, canon in TASK_FIELDS.items()}
-    fields["due"] = F.when(due != "", F.concat(F.lit('{"allDay":true,"date":'), _json(due), F.lit("}")))
-    fields[EXTRAS] = F.when(F.size(left) > 0, F.concat(F.lit('{"google":'), from_properties(left), F.lit("}")))
-    fields["providerExtrasDigest"] = _json(digest_without(from_properties(left), ("etag",)))
-    return F.when(F.size(properties(task)) > 0, _object(**fields, **_envelope("todo", _text(task, "id"))))
+
+    def canon(held: Column) -> Column:
+        due = F.regexp_extract(F.coalesce(_text(_at(held, "due")), F.lit("")), r"^(\d{4}-\d{2}-\d{2})", 1)
+        fields = {canon: _json(_text(_at(held, own))) for own, canon in TASK_FIELDS.items()}
+        fields["due"] = F.when(due != "", F.concat(F.lit('{"allDay":true,"date":'), _json(due), F.lit("}")))
+        left = from_properties(F.map_filter(held, lambda k, _: ~k.isin("id", "due", *TASK_FIELDS)))
+        extras = once(left, lambda x: F.struct(F.when(x != "{}", F.concat(F.lit('{"google":'), x, F.lit("}"))).alias("extras"), _json(digest_without(x, ("etag",))).alias("digest")))
+        return once(extras, lambda x: _object(**fields, **{EXTRAS: x["extras"], "providerExtrasDigest": x["digest"]}, **_envelope("todo", _text(_at(held, "id")))))
+
+    return once(properties(task), lambda held: F.when(F.size(held) > 0, canon(held)))
 
 
 def google_time(json: Column) -> Column:
     """{date, allDay} or {dateTime (UTC), floating, tz} of a vendor time (JSON text); null without a valid one."""
-    date, time, zone = (_text(json, k) for k in ("date", "dateTime", "timeZone"))
-    timed = F.when(_utc(time).isNotNull(), _object(dateTime=_json(_utc(time)), floating=F.lit("false"), tz=_json(zone)))
-    return F.when(date.isNotNull(), F.concat(F.lit('{"allDay":true,"date":'), _json(date), F.lit("}"))).otherwise(timed)
+
+    def time(held: Column) -> Column:
+        date, utc = _text(_at(held, "date")), _utc(_text(_at(held, "dateTime")))
+        timed = F.when(utc.isNotNull(), _object(dateTime=_json(utc), floating=F.lit("false"), tz=_json(_text(_at(held, "timeZone")))))
+        return F.when(date.isNotNull(), F.concat(F.lit('{"allDay":true,"date":'), _json(date), F.lit("}"))).otherwise(timed)
+
+    return once(properties(json), time)
 
 
 def google_event_to_canon(event: Column) -> Column:
-    """An event's core fields in canon form; null for text that is no JSON object."""
-    held = properties(event)
-    at = lambda key: F.try_element_at(held, F.lit(key))
-    person = lambda v: _object(email=_json(_text(v, "email")), name=_json(_text(v, "displayName")))
-    fields = {canon: _json(_text(event, own)) for own, canon in EVENT_TEXTS.items()}
-    fields |= {key: F.when(at(key).isin("true", "false"), at(key)) for key in EVENT_FLAGS}
-    fields |= {"status": _json(F.lower(_text(event, "status"))), "created": _json(_utc(_text(event, "created"))), "lastModified": _json(_utc(_text(event, "updated")))}
-    fields |= {"sequence": F.when(at("sequence").rlike(r"^-?\d+(\.\d+)?$"), at("sequence").try_cast("double").try_cast("long").cast("string"))}
-    start = google_time(at("start"))
-    fields |= {"start": start, "allDay": F.when(start.contains('"allDay":true'), F.lit("true")), "end": google_time(at("end")), "recurrenceId": google_time(at("originalStartTime"))}
-    fields |= {"recurrence": F.when(at("recurrence").rlike(r"^\[.+\]$"), at("recurrence")), "organizer": F.when(at("organizer").isNotNull(), person(at("organizer")))}
-    guests = F.transform(F.try_variant_get(F.try_parse_json(event), "$.attendees", "array<variant>"), lambda v: F.to_json(v))
-    listed = F.transform(F.filter(guests, lambda v: _text(v, "email").isNotNull()), person)
-    fields["attendees"] = F.when(F.size(listed) > 0, F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")))
-    uid = F.coalesce(_text(event, "iCalUID"), _text(event, "id"))
-    return F.when(F.size(held) > 0, _object(**fields, **_envelope("calendar", uid)))
+    """An event's core fields in canon form; null for text that is no JSON object. The text is parsed once into its properties."""
+    person = lambda v: once(properties(v), lambda p: _object(email=_json(_text(_at(p, "email"))), name=_json(_text(_at(p, "displayName")))))
+
+    def canon(held: Column) -> Column:
+        at = lambda key: _at(held, key)
+        fields = {canon: _json(_text(at(own))) for own, canon in EVENT_TEXTS.items()}
+        fields |= {key: F.when(at(key).isin("true", "false"), at(key)) for key in EVENT_FLAGS}
+        fields |= {"status": _json(F.lower(_text(at("status")))), "created": _json(_utc(_text(at("created")))), "lastModified": _json(_utc(_text(at("updated"))))}
+        fields |= {"sequence": F.when(at("sequence").rlike(r"^-?\d+(\.\d+)?$"), at("sequence").try_cast("double").try_cast("long").cast("string"))}
+        start = google_time(at("start"))
+        fields |= {"start": start, "allDay": F.when(_text(once(properties(at("start")), lambda p: _at(p, "date"))).isNotNull(), F.lit("true")), "end": google_time(at("end")), "recurrenceId": google_time(at("originalStartTime"))}
+        fields |= {"recurrence": F.when(at("recurrence").rlike(r"^\[.+\]$"), at("recurrence")), "organizer": F.when(at("organizer").isNotNull(), person(at("organizer")))}
+        guests = F.when(at("attendees").startswith("["), F.from_json(at("attendees"), "array<string>"))
+        named = F.filter(F.transform(guests, person), lambda v: F.coalesce(F.contains(v, F.lit('"email":')), F.lit(False)))
+        fields["attendees"] = F.when(F.size(named) > 0, F.concat(F.lit("["), F.array_join(named, ","), F.lit("]")))
+        return _object(**fields, **_envelope("calendar", F.coalesce(_text(at("iCalUID")), _text(at("id")))))
+
+    return once(properties(event), lambda held: F.when(F.size(held) > 0, canon(held)))
 
 
 def ms_contact_emails(contact: Column) -> Column:

@@ -233,14 +233,15 @@ def _formats(spark, d):
 def _vendor_tasks(spark, d):
     p, k = derived.table(spark, d, "part"), F.col("p_partkey")
     task = F.format_string('{"id":"t%d","title":"%s","due":"2024-05-%02dT00:00:00Z","etag":"e%d","links":[%d]}', k, "p_name", k % 28 + 1, k, k % 3)
-    c = vendor.google_task_to_canon(task)
-    field = lambda path: F.get_json_object(c, path)
+    field = lambda path: F.get_json_object("task", path)
     event = vendor.google_event_to_canon(F.format_string('{"id":"e%d","summary":"%s","status":"CONFIRMED","locked":true,"sequence":%d,"start":{"date":"2024-01-01"},"created":"2024-01-01T10:00:00+02:00","attendees":[{"email":"a@x","displayName":"A"},{"displayName":"B"}]}', k, "p_name", k % 5))
-    of = lambda path: F.get_json_object(event, path)
+    of = lambda path: F.get_json_object("event", path)
     contact = F.format_string('{"emailAddresses":[{"address":"a%d@x","name":"A"},{"address":""}],"primaryEmailAddress":{"address":"%s"},"homePhones":["1",""],"mobilePhone":"%d"}', k, F.when(k % 2 == 0, F.concat(F.lit("a"), k, F.lit("@x"))).otherwise("main@x"), k)
     mails = F.array_join(F.transform(vendor.ms_contact_emails(contact), lambda e: F.concat(e["value"], F.when(e["primary"], "*").otherwise(""))), ",")
     phones = F.array_join(F.transform(vendor.ms_contact_phones(contact), lambda e: F.concat_ws(":", e["type"], e["value"])), ",")
-    return p.select("p_partkey", field("$.uid").alias("uid"), field("$.summary").alias("summary"), field("$.due.date").alias("due"), field("$.providerExtras.google.links").alias("links"), F.get_json_object(c, "$.providerExtrasDigest").alias("digest"), of("$.uid").alias("event"), of("$.status").alias("status"), of("$.created").alias("created"), of("$.allDay").alias("all_day"), of("$.locked").alias("locked"), of("$.attendees").alias("attendees"), of("$.sequence").alias("sequence"), mails.alias("mails"), phones.alias("phones"))
+    # converted in a projection of its own, so that no field converts its text anew
+    p = p.select("p_partkey", vendor.google_task_to_canon(task).alias("task"), event.alias("event"), mails.alias("mails"), phones.alias("phones"))
+    return p.select("p_partkey", field("$.uid").alias("uid"), field("$.summary").alias("summary"), field("$.due.date").alias("due"), field("$.providerExtras.google.links").alias("links"), field("$.providerExtrasDigest").alias("digest"), of("$.uid").alias("event"), of("$.status").alias("status"), of("$.created").alias("created"), of("$.allDay").alias("all_day"), of("$.locked").alias("locked"), of("$.attendees").alias("attendees"), of("$.sequence").alias("sequence"), "mails", "phones")
 
 
 def _flat(spark, d):
