@@ -79,11 +79,11 @@ QUERIES = {
 
 _COLLECTIONS = """
 WITH o AS (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN 'S' ELSE o_orderstatus END AS st, CASE WHEN o_orderkey % 5 = 0 THEN 'T' ELSE o_orderstatus END AS tt FROM orders),
-source AS (SELECT 'm' || (o_orderkey % 8) AS mapping_id, o_orderkey AS id, st AS data, sha256(o_orderkey || '|' || st || '|' || o_orderpriority) AS hash,
+source AS (SELECT 'm' || (o_orderkey % 8) AS mapping_id, o_orderkey AS id, 'UID:' || o_orderkey || ';STATUS:' || st AS data, sha256(o_orderkey || '|' || st || '|' || o_orderpriority) AS hash,
   o_orderdate + to_days(CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 0 END) AS lm FROM o WHERE o_orderkey % 11 <> 0),
-target AS (SELECT 'm' || (o_orderkey % 8) AS mapping_id, o_orderkey AS id, tt AS data, sha256(o_orderpriority || '|' || tt || '|' || o_orderkey) AS hash,
+target AS (SELECT 'm' || (o_orderkey % 8) AS mapping_id, o_orderkey AS id, 'UID:' || o_orderkey || ';STATUS:' || tt AS data, sha256(o_orderpriority || '|' || tt || '|' || o_orderkey) AS hash,
   o_orderdate + to_days(CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey % 3 AS INTEGER) ELSE 0 END) AS lm FROM o WHERE o_orderkey % 13 <> 0),
-baseline AS (SELECT 'm' || (o_orderkey % 8) AS mapping_id, o_orderkey AS id, o_orderstatus AS data, sha256(o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority) AS sh,
+baseline AS (SELECT 'm' || (o_orderkey % 8) AS mapping_id, o_orderkey AS id, 'UID:' || o_orderkey || ';STATUS:' || o_orderstatus AS data, sha256(o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority) AS sh,
   sha256(o_orderpriority || '|' || o_orderstatus || '|' || o_orderkey) AS th FROM o WHERE o_orderkey % 10 <> 9),
 j AS (SELECT coalesce(s.mapping_id, t.mapping_id, b.mapping_id) AS mapping_id, coalesce(s.id, t.id, b.id) AS id, s.id IS NOT NULL AS s, t.id IS NOT NULL AS t, b.id IS NOT NULL AS b,
   s.data AS sd, t.data AS td, b.data AS bd, s.hash AS shash, t.hash AS thash, s.lm AS slm, t.lm AS tlm, coalesce(s.hash <> b.sh, true) AS sc, coalesce(t.hash <> b.th, true) AS tc
@@ -176,5 +176,5 @@ SQL = {
     "w6_chain_mappings": _BINDINGS + "SELECT x.calendar, x.backend AS first, y.backend AS second FROM b x JOIN b y USING (calendar) WHERE x.position + 1 = y.position",
     **records.sql(_COLLECTIONS),
     **wider_sql.sql(_COLLECTIONS, _LOG, _CONTACTS),
-    **deeper.SQL,
+    **deeper.sql(_COLLECTIONS, _LOG),
 }

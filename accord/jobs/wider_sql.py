@@ -75,7 +75,7 @@ def sql(collections: str, log: str, contacts: str) -> dict[str, str]:
           UNION ALL SELECT mapping_id, CAST(id AS VARCHAR), 'source', CASE WHEN s THEN 'update' ELSE 'create' END, concat_ws('+', sd, td), false FROM w WHERE op = 'conflict'""",
         "c3_duplicate": collections + _WRITES + """, c AS (SELECT *, id || '-dup-' || left(sha256(concat_ws('|', mapping_id, id, thash)), 32) AS clone FROM w WHERE op = 'conflict')
           SELECT * FROM plain UNION ALL SELECT mapping_id, CAST(id AS VARCHAR), 'source', 'create', td, true FROM c WHERE NOT s UNION ALL SELECT mapping_id, CAST(id AS VARCHAR), 'target', 'create', sd, true FROM c WHERE NOT t
-          UNION ALL SELECT mapping_id, CAST(id AS VARCHAR), 'target', 'update', sd, true FROM c WHERE s AND t UNION ALL SELECT mapping_id, clone, 'target', 'create', td, true FROM c WHERE s AND t UNION ALL SELECT mapping_id, clone, 'source', 'create', td, false FROM c WHERE s AND t""",
+          UNION ALL SELECT mapping_id, CAST(id AS VARCHAR), 'target', 'update', sd, true FROM c WHERE s AND t UNION ALL SELECT mapping_id, clone, 'target', 'create', replace(td, 'UID:' || id, 'UID:' || clone), true FROM c WHERE s AND t UNION ALL SELECT mapping_id, clone, 'source', 'create', replace(td, 'UID:' || id, 'UID:' || clone), false FROM c WHERE s AND t""",
         "c1_counters": collections + "SELECT mapping_id, CAST(0 AS BIGINT) AS resolved, count(*) FILTER (op = 'conflict') AS deferred FROM diff WHERE op IS NOT NULL GROUP BY mapping_id",
         "c4_hold_unresolved": collections + """, held AS MATERIALIZED (SELECT DISTINCT mapping_id AS h FROM diff WHERE op = 'conflict' AND mapping_id < 'm4' AND (sd IS NULL OR td IS NULL))
           SELECT mapping_id, id, side, action FROM plan LEFT JOIN held ON h = mapping_id WHERE h IS NULL""",

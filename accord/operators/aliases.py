@@ -60,6 +60,15 @@ def identity_conflicts(creates_source: DataFrame, creates_target: DataFrame, sco
     return one(creates_source, "source_id").join(one(creates_target, "target_id"), [scope, "digest"])
 
 
+def identity_conflict_members(creates_source: DataFrame, creates_target: DataFrame, scope: str) -> DataFrame:
+    """scope, digest, side, id: every create whose content is created towards the other side too.
+
+    The members of each conflict, a row each and no pairs, so content that is repeated many times does no harm.
+    """
+    of = lambda df, side, other: df.join(other.select(scope, "digest").distinct(), [scope, "digest"], "left_semi").select(scope, "digest", F.lit(side).alias("side"), "id")
+    return of(creates_source, "source", creates_target).unionByName(of(creates_target, "target", creates_source))
+
+
 def harvest_baselines(source: DataFrame, target: DataFrame, aliases: DataFrame, scope: str) -> DataFrame:
     """scope, id, source_hash, target_hash after a first sync: the target's row by alias, its hash falling back to the source's."""
     there = target.select(scope, F.col("id").alias("at"), F.col("hash").alias("target_hash"))

@@ -60,7 +60,7 @@ def _property_changes(log: DataFrame, baseline: DataFrame, ignored: tuple[str, .
     return last, live, compared.where(F.col("value") != F.coalesce("agreed", F.lit(""))).drop("agreed")
 
 
-def merge_properties(log: DataFrame, baseline: DataFrame, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+def merge_properties(log: DataFrame, baseline: DataFrame, ignored: tuple[str, ...] = IGNORED, on_conflict: str = "property") -> DataFrame:
     """uid, outcome, property, value: the writers' newest entries merged property by property.
 
     log: uid, app_id, datetime, seq, property, value, a row for each property of an entry; a tombstone
@@ -68,9 +68,12 @@ def merge_properties(log: DataFrame, baseline: DataFrame, ignored: tuple[str, ..
     has the empty value. One changed value of a property is taken; of several the newest wins and the uid
     is a conflict. Winners replace the values of the newest live entry, empty ones remove them. Outcomes
     are those of merge_writers; a deletion, or a record without properties, is one row of null property.
+    on_conflict='record': a uid in conflict has the whole record of the writer who won the last conflicting property by name.
     """
+    if on_conflict not in ("property", "record"):
+        raise ValueError(on_conflict)
     last, live, changed = _property_changes(log, baseline, ignored)
-    won = changed.groupBy("uid", "property").agg(F.count_distinct("value").alias("changes"), F.min_by("value", "place").alias("won"))
+    won = changed.groupBy("uid", "property").agg(F.count_distinct("value").alias("changes"), F.min_by("value", "place").alias("won"), F.min_by("app_id", "place").alias("by"))
     writers = last.groupBy("uid").agg(F.count_distinct(F.when(F.col("property").isNotNull(), F.col("app_id"))).alias("writers"))
     known = baseline.select("uid", F.lit(True).alias("known")).distinct()
     folded = writers.join(known, "uid", "left").join(won.groupBy("uid").agg(F.max("changes").alias("changes")), "uid", "left")
@@ -79,6 +82,10 @@ def merge_properties(log: DataFrame, baseline: DataFrame, ignored: tuple[str, ..
     winners = won.join(outcomes.where("outcome in ('merged', 'conflict')"), "uid", "left_semi").select("uid", "property", "won")
     rows = live.where("place = 1").select("uid", "property", "value").join(winners, ["uid", "property"], "full")
     rows = rows.select("uid", "property", F.coalesce("won", "value").alias("value")).where("value <> ''")
+    if on_conflict == "record":
+        clash = won.where("changes > 1").groupBy("uid").agg(F.max_by("by", "property").alias("app_id"))
+        clash = clash.join(outcomes.where("outcome = 'conflict'"), "uid", "left_semi")
+        rows = rows.join(clash, "uid", "left_anti").unionByName(live.join(clash, ["uid", "app_id"]).select("uid", "property", "value").where("value <> ''"))
     return outcomes.join(rows, "uid", "left").select("uid", "outcome", "property", "value")
 
 
@@ -163,6 +170,12 @@ def apply_skeletons(feed: DataFrame) -> DataFrame:
     return each.groupBy("id", "property").agg(F.max_by(F.struct("value"), "seq").alias("v")).select("id", "property", "v.value")
 
 
+def first_occurrences(rows: DataFrame, group: str, value: str, position: str) -> DataFrame:
+    """The rows of each group without repeats of a value, compared without case: the first by position stays, empty ones go."""
+    rank = F.row_number().over(Window.partitionBy(group, F.lower(value)).orderBy(position))
+    return rows.where(F.coalesce(F.col(value), F.lit("")) != "").withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+
+
 def merge_families(existing: DataFrame, staged: DataFrame) -> DataFrame:
     """uid, slot, data, position: the later row wins its slot; the master (slot '') comes first."""
     rows = existing.unionByName(staged)

@@ -37,8 +37,8 @@ def _changed(side: str, agreed: str) -> Column:
     return empty(f"{side}_hash") | empty(agreed) | (F.col(f"{side}_hash") != F.col(agreed))
 
 
-def three_way_diff(source: DataFrame, target: DataFrame, baseline: DataFrame) -> DataFrame:
-    """mapping_id, id, direction, op and both sides' columns; unchanged and baseline-only keys are left out."""
+def _coded(source: DataFrame, target: DataFrame, baseline: DataFrame) -> DataFrame:
+    """The sides met, with code '<direction>:<op>'; null for what is unchanged, or in the baseline alone."""
     s, t, b = F.col("s"), F.col("t"), F.col("b")
     sc, tc = _changed("s", "b_source_hash"), _changed("t", "b_target_hash")
     code = (
@@ -49,7 +49,12 @@ def three_way_diff(source: DataFrame, target: DataFrame, baseline: DataFrame) ->
         .when(~s & t, "to_source:create")
         .when(s & t & ~F.col("s_data").eqNullSafe(F.col("t_data")), "to_target:conflict")
     )
-    rows = meet(source, target, baseline).withColumn("code", code).where(F.col("code").isNotNull())
+    return meet(source, target, baseline).withColumn("code", code)
+
+
+def three_way_diff(source: DataFrame, target: DataFrame, baseline: DataFrame) -> DataFrame:
+    """mapping_id, id, direction, op and both sides' columns; unchanged and baseline-only keys are left out."""
+    rows = _coded(source, target, baseline).where(F.col("code").isNotNull())
     return rows.withColumns({"direction": F.split("code", ":")[0], "op": F.split("code", ":")[1]}).drop("code")
 
 
@@ -217,6 +222,25 @@ def sync_stats(plan: DataFrame) -> DataFrame:
     return plan.rollup("mapping_id", "side").agg(of("create", "created"), of("update", "updated"), of("delete", "deleted"))
 
 
+def run_stats(source: DataFrame, target: DataFrame, baseline: DataFrame, plan: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """mapping_id, side, created, updated, deleted, unchanged, conflicts, errors of a run, with totals where mapping or side is null.
+
+    plan: mapping_id, id, side, action. Without results all of it counts as done; with them (mapping_id, id, side,
+    success) a write that failed or has no result is an error and nothing else. Unchanged keys count on both sides, a
+    conflict on the side that its difference points to.
+    """
+    code = _coded(source, target, baseline).select("mapping_id", "s", "t", "code")
+    same = code.where("s and t and code is null").select("mapping_id", F.explode(F.array(F.lit("source"), F.lit("target"))).alias("side"), F.lit("unchanged").alias("what"))
+    open_ = code.where("code like '%:conflict'").select("mapping_id", F.regexp_extract("code", "to_(.*):", 1).alias("side"), F.lit("conflicts").alias("what"))
+    done = plan.select("mapping_id", "id", "side", "action")
+    if results is not None:
+        done = done.join(results.select("mapping_id", "id", "side", "success"), ["mapping_id", "id", "side"], "left").withColumn("action", F.when(F.coalesce("success", F.lit(False)), F.col("action")).otherwise("errors"))
+    name = F.when(F.col("action") == "errors", "errors").when(F.col("action") == "delete", "deleted").otherwise(F.concat("action", F.lit("d")))
+    rows = done.select("mapping_id", "side", name.alias("what")).unionByName(same).unionByName(open_)
+    kinds = ("created", "updated", "deleted", "unchanged", "conflicts", "errors")
+    return rows.rollup("mapping_id", "side").agg(*(F.count_if(F.col("what") == k).alias(k) for k in kinds)).where(F.col("mapping_id").isNotNull() | F.col("side").isNull())
+
+
 def mass_delete_guard(plan: DataFrame, baseline: DataFrame, absolute: int = 10, percent: int = 25) -> DataFrame:
     """mapping_id, deletes, baselines, tripped: too many deletes, in number or as a share of the baseline."""
     deletes = plan.groupBy("mapping_id").agg(F.count_if(F.col("action") == "delete").alias("deletes"))
@@ -278,6 +302,17 @@ def bucketed_digest(records: DataFrame) -> DataFrame:
     return collection_digest(leaves.select("mapping_id.mapping_id", "mapping_id.id", F.col("digest").alias("hash")))
 
 
+def bucketed_revision_digest(records: DataFrame) -> DataFrame:
+    """mapping_id, digest of a collection's revisions (id, rev) by the buckets of bucketed_digest, for collections of any size."""
+    return bucketed_digest(records.select("mapping_id", "id", F.col("rev").cast("string").alias("hash")))
+
+
+def bucketed_fingerprint(files: DataFrame) -> DataFrame:
+    """folder, digest of a folder's files (name, mtime, size) by the buckets of bucketed_digest, for folders of any size."""
+    line = F.concat_ws("|", F.col("mtime").cast("string"), F.col("size").cast("string"))
+    return bucketed_digest(files.select(F.col("folder").alias("mapping_id"), F.col("name").alias("id"), line.alias("hash"))).withColumnRenamed("mapping_id", "folder")
+
+
 def dedupe_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The last row of each key by seq; rows with a null or empty key are dropped."""
     for key in keys:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accord.functions.text import calendar_id
+
 
 def _named(name: Column) -> Column:
     return F.lower(F.trim(name))
@@ -30,6 +32,33 @@ def auto_match(discovered: DataFrame, order: list, existing: DataFrame | None =
     return named.select(F.col("key").alias("name"), "display_name", "type", "color", F.concat_ws(",", *bound).alias("bindings"))
 
 
+def logical_calendars(discovered: DataFrame, primary: str | None, order: list, existing: DataFrame | None = None) -> DataFrame:
+    """calendar (its name's key), display_name, type, color, sync_enabled, bindings of discovered collections, as auto_match names them.
+
+    bindings: array<struct<backend, remote, role, position, enabled, pending>>: the primary backend first, then those of
+    `order` as sync1, sync2 and so on. Each is bound to its first collection of the name by seq; where it has none the
+    binding is pending, its remote id made from the display name. A calendar is synchronised if it has more than a
+    primary. Backends are texts, a handful.
+    """
+    named = auto_match(discovered, [], existing).drop("bindings")
+    first = discovered.select(_named(F.col("name")).alias("name"), F.col("backend").cast("string").alias("backend"), F.col("calendar").cast("string").alias("remote"), "seq")
+    held = first.groupBy("name", "backend").agg(F.min_by("remote", "seq").alias("remote")).groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("backend", "remote"))).alias("held"))
+    others = [b for b in dict.fromkeys(order) if b != primary]
+    roles = [*([(primary, "primary")] if primary else []), *((b, f"sync{k}") for k, b in enumerate(others, 1))]
+
+    def bound(k: int, backend: str, role: str) -> Column:
+        own = F.try_element_at("held", F.lit(str(backend)))
+        return F.struct(F.lit(str(backend)).alias("backend"), F.coalesce(own, calendar_id(F.col("display_name"))).alias("remote"), F.lit(role).alias("role"), F.lit(k).alias("position"), F.lit(True).alias("enabled"), own.isNull().alias("pending"))
+
+    bindings = F.array(*(bound(k, b, role) for k, (b, role) in enumerate(roles)))
+    return named.join(held, "name").select(F.col("name").alias("calendar"), "display_name", "type", "color", F.lit(len(others) > 0).alias("sync_enabled"), bindings.alias("bindings"))
+
+
+def binding_rows(calendars: DataFrame) -> DataFrame:
+    """calendar, display_name and the columns of its bindings, a row each, as validate_bindings and generate_mappings take them."""
+    return calendars.select("calendar", "display_name", F.inline("bindings"))
+
+
 def validate_bindings(bindings: DataFrame) -> DataFrame:
     """calendar, problem: missing id or name, other than one enabled primary, a backend's calendar bound twice.
 

@@ -10,9 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _payload(status: Column) -> Column:
+    return F.concat(F.lit("UID:"), "o_orderkey", F.lit(";STATUS:"), status)
+
+
 def _record(orders: DataFrame, status: Column, payload: Column, modified: Column) -> DataFrame:
     mapping = F.concat(F.lit("m"), F.col("o_orderkey") % 8)
-    return orders.select(mapping.alias("mapping_id"), F.col("o_orderkey").alias("id"), status.alias("data"), F.sha2(payload, 256).alias("hash"), modified.alias("last_modified"))
+    return orders.select(mapping.alias("mapping_id"), F.col("o_orderkey").alias("id"), _payload(status).alias("data"), F.sha2(payload, 256).alias("hash"), modified.alias("last_modified"))
 
 
 def collections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -27,7 +31,7 @@ def collections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     source = _record(orders.where(k % 11 != 0), s, own(s), days(F.when(k % 7 == 0, 2).otherwise(0)))
     target = _record(orders.where(k % 13 != 0), t, other(t), days(F.when(k % 5 == 0, (k % 3).cast("int")).otherwise(0)))
     agreed = F.col("o_orderstatus")
-    baseline = orders.where(k % 10 != 9).select(F.concat(F.lit("m"), k % 8).alias("mapping_id"), k.alias("id"), F.sha2(own(agreed), 256).alias("source_hash"), F.sha2(other(agreed), 256).alias("target_hash"), agreed.alias("data"))
+    baseline = orders.where(k % 10 != 9).select(F.concat(F.lit("m"), k % 8).alias("mapping_id"), k.alias("id"), F.sha2(own(agreed), 256).alias("source_hash"), F.sha2(other(agreed), 256).alias("target_hash"), _payload(agreed).alias("data"))
     return source, target, baseline
 
 
