@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accord.functions.text import slug
+from accord.operators.ranks import numbered
 
 SEPARATOR = "\x01"
 #: The file extensions of collection types; others have .bin.
@@ -114,7 +115,12 @@ def replay_journal(lines: DataFrame) -> DataFrame:
 
 
 def discard_prefix(lines: DataFrame, acknowledged: DataFrame) -> DataFrame:
-    """A journal without the first n lines of each entity that were acknowledged (entity, n)."""
-    rank = F.row_number().over(Window.partitionBy("entity").orderBy("seq"))
-    met = lines.withColumn("__rank", rank).join(acknowledged.select("entity", F.col("n").alias("__n")), "entity", "left")
-    return met.where("__n is null or __rank > __n").select(lines.columns)
+    """A journal without the first n lines of each entity that were acknowledged (entity, n).
+
+    Only entities with an acknowledgement are numbered, by ranges of (entity, seq), so a long journal is not one task's.
+    """
+    known = acknowledged.where("n > 0").select(F.col("entity").alias("__entity"), F.col("n").cast("long").alias("__n"))
+    rest = lines.join(known, lines["entity"] == F.col("__entity"), "left_anti")
+    packed = lines.join(known, lines["entity"] == F.col("__entity")).select(F.col("entity").cast("string").alias("__key"), F.col("seq").alias("__seq"), "__n", F.struct(*lines.columns).alias("__line"))
+    left = numbered(packed, "__key", ["__seq"]).where("pos >= __n").select("__line.*")
+    return rest.unionByName(left)
