@@ -44,6 +44,19 @@ def _there(spark: SparkSession, path: str) -> bool:
     return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
+def _forget(spark: SparkSession, path: str, number: int) -> None:
+    """Drops the versions before the last but one whole one below a number: no state needs them, and readers of the last keep theirs."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        return
+    found = sorted(int(x.getPath().getName()[2:]) for x in store.listStatus(root) if x.getPath().getName().startswith("v="))
+    whole = [v for v in found if v < number and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}/whole=true"))]
+    for v in found:
+        if len(whole) > 1 and v < whole[-2]:
+            store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}"), True)
+
+
 def read_state(spark: SparkSession, path: str, schema, key: str, order: str, before: int | None = None) -> DataFrame:
     """The state of all batches (or those before a number): the last whole version and the changes after it, merged."""
     rows = _parts(spark, path, schema)
@@ -59,7 +72,8 @@ def apply_feed(stream: DataFrame, path: str, checkpoint: str, key: str, order: s
 
     Each batch writes its newest row a key to a folder of its own number, v=<batch>, so a batch that runs again
     writes the same rows to the same place; every COMPACT batches the whole state is written in one. The batch
-    number is the feed's token: the engine commits it to the checkpoint only after the batch was written.
+    number is the feed's token: the engine commits it to the checkpoint only after the batch was written. Versions before
+    the last but one whole one are dropped, so what a reader lists doesn't grow with the feed's age.
     With full_refresh the first batch is the whole feed again and what was held before it does not count. A new
     checkpoint over a state that is there already raises otherwise, as its batches would take the places of others.
     """
@@ -79,6 +93,8 @@ def apply_feed(stream: DataFrame, path: str, checkpoint: str, key: str, order: s
             out.withColumns({"v": F.lit(0).cast("long"), "whole": F.lit(True)}).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("v", "whole").parquet(path)
         else:
             out.write.mode("overwrite").parquet(f"{path}/v={number}/whole={'true' if whole else 'false'}")
+            if whole:
+                _forget(spark, path, number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -164,6 +164,19 @@ def test_a_new_checkpoint_does_not_write_over_a_state(spark, tmp_path):
     assert sorted(r.id for r in feed.read_state(spark, state, schema, "id", "seq").collect()) == ["a", "b"]
 
 
+def test_old_versions_of_a_feed_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feed, "COMPACT", 2)
+    (tmp_path / "in").mkdir()
+    state, check = str(tmp_path / "state"), str(tmp_path / "check")
+    for k in range(7):
+        (tmp_path / f"in/{k}.json").write_text(json.dumps({"id": f"r{k % 3}", "seq": k, "deleted": k == 5}))
+        feed.apply_feed(spark.readStream.schema("id string, seq long, deleted boolean").json(str(tmp_path / "in")), state, check, "id", "seq").awaitTermination(120)
+    left = sorted(p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("v="))
+    assert left == ["v=1", "v=2", "v=3", "v=4", "v=5", "v=6"]
+    schema = spark.read.json(str(tmp_path / "in")).select("id", "seq", "deleted").schema
+    assert sorted((r.id, r.seq, r.deleted) for r in feed.read_state(spark, state, schema, "id", "seq").collect()) == [("r0", 6, False), ("r1", 4, False), ("r2", 5, True)]
+
+
 def test_hub_names_survive(spark):
     x = spark.range(1).select(records.decode_id(records.encode_id(F.lit("my pc-App"), F.lit("u\x01v"))).alias("x")).first().x
     assert (x.collection, x.id) == ("my pc-App", "u\x01v")
