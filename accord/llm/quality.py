@@ -198,13 +198,19 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every input row's statistics, base_failed and kept. Texts are read once; the rest is narrow."""
+    """Every input row's statistics, base_failed and kept. Texts are read once; the rest is narrow.
+
+    Null and empty texts have no words and so fail the base rule; repeated rows have equal results; a row
+    without doc_id is judged like any other. Other columns are not read; empty input gives no rows, and without
+    labels the base rule alone decides.
+    """
     statistics = written(text_statistics(docs))
     rules = learn(statistics, labels)
     return statistics.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every input row, as judge has them."""
     return judge(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

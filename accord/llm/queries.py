@@ -12,6 +12,10 @@ from accord.llm.common import read
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+# What each query gives for null and empty texts, ties, repeated rows, other columns and empty tables is told where its
+# operator is: section_tokens, digest, top_k, manifest and encode_documents.
+
+
 def op1_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -50,7 +54,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs; null texts count as empty, repeated rows have equal results."""
     encoded = bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, decode=True)
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -149,7 +149,8 @@ def write_shards(docs: DataFrame, vocabulary: str, pattern: str, path: str | Non
 
     A payload is its sequences in slot order, TOKENS ids of id_type each, the last one of a document
     filled up with PAD: sequence s is at byte (s - first_slot) * TOKENS * the type's width. The lists hold
-    each sequence's document, place in it and token count.
+    each sequence's document, place in it and token count. Null and empty texts, repeated rows, other columns and
+    empty tables are as in ordered.
     """
     placed, total = _placed(written(sequences(docs, vocabulary, pattern)), key)
     shards = _packed(placed, total, id_type(vocabulary, pattern))
@@ -174,7 +175,10 @@ def read_from(spark: SparkSession, path: str, slot: int) -> DataFrame:
 
 
 def manifest(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, seq, slot, shard, byte_offset, n_tokens, shard_sha256 of every sequence, after writing the shards."""
+    """doc_id, seq, slot, shard, byte_offset, n_tokens, shard_sha256 of every sequence, after writing the shards.
+
+    Null and empty texts have no sequence and so no row; repeated rows have their own; empty input gives no rows.
+    """
     width = TOKENS * id_type(vocabulary, pattern).itemsize
     shards = write_shards(docs, vocabulary, pattern).select("shard", "first_slot", "sha256", F.posexplode(F.arrays_zip("doc_ids", "seqs", "counts")).alias("at", "x"))
     return shards.select(

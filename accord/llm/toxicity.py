@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from accord.llm.common import documents, written
 from accord.llm.shingles import prefix_sets, string_hash
 
-#: Labelled rows that are learned from at most, those of smallest id hash.
+#: Labelled rows that are learned from, about; they are drawn by a share of the hashes of ids.
 SAMPLE = 24_000
 #: Words the classifier weighs, and those among them that vote, at most.
 WORDS, VOTERS = 4_000, 300
