@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from accord.functions import recurrence, text, vendor
+from accord.jobs.wider_sql import BINDINGS
 from accord.operators import aliases, converge, identity, logs, loss, reconcile, series, topology
 from accord.operators.loss import Edge
 from accord.sources import derived
@@ -286,10 +287,8 @@ def sql(collections: str, log: str) -> dict[str, str]:
       w AS (SELECT 1 AS pass, 'm2' AS mapping_id, 'target' AS side, 'delete' AS a FROM x WHERE gone UNION ALL SELECT 1, 'm1', 'source', 'update' FROM x WHERE edited
         UNION ALL SELECT 2, 'm2', 'source', 'update' FROM x WHERE edited AND NOT gone UNION ALL SELECT 2, 'm1', 'target', 'delete' FROM x WHERE gone)
       SELECT pass, mapping_id, side, count(*) FILTER (a = 'create') AS created, count(*) FILTER (a = 'update') AS updated, count(*) FILTER (a = 'delete') AS deleted, CAST(0 AS BIGINT) AS conflicts FROM w GROUP BY ALL""",
-        "u4_policies": """WITH b AS (SELECT s_nationkey AS calendar, s_suppkey AS backend, s_suppkey AS position, CASE WHEN s_suppkey % 9 = 0 THEN 'primary' WHEN s_suppkey % 5 = 0 THEN 'readonly' ELSE 'sync' || (s_suppkey % 7) END AS role FROM supplier WHERE s_suppkey % 4 <> 0),
-      q AS (SELECT *, role = 'primary' AND row_number() OVER (PARTITION BY calendar ORDER BY role = 'primary' DESC, position) = 1 AS front FROM b WHERE role <> 'readonly'),
-      m AS (SELECT *, row_number() OVER (PARTITION BY calendar ORDER BY front DESC, position) AS place, ['manual', 'star', 'mirror', 'chain', 'chain'][calendar % 5 + 1] AS wiring FROM q WHERE calendar IN (SELECT calendar FROM q WHERE front) AND calendar % 7 <> 3)
-      SELECT 'auto_' || x.calendar || '_' || CASE x.wiring WHEN 'star' THEN y.role ELSE x.wiring || '_' || x.backend || '_' || y.backend END AS id, x.calendar, x.backend AS first, y.backend AS second FROM m x JOIN m y ON x.calendar = y.calendar
+        "u4_policies": BINDINGS + """, w AS (SELECT *, ['manual', 'star', 'mirror', 'chain', 'chain'][calendar % 5 + 1] AS wiring FROM m WHERE calendar % 7 <> 3)
+      SELECT 'auto_' || x.calendar || '_' || CASE x.wiring WHEN 'star' THEN y.role ELSE x.wiring || '_' || x.backend || '_' || y.backend END AS id, x.calendar, x.backend AS first, y.backend AS second FROM w x JOIN w y ON x.calendar = y.calendar
       WHERE CASE x.wiring WHEN 'star' THEN x.place = 1 AND y.place > 1 WHEN 'mirror' THEN x.place < y.place WHEN 'chain' THEN y.place = x.place + 1 ELSE false END""",
         "a1_run_stats": collections + """, x AS (SELECT *, id % 23 <> 1 AND id % 29 <> 2 AS good FROM plan),
           r AS (SELECT mapping_id, side, CASE WHEN NOT good THEN 'errors' ELSE action END AS what FROM x UNION ALL SELECT mapping_id, unnest(['source', 'target']), 'same' FROM diff WHERE s AND t AND op IS NULL

@@ -10,9 +10,11 @@ _INCIDENCES = _CALENDAR + """, x AS (SELECT uid, k, 'STATUS' AS property, CASE W
   UNION ALL SELECT uid, k, 'TRIGGER', '-PT15M', '-PT15M', '-PT15M' FROM k WHERE k % 4 <> 2) """
 _STORE = """WITH st AS (SELECT event_id AS k, 'x' || event_id AS id, CASE WHEN event_id % 15 <> 0 THEN 'm' || (event_id % 4) END AS mapping_id, 'u' || event_id AS uid, ts AS detected_at,
   CASE WHEN event_id % 10 = 0 THEN 'source' END AS decision, event_id % 10 = 0 AS resolved, event_id % 20 = 0 AS applied FROM events WHERE event_id % 5 = 0) """
-_BINDINGS = """WITH b AS (SELECT s_nationkey AS calendar, s_suppkey AS backend, CASE WHEN s_nationkey % 6 <> 0 THEN 'n' || s_nationkey ELSE '' END AS name, s_suppkey % 4 <> 0 AS enabled, CAST(s_suppkey AS INTEGER) AS position,
+BINDINGS = """WITH b0 AS (SELECT s_nationkey AS calendar, s_suppkey AS backend, s_suppkey % 2 AS remote, CASE WHEN s_nationkey % 6 <> 0 THEN 'n' || s_nationkey ELSE '' END AS name, s_suppkey % 4 <> 0 AS enabled, CAST(s_suppkey AS INTEGER) AS position,
   CASE WHEN s_suppkey % 9 = 0 THEN 'primary' WHEN s_suppkey % 5 = 0 THEN 'readonly' ELSE 'sync' || (s_suppkey % 7) END AS role FROM supplier),
-q AS (SELECT *, role = 'primary' AND row_number() OVER (PARTITION BY calendar ORDER BY role = 'primary' DESC, position, backend) = 1 AS front FROM b WHERE enabled AND role <> 'readonly'),
+b AS (SELECT * FROM b0 UNION ALL SELECT calendar, backend, remote, name, enabled, position + 1000, 'sync9' FROM b0 WHERE backend % 3 = 0),
+q0 AS (SELECT *, role = 'primary' AND row_number() OVER (PARTITION BY calendar ORDER BY role = 'primary' DESC, position, backend) = 1 AS front FROM b WHERE enabled AND role <> 'readonly'),
+q AS (SELECT q0.* FROM q0 LEFT JOIN (SELECT calendar AS c, backend AS p, remote AS r FROM q0 WHERE front) ON c = calendar WHERE front OR p IS NULL OR backend <> p OR remote <> r),
 m AS (SELECT *, row_number() OVER (PARTITION BY calendar ORDER BY front DESC, position, backend) AS place FROM q WHERE calendar IN (SELECT calendar FROM q WHERE front)) """
 _EDGES = """WITH e AS (SELECT p_partkey AS k, 'e' || (p_partkey % 10) AS edge, 'p' || (p_partkey // 10 % 7) AS property, p_partkey % 4 AS severity FROM part) """
 _WRITES = """, w AS (SELECT *, coalesce(slm, TIMESTAMP '0001-01-01') > coalesce(tlm, TIMESTAMP '0001-01-01') AS newer FROM diff WHERE op IS NOT NULL),
@@ -114,13 +116,14 @@ def sql(collections: str, log: str, contacts: str) -> dict[str, str]:
           SELECT 'cal' || c AS name, arg_min(name, k) AS display_name, CASE WHEN bool_and(k % 5 <> 0) AND c <> 3 THEN 'events' WHEN c = 3 AND NOT bool_and(k % 5 <> 0) THEN 'todos' ELSE 'hybrid' END AS type,
           '#' || min(k) FILTER (k % 4 = 3) AS color, concat_ws(',', CASE WHEN bool_or(backend = 0) THEN '0' ELSE '0?' END, CASE WHEN bool_or(backend = 1) THEN '1' ELSE '1?' END, CASE WHEN bool_or(backend = 2) THEN '2' ELSE '2?' END, '3?') AS bindings FROM x WHERE c <> 5 GROUP BY c""",
         "a15_unlink": contacts + "SELECT DISTINCT record // 10 AS entity, email FROM edges WHERE record // 10 % 7 <> 0",
-        "a16_validate": _BINDINGS + """, p AS (SELECT calendar, max(name) AS name, count(*) FILTER (role = 'primary' AND enabled) AS n FROM b GROUP BY 1)
-          SELECT calendar, 'no name' AS problem FROM p WHERE name = '' UNION ALL SELECT calendar, 'no primary' FROM p WHERE n = 0 UNION ALL SELECT calendar, 'several primaries' FROM p WHERE n > 1""",
-        "a17_promote": _BINDINGS + """SELECT calendar, backend, CASE WHEN calendar % 2 = 0 AND backend = top THEN 'primary' WHEN calendar % 2 = 0 AND role = 'primary' AND enabled THEN 'sync1' ELSE role END AS role,
+        "a16_validate": BINDINGS + """, p AS (SELECT calendar, max(name) AS name, count(*) FILTER (role = 'primary' AND enabled) AS n FROM b GROUP BY 1)
+          SELECT calendar, 'no name' AS problem FROM p WHERE name = '' UNION ALL SELECT calendar, 'no primary' FROM p WHERE n = 0 UNION ALL SELECT calendar, 'several primaries' FROM p WHERE n > 1
+          UNION ALL SELECT DISTINCT calendar, 'duplicate binding' FROM (SELECT calendar FROM b GROUP BY calendar, backend, remote HAVING count(*) > 1)""",
+        "a17_promote": BINDINGS + """SELECT calendar, backend, CASE WHEN calendar % 2 = 0 AND backend = top THEN 'primary' WHEN calendar % 2 = 0 AND role = 'primary' AND enabled THEN 'sync1' ELSE role END AS role,
           CASE WHEN calendar % 2 = 0 AND backend <> top AND role = 'primary' AND enabled THEN greatest(position, 1) ELSE position END AS position FROM (SELECT *, max(backend) OVER (PARTITION BY calendar) AS top FROM b)""",
-        "u4_star_bindings": _BINDINGS + "SELECT 'auto_' || x.calendar || '_' || y.role AS id, x.calendar, x.backend AS first, y.backend AS second FROM m x JOIN m y USING (calendar) WHERE x.place = 1 AND y.place > 1",
-        "u4_mirror_bindings": _BINDINGS + "SELECT 'auto_' || x.calendar || '_mirror_' || x.backend || '_' || y.backend AS id, x.calendar, x.backend AS first, y.backend AS second FROM m x JOIN m y USING (calendar) WHERE x.place < y.place",
-        "u4_chain_bindings": _BINDINGS + "SELECT 'auto_' || x.calendar || '_chain_' || x.backend || '_' || y.backend AS id, x.calendar, x.backend AS first, y.backend AS second FROM m x JOIN m y USING (calendar) WHERE x.place + 1 = y.place",
+        "u4_star_bindings": BINDINGS + "SELECT 'auto_' || x.calendar || '_' || y.role AS id, x.calendar, x.backend AS first, y.backend AS second FROM m x JOIN m y USING (calendar) WHERE x.place = 1 AND y.place > 1",
+        "u4_mirror_bindings": BINDINGS + "SELECT 'auto_' || x.calendar || '_mirror_' || x.backend || '_' || y.backend AS id, x.calendar, x.backend AS first, y.backend AS second FROM m x JOIN m y USING (calendar) WHERE x.place < y.place",
+        "u4_chain_bindings": BINDINGS + "SELECT 'auto_' || x.calendar || '_chain_' || x.backend || '_' || y.backend AS id, x.calendar, x.backend AS first, y.backend AS second FROM m x JOIN m y USING (calendar) WHERE x.place + 1 = y.place",
         "w3_latest_info": log + "SELECT uid % 13 AS key, value FROM log QUALIFY row_number() OVER (PARTITION BY uid % 13 ORDER BY datetime DESC, app_id, seq) = 1",
         "w4_latest_resolutions": """SELECT user_id % 5 AS mapping_id, user_id AS id, 'd' || (event_id % 3) AS decision, event_id AS seq FROM events WHERE event_id % 7 <> 0 AND event_id % 5 <> 0
           QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) DESC, event_id DESC) = 1""",

@@ -123,8 +123,10 @@ def conflict_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 def bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """calendar, display_name, backend, remote, role, enabled, position: calendars bound to suppliers."""
+    """calendar, display_name, backend, remote, role, enabled, position: calendars bound to suppliers, some of them twice."""
     s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
     role = F.when(k % 9 == 0, "primary").when(k % 5 == 0, "readonly").otherwise(F.concat(F.lit("sync"), k % 7))
-    return s.select(F.col("s_nationkey").alias("calendar"), F.when(F.col("s_nationkey") % 6 != 0, F.concat(F.lit("n"), "s_nationkey")).otherwise("").alias("display_name"), k.alias("backend"), (k % 2).alias("remote"), role.alias("role"), (k % 4 != 0).alias("enabled"), k.cast("int").alias("position"))
+    rows = s.select(F.col("s_nationkey").alias("calendar"), F.when(F.col("s_nationkey") % 6 != 0, F.concat(F.lit("n"), "s_nationkey")).otherwise("").alias("display_name"), k.alias("backend"), (k % 2).alias("remote"), role.alias("role"), (k % 4 != 0).alias("enabled"), k.cast("int").alias("position"))
+    again = rows.where("backend % 3 = 0").withColumns({"role": F.lit("sync9"), "position": F.col("position") + 1000})
+    return rows.unionByName(again)
