@@ -114,10 +114,14 @@ def stamp_filter(records: DataFrame, name: str, test: str, value: str) -> DataFr
     return records.withColumn("data", stamped(F.col("data"), name, test, value))
 
 
+def _differing(x: Column, y: Column, names: list[str]) -> Column:
+    """differing of property maps."""
+    return F.filter(F.array(*map(F.lit, names)), lambda p: ~F.try_element_at(x, p).eqNullSafe(F.try_element_at(y, p)))
+
+
 def differing(a: Column, b: Column, names: list[str]) -> Column:
     """The catalogue properties whose values differ, in catalogue order; envelope and extras never count."""
-    x, y = properties(a), properties(b)
-    return F.filter(F.array(*map(F.lit, names)), lambda p: ~F.try_element_at(x, p).eqNullSafe(F.try_element_at(y, p)))
+    return once(F.struct(properties(a).alias("x"), properties(b).alias("y")), lambda held: _differing(held["x"], held["y"], names))
 
 
 def _choice(source_changed: Column, target_changed: Column, strategy: str) -> Column:
@@ -134,22 +138,28 @@ def merged(source: Column, target: Column, baseline: Column, names: list[str], s
     that of the strategy. Provider extras follow the source if any property came from there. The uid and
     the kind are the target's unless it has none. A missing baseline counts as an empty object.
     """
-    s, t = properties(source), properties(target)
-    from_source = differing(source, baseline, names)
-    from_target = differing(target, baseline, names)
-    taken = F.filter(from_source, lambda p: _choice(F.lit(True), F.array_contains(from_target, p), strategy))
-    entries = lambda names_, of: F.map_from_entries(F.transform(names_, lambda p: F.struct(p, F.try_element_at(of, p))))
-    kept = F.map_filter(t, lambda k, _: ~F.array_contains(taken, k) & (k != EXTRAS))
-    extras = F.when(F.size(taken) > 0, F.try_element_at(s, F.lit(EXTRAS))).otherwise(F.try_element_at(t, F.lit(EXTRAS)))
-    kinds = [F.nullif(read_kind(c), F.lit("")) for c in (target, source)]
-    uid = F.coalesce(F.try_element_at(t, F.lit("uid")), F.try_element_at(s, F.lit("uid")))
-    envelope = F.coalesce(F.when(kinds[0].isNotNull(), F.try_element_at(t, F.lit(ENVELOPE))), F.when(kinds[1].isNotNull(), F.try_element_at(s, F.lit(ENVELOPE))), F.try_element_at(t, F.lit(ENVELOPE)), F.try_element_at(s, F.lit(ENVELOPE)))
-    fixed = F.create_map(F.lit("uid"), uid, F.lit(ENVELOPE), envelope, F.lit(EXTRAS), extras)
-    rest = F.map_filter(F.map_concat(kept, entries(taken, s)), lambda k, _: ~k.isin("uid", ENVELOPE, EXTRAS))
-    return F.struct(
-        from_properties(F.map_concat(rest, fixed)).alias("data"), from_source.alias("changed_source"), from_target.alias("changed_target"),
-        F.coalesce(kinds[0] != kinds[1], F.lit(False)).alias("kind_mismatch"),
-    )
+
+    def merge(held: Column) -> Column:
+        s, t = held["s"], held["t"]
+        kinds = F.array(*(F.nullif(F.try_variant_get(F.try_parse_json(F.try_element_at(x, F.lit(ENVELOPE))), "$.kind", "string"), F.lit("")) for x in (t, s)))
+        changed = F.struct(_differing(s, held["b"], names).alias("source"), _differing(t, held["b"], names).alias("target"), kinds.alias("kinds"))
+        return once(changed, lambda c: put(s, t, c["source"], c["target"], [c["kinds"][0], c["kinds"][1]]))
+
+    def put(s: Column, t: Column, from_source: Column, from_target: Column, kinds: list[Column]) -> Column:
+        taken = F.filter(from_source, lambda p: _choice(F.lit(True), F.array_contains(from_target, p), strategy))
+        entries = lambda names_, of: F.map_from_entries(F.transform(names_, lambda p: F.struct(p, F.try_element_at(of, p))))
+        kept = F.map_filter(t, lambda k, _: ~F.array_contains(taken, k) & (k != EXTRAS))
+        extras = F.when(F.size(taken) > 0, F.try_element_at(s, F.lit(EXTRAS))).otherwise(F.try_element_at(t, F.lit(EXTRAS)))
+        uid = F.coalesce(F.try_element_at(t, F.lit("uid")), F.try_element_at(s, F.lit("uid")))
+        envelope = F.coalesce(F.when(kinds[0].isNotNull(), F.try_element_at(t, F.lit(ENVELOPE))), F.when(kinds[1].isNotNull(), F.try_element_at(s, F.lit(ENVELOPE))), F.try_element_at(t, F.lit(ENVELOPE)), F.try_element_at(s, F.lit(ENVELOPE)))
+        fixed = F.create_map(F.lit("uid"), uid, F.lit(ENVELOPE), envelope, F.lit(EXTRAS), extras)
+        rest = F.map_filter(F.map_concat(kept, entries(taken, s)), lambda k, _: ~k.isin("uid", ENVELOPE, EXTRAS))
+        return F.struct(
+            from_properties(F.map_concat(rest, fixed)).alias("data"), from_source.alias("changed_source"), from_target.alias("changed_target"),
+            F.coalesce(kinds[0] != kinds[1], F.lit(False)).alias("kind_mismatch"),
+        )
+
+    return once(F.struct(properties(source).alias("s"), properties(target).alias("t"), properties(baseline).alias("b")), merge)
 
 
 def merge_records(source: DataFrame, target: DataFrame, baseline: DataFrame, names: list[str], strategy: str = "source") -> DataFrame:

@@ -180,3 +180,25 @@ def test_old_versions_of_a_feed_go(spark, tmp_path, monkeypatch):
 def test_hub_names_survive(spark):
     x = spark.range(1).select(records.decode_id(records.encode_id(F.lit("my pc-App"), F.lit("u\x01v"))).alias("x")).first().x
     assert (x.collection, x.id) == ("my pc-App", "u\x01v")
+
+
+def test_scopes_drop_their_tables(spark):
+    import os
+
+    from accord.sources.shared import scratch, written
+
+    where = lambda df: {f.rpartition("/")[0].removeprefix("file://").removeprefix("file:") for f in df.inputFiles()}
+    outside = written(spark.range(3))
+    with scratch(spark) as outer:
+        first = written(spark.range(4))
+        with scratch(spark) as inner:
+            second = written(spark.range(5))
+            held = inner(second.where("id > 1"))
+            gone = where(second)
+        assert held.count() == 3 and not any(map(os.path.exists, gone)) and all(map(os.path.exists, where(held)))
+        last, dropped = outer(held.unionByName(first)), where(held) | where(first)
+    assert last.count() == 7 and not any(map(os.path.exists, dropped)) and outside.count() == 3
+    with pytest.raises(RuntimeError, match="stop"), scratch(spark):
+        lost = where(written(spark.range(2)))
+        raise RuntimeError("stop")
+    assert not any(map(os.path.exists, lost))
