@@ -44,7 +44,10 @@ class Written(WriterCommitMessage):
 
 
 class RecordFilesWriter(DataSourceWriter):
-    """Tasks write to folders of their own; commit moves the files to their place, abort drops them."""
+    """Tasks write to folders of their own; commit moves the files to their place, abort drops them.
+
+    What a task writes while it is being stopped can outlive the abort, in the hidden folder that no reader looks into.
+    """
 
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite, self.run = path.rstrip("/"), overwrite, uuid.uuid4().hex
@@ -73,7 +76,9 @@ class RecordFilesWriter(DataSourceWriter):
                     kept.update(names)
             if self.overwrite:
                 list(pool.map(lambda name: store.delete_file(f"{path}/{name}"), [x for x in _names(store, path, fs.FileType.File) if x not in kept]))
-        store.delete_dir(f"{path}/{PENDING}")
+        store.delete_dir(f"{path}/{PENDING}/{self.run}")
+        if not store.get_file_info(fs.FileSelector(f"{path}/{PENDING}")):
+            store.delete_dir(f"{path}/{PENDING}")
 
     def abort(self, messages: list[Written | None]) -> None:
         store, path = _store(self.path)
