@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from accord.functions.text import once, rrule_parts
 from accord.operators.canon import from_properties, properties
+from accord.sources.shared import written
 
 
 def _utc(time: Column, form: str) -> Column:
@@ -15,13 +16,11 @@ def _utc(time: Column, form: str) -> Column:
 
 def _text(json: Column) -> Column:
     """A JSON text value; null for other types."""
-    value = F.try_parse_json(json)
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return once(F.try_parse_json(json), lambda value: F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")))
 
 
 def _json(text: Column) -> Column:
-    array = F.to_json(F.array(text))
-    return F.substr(array, F.lit(2), F.length(array) - 2)
+    return once(F.to_json(F.array(text)), lambda array: F.substr(array, F.lit(2), F.length(array) - 2))
 
 
 def _with(held: Column, **fields: Column) -> Column:
@@ -32,11 +31,13 @@ def _with(held: Column, **fields: Column) -> Column:
 
 def _retimed(json: Column, at: Column) -> Column:
     """A canon time moved to an instant in its own shape, a date or a date-time; other fields stay, null stays null."""
-    held = properties(json)
-    has = lambda key: F.array_contains(F.map_keys(held), key)
     day, time = _json(_utc(at, "yyyy-MM-dd")), _json(_utc(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    moved = F.when(has("date"), _with(held, date=day)).when(has("dateTime"), _with(held, dateTime=time)).otherwise(held)
-    return F.when(json.isNotNull(), from_properties(moved))
+
+    def moved(held: Column) -> Column:
+        has = lambda key: F.array_contains(F.map_keys(held), key)
+        return from_properties(F.when(has("date"), _with(held, date=day)).when(has("dateTime"), _with(held, dateTime=time)).otherwise(held))
+
+    return F.when(json.isNotNull(), once(properties(json), moved))
 
 
 def tightened(rule: Column, at: Column, all_day: Column) -> Column:
@@ -64,32 +65,45 @@ def split_series(masters: DataFrame, splits: DataFrame, exceptions: DataFrame) -
     """
     rank = F.row_number().over(Window.partitionBy("uid").orderBy(F.col("at").asc_nulls_last()))
     asked = splits.select("uid", "at").distinct().withColumn("__nth", rank)
-    held, at = F.col("__held"), F.col("at")
-    lines = F.coalesce(F.from_json(F.try_element_at(held, F.lit("recurrence")), "array<string>"), F.array().cast("array<string>"))
+    at, none = F.col("at"), F.lit(None).cast("string")
     is_rule = lambda x: F.coalesce(F.upper(x).startswith("RRULE") & F.contains(x, F.lit(":")), F.lit(False))
-    met = asked.join(masters.select("uid", "data", F.lit(True).alias("__known")), "uid", "left").withColumn("__held", properties(F.col("data"))).withColumn("__lines", lines)
-    met = met.withColumn("__at", F.array_position(F.transform("__lines", is_rule), F.lit(True))).withColumn("__rule", F.get("__lines", F.col("__at") - 1)).withColumn("__uid", _text(F.try_element_at(held, F.lit("uid"))))
-    error = (
-        F.when(F.col("__known").isNull(), "no master").when(F.coalesce("__uid", F.lit("")) == "", "no uid").when(F.array_contains(F.map_keys(held), "recurrenceId"), "an exception, no master")
-        .when(at.isNull(), "no instant").when(F.col("__rule").isNull(), "no rule").when(F.array_contains(F.map_keys(rrule_parts(F.col("__rule"))), "COUNT"), "count-bounded").when(F.col("__nth") > 1, "another split")
-    )
-    met = met.withColumn("error", error)
-    good = met.where("error is null")
-    dated = lambda name, key: F.array_contains(F.map_keys(properties(F.try_element_at(held, F.lit(name)))), key)
-    all_day = F.when(dated("start", "date"), True).when(dated("start", "dateTime"), False).otherwise(dated("due", "date"))
-    name = F.concat("__uid", F.lit("-split-"), F.regexp_replace(_utc(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "[^A-Za-z0-9]", ""))
-    tight = F.transform("__lines", lambda x, i: F.when(i == F.col("__at") - 1, tightened(F.col("__rule"), at, all_day)).otherwise(x))
-    old = from_properties(_with(held, recurrence=F.to_json(tight)))
-    moved = {k: _retimed(F.try_element_at(held, F.lit(k)), at) for k in ("start", "due")}
-    none = F.lit(None).cast("string")
-    new = from_properties(_with(held, uid=_json(name), recurrence=F.to_json(F.array("__rule")), seriesSplitOf=_json(F.col("__uid")), recurrenceId=none, recurrenceRange=none, **moved))
-    parts = good.select("uid", F.explode(F.array(F.struct(F.lit("old").alias("part"), old.alias("data")), F.struct(F.lit("new").alias("part"), new.alias("data")))).alias("p")).select("uid", "p.*", none.alias("error"))
-
-    def rebased(recurrence: Column) -> Column:
-        when = F.when(recurrence.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(recurrence))
-        return F.when(F.col("__new").isNotNull() & (when >= F.col("__cut")), from_properties(_with(properties(F.col("data")), uid=_json(F.col("__new"))))).otherwise(F.col("data"))
-
-    cut = good.select("uid", at.alias("__cut"), name.alias("__new"))
-    recurrence = _text(F.try_element_at(properties(F.try_element_at(properties(F.col("data")), F.lit("recurrenceId"))), F.lit("dateTime")))
-    kept = exceptions.select("uid", "data").join(cut, "uid", "left").select("uid", F.lit("exception").alias("part"), once(recurrence, rebased).alias("data"), none.alias("error"))
-    return parts.unionByName(kept).unionByName(met.where("error is not null").select("uid", F.lit("error").alias("part"), none.alias("data"), "error"))
+    of = lambda held, key: F.try_element_at(held, F.lit(key))
+    has = lambda held, key: F.array_contains(F.map_keys(held), key)
+
+    def opened(held: Column) -> Column:
+        lines = F.coalesce(F.from_json(of(held, "recurrence"), "array<string>"), F.array().cast("array<string>"))
+        return once(F.struct(lines.alias("lines"), _text(of(held, "uid")).alias("uid")), lambda own: once(F.array_position(F.transform(own["lines"], is_rule), F.lit(True)), lambda place: ruled(held, own, place)))
+
+    def ruled(held: Column, own: Column, place: Column) -> Column:
+        rule = F.get(own["lines"], place - 1)
+        error = (
+            F.when(F.col("__known").isNull(), "no master").when(F.coalesce(own["uid"], F.lit("")) == "", "no uid").when(has(held, "recurrenceId"), "an exception, no master")
+            .when(at.isNull(), "no instant").when(rule.isNull(), "no rule").when(has(rrule_parts(rule), "COUNT"), "count-bounded").when(F.col("__nth") > 1, "another split")
+        )
+        name = F.concat(own["uid"], F.lit("-split-"), F.regexp_replace(_utc(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "[^A-Za-z0-9]", ""))
+        good = once(F.struct(rule.alias("rule"), name.alias("name")), lambda x: parted(held, own, place, x["rule"], x["name"]))
+        empty = F.struct(*(none.alias(c) for c in ("name", "old", "new")))
+        return once(error, lambda e: F.struct(e.alias("error"), F.when(e.isNull(), good).otherwise(empty).alias("made")))
+
+    def parted(held: Column, own: Column, place: Column, rule: Column, name: Column) -> Column:
+        dated = lambda field, key: once(properties(of(held, field)), lambda x: has(x, key))
+        all_day = F.when(dated("start", "date"), True).when(dated("start", "dateTime"), False).otherwise(dated("due", "date"))
+        tight = once(tightened(rule, at, all_day), lambda t: F.transform(own["lines"], lambda x, i: F.when(i == place - 1, t).otherwise(x)))
+        moved = {k: _retimed(of(held, k), at) for k in ("start", "due")}
+        new = _with(held, uid=_json(name), recurrence=F.to_json(F.array(rule)), seriesSplitOf=_json(own["uid"]), recurrenceId=none, recurrenceRange=none, **moved)
+        return F.struct(name.alias("name"), from_properties(_with(held, recurrence=F.to_json(tight))).alias("old"), from_properties(new).alias("new"))
+
+    # each master is opened once a row and cut once; parts, errors and exceptions read what was made
+    met = asked.join(masters.select("uid", "data", F.lit(True).alias("__known")), "uid", "left")
+    made = written(met.select("uid", "at", once(properties(F.col("data")), opened).alias("x")).select("uid", "at", "x.error", "x.made.*"))
+    good = made.where("error is null")
+    parts = good.select("uid", F.explode(F.array(F.struct(F.lit("old").alias("part"), F.col("old").alias("data")), F.struct(F.lit("new").alias("part"), F.col("new").alias("data")))).alias("p")).select("uid", "p.*", none.alias("error"))
+
+    def rebased(held: Column) -> Column:
+        recurrence = _text(of(properties(of(held, "recurrenceId")), "dateTime"))
+        when = once(recurrence, lambda r: F.when(r.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(r)))
+        return F.when(when >= F.col("__cut"), from_properties(_with(held, uid=_json(F.col("__new"))))).otherwise(F.col("data"))
+
+    kept = exceptions.select("uid", "data").join(good.select("uid", at.alias("__cut"), F.col("name").alias("__new")), "uid", "left")
+    kept = kept.select("uid", F.lit("exception").alias("part"), F.when(F.col("__new").isNotNull(), once(properties(F.col("data")), rebased)).otherwise(F.col("data")).alias("data"), none.alias("error"))
+    return parts.unionByName(kept).unionByName(made.where("error is not null").select("uid", F.lit("error").alias("part"), none.alias("data"), "error"))

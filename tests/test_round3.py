@@ -21,3 +21,65 @@ def test_identity_conflicts_are_found(spark):
     smallest = lambda side: {(m, d): min(i for a, b, s, i in members if (a, b, s) == (m, d, side)) for m, d, *_ in members}
     source, target = smallest("source"), smallest("target")
     assert {(r.mapping_id, r.digest): (r.source_id, r.target_id) for r in rows} == {k: (source[k], target[k]) for k in source}
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+@given
+def test_rows_that_cost_much_are_dealt_over_all_cores(spark):
+    from accord.sources import derived
+
+    cores = spark.sparkContext.defaultParallelism
+    assert derived.spread(spark.range(1, numPartitions=1)).rdd.getNumPartitions() == 4 * cores
+    task = '{"id":"t","title":"a \\"b\\" \\\\ c","due":"2024-05-01T00:00:00Z","etag":"e","notes":7}'
+    got = spark.range(1).select(vendor.google_task_to_canon(F.lit(task)).alias("x")).first().x
+    assert '"summary":"a \\"b\\" \\\\ c"' in got and '"description"' not in got
+    assert registry.QUERIES["f16_vendor_json"](spark, DIR).rdd.getNumPartitions() == registry.QUERIES["f18_converted"](spark, DIR).rdd.getNumPartitions() == 4 * cores
+
+
+def test_cycles_are_healed_in_rounds_by_their_length(spark, monkeypatch):
+    from accord.operators import aliases
+
+    made, write = [], aliases.written
+    monkeypatch.setattr(aliases, "written", lambda df: made.append(1) or write(df))
+    rows = [(k, k // 8 * 8 + (k + 1) % 8) for k in range(800)] + [(10_000, 10_001), (10_001, 3), (1_000, 1_001), (1_001, 1_000_000)]
+    got = {r.native_id: r.canonical_id for r in aliases.heal_aliases(spark.createDataFrame(rows, "native_id int, canonical_id int").withColumn("m", F.lit("m")), "m").collect()}
+    assert got == {k: k // 8 * 8 for k in range(800)} | {10_000: 0, 10_001: 0, 1_000: 1_000_000, 1_001: 1_000_000}
+    assert len(made) <= 8  # ten rounds and their tables before
+
+
+@given
+def test_a_series_is_opened_once(spark):
+    """Joined, parsed and cut before its parts, errors and exceptions are told apart."""
+    assert "Window" not in plan(registry.QUERIES["f12_split_series"](spark, DIR))
+
+
+@given
+def test_loss_keeps_to_its_row(spark):
+    assert "Generate" not in plan(registry.QUERIES["p10_loss_by_kind"](spark, DIR)) + plan(registry.QUERIES["p11_loss_policy"](spark, DIR))
+
+
+@given
+def test_calendars_are_read_once_for_a_diff(spark):
+    for name in ("c12_incidence_diff", "c14_apply_resolutions", "j22_exception_changes"):
+        assert "regexp_extract_all" not in plan(registry.QUERIES[name](spark, DIR))
+
+
+def test_mirrors_of_many_blocks_have_all_pairs(spark, monkeypatch):
+    from accord.operators import topology
+
+    monkeypatch.setattr(topology, "BLOCK", 2)
+    rows = spark.createDataFrame([("c", k, "primary" if k == 3 else f"sync{k}", k) for k in range(7)], "calendar string, backend int, role string, position int")
+    order = [3, 0, 1, 2, 4, 5, 6]
+    pairs = lambda t: sorted((r.first, r.second) for r in topology.generate_mappings(rows, t).collect())
+    assert pairs("mirror") == sorted((a, b) for i, a in enumerate(order) for b in order[i + 1 :])
+    assert pairs("chain") == sorted(zip(order, order[1:])) and pairs("star") == sorted((3, b) for b in order[1:])
+
+
+def test_sides_are_dealt_before_they_are_grouped(spark):
+    from accord.operators import reconcile
+
+    one = spark.createDataFrame([("m", 1, "x")], "mapping_id string, id long, data string")
+    assert "RepartitionByExpression" in plan(reconcile.meet(one, one, one))
