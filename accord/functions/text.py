@@ -48,7 +48,9 @@ def once(value: Column, body) -> Column:
 
 def last_of_each(entries: Column) -> Column:
     """A map of array<struct<key, value>> in which the last entry of a repeated key counts."""
-    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+    repeats = F.size(F.array_distinct(F.transform(entries, lambda e: e["key"]))) < F.size(entries)
+    return F.map_from_entries(F.when(repeats, last).otherwise(entries))
 
 
 def rrule_parts(rule: Column) -> Column:

@@ -18,19 +18,23 @@ EVENT_FLAGS = ("guestsCanModify", "guestsCanInviteOthers", "guestsCanSeeOtherGue
 
 def _text(json: Column) -> Column:
     """The text of a JSON value, if it is one and isn't empty; null for other types."""
-    return F.when(json.startswith('"'), F.nullif(F.get(F.from_json(F.concat(F.lit("["), json, F.lit("]")), "array<string>"), F.lit(0)), F.lit("")))
+
+    def text(x: Column) -> Column:
+        escaped = F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), F.lit(0))
+        return F.nullif(F.when(F.contains(x, F.lit("\\")), escaped).otherwise(F.substr(x, F.lit(2), F.length(x) - 2)), F.lit(""))
+
+    return once(json, lambda x: F.when(x.startswith('"'), text(x)))
 
 
 def _json(text: Column) -> Column:
     """A text as a JSON value."""
-    array = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.substr(array, F.lit(2), F.length(array) - 2))
+    return once(text, lambda t: F.when(t.isNotNull(), once(F.to_json(F.array(t)), lambda array: F.substr(array, F.lit(2), F.length(array) - 2))))
 
 
 def _object(**fields: Column) -> Column:
     """A JSON object of JSON values, null ones left out; null without any."""
     held = F.map_filter(F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull())
-    return F.when(F.size(held) > 0, from_properties(held))
+    return once(held, lambda x: F.when(F.size(x) > 0, from_properties(x)))
 
 
 def _utc(text: Column) -> Column:
@@ -49,9 +53,9 @@ def google_task_to_canon(task: Column) -> Column:
     """A task in canon form: renamed texts, the due day, the rest as extras with a digest without etag; null for no JSON object."""
 
     def canon(held: Column) -> Column:
-        due = F.regexp_extract(F.coalesce(_text(_at(held, "due")), F.lit("")), r"^(\d{4}-\d{2}-\d{2})", 1)
+        day = F.regexp_extract(F.coalesce(_text(_at(held, "due")), F.lit("")), r"^(\d{4}-\d{2}-\d{2})", 1)
         fields = {canon: _json(_text(_at(held, own))) for own, canon in TASK_FIELDS.items()}
-        fields["due"] = F.when(due != "", F.concat(F.lit('{"allDay":true,"date":'), _json(due), F.lit("}")))
+        fields["due"] = once(day, lambda due: F.when(due != "", F.concat(F.lit('{"allDay":true,"date":'), _json(due), F.lit("}"))))
         left = from_properties(F.map_filter(held, lambda k, _: ~k.isin("id", "due", *TASK_FIELDS)))
         extras = once(left, lambda x: F.struct(F.when(x != "{}", F.concat(F.lit('{"google":'), x, F.lit("}"))).alias("extras"), _json(digest_without(x, ("etag",))).alias("digest")))
         return once(extras, lambda x: _object(**fields, **{EXTRAS: x["extras"], "providerExtrasDigest": x["digest"]}, **_envelope("todo", _text(_at(held, "id")))))
@@ -63,9 +67,8 @@ def google_time(json: Column) -> Column:
     """{date, allDay} or {dateTime (UTC), floating, tz} of a vendor time (JSON text); null without a valid one."""
 
     def time(held: Column) -> Column:
-        date, utc = _text(_at(held, "date")), _utc(_text(_at(held, "dateTime")))
-        timed = F.when(utc.isNotNull(), _object(dateTime=_json(utc), floating=F.lit("false"), tz=_json(_text(_at(held, "timeZone")))))
-        return F.when(date.isNotNull(), F.concat(F.lit('{"allDay":true,"date":'), _json(date), F.lit("}"))).otherwise(timed)
+        timed = once(_utc(_text(_at(held, "dateTime"))), lambda utc: F.when(utc.isNotNull(), _object(dateTime=_json(utc), floating=F.lit("false"), tz=_json(_text(_at(held, "timeZone"))))))
+        return once(_text(_at(held, "date")), lambda date: F.when(date.isNotNull(), F.concat(F.lit('{"allDay":true,"date":'), _json(date), F.lit("}"))).otherwise(timed))
 
     return once(properties(json), time)
 
@@ -81,11 +84,11 @@ def google_event_to_canon(event: Column) -> Column:
         fields |= {"status": _json(F.lower(_text(at("status")))), "created": _json(_utc(_text(at("created")))), "lastModified": _json(_utc(_text(at("updated"))))}
         fields |= {"sequence": F.when(at("sequence").rlike(r"^-?\d+(\.\d+)?$"), at("sequence").try_cast("double").try_cast("long").cast("string"))}
         start = google_time(at("start"))
-        fields |= {"start": start, "allDay": F.when(_text(once(properties(at("start")), lambda p: _at(p, "date"))).isNotNull(), F.lit("true")), "end": google_time(at("end")), "recurrenceId": google_time(at("originalStartTime"))}
+        fields |= {"start": start, "allDay": F.when(once(properties(at("start")), lambda p: _text(_at(p, "date")).isNotNull()), F.lit("true")), "end": google_time(at("end")), "recurrenceId": google_time(at("originalStartTime"))}
         fields |= {"recurrence": F.when(at("recurrence").rlike(r"^\[.+\]$"), at("recurrence")), "organizer": F.when(at("organizer").isNotNull(), person(at("organizer")))}
         guests = F.when(at("attendees").startswith("["), F.from_json(at("attendees"), "array<string>"))
         named = F.filter(F.transform(guests, person), lambda v: F.coalesce(F.contains(v, F.lit('"email":')), F.lit(False)))
-        fields["attendees"] = F.when(F.size(named) > 0, F.concat(F.lit("["), F.array_join(named, ","), F.lit("]")))
+        fields["attendees"] = once(named, lambda x: F.when(F.size(x) > 0, F.concat(F.lit("["), F.array_join(x, ","), F.lit("]"))))
         return _object(**fields, **_envelope("calendar", F.coalesce(_text(at("iCalUID")), _text(at("id")))))
 
     return once(properties(event), lambda held: F.when(F.size(held) > 0, canon(held)))
@@ -94,21 +97,24 @@ def google_event_to_canon(event: Column) -> Column:
 def ms_contact_emails(contact: Column) -> Column:
     """array<struct<value, name, primary>>: addresses in order, the primary one flagged, or put last if it is not among them."""
     row = "struct<address:string,name:string>"
-    e = F.from_json(contact, f"struct<emailAddresses:array<{row}>,primaryEmailAddress:{row}>")
-    first = F.nullif(e["primaryEmailAddress"]["address"], F.lit(""))
     entry = lambda r, primary: F.struct(r["address"].alias("value"), F.nullif(r["name"], F.lit("")).alias("name"), primary.alias("primary"))
-    given = F.filter(F.coalesce(e["emailAddresses"], F.array().cast(f"array<{row}>")), lambda r: F.coalesce(r["address"], F.lit("")) != "")
-    listed = F.transform(given, lambda r: entry(r, F.coalesce(r["address"] == first, F.lit(False))))
-    lacks = first.isNotNull() & ~F.exists(given, lambda r: r["address"] == first)
-    return F.when(lacks, F.concat(listed, F.array(entry(e["primaryEmailAddress"], F.lit(True))))).otherwise(listed)
+
+    def mails(e: Column) -> Column:
+        first = F.nullif(e["primaryEmailAddress"]["address"], F.lit(""))
+        given = F.filter(F.coalesce(e["emailAddresses"], F.array().cast(f"array<{row}>")), lambda r: F.coalesce(r["address"], F.lit("")) != "")
+        listed = F.transform(given, lambda r: entry(r, F.coalesce(r["address"] == first, F.lit(False))))
+        lacks = first.isNotNull() & ~F.exists(given, lambda r: r["address"] == first)
+        return F.when(lacks, F.concat(listed, F.array(entry(e["primaryEmailAddress"], F.lit(True))))).otherwise(listed)
+
+    return once(F.from_json(contact, f"struct<emailAddresses:array<{row}>,primaryEmailAddress:{row}>"), mails)
 
 
 def ms_contact_phones(contact: Column) -> Column:
     """array<struct<value, type>>: home, work and mobile numbers."""
-    e = F.from_json(contact, "struct<homePhones:array<string>,businessPhones:array<string>,mobilePhone:string>")
     none = F.array().cast("array<string>")
     typed = lambda numbers, kind: F.transform(F.filter(F.coalesce(numbers, none), lambda v: F.coalesce(v, F.lit("")) != ""), lambda v: F.struct(v.alias("value"), F.lit(kind).alias("type")))
-    return F.concat(typed(e["homePhones"], "home"), typed(e["businessPhones"], "work"), typed(F.array(e["mobilePhone"]), "mobile"))
+    phones = lambda e: F.concat(typed(e["homePhones"], "home"), typed(e["businessPhones"], "work"), typed(F.array(e["mobilePhone"]), "mobile"))
+    return once(F.from_json(contact, "struct<homePhones:array<string>,businessPhones:array<string>,mobilePhone:string>"), phones)
 
 
 def flatten_json(df: DataFrame, id_: str, column: str) -> DataFrame:

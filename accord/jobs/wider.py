@@ -231,7 +231,7 @@ def _formats(spark, d):
 
 
 def _vendor_tasks(spark, d):
-    p, k = derived.table(spark, d, "part"), F.col("p_partkey")
+    p, k = derived.spread(derived.table(spark, d, "part").select("p_partkey", "p_name")), F.col("p_partkey")
     task = F.format_string('{"id":"t%d","title":"%s","due":"2024-05-%02dT00:00:00Z","etag":"e%d","links":[%d]}', k, "p_name", k % 28 + 1, k, k % 3)
     field = lambda path: F.get_json_object("task", path)
     event = vendor.google_event_to_canon(F.format_string('{"id":"e%d","summary":"%s","status":"CONFIRMED","locked":true,"sequence":%d,"start":{"date":"2024-01-01"},"created":"2024-01-01T10:00:00+02:00","attendees":[{"email":"a@x","displayName":"A"},{"displayName":"B"}]}', k, "p_name", k % 5))

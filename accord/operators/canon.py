@@ -25,13 +25,12 @@ def properties(json: Column) -> Column:
 
 def _quoted(text: Column) -> Column:
     """A text as a JSON value, control characters escaped."""
-    array = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.substr(array, F.lit(2), F.length(array) - 2))
+    return once(text, lambda t: F.when(t.isNotNull(), once(F.to_json(F.array(t)), lambda array: F.substr(array, F.lit(2), F.length(array) - 2))))
 
 
 def from_properties(held: Column) -> Column:
     """The JSON object of such a map, keys sorted; null values are left out."""
-    entries = F.array_sort(F.map_entries(F.map_filter(held, lambda _, v: v.isNotNull())))
+    entries = F.sort_array(F.filter(F.map_entries(held), lambda e: e["value"].isNotNull()))
     text = F.array_join(F.transform(entries, lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"])), ",")
     return F.concat(F.lit("{"), text, F.lit("}"))
 
@@ -44,7 +43,7 @@ def canonical(json: Column) -> Column:
 def digest_without(json: Column, volatile: tuple[str, ...]) -> Column:
     """SHA-256 of a JSON object without the volatile keys; null if nothing is left."""
     left = F.map_filter(properties(json), lambda k, _: ~k.isin(*volatile))
-    return F.when(F.size(left) > 0, F.sha2(from_properties(left), 256))
+    return once(left, lambda x: F.when(F.size(x) > 0, F.sha2(from_properties(x), 256)))
 
 
 def extras_digest(json: Column, volatile: tuple[str, ...] = ("etag",)) -> Column:
@@ -67,7 +66,12 @@ def read_uid(json: Column) -> Column:
 
 
 def read_kind(json: Column) -> Column:
-    return F.try_variant_get(F.try_parse_json(F.try_element_at(properties(json), F.lit(ENVELOPE))), "$.kind", "string")
+    return kind_of(properties(json))
+
+
+def kind_of(held: Column) -> Column:
+    """read_kind of a property map."""
+    return F.try_variant_get(F.try_parse_json(F.try_element_at(held, F.lit(ENVELOPE))), "$.kind", "string")
 
 
 def matches(json: Column, name: str, test: str, value: str) -> Column:
