@@ -25,7 +25,7 @@ def _patterns(spark, d):
     )
     cancelled = F.when(k % 9 == 0, F.array(F.lit("2024-05-01T08:00:00Z"), F.lit("blob"), F.concat(F.lit("2024-05-02T0"), k % 10, F.lit(":00:00Z"))))
     x = recurrence.pattern_to_lines(json, cancelled)
-    return derived.table(spark, d, "part").select("p_partkey", x.alias("x")).select("p_partkey", F.array_join("x.lines", "|").alias("lines"), F.array_join("x.unparsed", "|").alias("unparsed"))
+    return derived.spread(derived.table(spark, d, "part").select("p_partkey")).select("p_partkey", x.alias("x")).select("p_partkey", F.array_join("x.lines", "|").alias("lines"), F.array_join("x.unparsed", "|").alias("unparsed"))
 
 
 def _rules(spark, d):
@@ -37,7 +37,7 @@ def _rules(spark, d):
     )
     lines = F.array_compact(F.array(rule, F.when(k % 8 == 0, "EXDATE:20240501T080000Z,20240502"), F.when(k % 10 == 0, "RDATE:20240601")))
     x = recurrence.lines_to_pattern(lines, F.format_string("2024-02-%02dT09:00:00Z", k % 28 + 1))
-    rows = derived.table(spark, d, "part").select("p_partkey", x.alias("x"))
+    rows = derived.spread(derived.table(spark, d, "part").select("p_partkey")).select("p_partkey", x.alias("x"))
     return rows.select("p_partkey", "x.pattern", F.array_join("x.carried", "|").alias("carried"), F.array_join("x.cancelled", "|").alias("cancelled"))
 
 
@@ -126,7 +126,7 @@ def _converted(spark, d):
     task = F.format_string('{"id":"t%d","title":"%s","due":"2024-05-%02dT00:00:00Z","status":"%s","etag":"e"}', k, "p_name", k % 28 + 1, F.when(k % 3 == 0, "completed").otherwise("needsAction"))
     lost = loss.plan_loss(spark, plan, "google>txt").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "property", "loss_kind"))), ",").alias("lost"))
     told = lost.first()[0]  # a handful of properties
-    return loss.converted(derived.table(spark, d, "part").select("p_partkey", task.alias("data")), plan).withColumn("lost", F.lit(told))
+    return loss.converted(derived.spread(derived.table(spark, d, "part").select("p_partkey", "p_name")).select("p_partkey", task.alias("data")), plan).withColumn("lost", F.lit(told))
 
 
 def _policies(spark, d):
