@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accord.operators.canon import properties, read_kind
+from accord.functions.text import once
+from accord.operators.canon import kind_of, properties
 
 #: Kinds of loss by severity, and the words that sum them up, in the order of a summary.
 SEVERITY = {"reversible": 0, "degraded": 1, "simplified": 2, "dropped": 3}
@@ -29,18 +30,19 @@ def materialized_loss(records: DataFrame, loss: DataFrame) -> DataFrame:
     none of its own; a row of null property declares a kind that loses nothing. Reversible loss does not count,
     nor do values that are null, empty or in the lossless set. Records that lose nothing: no row.
     """
-    by_kind = "kind" in loss.columns
-    rows = loss.where("loss_kind <> 'reversible'").select(F.col("property").alias("key"), "lossless", *([F.coalesce("kind", F.lit("")).alias("of")] if by_kind else []))
-    kind = F.coalesce(read_kind(F.col("data")), F.lit("")) if by_kind else F.lit("")
-    held = records.select("mapping_id", "id", kind.alias("kind"), F.explode(properties(F.col("data"))).alias("key", "value"))
-    full = held.where(~F.col("value").isin("null", '""', "[]", "{}"))
-    on = ["key"]
-    if by_kind:  # a kind without a profile of its own has the default one
-        own = loss.where("kind is not null").select("kind", F.col("kind").alias("of")).distinct()
-        full = full.join(own, "kind", "left").withColumn("of", F.coalesce("of", F.lit("")))
-        on = ["of", "key"]
-    met = full.join(rows, on).where(~F.coalesce(F.array_contains("lossless", F.col("value")), F.lit(False)))
-    return met.groupBy("mapping_id", "id").agg(F.array_sort(F.collect_set("key")).alias("lost"))
+    kind = F.coalesce("kind", F.lit("")) if "kind" in loss.columns else F.lit("")
+    counts = F.when((F.col("loss_kind") != "reversible") & F.col("property").isNotNull(), F.struct(F.col("property").alias("key"), "lossless"))
+    # a profile is a kind's properties, a few: it is met whole, and the record keeps to its own row
+    profiles = loss.select(kind.alias("kind"), counts.alias("x")).groupBy("kind").agg(F.collect_set("x").alias("own"))
+    default = profiles.where("kind = ''").agg(F.flatten(F.collect_list("own")).alias("default"))
+    held = records.select("mapping_id", "id", properties(F.col("data")).alias("held"))
+    of = F.coalesce(kind_of(F.col("held")), F.lit("")) if "kind" in loss.columns else F.lit("")
+    met = held.select("mapping_id", "id", "held", of.alias("kind")).join(F.broadcast(profiles), "kind", "left").crossJoin(F.broadcast(default))
+    blank = lambda value: value.isin("null", '""', "[]", "{}")
+    loses = lambda row, value: ~blank(value) & ~F.coalesce(F.array_contains(row["lossless"], value), F.lit(False))
+    found = F.filter(F.coalesce("own", "default"), lambda row: F.coalesce(loses(row, F.try_element_at("held", row["key"])), F.lit(False)))
+    lost = met.select("mapping_id", "id", F.array_distinct(F.transform(found, lambda row: row["key"])).alias("lost")).where(F.size("lost") > 0)
+    return lost.groupBy("mapping_id", "id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lost")))).alias("lost"))
 
 
 def apply_loss_policy(lost: DataFrame, policies: DataFrame) -> DataFrame:
@@ -143,8 +145,8 @@ def conversion_plan(edges: list[Edge], spines: dict[str, list[Shape]], source: S
 
 
 def converted(df: DataFrame, plan: list[Edge], column: str = "data") -> DataFrame:
-    """df with a column taken through all steps of a plan, as one chained expression."""
-    return df.withColumn(column, reduce(lambda value, edge: edge.convert(value), plan, F.col(column)))
+    """df with a column taken through all steps of a plan, as one chained expression that makes each step's value once."""
+    return df.withColumn(column, reduce(lambda value, edge: once(value, edge.convert), plan, F.col(column)))
 
 
 def plan_loss(spark: SparkSession, plan: list[Edge], path: str = "path") -> DataFrame:
