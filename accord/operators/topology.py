@@ -82,6 +82,9 @@ def promote_primary(bindings: DataFrame, chosen: DataFrame) -> DataFrame:
     return met.withColumns({"role": role, "position": position}).select(bindings.columns)
 
 
+#: Fixed value: firsts that one group of pairs holds at most.
+BLOCK = 512
+
 #: The topology that each policy of a calendar stands for; 'manual' calendars have no generated mappings, others the given one.
 POLICIES = {"hub": "star", "mesh": "mirror", "chain": "chain"}
 
@@ -111,9 +114,14 @@ def generate_mappings(bindings: DataFrame, topology: str, calendars: DataFrame |
         own = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in POLICIES.items() for x in pair)), F.col("policy")), F.lit(topology))
         wired = calendars.where("sync_enabled and not (policy <=> 'manual')").select("calendar", own.alias("wiring"))
         ranked = ranked.drop("wiring").join(wired, "calendar")
-    a = ranked.select("calendar", F.col("backend").alias("first"), F.col("place").alias("p"))
-    b = ranked.select("calendar", F.col("backend").alias("second"), F.col("place").alias("q"), "role", "wiring")
     star, mirror = F.col("wiring") == "star", F.col("wiring") == "mirror"
-    met = a.join(b, "calendar").where("p < q").where(F.when(star, F.col("p") == 1).when(mirror, F.lit(True)).otherwise(F.col("q") == F.col("p") + 1))
+    block = lambda place: F.floor((place - 1) / BLOCK)
+    a = ranked.select("calendar", F.col("backend").alias("first"), F.col("place").alias("p"), block(F.col("place")).alias("__block"))
+    # of a large calendar each block of firsts is met apart, in tasks of their own: the pairs of a mirror are as many as its answer
+    q = F.col("place")
+    blocks = F.when(star, F.array(block(F.lit(1)))).when(mirror, F.sequence(block(F.lit(1)), block(q))).otherwise(F.array(block(F.greatest(q - 1, F.lit(1)))))
+    b = ranked.select("calendar", F.col("backend").alias("second"), q.alias("q"), "role", "wiring", F.explode(blocks).alias("__block"))
+    b = b.repartition(4 * bindings.sparkSession.sparkContext.defaultParallelism, "calendar", "__block")
+    met = a.join(b, ["calendar", "__block"]).where("p < q").where(F.when(star, F.col("p") == 1).when(mirror, F.lit(True)).otherwise(F.col("q") == F.col("p") + 1))
     parts = [F.lit("auto"), F.col("calendar").cast("string"), F.when(star, F.col("role")).otherwise(F.col("wiring")), F.when(~star, F.col("first")), F.when(~star, F.col("second"))]
     return met.select(F.concat_ws("_", *parts).alias("id"), "calendar", "first", "second")
