@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accord.operators.aliases import next_pass
-from accord.operators.reconcile import adopt_baselines, resolve_records, three_way_diff
+from accord.operators.reconcile import ADOPTED, adopted, coded, differences, resolve_records
 from accord.sources.shared import written
 
 #: Fixed value: passes of one run at most.
@@ -59,7 +59,8 @@ def converge(state: DataFrame, baselines: DataFrame, mappings: DataFrame, policy
         else:
             source, target = _sides(now, active)
         sides = (source, target, known)
-        writes = written(resolve_records(three_way_diff(*sides), policy, mode).join(active, "mapping_id").withColumn("endpoint", ends))
+        met = written(coded(*sides).where(f"code is not null or {ADOPTED}"))  # both the differences and what is adopted come from here
+        writes = written(resolve_records(differences(met), policy, mode).join(active, "mapping_id").withColumn("endpoint", ends))
         counts = writes.groupBy("mapping_id", "side").agg(*(F.count_if(F.col("action") == a).alias(f"{a}d") for a in ("create", "update")), F.count_if(F.col("action") == "delete").alias("deleted"), F.sum("conflict").alias("conflicts"))
         counts = counts.select(F.lit(number).alias("pass"), "mapping_id", "side", "created", "updated", "deleted", "conflicts")
         results = counts if results is None else results.unionByName(counts)
@@ -70,8 +71,8 @@ def converge(state: DataFrame, baselines: DataFrame, mappings: DataFrame, policy
         both = F.sha2("data", 256)
         kept = done.groupBy("mapping_id", "id").agg(F.max_by("data", F.col("baseline").cast("int")).alias("data"), F.bool_and(F.col("action") == "delete").alias("gone"))
         kept = kept.select("mapping_id", "id", both.alias("source_hash"), both.alias("target_hash"), "data", "gone")
-        adopted = adopt_baselines(*sides).withColumns({"data": F.lit(None).cast("string"), "gone": F.lit(False)})
-        fresh = written(kept.unionByName(adopted))
+        agreeing = adopted(met).withColumns({"data": F.lit(None).cast("string"), "gone": F.lit(False)})
+        fresh = written(kept.unionByName(agreeing))
         changes, settled = _newest(changes, touched, ["endpoint", "id"]), _newest(settled, fresh, ["mapping_id", "id"])
         dirty = done.select("mapping_id", "endpoint").distinct()
         active = written(enabled.join(next_pass(enabled, dirty), "mapping_id", "left_semi"))
