@@ -38,7 +38,7 @@ def _lines(bodies: Column) -> Column:
 
     def parts(line: Column) -> Column:
         head, value = F.substring_index(line, ":", 1), F.substr(line, F.locate(":", line) + 1)
-        zone = F.regexp_extract(head, r";TZID=([^;:]+)", 1)
+        zone = F.when(F.contains(head, F.lit(";TZID=")), F.regexp_extract(head, r";TZID=([^;:]+)", 1)).otherwise("")
         return F.struct(F.upper(F.substring_index(head, ";", 1)).alias("name"), F.when(zone != "", F.concat(F.lit("TZID="), zone, F.lit(":"), value)).otherwise(value).alias("value"))
 
     return F.transform(lines, parts)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from accord.functions import ical, text, vendor
 from accord.operators import aliases, canon, conflicts, identity, logs, loss, reconcile, store, topology, views
 from accord.sources import derived, records
+from accord.sources.shared import written
 
 def _diff(spark, d):
     return reconcile.three_way_diff(*derived.collections(spark, d))
@@ -182,7 +183,7 @@ def _remote_ids(spark, d):
 
 def _incidences(spark, d):
     k = F.substring("uid", 2, 20).cast("long")
-    rows = ical.ical_properties(derived.calendar(spark, d)).where("property in ('SUMMARY', 'STATUS', 'TRIGGER')")
+    rows = written(ical.ical_properties(derived.calendar(spark, d)).where("property in ('SUMMARY', 'STATUS', 'TRIGGER')"))
     a = rows.withColumn("value", F.when((k % 7 == 0) & (F.col("property") == "STATUS"), "A").otherwise(F.col("value")))
     b = rows.where(~((k % 6 == 0) & (F.col("property") == "SUMMARY"))).withColumn("value", F.when((k % 5 == 0) & (F.col("property") == "STATUS"), "B").otherwise(F.col("value")))
     return a, b, rows
