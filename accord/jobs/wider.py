@@ -91,8 +91,9 @@ def _canon_json(spark, d):
 
 def _merged_json(spark, d):
     rows = canon.merge_records(*_canon_json(spark, d), ["status", "priority"], "target")
-    field = lambda path: F.get_json_object("data", path)
-    return rows.select("uid", field("$.status").alias("status"), field("$.priority").alias("priority"), field("$.providerExtras.e").alias("extras"), field("$._canon.kind").alias("kind"), F.array_join("changed_source", ",").alias("changed_source"), F.array_join("changed_target", ",").alias("changed_target"), "kind_mismatch")
+    read = F.from_json("data", "struct<status:string,priority:string,providerExtras:struct<e:string>,_canon:struct<kind:string>>")
+    rows = rows.withColumn("x", read)
+    return rows.select("uid", "x.status", "x.priority", F.col("x.providerExtras.e").alias("extras"), "x._canon.kind", F.array_join("changed_source", ",").alias("changed_source"), F.array_join("changed_target", ",").alias("changed_target"), "kind_mismatch")
 
 
 def _canon_diff(spark, d):

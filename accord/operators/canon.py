@@ -14,25 +14,36 @@ VERSION = 1
 STRATEGIES = ("source", "target")
 
 
+def variants(json: Column) -> Column:
+    """map<property, variant>; text that is no JSON object gives an empty map. Of a repeated property the last counts."""
+    last = lambda held: F.when(F.size(F.array_distinct(F.map_keys(held))) < F.size(held), last_of_each(F.map_entries(held))).otherwise(held)
+    return F.coalesce(once(F.from_json(json, "map<string,variant>"), last), F.from_json(F.lit("{}"), "map<string,variant>"))
+
+
 def properties(json: Column) -> Column:
     """map<property, value as JSON text with sorted keys>; text that is no JSON object gives an empty map.
 
     A JSON null is the text null, so it differs from a property that is not there. Of a repeated property the last counts.
     """
-    entries = F.transform(F.map_entries(F.from_json(json, "map<string,variant>")), lambda e: F.struct(e["key"], F.to_json(e["value"]).alias("value")))
-    return F.coalesce(once(entries, last_of_each), F.create_map().cast("map<string,string>"))
+    return F.transform_values(variants(json), lambda _, v: F.to_json(v))
 
 
 def _quoted(text: Column) -> Column:
-    """A text as a JSON value, control characters escaped."""
-    return once(text, lambda t: F.when(t.isNotNull(), once(F.to_json(F.array(t)), lambda array: F.substr(array, F.lit(2), F.length(array) - 2))))
+    """A text as a JSON value, control characters escaped; most texts need no escape and cost no JSON writer."""
+    escaped = lambda t: once(F.to_json(F.array(t)), lambda array: F.substr(array, F.lit(2), F.length(array) - 2))
+    return once(text, lambda t: F.when(t.rlike(r'["\\\x00-\x1f]'), escaped(t)).otherwise(F.concat(F.lit('"'), t, F.lit('"'))))
+
+
+def _object(entries: Column) -> Column:
+    """The JSON object of array<struct<key, value>>, keys sorted; null values are left out."""
+    held = F.sort_array(F.filter(entries, lambda e: e["value"].isNotNull()))
+    text = F.array_join(F.transform(held, lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"])), ",")
+    return F.concat(F.lit("{"), text, F.lit("}"))
 
 
 def from_properties(held: Column) -> Column:
     """The JSON object of such a map, keys sorted; null values are left out."""
-    entries = F.sort_array(F.filter(F.map_entries(held), lambda e: e["value"].isNotNull()))
-    text = F.array_join(F.transform(entries, lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"])), ",")
-    return F.concat(F.lit("{"), text, F.lit("}"))
+    return _object(F.map_entries(held))
 
 
 def canonical(json: Column) -> Column:
@@ -143,33 +154,46 @@ def merged(source: Column, target: Column, baseline: Column, names: list[str], s
     the kind are the target's unless it has none. A missing baseline counts as an empty object.
     """
 
+    fixed = ("uid", ENVELOPE, EXTRAS)
+    text = lambda held, p: F.to_json(F.try_element_at(held, p))
+    kind = lambda held: F.nullif(F.try_variant_get(F.try_element_at(held, F.lit(ENVELOPE)), "$.kind", "string"), F.lit(""))
+
     def merge(held: Column) -> Column:
-        s, t = held["s"], held["t"]
-        kinds = F.array(*(F.nullif(F.try_variant_get(F.try_parse_json(F.try_element_at(x, F.lit(ENVELOPE))), "$.kind", "string"), F.lit("")) for x in (t, s)))
-        changed = F.struct(_differing(s, held["b"], names).alias("source"), _differing(t, held["b"], names).alias("target"), kinds.alias("kinds"))
-        return once(changed, lambda c: put(s, t, c["source"], c["target"], [c["kinds"][0], c["kinds"][1]]))
-
-    def put(s: Column, t: Column, from_source: Column, from_target: Column, kinds: list[Column]) -> Column:
-        taken = F.filter(from_source, lambda p: _choice(F.lit(True), F.array_contains(from_target, p), strategy))
-        entries = lambda names_, of: F.map_from_entries(F.transform(names_, lambda p: F.struct(p, F.try_element_at(of, p))))
-        kept = F.map_filter(t, lambda k, _: ~F.array_contains(taken, k) & (k != EXTRAS))
-        extras = F.when(F.size(taken) > 0, F.try_element_at(s, F.lit(EXTRAS))).otherwise(F.try_element_at(t, F.lit(EXTRAS)))
-        uid = F.coalesce(F.try_element_at(t, F.lit("uid")), F.try_element_at(s, F.lit("uid")))
-        envelope = F.coalesce(F.when(kinds[0].isNotNull(), F.try_element_at(t, F.lit(ENVELOPE))), F.when(kinds[1].isNotNull(), F.try_element_at(s, F.lit(ENVELOPE))), F.try_element_at(t, F.lit(ENVELOPE)), F.try_element_at(s, F.lit(ENVELOPE)))
-        fixed = F.create_map(F.lit("uid"), uid, F.lit(ENVELOPE), envelope, F.lit(EXTRAS), extras)
-        rest = F.map_filter(F.map_concat(kept, entries(taken, s)), lambda k, _: ~k.isin("uid", ENVELOPE, EXTRAS))
-        return F.struct(
-            from_properties(F.map_concat(rest, fixed)).alias("data"), from_source.alias("changed_source"), from_target.alias("changed_target"),
-            F.coalesce(kinds[0] != kinds[1], F.lit(False)).alias("kind_mismatch"),
-        )
-
-    return once(F.struct(properties(source).alias("s"), properties(target).alias("t"), properties(baseline).alias("b")), merge)
+        # JSON text is made of the target's values and of what the other sides' are compared or taken by
+        s, t, b = held["s"], held["t"], held["b"]
+        return once(F.transform_values(t, lambda _, v: F.to_json(v)), lambda own: once(F.transform(F.array(*map(F.lit, names)), lambda p: compared(p, s, own, b)), lambda c: decided(s, t, own, c)))
+
+    def compared(p: Column, s: Column, own: Column, b: Column) -> Column:
+        values = F.struct(text(s, p).alias("s"), F.try_element_at(own, p).alias("t"), text(b, p).alias("b"))
+        return once(values, lambda v: F.struct(p.alias("key"), v["s"].alias("value"), (~v["s"].eqNullSafe(v["b"])).alias("source"), (~v["t"].eqNullSafe(v["b"])).alias("target")))
+
+    def decided(s: Column, t: Column, own: Column, c: Column) -> Column:
+        taken = F.transform(F.filter(c, lambda x: _choice(x["source"], x["target"], strategy)), lambda x: F.struct(x["key"], x["value"]))
+        return once(F.struct(taken.alias("taken"), kind(t).alias("t"), kind(s).alias("s")), lambda x: put(s, own, c, x["taken"], x["t"], x["s"]))
+
+    def put(s: Column, own: Column, c: Column, taken: Column, own_kind: Column, other_kind: Column) -> Column:
+        mine, other = (lambda p: F.try_element_at(own, F.lit(p))), (lambda p: text(s, F.lit(p)))
+        extras = F.when(F.size(taken) > 0, other(EXTRAS)).otherwise(mine(EXTRAS))
+        envelope = F.coalesce(F.when(own_kind.isNotNull(), mine(ENVELOPE)), F.when(other_kind.isNotNull(), other(ENVELOPE)), mine(ENVELOPE), other(ENVELOPE))
+        heads = zip(fixed, (F.coalesce(mine("uid"), other("uid")), envelope, extras), strict=True)
+        kept = F.filter(F.map_entries(own), lambda e: ~e["key"].isin(*fixed) & ~F.exists(taken, lambda x: x["key"] == e["key"]))
+        entries = F.concat(kept, F.filter(taken, lambda x: ~x["key"].isin(*fixed)), F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in heads)))
+        changed = lambda side: F.transform(F.filter(c, lambda x: x[side]), lambda x: x["key"])
+        mismatch = F.coalesce(own_kind != other_kind, F.lit(False))
+        return F.struct(_object(entries).alias("data"), changed("source").alias("changed_source"), changed("target").alias("changed_target"), mismatch.alias("kind_mismatch"))
+
+    return once(F.struct(variants(source).alias("s"), variants(target).alias("t"), variants(baseline).alias("b")), merge)
 
 
 def merge_records(source: DataFrame, target: DataFrame, baseline: DataFrame, names: list[str], strategy: str = "source") -> DataFrame:
-    """uid, data, changed_source, changed_target, kind_mismatch for uids that both sides hold (uid, data each)."""
+    """uid, data, changed_source, changed_target, kind_mismatch for uids that both sides hold (uid, data each).
+
+    A merge costs far more than its join, so rows are dealt by uid over all cores first; the joins keep to that dealing.
+    """
     side = lambda df, p: df.select("uid", F.col("data").alias(p))
-    rows = side(source, "s").join(side(target, "t"), "uid").join(side(baseline, "b"), "uid", "left")
+    spark = source.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = side(source, "s").repartition(parts, "uid").join(side(target, "t"), "uid").join(side(baseline, "b"), "uid", "left")
     return rows.select("uid", merged(F.col("s"), F.col("t"), F.col("b"), names, strategy).alias("m")).select("uid", "m.*")
 
 

@@ -83,3 +83,17 @@ def test_sides_are_dealt_before_they_are_grouped(spark):
 
     one = spark.createDataFrame([("m", 1, "x")], "mapping_id string, id long, data string")
     assert "RepartitionByExpression" in plan(reconcile.meet(one, one, one))
+
+
+@given
+def test_merges_are_dealt_by_uid_and_keep_odd_objects(spark):
+    from accord.operators import canon
+
+    made = plan(registry.QUERIES["c7_canon_merge_json"](spark, DIR))
+    assert "RepartitionByExpression" in made and "get_json_object" not in made
+    one = lambda data: spark.createDataFrame([(1, data)], "uid long, data string")
+    merge = lambda *sides: canon.merge_records(*map(one, sides), ["a", "b", "c"], "target").first()
+    got = merge('{"a":1,"a":"x\\"\\n","b":{"z":1,"y":null},"c":2,"providerExtras":{"s":1},"uid":"s"}', '{"a":0,"b":1,"c":null,"t\\t\\u00e9":[1.50],"_canon":{"kind":"task"}}', '{"a":0,"b":0,"c":2}')
+    assert got.data == '{"_canon":{"kind":"task"},"a":"x\\"\\n","b":1,"c":null,"providerExtras":{"s":1},"t\\té":[1.5],"uid":"s"}'
+    assert (got.changed_source, got.changed_target, got.kind_mismatch) == (["a", "b"], ["b", "c"], False)
+    assert merge("no", '{"a":1,"c":2}', '{"a":1}').data == '{"c":2}'
