@@ -9,6 +9,10 @@ with longer common prefixes. Neighbours' common prefixes, to the right and to th
 anchor, say which windows occur again. A string with very many differing surroundings is first
 dealt by keys that go deeper: the bytes that STEP neighbouring windows have in common, and, where a
 crowd shares even those, the windows themselves. So no task holds a crowd.
+
+A passage of over 50 words can have fewer than LENGTH bytes. Passages of PASSAGE words that different
+documents share are found likewise, by anchors among their LINK-word strings: surroundings that two
+documents have are settled by counting, and of the rest the single windows are counted by their hashes.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accord.llm.common import written
-from accord.llm.shingles import _INVERSE, _powers, chunks, mixed
+from accord.llm.shingles import _INVERSE, _powers, chunks, mixed, word_hashes
 
 LENGTH = 400
 GRAM = 128
@@ -33,6 +37,8 @@ SHALLOW = 64
 FEW = 12
 #: Differing surroundings of one anchor string from which they are dealt by longer common strings, STEP offsets to a string.
 CROWD, STEP = 4096, 16
+#: Words of the passages that are told if different documents share them, and of the strings that are their anchors.
+PASSAGE, LINK = 51, 8
 AROUND = ("row_hash", "gram", "low", "at", "single", "bytes")
 
 
@@ -163,9 +169,9 @@ def repeated_offsets(left: list[bytes], right: list[bytes]) -> list[list[tuple[i
     return runs
 
 
-def _anchors_of(text: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors, and first and last window start of each, in a text of LENGTH bytes or more."""
-    width, m = LENGTH - GRAM + 1, len(grams)
+def _anchors_of(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors, and first and last window start of each, in a text of one window of `width` grams or more."""
+    m = len(grams)
     mask = np.uint64((1 << m.bit_length()) - 1)
     packed = (grams & ~mask) | np.arange(m, dtype=np.uint64)
     padded = np.full(-(-m // width) * width, np.uint64(2**64 - 1))
@@ -194,7 +200,7 @@ def _anchors(rows: DataFrame) -> DataFrame:
                     if b - a < LENGTH:
                         continue
                     grams = mixed((sums[a + GRAM : b + 1] - sums[a : b - GRAM + 1]) * inverse[a : b - GRAM + 1])
-                    at, low, high = _anchors_of(data[a:b], grams)
+                    at, low, high = _anchors_of(grams, LENGTH - GRAM + 1)
                     own = mixed((sums[a + high + LENGTH] - sums[a + low]) * inverse[a + low])
                     own = mixed(own * np.uint64(_INVERSE) + ((at - low) * 1024 + (high - low)).astype(np.uint64))
                     found.append((np.full(len(at), row_hash[first + k]), grams[at].view(np.int64), own.view(np.int64), low, high, at))
@@ -205,6 +211,11 @@ def _anchors(rows: DataFrame) -> DataFrame:
     return rows.select("text", "row_hash").mapInArrow(scan, "row_hash long, gram long, context long, low long, high long, at long")
 
 
+def _met(rows: DataFrame, by_row: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the columns of by_row, by row_hash = of. All columns of rows are kept, so that texts are exchanged once for all such joins of a plan."""
+    return rows.join(by_row, F.col("row_hash") == F.col("of"), how).select(*rows.columns, *(c for c in by_row.columns if c != "of"))
+
+
 def _surroundings(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """row_hash, gram, low, at, single, bytes for the asked anchors; each text is met once."""
 
@@ -219,8 +230,7 @@ def _surroundings(rows: DataFrame, asked: DataFrame) -> DataFrame:
 
     schema = pa.schema([("row_hash", pa.int64()), ("gram", pa.int64()), ("low", pa.int64()), ("at", pa.int64()), ("single", pa.bool_()), ("bytes", pa.binary())])
     by_row = asked.groupBy(F.col("row_hash").alias("of")).agg(F.collect_list(F.struct("gram", "low", "high", "at", "single")).alias("asked"))
-    met = rows.select("row_hash", "text").join(by_row, F.col("row_hash") == F.col("of")).select("row_hash", "text", "asked")
-    return met.mapInArrow(cut, "row_hash long, gram long, low long, at long, single boolean, bytes binary")
+    return _met(rows, by_row).mapInArrow(cut, "row_hash long, gram long, low long, at long, single boolean, bytes binary")
 
 
 def _compared(around: DataFrame) -> DataFrame:
@@ -313,12 +323,90 @@ def _settled(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return _compared(around.unionByName(dealt.where("not crowd").drop("crowd"))).unionByName(last)
 
 
+def _word_sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of word hashes by place, and the factors that take a place out again."""
+    power, inverse = _powers(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * power[: len(words)], out=sums[1:])
+    return sums, inverse
+
+
+def _word_anchors(rows: DataFrame) -> DataFrame:
+    """row_hash, gram, context (hashes), low, high (window starts, in words) of every anchor of PASSAGE-word windows."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row_hash = np.asarray(batch.column(1))
+            for first, offsets, data in chunks(batch.column(0)):
+                by_row, words = word_hashes(offsets, data)
+                sums, inverse = _word_sums(words)
+                found = []
+                for k in np.flatnonzero(np.diff(by_row) >= PASSAGE):
+                    a, b = by_row[k], by_row[k + 1]
+                    grams = mixed((sums[a + LINK : b + 1] - sums[a : b - LINK + 1]) * inverse[a : b - LINK + 1])
+                    at, low, high = _anchors_of(grams, PASSAGE - LINK + 1)
+                    own = mixed((sums[a + high + PASSAGE] - sums[a + low]) * inverse[a + low])
+                    own = mixed(own * np.uint64(_INVERSE) + ((at - low) * 1024 + (high - low)).astype(np.uint64))
+                    found.append((np.full(len(at), row_hash[first + k]), grams[at].view(np.int64), own.view(np.int64), low.astype(np.int32), high.astype(np.int32)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=names)
+
+    names = ["row_hash", "gram", "context", "low", "high"]
+    return rows.select("text", "row_hash").mapInArrow(scan, "row_hash long, gram long, context long, low int, high int")
+
+
+def _windows(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """row_hash, start, key (its hash), sure of each PASSAGE-word window of the asked runs of window starts."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row_hash, runs, found = np.asarray(batch.column("row_hash")), batch.column("asked"), []
+            for first, offsets, data in chunks(batch.column("text")):
+                by_row, words = word_hashes(offsets, data)
+                sums, inverse = _word_sums(words)
+                for k in range(len(offsets) - 1):
+                    own = runs[first + k].values
+                    low, n = np.asarray(own.field("low")).astype(np.int64), np.asarray(own.field("n")).astype(np.int64)
+                    start = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    at = by_row[k] + start
+                    key = mixed((sums[at + PASSAGE] - sums[at]) * inverse[at])
+                    sure = np.repeat(own.field("sure").to_numpy(zero_copy_only=False), n)
+                    found.append((np.full(len(at), row_hash[first + k]), start.astype(np.int32), key.view(np.int64), sure))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["row_hash", "start", "key", "sure"])
+
+    run = F.struct("low", (F.col("high") - F.col("low") + 1).alias("n"), "sure")
+    by_row = asked.groupBy(F.col("row_hash").alias("of")).agg(F.collect_list(run).alias("asked"))
+    return _met(rows, by_row).mapInArrow(cut, "row_hash long, start int, key long, sure boolean")
+
+
+def _passages(rows: DataFrame) -> DataFrame:
+    """row_hash, start, end (in words): runs of words covered by PASSAGE-word windows that a row of another id or text has."""
+    every = written(_word_anchors(rows))
+    apart = F.min("row_hash") < F.max("row_hash")
+    shared = written(every.groupBy("gram").agg(apart.alias("apart")).where("apart").select("gram"))
+    anchors = written(every.join(shared, "gram", "left_semi"))
+    contexts = written(anchors.groupBy("gram", "context").agg(apart.alias("sure"), F.min(F.struct("row_hash", "low", "high")).alias("place")))
+    # a string whose every surroundings two documents have, or that has one surroundings alone, has nothing open
+    open_ = written(contexts.groupBy("gram").agg(F.count("*").alias("k"), F.every("sure").alias("each")).where("k > 1 and not each").select("gram", F.lit(True).alias("open")))
+    known = contexts.join(open_, "gram", "left").where("sure or open").select(F.col("gram").alias("of"), F.col("context").alias("again"), "sure")
+    placed = written(anchors.join(known, (F.col("gram") == F.col("of")) & (F.col("context") == F.col("again"))).select("row_hash", "low", "high", "sure"))
+    settled = placed.where("sure").select("row_hash", F.col("low").alias("start"), (F.col("high") + PASSAGE).alias("end"))
+    asked = placed.where("not sure").unionByName(contexts.where("sure").join(open_, "gram", "left_semi").select("place.*", "sure"))
+    windows = _windows(rows, asked)
+    met = windows.groupBy("key").agg(apart.alias("apart"), F.max("sure").alias("one"), F.min("sure").alias("each")).where("(apart or one) and not each").select(F.col("key").alias("again"))
+    found = windows.where("not sure").join(met, F.col("key") == F.col("again"), "left_semi")
+    return settled.unionByName(found.select("row_hash", "start", (F.col("start") + PASSAGE).alias("end")))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, text, spans: each input row with the byte runs covered by a LENGTH-byte string found elsewhere.
+    """doc_id, text, spans, passages: each input row with the byte runs covered by a LENGTH-byte string found elsewhere.
 
-    spans: array<struct<start, end>>, overlaps included, ends exclusive; null where nothing repeats.
+    spans: array<struct<start, end>>, overlaps included, ends exclusive; null or empty where nothing repeats.
     Elsewhere is another place of the same text or any other row, repeated rows included. Texts are
     judged as given. Null texts count as empty; texts shorter than LENGTH bytes have no spans.
+    passages: likewise, in words, the runs covered by PASSAGE words in a row that a row of another id or
+    text has too, whatever separates them.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row_hash"))
@@ -333,20 +421,31 @@ def repeats(docs: DataFrame) -> DataFrame:
     settled = settled.select("row_hash", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end"))
     open_ = written(contexts.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("gram", (F.col("k") > CROWD).alias("crowd")))
     asked = contexts.join(open_, "gram").select("gram", "place.*", (F.col("n") == 1).alias("single"), "crowd")
-    found = settled.unionByName(_settled(rows, asked))
-    spans = found.groupBy(F.col("row_hash").alias("of")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return rows.join(spans, F.col("row_hash") == F.col("of"), "left").select("doc_id", "text", "spans")
+    found = settled.unionByName(_settled(rows, asked)).withColumn("words", F.lit(False))
+    found = found.unionByName(_passages(rows).withColumn("words", F.lit(True)))
+    run = F.struct("start", "end")
+    spans = found.groupBy(F.col("row_hash").alias("of")).agg(F.collect_set(F.when(~F.col("words"), run)).alias("spans"), F.collect_set(F.when(F.col("words"), run)).alias("passages"))
+    return _met(rows, spans, "left").select("doc_id", "text", "spans", "passages")
+
+
+def _covered(spans: list[dict] | None) -> int:
+    """How many places the spans cover, overlaps counted once."""
+    n, at = 0, 0
+    for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
+        n += max(0, b - max(a, at))
+        at = max(at, b)
+    return n
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary) of each input row."""
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary), n_passage_words of each input row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 out = []
-                for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                for text, spans, passages in zip(*(part.column(c).to_pylist() for c in ("text", "spans", "passages")), strict=True):
                     data, kept, at, runs, gone = text.encode(), [], 0, 0, 0
                     for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
                         if a > at or not runs:
@@ -357,18 +456,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                         elif b > at:
                             gone += b - at
                             at = b
-                    out.append((len(data), gone, runs, b"".join(kept) + data[at:]))
-                columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                    out.append((len(data), gone, runs, b"".join(kept) + data[at:], _covered(passages)))
+                columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_passage_words"])
 
-    return repeats(docs).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return repeats(docs).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_passage_words long")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every input row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words of every input row.
 
     Null texts count as empty: nothing removed, the hash of no bytes. Repeated rows repeat each
-    other, so from LENGTH bytes on they are removed whole, each of them. Other columns are not read;
-    empty input gives no rows.
+    other, so from LENGTH bytes on they are removed whole, each of them. n_passage_words: the
+    words in passages of PASSAGE words or more that a row of another id or text has too; they are told, and
+    removed only as far as LENGTH bytes repeat. Other columns are not read; empty input gives no rows.
     """
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")

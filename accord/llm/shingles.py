@@ -54,6 +54,25 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = stop
 
 
+def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each row and the end, 64-bit hashes of the words as given) of a run of rows."""
+    n = len(data)
+    if not n:
+        return np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64)
+    power, inverse = _powers(n + 1)
+    word = ~_SEPARATOR[data]
+    begin, end = word.copy(), word.copy()
+    inner = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < n)]
+    begin[1:] &= ~word[:-1]
+    begin[inner] |= word[inner]
+    end[:-1] &= ~word[1:]
+    end[inner - 1] |= word[inner - 1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+    return np.searchsorted(starts, offsets), mixed((sums[ends] - sums[starts]) * inverse[starts])
+
+
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct 64-bit hashes) of each text's `width`-word shingles, A-Z in lower case.
 

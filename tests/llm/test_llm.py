@@ -254,6 +254,31 @@ def check_repeats(docs):
         assert (r.n_removed, r.kept_sha256) == (sum(gone), hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest())
 
 
+def test_passages_of_over_50_words(spark, docs):
+    rng = random.Random(11)
+    make = lambda n: [rng.choice("abcdefgh") * rng.randrange(1, 5) for _ in range(n)]
+    planted, edges, mine = make(55), make(50), make(60)  # all under 400 bytes
+    rows = [(k, " ".join(make(rng.randrange(30)) + planted + make(rng.randrange(80)))) for k in range(12)]
+    rows += [(20 + k, " ".join(make(70) + edges + make(9))) for k in range(4)]  # one word too few
+    rows += [(30, " ".join(mine + make(3) + mine)), (30, " ".join(mine + make(3) + mine)), (31, "\n".join(planted)), (32, None), (33, "")]
+    rows += [(40, t := " ".join(make(90))), (40, t), (41, t + " more")]
+    check_passages(repeats.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect(), [(k, t or "") for k, t in rows])
+    check_passages(repeats.digest(docs).collect(), held(docs))
+
+
+def check_passages(got, rows):
+    words, homes = [WORDS.findall(t) for _, t in rows], defaultdict(set)
+    for row, own in zip(rows, words, strict=True):
+        for i in range(len(own) - 50):
+            homes[tuple(own[i : i + 51])].add(row)
+    want = []
+    for (k, _), own in zip(rows, words, strict=True):
+        told = {j for i in range(len(own) - 50) if len(homes[tuple(own[i : i + 51])]) > 1 for j in range(i, i + 51)}
+        want.append((k, len(told)))
+    assert sorted((r.doc_id, r.n_passage_words) for r in got) == sorted(want)
+    assert any(n for _, n in want)
+
+
 def test_near_duplicates(docs, empty):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
