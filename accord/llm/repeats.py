@@ -184,8 +184,17 @@ def _anchors_of(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
     return least[first], first, np.append(first[1:], len(least)) - 1
 
 
+def _runs(grams: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of anchors with the same string and surroundings, as a short period makes them."""
+    first = np.flatnonzero(np.concatenate(([True], (grams[1:] != grams[:-1]) | (own[1:] != own[:-1]))))
+    return first, np.append(first[1:], len(grams)) - 1
+
+
 def _anchors(rows: DataFrame) -> DataFrame:
-    """row_hash, gram, context (hashes), low, high (window starts), at (the anchor) of every anchor of every text."""
+    """row_hash, gram, context (hashes), low, high (window starts), at (the anchor), last of every anchor of every text.
+
+    Neighbours with the same string and surroundings are one row, that of the first; last is the last's high.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,12 +212,13 @@ def _anchors(rows: DataFrame) -> DataFrame:
                     at, low, high = _anchors_of(grams, LENGTH - GRAM + 1)
                     own = mixed((sums[a + high + LENGTH] - sums[a + low]) * inverse[a + low])
                     own = mixed(own * np.uint64(_INVERSE) + ((at - low) * 1024 + (high - low)).astype(np.uint64))
-                    found.append((np.full(len(at), row_hash[first + k]), grams[at].view(np.int64), own.view(np.int64), low, high, at))
+                    one, end = _runs(grams[at], own)
+                    found.append((np.full(len(one), row_hash[first + k]), grams[at[one]].view(np.int64), own[one].view(np.int64), low[one], high[one], at[one], high[end]))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=names)
 
-    names = ["row_hash", "gram", "context", "low", "high", "at"]
-    return rows.select("text", "row_hash").mapInArrow(scan, "row_hash long, gram long, context long, low long, high long, at long")
+    names = ["row_hash", "gram", "context", "low", "high", "at", "last"]
+    return rows.select("text", "row_hash").mapInArrow(scan, "row_hash long, gram long, context long, low long, high long, at long, last long")
 
 
 def _met(rows: DataFrame, by_row: DataFrame, how: str = "inner") -> DataFrame:
@@ -332,7 +342,10 @@ def _word_sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _word_anchors(rows: DataFrame) -> DataFrame:
-    """row_hash, gram, context (hashes), low, high (window starts, in words) of every anchor of PASSAGE-word windows."""
+    """row_hash, gram, context (hashes), low, high (window starts, in words) of every anchor of PASSAGE-word windows.
+
+    Neighbours with the same string and surroundings are one row, from the first's low to the last's high.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,7 +360,8 @@ def _word_anchors(rows: DataFrame) -> DataFrame:
                     at, low, high = _anchors_of(grams, PASSAGE - LINK + 1)
                     own = mixed((sums[a + high + PASSAGE] - sums[a + low]) * inverse[a + low])
                     own = mixed(own * np.uint64(_INVERSE) + ((at - low) * 1024 + (high - low)).astype(np.uint64))
-                    found.append((np.full(len(at), row_hash[first + k]), grams[at].view(np.int64), own.view(np.int64), low.astype(np.int32), high.astype(np.int32)))
+                    one, end = _runs(grams[at], own)
+                    found.append((np.full(len(one), row_hash[first + k]), grams[at[one]].view(np.int64), own[one].view(np.int64), low[one].astype(np.int32), high[end].astype(np.int32)))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=names)
 
@@ -412,13 +426,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row_hash"))
     every = written(_anchors(rows))
     # written, so that the join is of two plain exchanges and a hot string's anchors are split over tasks
-    shared = written(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    times = F.sum(F.when(F.col("last") > F.col("high"), 2).otherwise(1)).alias("n")  # 2 stands for 2 or more
+    shared = written(every.groupBy("gram").agg(times).where("n > 1").select("gram"))
     anchors = written(every.join(shared, "gram", "left_semi"))  # most anchors' strings occur once
     place = F.struct("row_hash", "low", "high", "at")
-    contexts = written(anchors.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("place")))
+    contexts = written(anchors.groupBy("gram", "context").agg(times, F.min(place).alias("place")))
     twice = contexts.where("n > 1").select(F.col("context").alias("again"), F.col("gram").alias("of"))
     settled = anchors.join(twice, (F.col("context") == F.col("again")) & (F.col("gram") == F.col("of")), "left_semi")
-    settled = settled.select("row_hash", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end"))
+    settled = settled.select("row_hash", F.col("low").alias("start"), (F.col("last") + LENGTH).alias("end"))
     open_ = written(contexts.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("gram", (F.col("k") > CROWD).alias("crowd")))
     asked = contexts.join(open_, "gram").select("gram", "place.*", (F.col("n") == 1).alias("single"), "crowd")
     found = settled.unionByName(_settled(rows, asked)).withColumn("words", F.lit(False))

@@ -254,6 +254,17 @@ def check_repeats(docs):
         assert (r.n_removed, r.kept_sha256) == (sum(gone), hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest())
 
 
+def test_short_periods_are_few_anchors(spark):
+    periods = ["the " * 900, "a line of seven words, repeated\n" * 120, "x" * 3000]
+    rows = [(k, f"{k} " * k + t) for k, t in enumerate(periods * 2)] + [(9, "only here " * 300), (10, "q" * 401)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_repeats(docs)
+    check_passages(repeats.digest(docs).collect(), rows)
+    hashed = docs.selectExpr("text", "doc_id row_hash")
+    assert repeats._anchors(hashed).groupBy("row_hash").count().agg({"count": "max"}).first()[0] < 60
+    assert repeats._word_anchors(hashed).groupBy("row_hash").count().agg({"count": "max"}).first()[0] < 60
+
+
 def test_passages_of_over_50_words(spark, docs):
     rng = random.Random(11)
     make = lambda n: [rng.choice("abcdefgh") * rng.randrange(1, 5) for _ in range(n)]
