@@ -1,6 +1,7 @@
 """The operators against brute force on small inputs, with nulls, empty and long texts, ties, repeats and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -190,6 +191,32 @@ def test_top_k_is_exact(spark):
     assert knn.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_top_k_deals_chunks_over_tasks_in_rounds(spark, monkeypatch):
+    """Equal vectors, repeated ids, lengths and magnitudes mixed; chunks of vectors have tasks of their own."""
+    monkeypatch.setattr(knn, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    unit = lambda n, dims: (lambda v: v / np.linalg.norm(v, axis=1)[:, None])(rng.normal(size=(n, dims))).tolist()
+    rows = list(enumerate(unit(1000, 16) + unit(150, 8)))
+    rows += [(2000 + k, rows[50][1]) for k in range(300)] + [(3000 + k, [0.0] * 16) for k in range(60)]
+    rows += [(4000 + k, (np.array(v) * 10.0 ** (k % 7)).tolist()) for k, v in enumerate(unit(100, 16))]
+    rows += [(50, rows[50][1]), (50, rows[51][1]), (7, rows[100][1]), (7, rows[100][1]), (100, [0.5] * 8), (5000, []), (5050, [1.0, None])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    spark.sparkContext.setJobGroup("rounds", "top_k")
+    try:
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in knn.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect())
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    fine = [(k, [math.floor(256 * c) for c in v]) for k, v in rows if v and None not in v]
+    want = []
+    for own in sorted({k for k, _ in fine if k % 50 == 0}):
+        scored = [(-sum(a * b for a, b in zip(q, x, strict=True)), k) for i, q in fine if i == own for k, x in fine if k != own and len(x) == len(q)]
+        want += [(own, place + 1, k, -s) for place, (s, k) in enumerate(sorted(scored)[:5])]
+    assert got == want
+    status = spark.sparkContext.statusTracker()
+    tasks = [status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup("rounds") for s in status.getJobInfo(j).stageIds if status.getStageInfo(s)]
+    assert max(tasks) >= 24
+
+
 def test_pivots_eliminate():
     rng = np.random.default_rng(3)
     x = np.floor(256 * (lambda v: v / np.linalg.norm(v, axis=1)[:, None])(rng.normal(size=(3000, 64)))).astype(np.int64)
