@@ -197,7 +197,7 @@ def _places(open_: np.ndarray) -> np.ndarray:
     cells = open_.ravel()
     if len(cells) % 8:
         return np.flatnonzero(cells)
-    eights = np.flatnonzero(cells.view(np.uint64))
+    eights = np.flatnonzero(cells.view(np.uint64) != 0)
     within = np.flatnonzero(cells.reshape(-1, 8).take(eights, 0))
     return eights.take(within >> 3) * 8 + (within & 7)
 
